@@ -1,0 +1,116 @@
+"""End-to-end runs: clean, resolve modal and latest, manifest, save."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions.tiers import tier_of
+from ..operators.latest import LatestPlan, _resolve_rule, latest_rows
+from ..operators.modal import modal_aggs, modal_by_entity, modal_value
+from .skew import split_join
+from .spec import RESERVED_PREFIX, ColumnSpec, Rule, RunConfig, TierPolicy
+
+P = RESERVED_PREFIX
+
+
+def prepare(df: DataFrame, spec: ColumnSpec) -> DataFrame:
+    """Remove records with a NULL entity or a NULL code (the documented pre-step).
+
+    NULL codes would otherwise sit in the top tier and beat real low-tier
+    codes; NULL entities would form one pseudo-entity.
+    """
+    spec.validate(df)
+    return df.na.drop(subset=[spec.entity, spec.category])
+
+
+def resolve(
+    df: DataFrame,
+    spec: ColumnSpec,
+    policy: TierPolicy,
+    rule: Rule | str,
+    *,
+    clean: bool = True,
+    modal_col: str = "modal",
+    latest_col: str = "latest",
+) -> DataFrame:
+    """One row per entity: ``entity, modal, latest``.
+
+    ``policy.reallocate`` chooses the re-allocated forms or the plain ones.
+    Both results come from one scan and two partially aggregated shuffles:
+    ``groupBy(entity, code)`` folds the records (counts and each code's best
+    recency key), then ``groupBy(entity)`` settles both values. ``latest`` is
+    NULL for an entity with no eligible record. With ``clean`` (default) the
+    input first goes through :func:`prepare`.
+    """
+    rule = _resolve_rule(rule)
+    if clean:
+        df = prepare(df, spec)
+    plan = LatestPlan(df, spec, rule, policy, policy.reallocate)
+    keyed = plan.with_keys(df)
+    # Stage 1: one row per (entity, code); keys become each code's best key.
+    per_code = keyed.groupBy(spec.entity, spec.category).agg(
+        F.count(spec.category).alias(P + "cnt"),
+        F.count(F.lit(1)).alias(P + "n"),
+        *[F.max(k).alias(k) for k in plan.key_cols()],
+    )
+    # Tiers are a function of the code alone, so they are added per group.
+    per_code = per_code.withColumn(
+        P + "tier", tier_of(spec.category, policy) if policy.reallocate else F.lit(0)
+    )
+    if policy.reallocate:
+        per_code = per_code.withColumn(P + "t", tier_of(spec.category, policy))
+    # Stage 2: one row per entity.
+    agg = per_code.groupBy(spec.entity).agg(*modal_aggs(spec), *plan.aggs(rows=False))
+    vals = plan.value_structs(plan.decide(), rows=False)
+    return agg.select(
+        spec.entity,
+        modal_value().alias(modal_col),
+        F.try_element_at(vals, F.lit(1))["v"].alias(latest_col),
+    )
+
+
+def run(df: DataFrame, config: RunConfig, *, clean: bool = True, **opts) -> dict[str, DataFrame]:
+    """The documented run: both methods for one data source and policy.
+
+    Returns ``latest`` (the latest-category records, each carrying its
+    entity's ``modal`` value, which is what the original two-step script
+    produces), ``resolved`` (one row per entity) and ``manifest``.
+    """
+    spec, policy, rule = config.spec, config.policy, config.rule
+    if clean:
+        df = prepare(df, spec)
+    modal = modal_by_entity(df, spec, policy, with_counts=True)
+    latest = latest_rows(df, spec, rule, policy, **opts)
+    latest = split_join(
+        latest, modal, [spec.entity], P + "n", how="left", null_safe=not policy.reallocate
+    )
+    return {
+        "latest": latest,
+        "resolved": resolve(df, spec, policy, rule, clean=False),
+        "manifest": manifest(df.sparkSession, config.dataset, policy),
+    }
+
+
+MANIFEST_SCHEMA = T.StructType(
+    [T.StructField(n, T.StringType(), False) for n in ("Datasource", "Reallocation", "Name", "Counts", "Comments")]
+)
+
+
+def manifest(
+    spark: SparkSession, dataset: str, policy: TierPolicy, extra: list[tuple[str, str, str]] | None = None
+) -> DataFrame:
+    """The run manifest: which lists and which run name were used.
+
+    Three rows (not-valid list, other list, run name), plus any ``extra``
+    (name, counts, comment) rows the caller records, such as dropped-row counts.
+    """
+    rows = [
+        (dataset, policy.name, "Not valid list", str(list(policy.not_valid)), ""),
+        (dataset, policy.name, "Other list", str(list(policy.other)), ""),
+        (dataset, policy.name, "Name of run", policy.name, ""),
+    ]
+    for name, counts, comment in extra or []:
+        rows.append((dataset, policy.name, name, str(counts), comment))
+    return spark.createDataFrame(rows, MANIFEST_SCHEMA)

@@ -1,0 +1,9 @@
+"""Streaming: intentionally empty.
+
+The method this library rebuilds is batch only: it reads a table, and every
+result depends on an entity's whole history (its most frequent code, its
+latest date), with no streaming source, watermark or state. Nothing here is
+built, so as not to add operators the method does not have. A caller who
+receives records as a stream can land them in a table and rerun the batch
+operators, which are incremental-friendly because they are plain aggregations.
+"""

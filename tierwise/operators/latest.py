@@ -9,10 +9,9 @@ whose key equals the entity's best key.
 
 Plan shape: one ``groupBy(entity)`` with partial aggregation.
 
-* ``max(key)``                         the best key B
-* ``max(struct(key, c))``, c not NULL  largest code, at B when any code is
-* ``min(struct(-key, c))``, c not NULL smallest code, at B likewise
-* ``max(key)``, c NULL                 whether a NULL code sits at B
+* ``max(struct(key, has code, c))``   the best key B and the largest code at B
+* ``min(struct(-key, -has code, c))`` the smallest code at B
+* ``max(key)`` over NULL codes         whether a NULL code sits at B
 
 Largest <> smallest is the exact "several codes on the latest date" test.
 Because all of these are plain aggregates, an entity with a huge share of
@@ -163,12 +162,19 @@ class LatestPlan:
         for f in self.families.values():
             k = F.col(P + "k_" + f.name)
             has_code = k.isNotNull() & c.isNotNull()
+            cnn = c.isNotNull().cast("int")
+            # hi: best key, then "a code is present", then the largest code;
+            # lo: best key, then present first, then the smallest code.
             out += [
-                F.max(k).alias(P + "b_" + f.name),
-                F.max(F.when(has_code, F.struct(k.alias("k"), c.alias("c")))).alias(P + "hi_" + f.name),
-                F.min(F.when(has_code, F.struct(negate(k, list(f.parts)).alias("k"), c.alias("c")))).alias(
-                    P + "lo_" + f.name
+                F.max(F.when(k.isNotNull(), F.struct(k.alias("k"), cnn.alias("cn"), c.alias("c")))).alias(
+                    P + "hi_" + f.name
                 ),
+                F.min(
+                    F.when(
+                        k.isNotNull(),
+                        F.struct(negate(k, list(f.parts)).alias("k"), (-cnn).alias("cn"), c.alias("c")),
+                    )
+                ).alias(P + "lo_" + f.name),
             ]
             if self.reallocate:
                 out.append(F.max(F.when(c.isNull(), k)).alias(P + "nul_" + f.name))
@@ -181,10 +187,10 @@ class LatestPlan:
 
     def _decide_family(self, name: str) -> dict[str, Column]:
         f = self.families[name]
-        b = F.col(P + "b_" + name)
         hi, lo = F.col(P + "hi_" + name), F.col(P + "lo_" + name)
-        cmax = F.when(hi["k"] == b, hi["c"])
-        cmin = F.when(lo["k"] == negate(b, list(f.parts)), lo["c"])
+        b = hi["k"]
+        cmax = F.when(hi["cn"] == 1, hi["c"])
+        cmin = F.when(lo["cn"] == -1, lo["c"])
         valid = b.isNotNull()
         if self.reallocate:
             valid = valid & (b["t"] == F.col(P + "top"))
@@ -309,17 +315,16 @@ def latest_rows(
     d = plan.decide()
     summary = (
         keyed.groupBy(spec.entity)
-        .agg(*plan.aggs(rows=False), F.count(F.lit(1)).alias(N_ROWS))
+        .agg(*plan.aggs(rows=False))
         .where(d["valid"])
         .select(
             spec.entity,
-            N_ROWS,
             d["nd1"].alias(P + "nd1"),
             d["conflict"].alias(P + "conflict"),
-            *[F.col(P + "b_" + f).alias(P + "best_" + f) for f in plan.families],
+            *[F.col(P + "hi_" + f)["k"].alias(P + "best_" + f) for f in plan.families],
         )
     )
-    joined = split_join(keyed, summary, [spec.entity], N_ROWS, how="inner", null_safe=True, **split_opts)
+    joined = split_join(keyed, summary, [spec.entity], how="inner", null_safe=True, **split_opts)
     at_best = F.col(P + "k_n") == F.col(P + "best_n")
     if "x" in plan.families:
         at_best = F.when(F.col(P + "nd1"), at_best).otherwise(F.col(P + "k_x") == F.col(P + "best_x"))

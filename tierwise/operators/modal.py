@@ -66,7 +66,7 @@ def modal_by_entity(
     """One row per entity (NULL entities form one group): ``entity, <out>``.
 
     ``policy=None`` or ``reallocate=False`` counts every record (no tiers).
-    ``with_counts`` adds the entity's record count (used to split hot keys).
+    ``with_counts`` adds the entity's record count (column ``__tw_n``).
     """
     spec.validate(df)
     if reallocate is None:
@@ -104,9 +104,9 @@ def attach_modal(
         if reallocate:
             raise ValueError("diagnostics are defined for the no-re-allocation form only")
         return _attach_with_diagnostics(df, spec, out, **split_opts)
-    summary = modal_by_entity(df, spec, policy, out=out, reallocate=reallocate, with_counts=True)
+    summary = modal_by_entity(df, spec, policy, out=out, reallocate=reallocate)
     return split_join(
-        df, summary, [spec.entity], N_ROWS, how="left", null_safe=not reallocate, **split_opts
+        df, summary, [spec.entity], how="left", null_safe=not reallocate, **split_opts
     )
 
 
@@ -137,5 +137,5 @@ def _attach_with_diagnostics(df: DataFrame, spec: ColumnSpec, out: str, **split_
         )
     )
     return split_join(
-        df, per_code, [spec.entity, spec.category], N_ROWS, how="left", null_safe=True, **split_opts
+        df, per_code.drop(N_ROWS), [spec.entity, spec.category], how="left", null_safe=True, **split_opts
     )

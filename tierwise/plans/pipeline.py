@@ -81,11 +81,9 @@ def run(df: DataFrame, config: RunConfig, *, clean: bool = True, **opts) -> dict
     spec, policy, rule = config.spec, config.policy, config.rule
     if clean:
         df = prepare(df, spec)
-    modal = modal_by_entity(df, spec, policy, with_counts=True)
+    modal = modal_by_entity(df, spec, policy)
     latest = latest_rows(df, spec, rule, policy, **opts)
-    latest = split_join(
-        latest, modal, [spec.entity], P + "n", how="left", null_safe=not policy.reallocate
-    )
+    latest = split_join(latest, modal, [spec.entity], how="left", null_safe=not policy.reallocate)
     return {
         "latest": latest,
         "resolved": resolve(df, spec, policy, rule, clean=False),

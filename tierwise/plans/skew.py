@@ -7,11 +7,10 @@ to one task, so one hot entity would become one enormous task.
 
 :func:`split_join` splits hot keys instead:
 
-1. The summary carries each key's row count ``n`` (the aggregation that built
-   it computed it for free). With ``N`` the total and ``P`` the number of
-   pieces, a key is hot when ``n >= max(N / P, min_rows)``. At most ``P`` keys
-   can be that large, so the hot-key table has a proven size bound and is
-   broadcast.
+1. Rows are counted per key (reading only the key columns; the count is
+   combined map-side). With ``N`` the total and ``P`` the number of pieces, a
+   key is hot when ``n >= max(N / P, min_rows)``. At most ``P`` keys can be
+   that large, so the hot-key table has a proven size bound and is broadcast.
 2. A hot key is cut into ``k = ceil(n * P / N)`` pieces of about ``N / P`` rows.
    Its rows get a piece number round-robin (``monotonically_increasing_id``
    modulo ``k``, which also separates exact duplicate rows); its summary row is
@@ -46,11 +45,34 @@ def _conf_int(df: DataFrame, key: str, default: int) -> int:
     return int(value) if value else default
 
 
+def hot_keys(
+    rows: DataFrame,
+    keys: list[str],
+    *,
+    pieces: int,
+    min_rows: int,
+    null_safe: bool,
+) -> DataFrame:
+    """Keys holding at least ``max(N / pieces, min_rows)`` of the ``N`` rows,
+    with the number of pieces to cut each into. At most ``pieces`` rows.
+
+    Computed from the rows' key columns alone (a count per key, combined
+    map-side), so the scan reads only those columns.
+    """
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias(RESERVED_PREFIX + "cnt"))
+    if not null_safe:
+        counts = counts.where(_all([F.col(k).isNotNull() for k in keys]))
+    total = rows.select(F.count(F.lit(1))).scalar()
+    n = F.col(RESERVED_PREFIX + "cnt")
+    return counts.where((n * F.lit(pieces) >= total) & (n >= F.lit(min_rows))).select(
+        *keys, F.ceil(n * F.lit(pieces) / total).cast("int").alias(PIECES)
+    )
+
+
 def split_join(
     rows: DataFrame,
     summary: DataFrame,
     keys: list[str],
-    count_col: str,
     *,
     how: str = "left",
     null_safe: bool = False,
@@ -59,11 +81,10 @@ def split_join(
 ) -> DataFrame:
     """``rows JOIN summary USING (keys)`` with hot keys split across tasks.
 
-    ``summary`` must hold at most one row per key and a column ``count_col``
-    with the number of ``rows`` records of that key. Output columns: all of
-    ``rows``, then the summary's non-key columns except ``count_col``.
-    ``how`` is ``"left"`` or ``"inner"``. With ``null_safe`` NULL keys match
-    each other (the key groups of ``groupBy``); otherwise they match nothing.
+    ``summary`` must hold at most one row per key. Output columns: all of
+    ``rows``, then the summary's non-key columns. ``how`` is ``"left"`` or
+    ``"inner"``. With ``null_safe`` NULL keys match each other (the key groups
+    of ``groupBy``); otherwise they match nothing.
     """
     if how not in ("left", "inner"):
         raise ValueError("how must be 'left' or 'inner'")
@@ -73,14 +94,8 @@ def split_join(
     floor_rows = min_rows if min_rows is not None else _conf_int(
         rows, "tierwise.skew.minRows", DEFAULT_MIN_ROWS
     )
-
-    total = summary.select(F.sum(count_col)).scalar()
-    n = F.col(count_col)
     # At most p keys can hold N / p rows or more: the broadcast side is bounded.
-    hot = summary.where((n * F.lit(p) >= total) & (n >= F.lit(floor_rows))).select(
-        *keys, F.ceil(n * F.lit(p) / total).cast("int").alias(PIECES)
-    )
-    hot = F.broadcast(hot)
+    hot = F.broadcast(hot_keys(rows, keys, pieces=p, min_rows=floor_rows, null_safe=null_safe))
 
     def eq(lname: str, rname: str) -> Column:
         a, b = F.col(lname), F.col(rname)
@@ -103,7 +118,7 @@ def split_join(
     tagged = tagged.withColumn(PIECE, piece.cast("int")).drop(PIECES)
 
     # Summary side: one copy per piece of a hot key, one row for a cold key.
-    extra = [c for c in summary.columns if c not in keys and c != count_col]
+    extra = [c for c in summary.columns if c not in keys]
     clash = [c for c in extra if c in rows.columns]
     if clash:
         raise ValueError(f"summary columns {clash} already exist in the rows")

@@ -16,7 +16,7 @@ from .operators.dedupe import dedupe
 from .operators.latest import latest_by_entity, latest_rows
 from .operators.modal import attach_modal, modal_by_entity
 from .operators.tiers import assign_tier, keep_top_tier, top_tier_by_entity
-from .plans.pipeline import manifest, prepare, resolve, run
+from .plans.pipeline import check_no_sentinel, manifest, prepare, resolve, run, sentinel_rows
 from .plans.skew import split_join
 from .plans.spec import (
     DATASET_RULES,
@@ -35,5 +35,5 @@ __all__ = [
     "ColumnSpec", "TierPolicy", "Rule", "RunConfig", "PRESETS", "DEFAULT_PRESET", "DATASET_RULES",
     "UNRESOLVED", "preset", "assign_tier", "keep_top_tier", "top_tier_by_entity", "modal_by_entity",
     "attach_modal", "latest_by_entity", "latest_rows", "dedupe", "prepare", "resolve", "run",
-    "manifest", "split_join", "read_input", "save", "save_run",
+    "manifest", "check_no_sentinel", "sentinel_rows", "split_join", "read_input", "save", "save_run",
 ]

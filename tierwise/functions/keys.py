@@ -15,9 +15,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def time_number(name: str, dtype: T.DataType) -> Column:
-    """An order-preserving, exactly negatable number for a date-like column."""
+def time_number(name: str, dtype: T.DataType, grain: str | None = None) -> Column:
+    """An order-preserving, exactly negatable number for a date-like column.
+
+    With ``grain`` ("day", "month", "year") values are first truncated, so
+    records within one grain compare equal (timestamps use the session time
+    zone to find their day).
+    """
     c = F.col(name)
+    if grain is not None:
+        day = c if isinstance(dtype, T.DateType) else F.to_date(c)
+        if grain == "day":
+            return F.unix_date(day).cast("long")
+        if grain == "month":
+            return F.unix_date(F.trunc(day, "month")).cast("long")
+        if grain == "year":
+            return F.year(day).cast("long")
+        raise ValueError(f"unknown grain {grain!r}")
     if isinstance(dtype, T.DateType):
         return F.unix_date(c).cast("long")
     if isinstance(dtype, T.TimestampType):

@@ -95,7 +95,7 @@ class LatestPlan:
         self.order_cols = self.tie_break + [
             f.name for f in df.schema.fields if f.name not in self.tie_break and _orderable(f.dataType)
         ]
-        d = time_number(spec.observed_at, df.schema[spec.observed_at].dataType)
+        d = time_number(spec.observed_at, df.schema[spec.observed_at].dataType, spec.date_grain)
         c = F.col(spec.category)
         dated = d.isNotNull()
         self.families: dict[str, _Family] = {}

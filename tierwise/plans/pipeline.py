@@ -10,7 +10,7 @@ from ..functions.tiers import tier_of
 from ..operators.latest import LatestPlan, _resolve_rule, latest_rows
 from ..operators.modal import modal_aggs, modal_by_entity, modal_value
 from .skew import split_join
-from .spec import RESERVED_PREFIX, ColumnSpec, Rule, RunConfig, TierPolicy
+from .spec import RESERVED_PREFIX, UNRESOLVED, ColumnSpec, Rule, RunConfig, TierPolicy
 
 P = RESERVED_PREFIX
 
@@ -25,6 +25,18 @@ def prepare(df: DataFrame, spec: ColumnSpec) -> DataFrame:
     return df.na.drop(subset=[spec.entity, spec.category])
 
 
+def sentinel_rows(df: DataFrame, spec: ColumnSpec) -> DataFrame:
+    """Input records whose code is the result marker ``unresolved`` (lazy)."""
+    return df.where(F.col(spec.category) == UNRESOLVED)
+
+
+def check_no_sentinel(df: DataFrame, spec: ColumnSpec) -> None:
+    """Raise if any input code equals ``unresolved``, which the results could
+    not tell apart from a tie. Opt-in: it runs a (short-circuiting) job."""
+    if not sentinel_rows(df, spec).isEmpty():
+        raise ValueError(f"input has {spec.category!r} codes equal to {UNRESOLVED!r}")
+
+
 def resolve(
     df: DataFrame,
     spec: ColumnSpec,

@@ -60,11 +60,13 @@ def hot_keys(
     map-side), so the scan reads only those columns.
     """
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias(RESERVED_PREFIX + "cnt"))
-    if not null_safe:
-        counts = counts.where(_all([F.col(k).isNotNull() for k in keys]))
-    total = rows.select(F.count(F.lit(1))).scalar()
     n = F.col(RESERVED_PREFIX + "cnt")
-    return counts.where((n * F.lit(pieces) >= total) & (n >= F.lit(min_rows))).select(
+    # the total is summed from the per-key counts, so one shuffle serves both
+    total = counts.select(F.sum(n)).scalar()
+    hot = counts.where((n * F.lit(pieces) >= total) & (n >= F.lit(min_rows)))
+    if not null_safe:  # NULL keys match nothing; they are spread separately
+        hot = hot.where(_all([F.col(k).isNotNull() for k in keys]))
+    return hot.select(
         *keys, F.ceil(n * F.lit(pieces) / total).cast("int").alias(PIECES)
     )
 

@@ -67,6 +67,14 @@ class ColumnSpec:
     source: str = "source"
     flag: str = "flag"
     source_order: tuple[str, ...] = DEFAULT_SOURCE_ORDER
+    # "Same day" is equality of the raw column by default; a grain compares
+    # truncated values instead ("day", "month" or "year"; date-like columns only).
+    date_grain: str | None = None
+
+    def __post_init__(self):
+        object.__setattr__(self, "source_order", tuple(self.source_order))
+        if self.date_grain not in (None, "day", "month", "year"):
+            raise ValueError(f"date_grain must be None, 'day', 'month' or 'year', not {self.date_grain!r}")
 
     def required(self, rule: Rule | None = None, *, dated: bool = False) -> list[str]:
         cols = [self.entity, self.category]
@@ -96,6 +104,8 @@ class ColumnSpec:
                 raise TypeError(
                     f"observed_at column {self.observed_at!r} must be a date, timestamp or number, is {dt.simpleString()}"
                 )
+            if self.date_grain and not isinstance(dt, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+                raise TypeError(f"date_grain needs a date or timestamp column, {self.observed_at!r} is {dt.simpleString()}")
         if rule is Rule.SOURCE and types[self.source] != "string":
             raise TypeError(f"source column {self.source!r} must be string")
         if rule is Rule.FLAG and not isinstance(

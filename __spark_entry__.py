@@ -68,6 +68,12 @@ M3 = """SELECT event_id, user_id AS entity,
        CAST(value > 10 AS INT) AS flag
 FROM events"""
 
+M1_HOT = f"""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN CAST(-1 AS BIGINT) ELSE entity END AS entity,
+       category, observed_at, source, flag FROM ({M1}) m1"""
+
+M3_MONTHLY = f"""SELECT event_id, entity, category, CAST(date_trunc('month', observed_at) AS DATE) AS observed_at,
+       source, flag FROM ({M3}) m3"""
+
 SOURCE_RANK = "CASE source WHEN 'apc' THEN 1 WHEN 'ae' THEN 2 WHEN 'op' THEN 3 END"
 
 
@@ -237,4 +243,19 @@ SELECT 'GP', '{pol.name}', 'Rows removed by prepare', CAST(count(*) AS VARCHAR),
 FROM ({M1_NULLS}) m WHERE entity IS NULL OR category IS NULL"""
     q["modal_vs_latest_matrix"] = f"""SELECT modal, latest, count(*) AS n FROM ({_resolve_sql(M1, d, "flag")}) r
 GROUP BY modal, latest"""
+    q["top_tier_records"] = f"SELECT o_orderkey, entity, category, tier FROM ({_top_rows(M1, d)}) t"
+    q["modal_attached_no_realloc"] = f"""SELECT m.o_orderkey AS o_orderkey, m.entity AS entity, x.modal AS modal
+FROM ({M1}) m LEFT JOIN ({_modal_sql(M1, None)}) x ON m.entity IS NOT DISTINCT FROM x.entity"""
+    q["latest_flag_records"] = f"SELECT o_orderkey, entity, latest FROM ({_latest_realloc_rows(M1, d, 'flag')}) r"
+    q["latest_no_realloc_flag_records"] = f"SELECT o_orderkey, entity, latest FROM ({_latest_plain_rows(M1, 'flag')}) r"
+    q["modal_events"] = _modal_sql(M3, d)
+    q["latest_events_flag"] = _latest_pairs(_latest_realloc_rows(M3, d, "flag"), True)
+    q["latest_events_no_realloc"] = _latest_pairs(_latest_plain_rows(M3, "none"), False)
+    q["latest_events_monthly"] = _latest_pairs(_latest_realloc_rows(M3_MONTHLY, d, "none"), False)
+    q["modal_attached_hot"] = f"""SELECT m.o_orderkey AS o_orderkey, m.entity AS entity, x.modal AS modal
+FROM ({M1_HOT}) m LEFT JOIN ({_modal_sql(M1_HOT, d)}) x ON m.entity = x.entity"""
+    q["latest_flag_records_hot"] = f"SELECT o_orderkey, entity, latest FROM ({_latest_realloc_rows(M1_HOT, d, 'flag')}) r"
+    for rule in ("none", "source", "flag"):
+        q[f"resolve_small_groups_{rule}"] = _resolve_sql(_m2(), d, rule)
+        q[f"resolve_small_groups_no_realloc_{rule}"] = _resolve_sql(_m2(), "none", rule)
     return q

@@ -42,10 +42,25 @@ def duck_rows(con, sql):
     return [names[i] for i in order], sorted((tuple(_norm(r[i]) for i in order) for r in rows), key=_key)
 
 
+DUCK_TO_SPARK = {"BIGINT": "bigint", "INTEGER": "int", "VARCHAR": "string", "DATE": "date",
+                 "DOUBLE": "double", "BOOLEAN": "boolean", "HUGEINT": "decimal(38,0)"}
+
+
+def types(df, con, sql):
+    s = dict(df.dtypes)
+    rel = con.sql(sql)
+    d = {n: DUCK_TO_SPARK.get(str(t), str(t)) for n, t in zip(rel.columns, rel.types)}
+    return {c: (s.get(c), d.get(c)) for c in sorted(set(s) | set(d)) if s.get(c) != d.get(c)}
+
+
 def compare(spark, con, sf_dir, fn, sql):
-    s_cols, s_rows = spark_rows(fn(spark, sf_dir))
+    df = fn(spark, sf_dir)
+    s_cols, s_rows = spark_rows(df)
     d_cols, d_rows = duck_rows(con, sql)
     problems = []
+    bad_types = types(df, con, sql)
+    if bad_types:
+        problems.append(f"types differ (spark, duckdb): {bad_types}")
     if s_cols != d_cols:
         problems.append(f"columns differ: spark {s_cols} duckdb {d_cols}")
     if len(s_rows) != len(d_rows):

@@ -76,6 +76,13 @@ def latest_record_source(spark, sf):
     return rows.select("entity", "o_orderkey", "latest")
 
 
+def _resolve(mapping, preset: str, rule: Rule) -> Query:
+    def q(spark, sf):
+        return resolve(mapping(spark, sf), SPEC, PRESETS[preset], rule)
+
+    return q
+
+
 def resolve_realloc(spark, sf):
     return resolve(m1_orders(spark, sf), SPEC, DEFAULT, Rule.FLAG)
 
@@ -125,6 +132,38 @@ def modal_vs_latest_matrix(spark, sf):
     return r.groupBy("modal", "latest").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _m1_hot(spark, sf):
+    """M1 with one planted hot entity (-1) holding every third order."""
+    m = m1_orders(spark, sf)
+    return m.withColumn("entity", F.when(F.col("o_orderkey") % 3 == 0, F.lit(-1).cast("long")).otherwise(F.col("entity")))
+
+
+def top_tier_records(spark, sf):
+    kept = keep_top_tier(m1_orders(spark, sf), SPEC, DEFAULT)
+    return kept.select("o_orderkey", "entity", "category", "tier")
+
+
+def modal_attached_no_realloc(spark, sf):
+    return attach_modal(m1_orders(spark, sf), SPEC, NONE).select("o_orderkey", "entity", "modal")
+
+
+def _latest_records(mapping, preset: str, rule: Rule, spec: ColumnSpec = SPEC) -> Query:
+    def q(spark, sf):
+        rows = latest_rows(mapping(spark, sf), spec, rule, PRESETS[preset])
+        return rows.select("o_orderkey", "entity", "latest")
+
+    return q
+
+
+def modal_attached_hot(spark, sf):
+    return attach_modal(_m1_hot(spark, sf), SPEC, DEFAULT).select("o_orderkey", "entity", "modal")
+
+
+def latest_events_monthly(spark, sf):
+    spec = ColumnSpec(date_grain="month")
+    return latest_by_entity(m3_events(spark, sf), spec, Rule.NONE, DEFAULT)
+
+
 def catalogue() -> dict[str, Query]:
     q: dict[str, Query] = {}
     for p in PRESETS:
@@ -154,4 +193,17 @@ def catalogue() -> dict[str, Query]:
     q["prepare_drop_nulls"] = prepare_drop_nulls
     q["policy_manifest"] = policy_manifest
     q["modal_vs_latest_matrix"] = modal_vs_latest_matrix
+    q["top_tier_records"] = top_tier_records
+    q["modal_attached_no_realloc"] = modal_attached_no_realloc
+    q["latest_flag_records"] = _latest_records(m1_orders, DEFAULT_PRESET, Rule.FLAG)
+    q["latest_no_realloc_flag_records"] = _latest_records(m1_orders, "none", Rule.FLAG)
+    q["modal_events"] = _modal(DEFAULT_PRESET, m3_events)
+    q["latest_events_flag"] = _latest(DEFAULT_PRESET, Rule.FLAG, m3_events, count_rows=True)
+    q["latest_events_no_realloc"] = _latest("none", Rule.NONE, m3_events)
+    q["latest_events_monthly"] = latest_events_monthly
+    q["modal_attached_hot"] = modal_attached_hot
+    q["latest_flag_records_hot"] = _latest_records(_m1_hot, DEFAULT_PRESET, Rule.FLAG)
+    for rule in Rule:
+        q[f"resolve_small_groups_{rule.value}"] = _resolve(m2_lineitem, DEFAULT_PRESET, rule)
+        q[f"resolve_small_groups_no_realloc_{rule.value}"] = _resolve(m2_lineitem, "none", rule)
     return q

@@ -12,9 +12,10 @@ to one task, so one hot entity would become one enormous task.
    key is hot when ``n >= max(N / P, min_rows)``. At most ``P`` keys can be
    that large, so the hot-key table has a proven size bound and is broadcast.
 2. A hot key is cut into ``k = ceil(n * P / N)`` pieces of about ``N / P`` rows.
-   Its rows get a piece number round-robin (``monotonically_increasing_id``
-   modulo ``k``, which also separates exact duplicate rows); its summary row is
-   repeated once per piece. Cold keys have one piece, number 0.
+   Its rows get piece ``hash(map task index, row values) mod k`` (see
+   :func:`row_spread`: deterministic under task retries, and copies of one row
+   spread over map tasks); its summary row is repeated once per piece. Cold
+   keys have one piece, number 0.
 3. The join runs on (key, piece), so a hot key's rows spread over ``k`` tasks.
 
 Rows whose key is NULL in a plain (not null-safe) join can match nothing; they
@@ -26,6 +27,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .spec import RESERVED_PREFIX
 
@@ -109,14 +111,11 @@ def split_join(
 
     # Row side: look up the piece count of hot keys (map-side broadcast join).
     tagged = rows.join(hot_r, on=hot_on(), how="left").drop(*renamed.values())
-    piece = F.pmod(F.monotonically_increasing_id(), F.col(PIECES))
+    spread = row_spread(rows)
+    piece = F.when(F.col(PIECES).isNotNull(), F.pmod(spread, F.col(PIECES))).otherwise(F.lit(0))
     if not null_safe:
         any_null = _any([F.col(k).isNull() for k in keys])
-        piece = F.when(any_null, F.pmod(F.monotonically_increasing_id(), F.lit(p))).otherwise(
-            F.coalesce(piece, F.lit(0))
-        )
-    else:
-        piece = F.coalesce(piece, F.lit(0))
+        piece = F.when(any_null, F.pmod(spread, F.lit(p))).otherwise(piece)
     tagged = tagged.withColumn(PIECE, piece.cast("int")).drop(PIECES)
 
     # Summary side: one copy per piece of a hot key, one row for a cold key.
@@ -136,6 +135,30 @@ def split_join(
     return out.select(*rows.columns, *extra)
 
 
+def row_spread(rows: DataFrame) -> Column:
+    """A piece source that survives task retries: the hash of the map task's
+    partition index and the row's own values.
+
+    It does not depend on row order (a retried task, even one reading shuffle
+    output in another order, puts every row in the same piece again), distinct
+    rows of one task spread over the pieces, and copies of one row spread over
+    the map tasks that hold them (a map task's input is bounded by the split
+    size). Only rows of hot keys (and NULL keys of plain joins) evaluate it.
+    """
+    cols = [F.col(f.name) for f in rows.schema.fields if _hashable(f.dataType)]
+    return F.xxhash64(F.spark_partition_id(), *cols)
+
+
+def _hashable(dt: T.DataType) -> bool:
+    if isinstance(dt, T.MapType) or type(dt).__name__ == "VariantType":
+        return False
+    if isinstance(dt, T.StructType):
+        return all(_hashable(f.dataType) for f in dt.fields)
+    if isinstance(dt, T.ArrayType):
+        return _hashable(dt.elementType)
+    return True
+
+
 def _all(conds: list[Column]) -> Column:
     out = conds[0]
     for c in conds[1:]:

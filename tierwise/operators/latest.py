@@ -311,24 +311,28 @@ def latest_rows(
             *[F.col(P + "o")["row"][c].alias(c) for c in df.columns], F.col(P + "o")["v"].alias(out)
         )
 
-    # Flag rule: keep every record at the best key.
+    # Flag rule: keep every record at the best key. The summary keeps every
+    # entity (with a validity flag) so that its row counts describe all rows.
     d = plan.decide()
     summary = (
         keyed.groupBy(spec.entity)
-        .agg(*plan.aggs(rows=False))
-        .where(d["valid"])
+        .agg(*plan.aggs(rows=False), F.count(F.lit(1)).alias(N_ROWS))
         .select(
             spec.entity,
+            N_ROWS,
+            d["valid"].alias(P + "valid"),
             d["nd1"].alias(P + "nd1"),
             d["conflict"].alias(P + "conflict"),
             *[F.col(P + "hi_" + f)["k"].alias(P + "best_" + f) for f in plan.families],
         )
     )
-    joined = split_join(keyed, summary, [spec.entity], how="inner", null_safe=True, **split_opts)
+    joined = split_join(
+        keyed, summary, [spec.entity], how="inner", null_safe=True, count_col=N_ROWS, **split_opts
+    )
     at_best = F.col(P + "k_n") == F.col(P + "best_n")
     if "x" in plan.families:
         at_best = F.when(F.col(P + "nd1"), at_best).otherwise(F.col(P + "k_x") == F.col(P + "best_x"))
-    cond = at_best
+    cond = F.col(P + "valid") & at_best
     if not reallocate:
         cond = cond & F.col(spec.category).isNotNull()
     value = F.when(F.col(P + "conflict"), F.lit(UNRESOLVED)).otherwise(F.col(spec.category))

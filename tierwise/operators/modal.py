@@ -104,9 +104,9 @@ def attach_modal(
         if reallocate:
             raise ValueError("diagnostics are defined for the no-re-allocation form only")
         return _attach_with_diagnostics(df, spec, out, **split_opts)
-    summary = modal_by_entity(df, spec, policy, out=out, reallocate=reallocate)
+    summary = modal_by_entity(df, spec, policy, out=out, reallocate=reallocate, with_counts=True)
     return split_join(
-        df, summary, [spec.entity], how="left", null_safe=not reallocate, **split_opts
+        df, summary, [spec.entity], how="left", null_safe=not reallocate, count_col=N_ROWS, **split_opts
     )
 
 
@@ -137,5 +137,5 @@ def _attach_with_diagnostics(df: DataFrame, spec: ColumnSpec, out: str, **split_
         )
     )
     return split_join(
-        df, per_code.drop(N_ROWS), [spec.entity, spec.category], how="left", null_safe=True, **split_opts
+        df, per_code, [spec.entity, spec.category], how="left", null_safe=True, count_col=N_ROWS, **split_opts
     )

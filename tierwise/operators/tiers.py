@@ -45,7 +45,7 @@ def keep_top_tier(
     tier = RESERVED_PREFIX + "tier"
     rows = df.withColumn(tier, tier_of(spec.category, policy))
     joined = split_join(
-        rows, top.drop(RESERVED_PREFIX + "n"), [spec.entity], how="inner", null_safe=True, **split_opts
+        rows, top, [spec.entity], how="inner", null_safe=True, count_col=RESERVED_PREFIX + "n", **split_opts
     )
     kept = joined.where(F.col(tier) == F.col(RESERVED_PREFIX + "top"))
     cols = [F.col(c) for c in df.columns]

@@ -54,14 +54,20 @@ def hot_keys(
     pieces: int,
     min_rows: int,
     null_safe: bool,
+    counts: DataFrame | None = None,
+    count_col: str | None = None,
 ) -> DataFrame:
     """Keys holding at least ``max(N / pieces, min_rows)`` of the ``N`` rows,
     with the number of pieces to cut each into. At most ``pieces`` rows.
 
-    Computed from the rows' key columns alone (a count per key, combined
-    map-side), so the scan reads only those columns.
+    By default computed from the rows' key columns alone (a count per key,
+    combined map-side), so the scan reads only those columns. A per-key
+    ``counts`` table with the row count in ``count_col`` can be given instead.
     """
-    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias(RESERVED_PREFIX + "cnt"))
+    if counts is None:
+        counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias(RESERVED_PREFIX + "cnt"))
+    else:
+        counts = counts.select(*keys, F.col(count_col).alias(RESERVED_PREFIX + "cnt"))
     n = F.col(RESERVED_PREFIX + "cnt")
     # the total is summed from the per-key counts, so one shuffle serves both
     total = counts.select(F.sum(n)).scalar()
@@ -82,13 +88,17 @@ def split_join(
     null_safe: bool = False,
     pieces: int | None = None,
     min_rows: int | None = None,
+    count_col: str | None = None,
 ) -> DataFrame:
     """``rows JOIN summary USING (keys)`` with hot keys split across tasks.
 
     ``summary`` must hold at most one row per key. Output columns: all of
-    ``rows``, then the summary's non-key columns. ``how`` is ``"left"`` or
-    ``"inner"``. With ``null_safe`` NULL keys match each other (the key groups
-    of ``groupBy``); otherwise they match nothing.
+    ``rows``, then the summary's non-key columns (except ``count_col``).
+    ``how`` is ``"left"`` or ``"inner"``. With ``null_safe`` NULL keys match
+    each other (the key groups of ``groupBy``); otherwise they match nothing.
+    If the summary already counts each key's rows (``count_col``), hot keys
+    are read from it and the plan shares the summary's shuffle; otherwise
+    they come from a count over the rows' key columns.
     """
     if how not in ("left", "inner"):
         raise ValueError("how must be 'left' or 'inner'")
@@ -99,7 +109,12 @@ def split_join(
         rows, "tierwise.skew.minRows", DEFAULT_MIN_ROWS
     )
     # At most p keys can hold N / p rows or more: the broadcast side is bounded.
-    hot = F.broadcast(hot_keys(rows, keys, pieces=p, min_rows=floor_rows, null_safe=null_safe))
+    hot = F.broadcast(
+        hot_keys(
+            rows, keys, pieces=p, min_rows=floor_rows, null_safe=null_safe,
+            counts=summary if count_col else None, count_col=count_col,
+        )
+    )
 
     def eq(lname: str, rname: str) -> Column:
         a, b = F.col(lname), F.col(rname)
@@ -119,7 +134,7 @@ def split_join(
     tagged = tagged.withColumn(PIECE, piece.cast("int")).drop(PIECES)
 
     # Summary side: one copy per piece of a hot key, one row for a cold key.
-    extra = [c for c in summary.columns if c not in keys]
+    extra = [c for c in summary.columns if c not in keys and c != count_col]
     clash = [c for c in extra if c in rows.columns]
     if clash:
         raise ValueError(f"summary columns {clash} already exist in the rows")

@@ -165,17 +165,20 @@ class LatestPlan:
             cnn = c.isNotNull().cast("int")
             # hi: best key, then "a code is present", then the largest code;
             # lo: best key, then present first, then the smallest code.
-            out += [
+            out.append(
                 F.max(F.when(k.isNotNull(), F.struct(k.alias("k"), cnn.alias("cn"), c.alias("c")))).alias(
                     P + "hi_" + f.name
-                ),
-                F.min(
-                    F.when(
-                        k.isNotNull(),
-                        F.struct(negate(k, list(f.parts)).alias("k"), (-cnn).alias("cn"), c.alias("c")),
-                    )
-                ).alias(P + "lo_" + f.name),
-            ]
+                )
+            )
+            if self._needs_lo(f.name):
+                out.append(
+                    F.min(
+                        F.when(
+                            k.isNotNull(),
+                            F.struct(negate(k, list(f.parts)).alias("k"), (-cnn).alias("cn"), c.alias("c")),
+                        )
+                    ).alias(P + "lo_" + f.name)
+                )
             if self.reallocate:
                 out.append(F.max(F.when(c.isNull(), k)).alias(P + "nul_" + f.name))
             if rows:
@@ -185,12 +188,20 @@ class LatestPlan:
                     out.append(F.max_by(row, ord_(k.isNotNull() & c.isNull())).alias(P + "rn_" + f.name))
         return out
 
+    def _needs_lo(self, name: str) -> bool:
+        # With a rule, family "n" only serves entities with exactly one code at
+        # their top tier, which cannot have a conflict: no smallest code needed.
+        return not (name == "n" and "x" in self.families)
+
     def _decide_family(self, name: str) -> dict[str, Column]:
-        f = self.families[name]
-        hi, lo = F.col(P + "hi_" + name), F.col(P + "lo_" + name)
+        hi = F.col(P + "hi_" + name)
         b = hi["k"]
         cmax = F.when(hi["cn"] == 1, hi["c"])
-        cmin = F.when(lo["cn"] == -1, lo["c"])
+        if self._needs_lo(name):
+            lo = F.col(P + "lo_" + name)
+            cmin = F.when(lo["cn"] == -1, lo["c"])
+        else:
+            cmin = cmax
         valid = b.isNotNull()
         if self.reallocate:
             valid = valid & (b["t"] == F.col(P + "top"))
@@ -220,7 +231,7 @@ class LatestPlan:
         out["nd1"] = nd1
         return out
 
-    def value_structs(self, d: dict[str, Column], *, rows: bool, fam_choice: Column | None = None) -> Column:
+    def value_structs(self, d: dict[str, Column], *, rows: bool) -> Column:
         """Array of this entity's output values (and records)."""
 
         def pick(prefix):

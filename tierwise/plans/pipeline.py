@@ -93,9 +93,14 @@ def run(df: DataFrame, config: RunConfig, *, clean: bool = True, **opts) -> dict
     spec, policy, rule = config.spec, config.policy, config.rule
     if clean:
         df = prepare(df, spec)
-    modal = modal_by_entity(df, spec, policy)
+    # The modal summary counts each entity's input records, an upper bound on
+    # its latest records, so hot keys come from it instead of a second pass
+    # over the (derived) latest records.
+    modal = modal_by_entity(df, spec, policy, with_counts=True)
     latest = latest_rows(df, spec, rule, policy, **opts)
-    latest = split_join(latest, modal, [spec.entity], how="left", null_safe=not policy.reallocate)
+    latest = split_join(
+        latest, modal, [spec.entity], how="left", null_safe=not policy.reallocate, count_col=P + "n"
+    )
     return {
         "latest": latest,
         "resolved": resolve(df, spec, policy, rule, clean=False),

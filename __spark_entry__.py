@@ -255,6 +255,11 @@ FROM ({M1}) m LEFT JOIN ({_modal_sql(M1, None)}) x ON m.entity IS NOT DISTINCT F
     q["modal_attached_hot"] = f"""SELECT m.o_orderkey AS o_orderkey, m.entity AS entity, x.modal AS modal
 FROM ({M1_HOT}) m LEFT JOIN ({_modal_sql(M1_HOT, d)}) x ON m.entity = x.entity"""
     q["latest_flag_records_hot"] = f"SELECT o_orderkey, entity, latest FROM ({_latest_realloc_rows(M1_HOT, d, 'flag')}) r"
+    q["latest_source_diag"] = f"""SELECT r.entity AS entity, r.latest AS latest, t.tier AS tier,
+       t.n_codes AS n_codes, t.max_date AS max_date
+FROM ({_latest_pairs(_latest_realloc_rows(_m2(), d, "source"), False)}) r
+JOIN (SELECT entity, max(tier) AS tier, count(DISTINCT category) AS n_codes, max(observed_at) AS max_date
+      FROM ({_top_rows(_m2(), d)}) k GROUP BY entity) t ON r.entity = t.entity"""
     for rule in ("none", "source", "flag"):
         q[f"resolve_small_groups_{rule}"] = _resolve_sql(_m2(), d, rule)
         q[f"resolve_small_groups_no_realloc_{rule}"] = _resolve_sql(_m2(), "none", rule)

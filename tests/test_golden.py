@@ -153,3 +153,16 @@ def test_dedupe_flag_repeats(gdf):
     got = {r["entity"]: r for r in per.collect()}
     assert got["P20"]["source"] == "ae" and got["P20"]["rid"] == 44
     assert per.count() == rows.select("entity").distinct().count()
+
+
+def test_latest_diagnostics(gdf):
+    rows = latest_rows(gdf, SPEC, Rule.SOURCE, POLICY, diagnostics=True).collect()
+    by = {r["entity"]: r for r in rows}
+    assert by["P05"]["n_codes"] == 2 and by["P05"]["source_rank"] == 1 and by["P05"]["tier"] == 2
+    assert by["P01"]["n_codes"] == 1
+    assert str(by["P06"]["max_date"]) == "2020-01-01"  # top-tier record (A) only
+    assert by["P09"]["tier"] == 0 and by["P09"]["n_codes"] == 2
+    plain = latest_rows(gdf, SPEC, Rule.FLAG, POLICY.__class__("none", reallocate=False), diagnostics=True)
+    assert set(plain.columns) >= {"max_date", "latest"} and "tier" not in plain.columns
+    got = {r["entity"]: str(r["max_date"]) for r in plain.collect()}
+    assert got["P06"] == "2020-04-01"

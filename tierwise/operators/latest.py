@@ -300,6 +300,7 @@ def latest_rows(
     reallocate: bool | None = None,
     out: str = "latest",
     tie_break: list[str] | None = None,
+    diagnostics: bool = False,
     **split_opts,
 ) -> DataFrame:
     """Input records carrying their entity's latest code (column ``out``).
@@ -309,10 +310,65 @@ def latest_rows(
     orderable columns), so reruns return the same record. ``Rule.FLAG``: every
     record at the entity's best key, as the original method leaves same-day
     repeats for the caller to de-duplicate (see :func:`tierwise.operators.dedupe.dedupe`).
+
+    ``diagnostics`` adds exact helper columns: ``max_date`` (the entity's
+    latest ``observed_at``; with re-allocation, among its top-tier records),
+    ``source_rank`` (``Rule.SOURCE``: the record's source priority), and with
+    re-allocation ``tier`` (the record's tier) and ``n_codes`` (distinct
+    non-NULL codes at the entity's top tier; 1 means the one-code path).
     """
     rule = _resolve_rule(rule)
     if reallocate is None:
         reallocate = policy is not None and policy.reallocate
+    result = _latest_rows(df, spec, rule, policy, reallocate, out, tie_break, split_opts)
+    if not diagnostics:
+        return result
+    return _with_diagnostics(result, df, spec, rule, policy, reallocate, split_opts)
+
+
+def _with_diagnostics(result, df, spec, rule, policy, reallocate, split_opts) -> DataFrame:
+    names = ["max_date"] + (["tier", "n_codes"] if reallocate else []) + (
+        ["source_rank"] if rule is Rule.SOURCE else []
+    )
+    clash = [n for n in names if n in df.columns]
+    if clash:
+        raise ValueError(f"diagnostic columns {clash} already exist in the input")
+    c, d = F.col(spec.category), F.col(spec.observed_at)
+    # Per (entity, code) first: an entity's records fold map-side.
+    per_code = df.groupBy(spec.entity, spec.category).agg(
+        F.max(d).alias(P + "mx"), F.count(F.lit(1)).alias(N_ROWS)
+    )
+    if reallocate:
+        t = tier_of(spec.category, policy)
+        per_code = per_code.withColumn(TIER, t)
+        top = F.max(TIER)
+        aggs = [
+            top.alias(P + "top"),
+            F.max(F.struct(F.col(TIER).alias("t"), F.col(P + "mx").alias("d"))).alias(P + "td"),
+            *[F.count(F.when((F.col(TIER) == i) & c.isNotNull(), F.lit(1))).alias(P + f"nc{i}") for i in range(3)],
+        ]
+    else:
+        aggs = [F.max(P + "mx").alias("max_date")]
+    per_entity = per_code.groupBy(spec.entity).agg(*aggs, F.sum(N_ROWS).alias(N_ROWS))
+    if reallocate:
+        n_codes = F.when(F.col(P + "top") == 2, F.col(P + "nc2")).when(F.col(P + "top") == 1, F.col(P + "nc1")).otherwise(
+            F.col(P + "nc0")
+        )
+        per_entity = per_entity.select(
+            spec.entity, N_ROWS, F.col(P + "td")["d"].alias("max_date"), n_codes.alias("n_codes")
+        )
+    joined = split_join(
+        result, per_entity, [spec.entity], how="left", null_safe=True, count_col=N_ROWS, **split_opts
+    )
+    extra = []
+    if reallocate:
+        extra.append(tier_of(spec.category, policy).alias("tier"))
+    if rule is Rule.SOURCE:
+        extra.append(source_rank(spec.source, spec.source_order).alias("source_rank"))
+    return joined.select(*result.columns, *extra, *[n for n in ("n_codes", "max_date") if n in joined.columns])
+
+
+def _latest_rows(df, spec, rule, policy, reallocate, out, tie_break, split_opts) -> DataFrame:
     plan = LatestPlan(df, spec, rule, policy, reallocate, tie_break)
     keyed = plan.with_keys(df)
     if rule is not Rule.FLAG:

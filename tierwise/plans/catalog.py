@@ -115,16 +115,7 @@ def resolve_after_prepare(spark, sf):
 def policy_manifest(spark, sf):
     """The three manifest rows plus a row of records removed by ``prepare``,
     counted by Spark from the table."""
-    m = _m1_with_nulls(spark, sf)
-    fixed = manifest(spark, "GP", DEFAULT)
-    removed = m.where(F.col("entity").isNull() | F.col("category").isNull()).agg(
-        F.lit("GP").alias("Datasource"),
-        F.lit(DEFAULT.name).alias("Reallocation"),
-        F.lit("Rows removed by prepare").alias("Name"),
-        F.count(F.lit(1)).cast("string").alias("Counts"),
-        F.lit("").alias("Comments"),
-    )
-    return fixed.unionByName(removed)
+    return manifest(spark, "GP", DEFAULT, raw=_m1_with_nulls(spark, sf), spec=SPEC)
 
 
 def modal_vs_latest_matrix(spark, sf):
@@ -164,6 +155,11 @@ def latest_events_monthly(spark, sf):
     return latest_by_entity(m3_events(spark, sf), spec, Rule.NONE, DEFAULT)
 
 
+def latest_source_diag(spark, sf):
+    rows = latest_rows(m2_lineitem(spark, sf), SPEC, Rule.SOURCE, DEFAULT, diagnostics=True)
+    return rows.select("entity", "latest", "tier", "n_codes", "max_date")
+
+
 def catalogue() -> dict[str, Query]:
     q: dict[str, Query] = {}
     for p in PRESETS:
@@ -203,6 +199,7 @@ def catalogue() -> dict[str, Query]:
     q["latest_events_monthly"] = latest_events_monthly
     q["modal_attached_hot"] = modal_attached_hot
     q["latest_flag_records_hot"] = _latest_records(_m1_hot, DEFAULT_PRESET, Rule.FLAG)
+    q["latest_source_diag"] = latest_source_diag
     for rule in Rule:
         q[f"resolve_small_groups_{rule.value}"] = _resolve(m2_lineitem, DEFAULT_PRESET, rule)
         q[f"resolve_small_groups_no_realloc_{rule.value}"] = _resolve(m2_lineitem, "none", rule)

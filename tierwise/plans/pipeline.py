@@ -91,6 +91,7 @@ def run(df: DataFrame, config: RunConfig, *, clean: bool = True, **opts) -> dict
     produces), ``resolved`` (one row per entity) and ``manifest``.
     """
     spec, policy, rule = config.spec, config.policy, config.rule
+    raw = df
     if clean:
         df = prepare(df, spec)
     # The modal summary counts each entity's input records, an upper bound on
@@ -104,7 +105,7 @@ def run(df: DataFrame, config: RunConfig, *, clean: bool = True, **opts) -> dict
     return {
         "latest": latest,
         "resolved": resolve(df, spec, policy, rule, clean=False),
-        "manifest": manifest(df.sparkSession, config.dataset, policy),
+        "manifest": manifest(df.sparkSession, config.dataset, policy, raw=raw if clean else None, spec=spec),
     }
 
 
@@ -114,12 +115,21 @@ MANIFEST_SCHEMA = T.StructType(
 
 
 def manifest(
-    spark: SparkSession, dataset: str, policy: TierPolicy, extra: list[tuple[str, str, str]] | None = None
+    spark: SparkSession,
+    dataset: str,
+    policy: TierPolicy,
+    extra: list[tuple[str, str, str]] | None = None,
+    *,
+    raw: DataFrame | None = None,
+    spec: ColumnSpec | None = None,
 ) -> DataFrame:
     """The run manifest: which lists and which run name were used.
 
     Three rows (not-valid list, other list, run name), plus any ``extra``
-    (name, counts, comment) rows the caller records, such as dropped-row counts.
+    (name, counts, comment) rows the caller records. With ``raw`` (the input
+    before :func:`prepare`) and ``spec``, a row "Rows removed by prepare" is
+    added whose count Spark computes from the input when the manifest is
+    written (lazily, one aggregation).
     """
     rows = [
         (dataset, policy.name, "Not valid list", str(list(policy.not_valid)), ""),
@@ -128,4 +138,16 @@ def manifest(
     ]
     for name, counts, comment in extra or []:
         rows.append((dataset, policy.name, name, str(counts), comment))
-    return spark.createDataFrame(rows, MANIFEST_SCHEMA)
+    out = spark.createDataFrame(rows, MANIFEST_SCHEMA)
+    if raw is not None:
+        if spec is None:
+            raise ValueError("counting removed rows needs the ColumnSpec")
+        removed = raw.where(F.col(spec.entity).isNull() | F.col(spec.category).isNull()).agg(
+            F.lit(dataset).alias("Datasource"),
+            F.lit(policy.name).alias("Reallocation"),
+            F.lit("Rows removed by prepare").alias("Name"),
+            F.count(F.lit(1)).cast("string").alias("Counts"),
+            F.lit("").alias("Comments"),
+        )
+        out = out.unionByName(removed)
+    return out

@@ -145,3 +145,18 @@ def test_properties(spark, data):
     before = {(r["entity"], r["modal"], r["latest"]) for r in resolve(df, SPEC, pol, Rule.NONE).collect()}
     after = {(r["entity"], r["modal"], r["latest"]) for r in resolve(df.unionByName(extra), SPEC, pol, Rule.NONE).collect()}
     assert before == after
+
+
+@pytest.mark.parametrize("split", [{}, {"min_rows": 1, "pieces": 4}])
+def test_modal_diagnostics(data, split):
+    df, groups = data
+    got = attach_modal(df, SPEC, PRESETS["none"], diagnostics=True, **split).collect()
+    assert len(got) == df.count()
+    for r in got:
+        rs = groups[r["entity"]]
+        counts = Counter(x["category"] for x in rs if x["category"] is not None)
+        mx = max(counts.values()) if counts else 0
+        assert r["count_of_category"] == counts.get(r["category"], 0)
+        assert r["max_count_of_category"] == mx
+        assert r["n_tied"] == sum(1 for v in counts.values() if v == mx)
+        assert r["modal"] == model.modal(rs)

@@ -19,7 +19,7 @@ entity has nothing else at its best tier.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tiers import tier_of
@@ -111,31 +111,45 @@ def attach_modal(
 
 
 def _attach_with_diagnostics(df: DataFrame, spec: ColumnSpec, out: str, **split_opts) -> DataFrame:
-    counts = category_counts(df, spec, None)
-    # Groups of this window are one entity's distinct codes (a short code list),
-    # not its records: the records were already folded by the counting step.
-    w = Window.partitionBy(spec.entity)
-    max_n = F.max(P + "cnt").over(w)
-    per_code = (
-        counts.withColumn("max_count_of_category", max_n)
-        .withColumn(
-            "n_tied",
-            F.count(
-                F.when((F.col(P + "cnt") == F.col("max_count_of_category")), F.col(spec.category))
-            ).over(w),
-        )
-        .withColumn(P + "hi", F.max(F.struct(F.col(P + "cnt").alias("n"), F.col(spec.category).alias("c"))).over(w))
-        .withColumn(P + "lo", F.min(F.struct((-F.col(P + "cnt")).alias("n"), F.col(spec.category).alias("c"))).over(w))
-        .select(
-            spec.entity,
-            spec.category,
-            N_ROWS,
-            F.col(P + "cnt").alias("count_of_category"),
-            "max_count_of_category",
-            F.col("n_tied").cast("long").alias("n_tied"),
-            modal_value().alias(out),
-        )
+    """Records + modal + exact helper columns, from aggregations only.
+
+    * per (entity, code): its count (``count_of_category``);
+    * per (entity, count): how many codes have that count; the entity's
+      ``max(struct(count, codes))`` is then its top count and the number of
+      codes tied at it (``n_tied``);
+    * per entity: the modal value (largest / smallest code at the top count).
+    Every step is a partially aggregated ``groupBy``; the per-entity results
+    reach the per-code rows, and those the records, through ``split_join``.
+    """
+    e = spec.entity
+    counts = category_counts(df, spec, None)  # e, c, cnt, n, tier (0)
+    modal = counts.groupBy(e).agg(*modal_aggs(spec), F.count(F.lit(1)).alias(P + "codes"))
+    ties = (
+        counts.groupBy(e, P + "cnt")
+        .agg(F.count(spec.category).alias(P + "k"))
+        .groupBy(e)
+        .agg(F.max(F.struct(F.col(P + "cnt").alias("n"), F.col(P + "k").alias("k"))).alias(P + "mt"))
+    )
+    # both sides are per entity and hash-partitioned by it: no extra shuffle;
+    # null-safe, so the NULL-entity group keeps its values
+    ties = ties.withColumnRenamed(e, P + "te")
+    per_entity = modal.join(ties, F.col(e).eqNullSafe(F.col(P + "te")), how="inner").select(
+        e,
+        P + "codes",
+        F.col(P + "mt")["n"].alias("max_count_of_category"),
+        F.col(P + "mt")["k"].alias("n_tied"),
+        modal_value().alias(out),
+    )
+    # NULL entities are one group here, as in a window partitioned by the entity.
+    per_code = split_join(
+        counts.select(e, spec.category, N_ROWS, F.col(P + "cnt").alias("count_of_category")),
+        per_entity,
+        [e],
+        how="inner",
+        null_safe=True,
+        count_col=P + "codes",
+        **split_opts,
     )
     return split_join(
-        df, per_code, [spec.entity, spec.category], how="left", null_safe=True, count_col=N_ROWS, **split_opts
+        df, per_code, [e, spec.category], how="left", null_safe=True, count_col=N_ROWS, **split_opts
     )

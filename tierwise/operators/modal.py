@@ -19,7 +19,7 @@ entity has nothing else at its best tier.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tiers import tier_of
@@ -49,7 +49,7 @@ def modal_aggs(spec: ColumnSpec) -> list:
     ]
 
 
-def modal_value() -> F.Column:
+def modal_value() -> Column:
     hi, lo = F.col(P + "hi"), F.col(P + "lo")
     return F.when(hi["c"].eqNullSafe(lo["c"]), hi["c"]).otherwise(F.lit(UNRESOLVED))
 

@@ -121,3 +121,12 @@ def test_run_and_save(spark, gdf):
         assert os.path.isdir(path)
         back = spark.read.parquet(path)
         assert back.count() == out[name].count()
+
+
+def test_nan_dates_are_missing(spark):
+    df = spark.createDataFrame(
+        [("Q", "A", 2020.0), ("Q", "B", float("nan")), ("R", "A", float("nan"))],
+        "entity string, category string, observed_at double",
+    )
+    got = {(r["entity"], r["latest"]) for r in latest_by_entity(df, SPEC, Rule.NONE, POLICY).collect()}
+    assert got == {("Q", "A")}

@@ -41,7 +41,11 @@ def time_number(name: str, dtype: T.DataType, grain: str | None = None) -> Colum
         return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{name}`)")
     if isinstance(dtype, T.IntegralType):
         return c.cast("long")
-    if isinstance(dtype, (T.DecimalType, T.FloatType, T.DoubleType)):
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        # NaN orders above every number but negates to itself, so the
+        # smallest-code side would disagree on the best key: treat it as missing.
+        return F.when(~F.isnan(c), c)
+    if isinstance(dtype, T.DecimalType):
         return c
     raise TypeError(f"cannot order by {name!r} of type {dtype.simpleString()}")
 

@@ -36,7 +36,7 @@ HEADLINE = [
     "latest_flag",                            # A3 FLAG (all records at the best key), M2
     "latest_no_realloc_source",               # A5 SOURCE, M2
     "latest_events_source",                   # A3 SOURCE, M3 (large groups, real dates)
-    "resolve_realloc",                        # A7 modal + latest, one scan, M1
+    "resolve_realloc",                        # A7 modal + latest joined per entity, M1
     "dedupe_flag_supplier",                   # A10 after A3 FLAG, M1
 ]
 

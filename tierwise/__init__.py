@@ -13,7 +13,7 @@ partially aggregated ``groupBy`` steps; see README for the plans.
 """
 
 from .operators.dedupe import dedupe
-from .operators.latest import latest_by_entity, latest_rows
+from .operators.latest import latest_by_entity, latest_rows, latest_value_by_entity
 from .operators.modal import attach_modal, modal_by_entity
 from .operators.tiers import assign_tier, keep_top_tier, top_tier_by_entity
 from .plans.pipeline import check_no_sentinel, manifest, prepare, resolve, run, sentinel_rows
@@ -34,6 +34,6 @@ from .sources.io import read_input, save, save_run
 __all__ = [
     "ColumnSpec", "TierPolicy", "Rule", "RunConfig", "PRESETS", "DEFAULT_PRESET", "DATASET_RULES",
     "UNRESOLVED", "preset", "assign_tier", "keep_top_tier", "top_tier_by_entity", "modal_by_entity",
-    "attach_modal", "latest_by_entity", "latest_rows", "dedupe", "prepare", "resolve", "run",
+    "attach_modal", "latest_by_entity", "latest_rows", "latest_value_by_entity", "dedupe", "prepare", "resolve", "run",
     "manifest", "check_no_sentinel", "sentinel_rows", "split_join", "read_input", "save", "save_run",
 ]

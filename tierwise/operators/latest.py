@@ -291,6 +291,29 @@ def latest_by_entity(
     return vals.select(spec.entity, F.col(P + "o")["v"].alias(out))
 
 
+def latest_value_by_entity(
+    df: DataFrame,
+    spec: ColumnSpec,
+    rule: Rule | str = Rule.NONE,
+    policy: TierPolicy | None = None,
+    *,
+    reallocate: bool | None = None,
+    out: str = "latest",
+) -> DataFrame:
+    """One row per entity with an eligible record: ``(entity, <out>)``.
+
+    Like :func:`latest_by_entity`, but where a NULL code shares the latest
+    key with a real code only the real code is kept, so entities are unique.
+    """
+    rule = _resolve_rule(rule)
+    if reallocate is None:
+        reallocate = policy is not None and policy.reallocate
+    plan = LatestPlan(df, spec, rule, policy, reallocate)
+    agg = plan.with_keys(df).groupBy(spec.entity).agg(*plan.aggs(rows=False))
+    first = F.try_element_at(plan.value_structs(plan.decide(), rows=False), F.lit(1))
+    return agg.where(first.isNotNull()).select(spec.entity, first["v"].alias(out))
+
+
 def latest_rows(
     df: DataFrame,
     spec: ColumnSpec,

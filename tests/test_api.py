@@ -130,3 +130,21 @@ def test_nan_dates_are_missing(spark):
     )
     got = {(r["entity"], r["latest"]) for r in latest_by_entity(df, SPEC, Rule.NONE, POLICY).collect()}
     assert got == {("Q", "A")}
+
+
+def test_boolean_flag_and_custom_source_order(spark, gdf):
+    flagged = gdf.withColumn("flag", F.col("flag") == 1)
+    a = {(r["entity"], r["latest"]) for r in latest_by_entity(gdf, SPEC, Rule.FLAG, POLICY).collect()}
+    b = {(r["entity"], r["latest"]) for r in latest_by_entity(flagged, SPEC, Rule.FLAG, POLICY).collect()}
+    assert a == b
+    # op before apc: P05 (A from apc, B from op on one day) now settles to B
+    spec = ColumnSpec(source_order=("op", "ae", "apc"))
+    got = {r["entity"]: r["latest"] for r in latest_by_entity(gdf, spec, Rule.SOURCE, POLICY).collect()}
+    assert got["P05"] == "B"
+
+
+def test_decimal_dates(spark, gdf):
+    dec = gdf.withColumn("observed_at", F.datediff("observed_at", F.lit("2000-01-01")).cast("decimal(12,2)"))
+    a = sorted(latest_by_entity(gdf, SPEC, Rule.SOURCE, POLICY).collect(), key=str)
+    b = sorted(latest_by_entity(dec, SPEC, Rule.SOURCE, POLICY).collect(), key=str)
+    assert a == b

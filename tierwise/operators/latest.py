@@ -9,8 +9,8 @@ whose key equals the entity's best key.
 
 Plan shape: one ``groupBy(entity)`` with partial aggregation.
 
-* ``max(struct(key, has code, c))``   the best key B and the largest code at B
-* ``min(struct(-key, -has code, c))`` the smallest code at B
+* ``max(struct(key..., c))``           the best key B and the largest code at B
+* ``min(struct(-key..., c))``, coded   the smallest code at B
 * ``max(key)`` over NULL codes         whether a NULL code sits at B
 
 Largest <> smallest is the exact "several codes on the latest date" test.
@@ -162,22 +162,20 @@ class LatestPlan:
         for f in self.families.values():
             k = F.col(P + "k_" + f.name)
             has_code = k.isNotNull() & c.isNotNull()
-            cnn = c.isNotNull().cast("int")
-            # hi: best key, then "a code is present", then the largest code;
-            # lo: best key, then present first, then the smallest code.
+            # Flat structs (no nested key struct) keep the shuffled buffers small.
+            # hi: best key, then the largest code (NULL sorts lowest, so a code
+            # wins over NULL at the same key); lo: over records with a code,
+            # best key then the smallest code.
             out.append(
-                F.max(F.when(k.isNotNull(), F.struct(k.alias("k"), cnn.alias("cn"), c.alias("c")))).alias(
+                F.max(F.when(k.isNotNull(), F.struct(*[k[p].alias(p) for p in f.parts], c.alias("c")))).alias(
                     P + "hi_" + f.name
                 )
             )
             if self._needs_lo(f.name):
                 out.append(
-                    F.min(
-                        F.when(
-                            k.isNotNull(),
-                            F.struct(negate(k, list(f.parts)).alias("k"), (-cnn).alias("cn"), c.alias("c")),
-                        )
-                    ).alias(P + "lo_" + f.name)
+                    F.min(F.when(has_code, F.struct(*[(-k[p]).alias(p) for p in f.parts], c.alias("c")))).alias(
+                        P + "lo_" + f.name
+                    )
                 )
             if self.reallocate:
                 out.append(F.max(F.when(c.isNull(), k)).alias(P + "nul_" + f.name))
@@ -193,15 +191,18 @@ class LatestPlan:
         # their top tier, which cannot have a conflict: no smallest code needed.
         return not (name == "n" and "x" in self.families)
 
+    def best_key(self, name: str) -> Column:
+        """The entity's best key for family ``name``, as the row key struct."""
+        hi = F.col(P + "hi_" + name)
+        return F.when(hi.isNotNull(), F.struct(*[hi[p].alias(p) for p in self.families[name].parts]))
+
     def _decide_family(self, name: str) -> dict[str, Column]:
         hi = F.col(P + "hi_" + name)
-        b = hi["k"]
-        cmax = F.when(hi["cn"] == 1, hi["c"])
-        if self._needs_lo(name):
-            lo = F.col(P + "lo_" + name)
-            cmin = F.when(lo["cn"] == -1, lo["c"])
-        else:
-            cmin = cmax
+        b = self.best_key(name)
+        # the largest code at the best key (NULL if only NULL codes are there);
+        # when there is one, lo's best key among coded records is the same key
+        cmax = hi["c"]
+        cmin = F.col(P + "lo_" + name)["c"] if self._needs_lo(name) else cmax
         valid = b.isNotNull()
         if self.reallocate:
             valid = valid & (b["t"] == F.col(P + "top"))
@@ -413,7 +414,7 @@ def _latest_rows(df, spec, rule, policy, reallocate, out, tie_break, split_opts)
             d["valid"].alias(P + "valid"),
             d["nd1"].alias(P + "nd1"),
             d["conflict"].alias(P + "conflict"),
-            *[F.col(P + "hi_" + f)["k"].alias(P + "best_" + f) for f in plan.families],
+            *[plan.best_key(f).alias(P + "best_" + f) for f in plan.families],
         )
     )
     joined = split_join(

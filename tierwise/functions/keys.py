@@ -4,8 +4,8 @@ The latest record of an entity is the lexicographic maximum of a key such as
 ``(tier, date, -source_rank)``. Every key component is numeric and non-NULL for
 an eligible record, so a key can be negated component-wise; that lets one
 aggregation pass find both the largest and the smallest category at the best
-key (``max(struct(key, c))`` and ``min(struct(-key, c))``), which is the exact
-"more than one category on the latest date" test without a window.
+key (``max(struct(key..., c))`` and ``min(struct(-key..., c))``), which is the
+exact "more than one category on the latest date" test without a window.
 """
 
 from __future__ import annotations
@@ -62,8 +62,3 @@ def source_rank(name: str, order: tuple[str, ...]) -> Column:
 def key(*parts: tuple[str, Column]) -> Column:
     """A named struct of key components, compared left to right."""
     return F.struct(*[col.alias(name) for name, col in parts])
-
-
-def negate(key_col: Column, names: list[str]) -> Column:
-    """Component-wise negation: reverses the order of a numeric key."""
-    return F.struct(*[(-key_col[n]).alias(n) for n in names])

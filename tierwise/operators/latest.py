@@ -4,7 +4,7 @@ The original method is a chain of window filters: keep the best tier, keep the
 best source per day, keep the latest day, keep the highest flag, then call the
 day a conflict when more than one code is left. A chain of "keep rows equal to
 the group's max/min" filters is a lexicographic maximum, so each form is one
-order key per record (see ``_families``) and the records kept are the ones
+order key per record (see ``LatestPlan``) and the records kept are the ones
 whose key equals the entity's best key.
 
 Plan shape: one ``groupBy(entity)`` with partial aggregation.
@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.keys import key, negate, source_rank, time_number
+from ..functions.keys import key, source_rank, time_number
 from ..functions.tiers import tier_of
 from ..plans.skew import split_join
 from ..plans.spec import RESERVED_PREFIX, UNRESOLVED, ColumnSpec, Rule, TierPolicy

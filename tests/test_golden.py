@@ -166,3 +166,11 @@ def test_latest_diagnostics(gdf):
     assert set(plain.columns) >= {"max_date", "latest"} and "tier" not in plain.columns
     got = {r["entity"]: str(r["max_date"]) for r in plain.collect()}
     assert got["P06"] == "2020-04-01"
+
+
+def test_latest_rows_carry_unorderable_columns(gdf):
+    with_map = gdf.withColumn("props", F.create_map(F.lit("rid"), F.col("rid")))
+    rows = latest_rows(with_map, SPEC, Rule.SOURCE, POLICY).collect()
+    assert rows and all(r["props"] == {"rid": r["rid"]} for r in rows)
+    plain = {(r["entity"], r["latest"], r["rid"]) for r in latest_rows(gdf, SPEC, Rule.SOURCE, POLICY).collect()}
+    assert {(r["entity"], r["latest"], r["rid"]) for r in rows} == plain

@@ -92,6 +92,7 @@ class LatestPlan:
         for c in self.tie_break:
             if c not in df.columns:
                 raise ValueError(f"tie-break column {c!r} not in input")
+        self.unordered_cols = [f.name for f in df.schema.fields if not _orderable(f.dataType)]
         self.order_cols = self.tie_break + [
             f.name for f in df.schema.fields if f.name not in self.tie_break and _orderable(f.dataType)
         ]
@@ -157,8 +158,6 @@ class LatestPlan:
             if len(self.families) > 1:
                 out.append(F.max(F.when(c.isNotNull(), F.struct(t.alias("t"), c.alias("c")))).alias(P + "hit"))
                 out.append(F.min(F.when(c.isNotNull(), F.struct((-t).alias("t"), c.alias("c")))).alias(P + "lot"))
-        if rows:
-            row = F.struct(*[F.col(x) for x in self.input_cols])
         for f in self.families.values():
             k = F.col(P + "k_" + f.name)
             has_code = k.isNotNull() & c.isNotNull()
@@ -180,12 +179,23 @@ class LatestPlan:
             if self.reallocate:
                 out.append(F.max(F.when(c.isNull(), k)).alias(P + "nul_" + f.name))
             if rows:
-                ord_ = lambda cond: F.when(cond, F.struct(k.alias("k"), *[F.col(x) for x in self.order_cols]))
-                out.append(F.max_by(row, ord_(has_code)).alias(P + "rv_" + f.name))
+                out += self._record_aggs(f, k, has_code, P + "rv_" + f.name)
                 if self.reallocate:
-                    out.append(F.max_by(row, ord_(k.isNotNull() & c.isNull())).alias(P + "rn_" + f.name))
+                    out += self._record_aggs(f, k, k.isNotNull() & c.isNull(), P + "rn_" + f.name)
         return out
 
+    def _record_aggs(self, f: _Family, k: Column, cond: Column, name: str) -> list[Column]:
+        """The representative record among rows meeting ``cond``: the maximum
+        of (key, tie-break columns, other orderable columns). One struct both
+        orders and carries the record, so no column is buffered twice; columns
+        that cannot be ordered (maps) ride along in a ``max_by``."""
+        ordered = F.struct(*[k[p].alias(P + "key_" + p) for p in f.parts], *[F.col(x) for x in self.order_cols])
+        aggs = [F.max(F.when(cond, ordered)).alias(name)]
+        if self.unordered_cols:
+            rest = F.struct(*[F.col(x) for x in self.unordered_cols])
+            aggs.append(F.max_by(rest, F.when(cond, ordered)).alias(name + "_x"))
+        return aggs
+
     def _needs_lo(self, name: str) -> bool:
         # With a rule, family "n" only serves entities with exactly one code at
         # their top tier, which cannot have a conflict: no smallest code needed.
@@ -235,17 +245,27 @@ class LatestPlan:
     def value_structs(self, d: dict[str, Column], *, rows: bool) -> Column:
         """Array of this entity's output values (and records)."""
 
+        def record(col: Column) -> Column:  # drop the key fields
+            return F.struct(*[col[c].alias(c) for c in self.order_cols])
+
         def pick(prefix):
             if "x" not in self.families:
-                return F.col(prefix + "n")
-            return F.when(d["nd1"], F.col(prefix + "n")).otherwise(F.col(prefix + "x"))
+                return record(F.col(prefix + "n"))
+            return F.when(d["nd1"], record(F.col(prefix + "n"))).otherwise(record(F.col(prefix + "x")))
 
         def item(value: Column, row_prefix: str | None):
             fields = [value.alias("v")]
             if rows:
                 fields.append(pick(row_prefix).alias("row"))
+                if self.unordered_cols:
+                    fields.append(pick_x(row_prefix).alias("row_x"))
             return F.struct(*fields)
 
+        def pick_x(prefix):
+            if "x" not in self.families:
+                return F.col(prefix + "n_x")
+            return F.when(d["nd1"], F.col(prefix + "n_x")).otherwise(F.col(prefix + "x_x"))
+
         unresolved = item(F.lit(UNRESOLVED), P + "rv_")
         code = item(d["cmax"], P + "rv_")
         null_item = item(F.lit(None).cast("string"), P + "rn_") if self.reallocate else None
@@ -399,7 +419,11 @@ def _latest_rows(df, spec, rule, policy, reallocate, out, tie_break, split_opts)
         agg = keyed.groupBy(spec.entity).agg(*plan.aggs(rows=True))
         vals = agg.select(F.explode(plan.value_structs(plan.decide(), rows=True)).alias(P + "o"))
         return vals.select(
-            *[F.col(P + "o")["row"][c].alias(c) for c in df.columns], F.col(P + "o")["v"].alias(out)
+            *[
+                F.col(P + "o")["row_x" if c in plan.unordered_cols else "row"][c].alias(c)
+                for c in df.columns
+            ],
+            F.col(P + "o")["v"].alias(out),
         )
 
     # Flag rule: keep every record at the best key. The summary keeps every

@@ -25,8 +25,9 @@ def dedupe(
     list ``priority[1]`` (values not listed come after all listed ones), then
     the ``order`` columns ascending, then every other orderable column
     ascending; so the choice never depends on row order or partitioning.
-    Built as ``groupBy(keys).agg(min_by(record, ordering))``, which is combined
-    map-side: a key with millions of duplicates costs one row per map task.
+    Built as ``groupBy(keys).agg(min(struct(ordering..., record...)))``, which
+    is combined map-side: a key with millions of duplicates costs one row per
+    map task.
     """
     keys = list(keys or [spec.entity])
     order = list(order or [])
@@ -37,12 +38,20 @@ def dedupe(
         for i, v in reversed(list(enumerate(values))):
             rank = F.when(F.col(col) == v, F.lit(i)).otherwise(rank)
         parts.append(rank.alias(P + "prio"))
-    parts += [F.col(c) for c in order]
-    parts += [
-        F.col(f.name)
-        for f in df.schema.fields
-        if f.name not in order and f.name not in keys and _orderable(f.dataType)
+    ordered = order + [
+        f.name for f in df.schema.fields if f.name not in order and f.name not in keys and _orderable(f.dataType)
     ]
-    row = F.struct(*[F.col(c) for c in df.columns])
-    picked = df.groupBy(*keys).agg(F.min_by(row, F.struct(*parts)).alias(P + "row"))
-    return picked.select(*[F.col(P + "row")[c].alias(c) for c in df.columns])
+    unordered = [f.name for f in df.schema.fields if f.name not in keys and not _orderable(f.dataType)]
+    # One struct orders and carries the record (no column is buffered twice);
+    # columns that cannot be ordered (maps) ride along in a min_by.
+    best = F.struct(*parts, *[F.col(c) for c in ordered])
+    aggs = [F.min(best).alias(P + "row")]
+    if unordered:
+        aggs.append(F.min_by(F.struct(*[F.col(c) for c in unordered]), best).alias(P + "rowx"))
+    picked = df.groupBy(*keys).agg(*aggs)
+    return picked.select(
+        *[
+            F.col(c) if c in keys else F.col(P + ("rowx" if c in unordered else "row"))[c].alias(c)
+            for c in df.columns
+        ]
+    )

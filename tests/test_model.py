@@ -160,3 +160,23 @@ def test_modal_diagnostics(data, split):
         assert r["max_count_of_category"] == mx
         assert r["n_tied"] == sum(1 for v in counts.values() if v == mx)
         assert r["modal"] == model.modal(rs)
+
+
+def test_records_do_not_depend_on_partitioning(spark, data):
+    from tierwise import dedupe
+
+    df, _ = data
+    pol = PRESETS["all"]
+
+    def snap(d):
+        out = [sorted(map(str, latest_rows(d, SPEC, r, pol, min_rows=1, pieces=3).collect())) for r in Rule]
+        out.append(sorted(map(str, dedupe(d, SPEC, priority=("source", ["ae"]), order=["flag"]).collect())))
+        return out
+
+    first = snap(df)
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    try:
+        second = snap(df.repartition(2).orderBy(F.rand(5)))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert first == second

@@ -180,3 +180,22 @@ def test_records_do_not_depend_on_partitioning(spark, data):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert first == second
+
+
+@pytest.mark.parametrize("rule", list(Rule))
+def test_one_code_entities_agree(data, rule):
+    """Property (d): with one non-NULL code over all its records, an entity
+    gets the same value from both latest forms whenever both give one."""
+    df, groups = data
+    one = {e for e, rs in groups.items() if len({r["category"] for r in rs if r["category"] is not None}) == 1}
+    pol = PRESETS["unknown_not_stated_any_other"]
+    a3, a5 = {}, {}
+    for r in latest_by_entity(df, SPEC, rule, pol).collect():
+        if r["latest"] is not None:
+            a3.setdefault(r["entity"], set()).add(r["latest"])
+    for r in latest_by_entity(df, SPEC, rule, PRESETS["none"]).collect():
+        a5.setdefault(r["entity"], set()).add(r["latest"])
+    both = [e for e in one if e in a3 and e in a5]
+    assert both
+    for e in both:
+        assert a3[e] == a5[e] and len(a3[e]) == 1

@@ -38,7 +38,9 @@ def _tier_rows(preset: str) -> Query:
 
 def _top_tier(preset: str) -> Query:
     def q(spark, sf):
-        kept = keep_top_tier(m2_lineitem(spark, sf), SPEC, PRESETS[preset])
+        # project first: the row-level join carries every column it is given
+        rows = m2_lineitem(spark, sf).select("entity", "category")
+        kept = keep_top_tier(rows, SPEC, PRESETS[preset])
         return kept.groupBy("entity", "category", "tier").agg(F.count(F.lit(1)).alias("n_rows"))
 
     return q
@@ -55,7 +57,9 @@ def _latest(preset: str, rule: Rule, mapping, *, count_rows=False, **mapping_opt
     def q(spark, sf):
         df = mapping(spark, sf, **mapping_opts)
         if count_rows:
-            rows = latest_rows(df, SPEC, rule, PRESETS[preset])
+            # project first: the row-level join carries every column it is given
+            needed = ["entity", "category", "observed_at", "flag" if rule is Rule.FLAG else "source"]
+            rows = latest_rows(df.select(*needed), SPEC, rule, PRESETS[preset])
             return rows.groupBy("entity", "latest").agg(F.count(F.lit(1)).alias("n_rows"))
         return latest_by_entity(df, SPEC, rule, PRESETS[preset])
 

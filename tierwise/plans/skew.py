@@ -158,7 +158,9 @@ def row_spread(rows: DataFrame) -> Column:
     output in another order, puts every row in the same piece again), distinct
     rows of one task spread over the pieces, and copies of one row spread over
     the map tasks that hold them (a map task's input is bounded by the split
-    size). Only rows of hot keys (and NULL keys of plain joins) evaluate it.
+    size). Only rows of hot keys (and NULL keys of plain joins) evaluate it,
+    but the plan must carry every column of ``rows`` to the join: select the
+    columns you need before a row-level operator, as usual in Spark.
     """
     cols = [F.col(f.name) for f in rows.schema.fields if _hashable(f.dataType)]
     return F.xxhash64(F.spark_partition_id(), *cols)

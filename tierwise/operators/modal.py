@@ -114,35 +114,48 @@ def _attach_with_diagnostics(df: DataFrame, spec: ColumnSpec, out: str, **split_
     """Records + modal + exact helper columns, from aggregations only.
 
     * per (entity, code): its count (``count_of_category``);
-    * per (entity, count): how many codes have that count; the entity's
-      ``max(struct(count, codes))`` is then its top count and the number of
-      codes tied at it (``n_tied``);
-    * per entity: the modal value (largest / smallest code at the top count).
+    * per (entity, count): how many codes have that count, and the largest and
+      smallest of them;
+    * per entity: ``max(struct(count, codes, largest, smallest))`` is the top
+      count, the number of codes tied at it (``n_tied``) and the modal value
+      (largest = smallest, else ``unresolved``).
     Every step is a partially aggregated ``groupBy``; the per-entity results
     reach the per-code rows, and those the records, through ``split_join``.
     """
-    e = spec.entity
+    e, c = spec.entity, spec.category
     counts = category_counts(df, spec, None)  # e, c, cnt, n, tier (0)
-    modal = counts.groupBy(e).agg(*modal_aggs(spec), F.count(F.lit(1)).alias(P + "codes"))
-    ties = (
+    per_entity = (
         counts.groupBy(e, P + "cnt")
-        .agg(F.count(spec.category).alias(P + "k"))
+        .agg(
+            F.count(c).alias(P + "k"),
+            F.max(c).alias(P + "cmax"),
+            F.min(c).alias(P + "cmin"),
+            F.count(F.lit(1)).alias(P + "codes"),
+        )
         .groupBy(e)
-        .agg(F.max(F.struct(F.col(P + "cnt").alias("n"), F.col(P + "k").alias("k"))).alias(P + "mt"))
+        .agg(
+            F.max(
+                F.struct(
+                    F.col(P + "cnt").alias("n"),
+                    F.col(P + "k").alias("k"),
+                    F.col(P + "cmax").alias("hi"),
+                    F.col(P + "cmin").alias("lo"),
+                )
+            ).alias(P + "mt"),
+            F.sum(P + "codes").alias(P + "codes"),
+        )
     )
-    # both sides are per entity and hash-partitioned by it: no extra shuffle;
-    # null-safe, so the NULL-entity group keeps its values
-    ties = ties.withColumnRenamed(e, P + "te")
-    per_entity = modal.join(ties, F.col(e).eqNullSafe(F.col(P + "te")), how="inner").select(
+    mt = F.col(P + "mt")
+    per_entity = per_entity.select(
         e,
         P + "codes",
-        F.col(P + "mt")["n"].alias("max_count_of_category"),
-        F.col(P + "mt")["k"].alias("n_tied"),
-        modal_value().alias(out),
+        mt["n"].alias("max_count_of_category"),
+        mt["k"].alias("n_tied"),
+        F.when(mt["hi"].eqNullSafe(mt["lo"]), mt["hi"]).otherwise(F.lit(UNRESOLVED)).alias(out),
     )
     # NULL entities are one group here, as in a window partitioned by the entity.
     per_code = split_join(
-        counts.select(e, spec.category, N_ROWS, F.col(P + "cnt").alias("count_of_category")),
+        counts.select(e, c, N_ROWS, F.col(P + "cnt").alias("count_of_category")),
         per_entity,
         [e],
         how="inner",
@@ -151,5 +164,5 @@ def _attach_with_diagnostics(df: DataFrame, spec: ColumnSpec, out: str, **split_
         **split_opts,
     )
     return split_join(
-        df, per_code, [e, spec.category], how="left", null_safe=True, count_col=N_ROWS, **split_opts
+        df, per_code, [e, c], how="left", null_safe=True, count_col=N_ROWS, **split_opts
     )

@@ -38,7 +38,8 @@ def time_number(name: str, dtype: T.DataType, grain: str | None = None) -> Colum
         return F.unix_micros(c)
     if isinstance(dtype, T.TimestampNTZType):
         # Wall-clock microseconds since the epoch; no time zone is involved.
-        return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{name}`)")
+        epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+        return F.timestamp_diff("MICROSECOND", epoch, c)
     if isinstance(dtype, T.IntegralType):
         return c.cast("long")
     if isinstance(dtype, (T.FloatType, T.DoubleType)):

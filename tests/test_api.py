@@ -148,3 +148,20 @@ def test_decimal_dates(spark, gdf):
     a = sorted(latest_by_entity(gdf, SPEC, Rule.SOURCE, POLICY).collect(), key=str)
     b = sorted(latest_by_entity(dec, SPEC, Rule.SOURCE, POLICY).collect(), key=str)
     assert a == b
+
+
+def test_ntz_keys_ignore_session_time_zone(spark):
+    # 02:30 on 2021-03-14 does not exist in New York; as a wall-clock value it
+    # must still order before 03:30 and never tie with it
+    df = spark.sql(
+        "select 'Q' as entity, 'A' as category, timestamp_ntz'2021-03-14 02:30:00' as observed_at "
+        "union all select 'Q', 'B', timestamp_ntz'2021-03-14 03:30:00'"
+    )
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for tz in ("UTC", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", tz)
+            got = {r["latest"] for r in latest_by_entity(df, SPEC, Rule.NONE, POLICY).collect()}
+            assert got == {"B"}, tz
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)

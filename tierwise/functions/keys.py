@@ -37,9 +37,16 @@ def time_number(name: str, dtype: T.DataType, grain: str | None = None) -> Colum
     if isinstance(dtype, T.TimestampType):
         return F.unix_micros(c)
     if isinstance(dtype, T.TimestampNTZType):
-        # Wall-clock microseconds since the epoch; no time zone is involved.
-        epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-        return F.timestamp_diff("MICROSECOND", epoch, c)
+        # Wall-clock microseconds since the epoch from the value's own fields
+        # (days, hours, minutes, seconds): no session time zone is involved,
+        # so wall times that fall in a DST gap somewhere stay distinct.
+        seconds = F.extract(F.lit("SECOND"), c)  # decimal seconds with fraction
+        return (
+            F.unix_date(F.to_date(c)).cast("long") * F.lit(86_400_000_000)
+            + F.hour(c).cast("long") * F.lit(3_600_000_000)
+            + F.minute(c).cast("long") * F.lit(60_000_000)
+            + (seconds * F.lit(1_000_000)).cast("long")
+        )
     if isinstance(dtype, T.IntegralType):
         return c.cast("long")
     if isinstance(dtype, (T.FloatType, T.DoubleType)):

@@ -1,4 +1,4 @@
-"""Specs, validation, date types, pipeline, manifest and saving."""
+"""Specs, validation, date types, runs, manifest and saving."""
 
 import datetime as dt
 import os
@@ -165,3 +165,15 @@ def test_ntz_keys_ignore_session_time_zone(spark):
             assert got == {"B"}, tz
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_command_line_run(spark, gdf):
+    from tierwise.__main__ import main
+
+    base = tempfile.mkdtemp(prefix="tierwise-cli-")
+    src = os.path.join(base, "in.parquet")
+    gdf.write.parquet(src)
+    written = main(["--input", src, "--dataset", "HES", "--out", os.path.join(base, "out")])
+    assert set(written) == {"latest", "resolved", "manifest"}
+    res = {r["entity"]: (r["modal"], r["latest"]) for r in spark.read.parquet(written["resolved"]).collect()}
+    assert res["P05"] == ("unresolved", "A")  # source rule settles the same-day conflict

@@ -16,7 +16,7 @@ from .operators.dedupe import dedupe
 from .operators.latest import latest_by_entity, latest_rows, latest_value_by_entity
 from .operators.modal import attach_modal, modal_by_entity
 from .operators.tiers import assign_tier, keep_top_tier, top_tier_by_entity
-from .plans.pipeline import check_no_sentinel, manifest, prepare, resolve, run, sentinel_rows
+from .plans.runs import check_no_sentinel, manifest, prepare, resolve, run, sentinel_rows
 from .plans.skew import split_join
 from .plans.spec import (
     DATASET_RULES,

@@ -20,8 +20,8 @@ def tier_of(category: str | Column, policy: TierPolicy) -> Column:
 
     ``not_valid`` is tested first, so a code in both lists is not valid. A NULL
     code is in neither list (``IN`` gives NULL, which is not true), so it falls
-    through to the top tier, as in the original method; pipelines remove NULL
-    codes beforehand (:func:`tierwise.plans.pipeline.prepare`).
+    through to the top tier, as in the original method; runs remove NULL
+    codes beforehand (:func:`tierwise.plans.runs.prepare`).
     """
     c = F.col(category) if isinstance(category, str) else category
     expr = F.when(c.isin(list(policy.not_valid)), F.lit(NOT_VALID))

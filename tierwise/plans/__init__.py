@@ -1 +1 @@
-"""Specs, plans that compose operators (pipeline), and the hot-key join."""
+"""Specs, runs that compose operators, the query catalogue and the hot-key join."""

@@ -17,7 +17,7 @@ from ..operators.latest import latest_by_entity, latest_rows
 from ..operators.modal import attach_modal, modal_by_entity
 from ..operators.tiers import assign_tier, keep_top_tier
 from ..sources.mappings import m1_orders, m2_lineitem, m3_events
-from .pipeline import manifest, prepare, resolve
+from .runs import manifest, prepare, resolve
 from .spec import DEFAULT_PRESET, PRESETS, ColumnSpec, Rule
 
 SPEC = ColumnSpec()

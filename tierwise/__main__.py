@@ -1,10 +1,10 @@
 """Command-line run: read a table, settle modal and latest, save the results.
 
-    spark-submit -m tierwise --input gp_records --dataset GP \\
-        --preset unknown_not_stated_any_other --out s3://bucket/ethnicity \\
+    python -m tierwise --input gp_records --dataset GP \\
+        --preset unknown_not_stated_any_other --out /shared/results \\
         --entity-col person_id --category-col code --date-col record_date
 
-(or ``python -m tierwise ...`` where pyspark is installed). Writes
+(on a cluster, submit the same module with ``spark-submit``). Writes
 ``<out>/<run name>/{latest,resolved,manifest}``; the run name is the preset's.
 The Spark session is the cluster's: nothing is configured here.
 """

@@ -441,8 +441,15 @@ def _latest_rows(df, spec, rule, policy, reallocate, out, tie_break, split_opts)
             *[plan.best_key(f).alias(P + "best_" + f) for f in plan.families],
         )
     )
+    # Records that can never sit at a best key need not cross the shuffle:
+    # every family's key needs a date, and without re-allocation a NULL code
+    # is never returned. (The summary above still saw every record, so its
+    # counts bound the rows that remain.)
+    candidates = keyed.where(F.col(P + "k_n").isNotNull())
+    if not reallocate:
+        candidates = candidates.where(F.col(spec.category).isNotNull())
     joined = split_join(
-        keyed, summary, [spec.entity], how="inner", null_safe=True, count_col=N_ROWS, **split_opts
+        candidates, summary, [spec.entity], how="inner", null_safe=True, count_col=N_ROWS, **split_opts
     )
     at_best = F.col(P + "k_n") == F.col(P + "best_n")
     if "x" in plan.families:

@@ -32,6 +32,9 @@ def test_hot_key_table_is_bounded(spark, skewed):
     n_hot = skewed.where(F.col("entity") == HOT).count()
     assert n_hot * 3 >= total - 3
     assert hot[0]["__tw_pieces"] == -(-n_hot * 8 // total)
+    # with large partitions (few pieces), pieces are capped at min_rows rows
+    capped = hot_keys(skewed, ["entity"], pieces=3, min_rows=1, piece_rows=500, null_safe=True).collect()
+    assert capped[0]["__tw_pieces"] == -(-n_hot // 500)
 
 
 def test_split_join_spreads_hot_key(spark, skewed):

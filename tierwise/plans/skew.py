@@ -11,7 +11,9 @@ to one task, so one hot entity would become one enormous task.
    combined map-side). With ``N`` the total and ``P`` the number of pieces, a
    key is hot when ``n >= max(N / P, min_rows)``. At most ``P`` keys can be
    that large, so the hot-key table has a proven size bound and is broadcast.
-2. A hot key is cut into ``k = ceil(n * P / N)`` pieces of about ``N / P`` rows.
+2. A hot key is cut into ``k = ceil(n / min(N / P, piece_rows))`` pieces: no
+   piece is larger than an average partition, nor than ``piece_rows`` rows
+   when partitions are large (too few shuffle partitions for the data).
    Its rows get piece ``hash(map task index, row values) mod k`` (see
    :func:`row_spread`: deterministic under task retries, and copies of one row
    spread over map tasks); its summary row is repeated once per piece. Cold
@@ -37,6 +39,8 @@ SPIECE = RESERVED_PREFIX + "spiece"
 
 # A key is never split below this many rows (a task of this size is normal).
 DEFAULT_MIN_ROWS = 1_000_000
+# No piece of a split key is larger than this many rows.
+DEFAULT_PIECE_ROWS = 1_000_000
 
 
 def _conf_int(df: DataFrame, key: str, default: int) -> int:
@@ -54,11 +58,13 @@ def hot_keys(
     pieces: int,
     min_rows: int,
     null_safe: bool,
+    piece_rows: int = DEFAULT_PIECE_ROWS,
     counts: DataFrame | None = None,
     count_col: str | None = None,
 ) -> DataFrame:
     """Keys holding at least ``max(N / pieces, min_rows)`` of the ``N`` rows,
-    with the number of pieces to cut each into. At most ``pieces`` rows.
+    with the number of pieces to cut each into (pieces of at most
+    ``min(N / pieces, piece_rows)`` rows). At most ``pieces`` keys qualify.
 
     By default computed from the rows' key columns alone (a count per key,
     combined map-side), so the scan reads only those columns. A per-key
@@ -74,9 +80,10 @@ def hot_keys(
     hot = counts.where((n * F.lit(pieces) >= total) & (n >= F.lit(min_rows)))
     if not null_safe:  # NULL keys match nothing; they are spread separately
         hot = hot.where(_all([F.col(k).isNotNull() for k in keys]))
-    return hot.select(
-        *keys, F.ceil(n * F.lit(pieces) / total).cast("int").alias(PIECES)
-    )
+    # pieces of at most min(N / pieces, piece_rows) rows: no bigger than an
+    # average partition, nor than a normal task when partitions are large
+    size = F.least(total / F.lit(pieces), F.lit(float(piece_rows)))
+    return hot.select(*keys, F.ceil(n / size).cast("int").alias(PIECES))
 
 
 def split_join(
@@ -88,6 +95,7 @@ def split_join(
     null_safe: bool = False,
     pieces: int | None = None,
     min_rows: int | None = None,
+    piece_rows: int | None = None,
     count_col: str | None = None,
 ) -> DataFrame:
     """``rows JOIN summary USING (keys)`` with hot keys split across tasks.
@@ -108,10 +116,13 @@ def split_join(
     floor_rows = min_rows if min_rows is not None else _conf_int(
         rows, "tierwise.skew.minRows", DEFAULT_MIN_ROWS
     )
+    cap_rows = piece_rows if piece_rows is not None else _conf_int(
+        rows, "tierwise.skew.pieceRows", DEFAULT_PIECE_ROWS
+    )
     # At most p keys can hold N / p rows or more: the broadcast side is bounded.
     hot = F.broadcast(
         hot_keys(
-            rows, keys, pieces=p, min_rows=floor_rows, null_safe=null_safe,
+            rows, keys, pieces=p, min_rows=floor_rows, null_safe=null_safe, piece_rows=cap_rows,
             counts=summary if count_col else None, count_col=count_col,
         )
     )

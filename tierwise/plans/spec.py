@@ -102,7 +102,8 @@ class ColumnSpec:
             dt = df.schema[self.observed_at].dataType
             if not isinstance(dt, ORDERABLE_TIME_TYPES):
                 raise TypeError(
-                    f"observed_at column {self.observed_at!r} must be a date, timestamp or number, is {dt.simpleString()}"
+                    f"observed_at column {self.observed_at!r} must be a date, timestamp or number, is "
+                    f"{dt.simpleString()}; cast text dates first, e.g. F.to_date(col, 'yyyy-MM-dd')"
                 )
             if self.date_grain and not isinstance(dt, (T.DateType, T.TimestampType, T.TimestampNTZType)):
                 raise TypeError(f"date_grain needs a date or timestamp column, {self.observed_at!r} is {dt.simpleString()}")

@@ -401,8 +401,12 @@ def _with_diagnostics(result, df, spec, rule, policy, reallocate, split_opts) ->
         per_entity = per_entity.select(
             spec.entity, N_ROWS, F.col(P + "td")["d"].alias("max_date"), n_codes.alias("n_codes")
         )
+    # hot keys from the per-(entity, code) counts, summed: a cheap hash
+    # aggregate (counting the derived result rows would recompute them)
+    key_counts = per_code.groupBy(spec.entity).agg(F.sum(N_ROWS).alias(N_ROWS))
     joined = split_join(
-        result, per_entity, [spec.entity], how="left", null_safe=True, count_col=N_ROWS, **split_opts
+        result, per_entity, [spec.entity], how="left", null_safe=True,
+        count_col=N_ROWS, key_counts=key_counts, **split_opts,
     )
     extra = []
     if reallocate:
@@ -443,13 +447,14 @@ def _latest_rows(df, spec, rule, policy, reallocate, out, tie_break, split_opts)
     )
     # Records that can never sit at a best key need not cross the shuffle:
     # every family's key needs a date, and without re-allocation a NULL code
-    # is never returned. (The summary above still saw every record, so its
-    # counts bound the rows that remain.)
+    # is never returned.
     candidates = keyed.where(F.col(P + "k_n").isNotNull())
     if not reallocate:
         candidates = candidates.where(F.col(spec.category).isNotNull())
+    # hot keys from a plain count of the entity column: the summary is a
+    # struct aggregation, too costly to compute a second time for counting
     joined = split_join(
-        candidates, summary, [spec.entity], how="inner", null_safe=True, count_col=N_ROWS, **split_opts
+        candidates, summary.drop(N_ROWS), [spec.entity], how="inner", null_safe=True, **split_opts
     )
     at_best = F.col(P + "k_n") == F.col(P + "best_n")
     if "x" in plan.families:

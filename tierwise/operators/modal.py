@@ -104,10 +104,9 @@ def attach_modal(
         if reallocate:
             raise ValueError("diagnostics are defined for the no-re-allocation form only")
         return _attach_with_diagnostics(df, spec, out, **split_opts)
-    summary = modal_by_entity(df, spec, policy, out=out, reallocate=reallocate, with_counts=True)
-    return split_join(
-        df, summary, [spec.entity], how="left", null_safe=not reallocate, count_col=N_ROWS, **split_opts
-    )
+    summary = modal_by_entity(df, spec, policy, out=out, reallocate=reallocate)
+    # hot keys from a plain count of the entity column (cheap hash aggregate)
+    return split_join(df, summary, [spec.entity], how="left", null_safe=not reallocate, **split_opts)
 
 
 def _attach_with_diagnostics(df: DataFrame, spec: ColumnSpec, out: str, **split_opts) -> DataFrame:
@@ -155,14 +154,21 @@ def _attach_with_diagnostics(df: DataFrame, spec: ColumnSpec, out: str, **split_
     )
     # NULL entities are one group here, as in a window partitioned by the entity.
     per_code = split_join(
-        counts.select(e, c, N_ROWS, F.col(P + "cnt").alias("count_of_category")),
-        per_entity,
+        counts.select(e, c, F.col(P + "cnt").alias("count_of_category")),
+        per_entity.drop(P + "codes"),
         [e],
         how="inner",
         null_safe=True,
-        count_col=P + "codes",
         **split_opts,
     )
+    # weights per (entity, code): the counting step's own rows
     return split_join(
-        df, per_code, [e, c], how="left", null_safe=True, count_col=N_ROWS, **split_opts
+        df,
+        per_code,
+        [e, c],
+        how="left",
+        null_safe=True,
+        count_col=N_ROWS,
+        key_counts=counts.select(e, c, N_ROWS),
+        **split_opts,
     )

@@ -83,13 +83,15 @@ def run(df: DataFrame, config: RunConfig, *, clean: bool = True, **opts) -> dict
     raw = df
     if clean:
         df = prepare(df, spec)
-    # The modal summary counts each entity's input records, an upper bound on
-    # its latest records, so hot keys come from it instead of a second pass
-    # over the (derived) latest records.
-    modal = modal_by_entity(df, spec, policy, with_counts=True)
+    # Hot keys for attaching modal to the latest records: the input's
+    # per-entity counts (an upper bound on its latest records), so the
+    # derived latest records are not computed a second time just to count.
+    modal = modal_by_entity(df, spec, policy)
     latest = latest_rows(df, spec, rule, policy, **opts)
+    counts = df.groupBy(spec.entity).agg(F.count(F.lit(1)).alias(P + "n"))
     latest = split_join(
-        latest, modal, [spec.entity], how="left", null_safe=not policy.reallocate, count_col=P + "n"
+        latest, modal, [spec.entity], how="left", null_safe=not policy.reallocate,
+        count_col=P + "n", key_counts=counts,
     )
     return {
         "latest": latest,

@@ -97,6 +97,7 @@ def split_join(
     min_rows: int | None = None,
     piece_rows: int | None = None,
     count_col: str | None = None,
+    key_counts: DataFrame | None = None,
 ) -> DataFrame:
     """``rows JOIN summary USING (keys)`` with hot keys split across tasks.
 
@@ -104,9 +105,14 @@ def split_join(
     ``rows``, then the summary's non-key columns (except ``count_col``).
     ``how`` is ``"left"`` or ``"inner"``. With ``null_safe`` NULL keys match
     each other (the key groups of ``groupBy``); otherwise they match nothing.
-    If the summary already counts each key's rows (``count_col``), hot keys
-    are read from it and the plan shares the summary's shuffle; otherwise
-    they come from a count over the rows' key columns.
+
+    Hot keys come from per-key row counts: by default a count over the rows'
+    key columns (a cheap hash aggregation reading only those columns); or
+    ``key_counts`` (keys + ``count_col``), e.g. counts already computed on
+    the way to the summary; or, with only ``count_col``, the summary's own
+    column (worth it only when the summary is itself cheap to compute, as the
+    plan computes it once more for the count). Counts may overestimate the
+    rows per key (more pieces, still bounded).
     """
     if how not in ("left", "inner"):
         raise ValueError("how must be 'left' or 'inner'")
@@ -123,7 +129,8 @@ def split_join(
     hot = F.broadcast(
         hot_keys(
             rows, keys, pieces=p, min_rows=floor_rows, null_safe=null_safe, piece_rows=cap_rows,
-            counts=summary if count_col else None, count_col=count_col,
+            counts=key_counts if key_counts is not None else (summary if count_col else None),
+            count_col=count_col,
         )
     )
 

@@ -9,7 +9,7 @@ prints one JSON line:
      "queries": {name: sec}, "rows": {name: output rows}, "input_rows": {...}, "sf": ...}
 
 All queries first run once untimed (JVM and code-generation warm-up), then
-each runs ``$BENCH_REPEAT`` times (default 3); the per-query time is the
+each runs ``$BENCH_REPEAT`` times (default 5); the per-query time is the
 fastest run and ``median`` records the median.
 """
 
@@ -44,7 +44,7 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    repeat = int(os.environ.get("BENCH_REPEAT", "3"))
+    repeat = int(os.environ.get("BENCH_REPEAT", "5"))
     spark = local_session(cpus=cpus, shuffle_partitions=max(cpus, 8), app="tierwise-bench")
     qs = catalog.catalogue()
 

@@ -195,3 +195,24 @@ def test_tie_break_and_custom_keys(spark, gdf):
     # a catalog name reads through spark.read.table
     gdf.createOrReplaceTempView("golden_records")
     assert read_input(spark, "golden_records").count() == gdf.count()
+
+
+def test_empty_and_all_null_inputs(spark, gdf):
+    from tierwise import attach_modal, dedupe, keep_top_tier, latest_rows, resolve
+
+    empty = gdf.limit(0)
+    split = {"min_rows": 1, "pieces": 4}
+    for rule in Rule:
+        assert latest_rows(empty, SPEC, rule, POLICY, **split).count() == 0
+        assert latest_by_entity(empty, SPEC, rule, POLICY).count() == 0
+    assert attach_modal(empty, SPEC, POLICY, **split).count() == 0
+    assert attach_modal(empty, SPEC, PRESETS["none"], diagnostics=True, **split).count() == 0
+    assert keep_top_tier(empty, SPEC, POLICY, **split).count() == 0
+    assert dedupe(empty, SPEC).count() == 0
+    assert resolve(empty, SPEC, POLICY, Rule.FLAG).count() == 0
+    nulls = gdf.withColumn("category", F.lit(None).cast("string"))
+    m = {r["entity"]: r["modal"] for r in modal_by_entity(nulls, SPEC, POLICY).collect()}
+    assert set(m.values()) == {None}
+    assert {r["latest"] for r in latest_by_entity(nulls, SPEC, Rule.SOURCE, POLICY).collect()} == {None}
+    assert latest_by_entity(nulls, SPEC, Rule.NONE, PRESETS["none"]).count() == 0
+    assert attach_modal(nulls, SPEC, POLICY, **split).count() == gdf.count()

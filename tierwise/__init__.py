@@ -16,7 +16,7 @@ from .operators.dedupe import dedupe
 from .operators.latest import latest_by_entity, latest_rows, latest_value_by_entity
 from .operators.modal import attach_modal, modal_by_entity
 from .operators.tiers import assign_tier, keep_top_tier, top_tier_by_entity
-from .plans.runs import check_no_sentinel, manifest, prepare, resolve, run, sentinel_rows
+from .plans.runs import check_no_sentinel, manifest, prepare, resolve, run, run_and_save, sentinel_rows
 from .plans.skew import split_join
 from .plans.spec import (
     DATASET_RULES,
@@ -29,11 +29,11 @@ from .plans.spec import (
     TierPolicy,
     preset,
 )
-from .sources.io import read_input, save, save_run
+from .sources.io import read_input, read_saved, save, save_run
 
 __all__ = [
     "ColumnSpec", "TierPolicy", "Rule", "RunConfig", "PRESETS", "DEFAULT_PRESET", "DATASET_RULES",
     "UNRESOLVED", "preset", "assign_tier", "keep_top_tier", "top_tier_by_entity", "modal_by_entity",
-    "attach_modal", "latest_by_entity", "latest_rows", "latest_value_by_entity", "dedupe", "prepare", "resolve", "run",
-    "manifest", "check_no_sentinel", "sentinel_rows", "split_join", "read_input", "save", "save_run",
+    "attach_modal", "latest_by_entity", "latest_rows", "latest_value_by_entity", "dedupe", "prepare", "resolve", "run", "run_and_save",
+    "manifest", "check_no_sentinel", "sentinel_rows", "split_join", "read_input", "read_saved", "save", "save_run",
 ]

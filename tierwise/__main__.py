@@ -16,9 +16,9 @@ import sys
 
 from pyspark.sql import SparkSession
 
-from .plans.runs import run
+from .plans.runs import run_and_save
 from .plans.spec import DEFAULT_PRESET, PRESETS, ColumnSpec, RunConfig
-from .sources.io import read_input, save_run
+from .sources.io import read_input
 
 
 def parse(argv: list[str]) -> argparse.Namespace:
@@ -49,8 +49,7 @@ def main(argv: list[str] | None = None) -> dict[str, str]:
         date_grain=args.date_grain,
     )
     policy = PRESETS[args.preset]
-    outputs = run(read_input(spark, args.input), RunConfig(args.dataset, policy, spec))
-    return save_run(outputs, args.out, policy.name, mode=args.mode)
+    return run_and_save(read_input(spark, args.input), RunConfig(args.dataset, policy, spec), args.out, mode=args.mode)
 
 
 if __name__ == "__main__":

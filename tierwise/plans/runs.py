@@ -100,6 +100,53 @@ def run(df: DataFrame, config: RunConfig, *, clean: bool = True, **opts) -> dict
     }
 
 
+def run_and_save(
+    df: DataFrame,
+    config: RunConfig,
+    base: str,
+    *,
+    mode: str = "overwrite",
+    clean: bool = True,
+    **opts,
+) -> dict[str, str]:
+    """The documented run, written under ``<base>/<run name>/`` so that each
+    piece is computed once.
+
+    ``resolved`` (one row per entity) is written first; the latest records
+    then take their modal values from that written table instead of
+    computing the modal summary again (the written table also cuts the
+    lineage: a lost executor later costs a re-read, not a recomputation);
+    the manifest comes last. Returns the written locations.
+    """
+    from ..sources.io import read_saved, save
+
+    spec, policy, rule = config.spec, config.policy, config.rule
+    spark = df.sparkSession
+    raw = df
+    if clean:
+        df = prepare(df, spec)
+    root = f"{base.rstrip('/')}/{policy.name}"
+    written = {}
+
+    written["resolved"] = f"{root}/resolved"
+    save(resolve(df, spec, policy, rule, clean=False), written["resolved"], mode=mode)
+
+    modal = read_saved(spark, written["resolved"]).select(spec.entity, "modal")
+    latest = latest_rows(df, spec, rule, policy, **opts)
+    counts = df.groupBy(spec.entity).agg(F.count(F.lit(1)).alias(P + "n"))
+    latest = split_join(
+        latest, modal, [spec.entity], how="left", null_safe=not policy.reallocate,
+        count_col=P + "n", key_counts=counts,
+    )
+    written["latest"] = f"{root}/latest"
+    save(latest, written["latest"], mode=mode)
+
+    written["manifest"] = f"{root}/manifest"
+    info = manifest(spark, config.dataset, policy, raw=raw if clean else None, spec=spec)
+    save(info.coalesce(1), written["manifest"], mode=mode)
+    return written
+
+
 MANIFEST_SCHEMA = T.StructType(
     [T.StructField(n, T.StringType(), False) for n in ("Datasource", "Reallocation", "Name", "Counts", "Comments")]
 )

@@ -36,6 +36,13 @@ def save(df: DataFrame, path: str, *, mode: str = "overwrite", fmt: str = "parqu
         writer.format(fmt).saveAsTable(path)
 
 
+def read_saved(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """Read back what :func:`save` wrote (a path, or a catalog table name)."""
+    if "/" in path or ":" in path:
+        return spark.read.format(fmt).load(path)
+    return spark.read.table(path)
+
+
 def save_run(outputs: dict[str, DataFrame], base: str, run_name: str, *, mode: str = "overwrite") -> dict[str, str]:
     """Save every output of a run under ``<base>/<run_name>/<output>``.
 

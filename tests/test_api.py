@@ -228,3 +228,15 @@ def test_run_and_save_matches_run(spark, gdf):
     for name in ("resolved", "latest", "manifest"):
         got = sorted(map(str, spark.read.parquet(written[name]).select(*lazy[name].columns).collect()))
         assert got == sorted(map(str, lazy[name].collect())), name
+
+
+def test_entity_column_named_like_internal_keys(spark, gdf):
+    from tierwise import latest_rows
+
+    spec = ColumnSpec(entity="n")
+    renamed = gdf.withColumnRenamed("entity", "n")
+    a = sorted((r["entity"], r["latest"]) for r in latest_rows(gdf, SPEC, Rule.FLAG, POLICY, min_rows=1).collect()
+               if r["entity"] is not None)
+    b = sorted((r["n"], r["latest"]) for r in latest_rows(renamed, spec, Rule.FLAG, POLICY, min_rows=1).collect()
+               if r["n"] is not None)
+    assert a == b

@@ -138,7 +138,7 @@ def split_join(
         a, b = F.col(lname), F.col(rname)
         return a.eqNullSafe(b) if null_safe else a == b
 
-    renamed = {k: RESERVED_PREFIX + "k_" + k for k in keys}
+    renamed = {k: RESERVED_PREFIX + "sk_" + k for k in keys}
     hot_r = hot.select(*[F.col(k).alias(renamed[k]) for k in keys], PIECES)
     hot_on = lambda: _all([eq(k, renamed[k]) for k in keys])
 

@@ -174,3 +174,10 @@ def test_latest_rows_carry_unorderable_columns(gdf):
     assert rows and all(r["props"] == {"rid": r["rid"]} for r in rows)
     plain = {(r["entity"], r["latest"], r["rid"]) for r in latest_rows(gdf, SPEC, Rule.SOURCE, POLICY).collect()}
     assert {(r["entity"], r["latest"], r["rid"]) for r in rows} == plain
+
+
+def test_top_tier_by_entity(gdf):
+    from tierwise import top_tier_by_entity
+
+    got = {r["entity"]: (r["top_tier"], r["n_records"]) for r in top_tier_by_entity(gdf, SPEC, POLICY).collect()}
+    assert got["P06"] == (2, 4) and got["P08"] == (1, 3) and got["P09"] == (0, 2) and got[None] == (2, 2)

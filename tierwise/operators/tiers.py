@@ -17,10 +17,12 @@ def assign_tier(df: DataFrame, spec: ColumnSpec, policy: TierPolicy, out: str =
 
 
 def top_tier_by_entity(df: DataFrame, spec: ColumnSpec, policy: TierPolicy) -> DataFrame:
-    """One row per entity (NULL entities form one group): its best tier and row count."""
+    """One row per entity (NULL entities form one group): ``entity,
+    top_tier, n_records``."""
+    spec.validate(df)
     return df.groupBy(spec.entity).agg(
-        F.max(tier_of(spec.category, policy)).alias(RESERVED_PREFIX + "top"),
-        F.count(F.lit(1)).alias(RESERVED_PREFIX + "n"),
+        F.max(tier_of(spec.category, policy)).alias("top_tier"),
+        F.count(F.lit(1)).alias("n_records"),
     )
 
 
@@ -41,12 +43,12 @@ def keep_top_tier(
     NULL entities are one group, as in a window partitioned by the entity.
     """
     spec.validate(df)
-    top = top_tier_by_entity(df, spec, policy)
+    top = top_tier_by_entity(df, spec, policy).select(
+        spec.entity, F.col("top_tier").alias(RESERVED_PREFIX + "top")
+    )
     tier = RESERVED_PREFIX + "tier"
     rows = df.withColumn(tier, tier_of(spec.category, policy))
-    joined = split_join(
-        rows, top.drop(RESERVED_PREFIX + "n"), [spec.entity], how="inner", null_safe=True, **split_opts
-    )
+    joined = split_join(rows, top, [spec.entity], how="inner", null_safe=True, **split_opts)
     kept = joined.where(F.col(tier) == F.col(RESERVED_PREFIX + "top"))
     cols = [F.col(c) for c in df.columns]
     if tier_col:

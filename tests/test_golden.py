@@ -181,3 +181,8 @@ def test_top_tier_by_entity(gdf):
 
     got = {r["entity"]: (r["top_tier"], r["n_records"]) for r in top_tier_by_entity(gdf, SPEC, POLICY).collect()}
     assert got["P06"] == (2, 4) and got["P08"] == (1, 3) and got["P09"] == (0, 2) and got[None] == (2, 2)
+
+
+def test_modal_with_counts(gdf):
+    got = {r["entity"]: (r["modal"], r["n_records"]) for r in modal_by_entity(gdf, SPEC, POLICY, with_counts=True).collect()}
+    assert got["P04"] == ("unresolved", 2) and got["P19"] == ("A", 3)

@@ -66,7 +66,7 @@ def modal_by_entity(
     """One row per entity (NULL entities form one group): ``entity, <out>``.
 
     ``policy=None`` or ``reallocate=False`` counts every record (no tiers).
-    ``with_counts`` adds the entity's record count (column ``__tw_n``).
+    ``with_counts`` adds the entity's record count (column ``n_records``).
     """
     spec.validate(df)
     if reallocate is None:
@@ -75,7 +75,7 @@ def modal_by_entity(
     best = counts.groupBy(spec.entity).agg(*modal_aggs(spec), F.sum(N_ROWS).alias(N_ROWS))
     cols = [F.col(spec.entity), modal_value().alias(out)]
     if with_counts:
-        cols.append(F.col(N_ROWS))
+        cols.append(F.col(N_ROWS).alias("n_records"))
     return best.select(*cols)
 
 

@@ -142,9 +142,6 @@ class LatestPlan:
             df = df.withColumn(P + "k_" + f.name, f.key)
         return df
 
-    def key_cols(self) -> list[str]:
-        return [P + "k_" + f for f in self.families]
-
     # -- per entity ----------------------------------------------------------
     def aggs(self, *, rows: bool) -> list[Column]:
         """Aggregates over units (records, or per-(entity, code) groups whose

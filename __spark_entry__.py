@@ -260,6 +260,9 @@ FROM ({M1_HOT}) m LEFT JOIN ({_modal_sql(M1_HOT, d)}) x ON m.entity = x.entity""
 FROM ({_latest_pairs(_latest_realloc_rows(_m2(), d, "source"), False)}) r
 JOIN (SELECT entity, max(tier) AS tier, count(DISTINCT category) AS n_codes, max(observed_at) AS max_date
       FROM ({_top_rows(_m2(), d)}) k GROUP BY entity) t ON r.entity = t.entity"""
+    q["modal_null_codes"] = _modal_sql(M1_NULLS, d)
+    q["latest_null_codes_source"] = _latest_pairs(_latest_realloc_rows(M1_NULLS, d, "source"), False)
+    q["latest_no_realloc_null_codes"] = _latest_pairs(_latest_plain_rows(M1_NULLS, "none"), False)
     for rule in ("none", "source", "flag"):
         q[f"resolve_small_groups_{rule}"] = _resolve_sql(_m2(), d, rule)
         q[f"resolve_small_groups_no_realloc_{rule}"] = _resolve_sql(_m2(), "none", rule)

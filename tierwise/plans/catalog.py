@@ -164,6 +164,18 @@ def latest_source_diag(spark, sf):
     return rows.select("entity", "latest", "tier", "n_codes", "max_date")
 
 
+def modal_null_codes(spark, sf):
+    """A2 with NULL codes left in (no clean-up): NULL is top tier, counts 0."""
+    return modal_by_entity(_m1_with_nulls(spark, sf), SPEC, DEFAULT)
+
+
+def _latest_null_codes(preset: str, rule: Rule) -> Query:
+    def q(spark, sf):
+        return latest_by_entity(_m1_with_nulls(spark, sf), SPEC, rule, PRESETS[preset])
+
+    return q
+
+
 def catalogue() -> dict[str, Query]:
     q: dict[str, Query] = {}
     for p in PRESETS:
@@ -204,6 +216,9 @@ def catalogue() -> dict[str, Query]:
     q["modal_attached_hot"] = modal_attached_hot
     q["latest_flag_records_hot"] = _latest_records(_m1_hot, DEFAULT_PRESET, Rule.FLAG)
     q["latest_source_diag"] = latest_source_diag
+    q["modal_null_codes"] = modal_null_codes
+    q["latest_null_codes_source"] = _latest_null_codes(DEFAULT_PRESET, Rule.SOURCE)
+    q["latest_no_realloc_null_codes"] = _latest_null_codes("none", Rule.NONE)
     for rule in Rule:
         q[f"resolve_small_groups_{rule.value}"] = _resolve(m2_lineitem, DEFAULT_PRESET, rule)
         q[f"resolve_small_groups_no_realloc_{rule.value}"] = _resolve(m2_lineitem, "none", rule)

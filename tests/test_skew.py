@@ -43,11 +43,13 @@ def test_split_join_spreads_hot_key(spark, skewed):
     # partition ids taken before the filter (a nondeterministic column keeps the
     # filter above the join); AQE must not merge the small test partitions
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         tagged = out.withColumn("p", F.spark_partition_id())
         parts = {r["p"] for r in tagged.where(F.col("entity") == HOT).select("p").collect()}
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert len(parts) >= 2, "hot entity should be spread over several join tasks"
     plain = skewed.join(summary, "entity", "left")
     cols = ["o_orderkey", "entity", "mx"]
@@ -67,3 +69,28 @@ def test_skewed_operators_match_unsplit(spark, skewed):
     b = latest_rows(skewed, SPEC, Rule.FLAG, POL, **never)
     assert _rows(a, ["o_orderkey", "latest"]) == _rows(b, ["o_orderkey", "latest"])
     assert a.where(F.col("entity") == HOT).count() > 1
+
+
+def test_hot_null_entity(spark, skewed):
+    """A third of the records with no entity: split as a group when NULLs are
+    one group (no re-allocation), spread and given NULL otherwise."""
+    nulls = skewed.withColumn("entity", F.when(F.col("entity") != HOT, F.col("entity")))
+    split = {"pieces": 8, "min_rows": 1}
+    never = {"pieces": 8, "min_rows": 10**12}
+    a4 = attach_modal(nulls, SPEC, PRESETS["none"], **split)
+    assert _rows(a4, ["o_orderkey", "modal"]) == _rows(attach_modal(nulls, SPEC, PRESETS["none"], **never), ["o_orderkey", "modal"])
+    assert a4.where(F.col("entity").isNull() & F.col("modal").isNotNull()).count() > 0
+    a2 = attach_modal(nulls, SPEC, POL, **split)
+    assert a2.count() == nulls.count()
+    assert a2.where(F.col("entity").isNull() & F.col("modal").isNotNull()).count() == 0
+    # AQE would broadcast the small summary at this size (no row shuffle at
+    # all); keep the sort-merge join that large inputs get
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for out in (a4, a2):
+            parts = {r["p"] for r in out.withColumn("p", F.spark_partition_id()).where(F.col("entity").isNull()).select("p").collect()}
+            assert len(parts) >= 2
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -448,10 +448,13 @@ def _latest_rows(df, spec, rule, policy, reallocate, out, tie_break, split_opts)
     candidates = keyed.where(F.col(P + "k_n").isNotNull())
     if not reallocate:
         candidates = candidates.where(F.col(spec.category).isNotNull())
-    # hot keys from a plain count of the entity column: the summary is a
+    # hot keys from a plain count of the input's entity column (an upper bound
+    # on the candidates per entity, reading one column): the summary is a
     # struct aggregation, too costly to compute a second time for counting
+    key_counts = df.groupBy(spec.entity).agg(F.count(F.lit(1)).alias(N_ROWS))
     joined = split_join(
-        candidates, summary.drop(N_ROWS), [spec.entity], how="inner", null_safe=True, **split_opts
+        candidates, summary.drop(N_ROWS), [spec.entity], how="inner", null_safe=True,
+        count_col=N_ROWS, key_counts=key_counts, **split_opts,
     )
     at_best = F.col(P + "k_n") == F.col(P + "best_n")
     if "x" in plan.families:

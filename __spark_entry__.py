@@ -261,6 +261,9 @@ FROM ({_latest_pairs(_latest_realloc_rows(_m2(), d, "source"), False)}) r
 JOIN (SELECT entity, max(tier) AS tier, count(DISTINCT category) AS n_codes, max(observed_at) AS max_date
       FROM ({_top_rows(_m2(), d)}) k GROUP BY entity) t ON r.entity = t.entity"""
     q["modal_null_codes"] = _modal_sql(M1_NULLS, d)
+    q["latest_record_no_realloc_source"] = f"""SELECT entity, max(o_orderkey) AS o_orderkey, latest
+FROM ({_latest_plain_rows(M1, "source")}) r GROUP BY entity, latest"""
+    q["top_tier_records_null_codes"] = f"SELECT o_orderkey, entity, category, tier FROM ({_top_rows(M1_NULLS, d)}) t"
     q["latest_null_codes_source"] = _latest_pairs(_latest_realloc_rows(M1_NULLS, d, "source"), False)
     q["latest_no_realloc_null_codes"] = _latest_pairs(_latest_plain_rows(M1_NULLS, "none"), False)
     for rule in ("none", "source", "flag"):

@@ -176,6 +176,16 @@ def _latest_null_codes(preset: str, rule: Rule) -> Query:
     return q
 
 
+def latest_record_no_realloc_source(spark, sf):
+    rows = latest_rows(m1_orders(spark, sf), SPEC, Rule.SOURCE, NONE)
+    return rows.select("entity", "o_orderkey", "latest")
+
+
+def top_tier_records_null_codes(spark, sf):
+    kept = keep_top_tier(_m1_with_nulls(spark, sf), SPEC, DEFAULT)
+    return kept.select("o_orderkey", "entity", "category", "tier")
+
+
 def catalogue() -> dict[str, Query]:
     q: dict[str, Query] = {}
     for p in PRESETS:
@@ -217,6 +227,8 @@ def catalogue() -> dict[str, Query]:
     q["latest_flag_records_hot"] = _latest_records(_m1_hot, DEFAULT_PRESET, Rule.FLAG)
     q["latest_source_diag"] = latest_source_diag
     q["modal_null_codes"] = modal_null_codes
+    q["latest_record_no_realloc_source"] = latest_record_no_realloc_source
+    q["top_tier_records_null_codes"] = top_tier_records_null_codes
     q["latest_null_codes_source"] = _latest_null_codes(DEFAULT_PRESET, Rule.SOURCE)
     q["latest_no_realloc_null_codes"] = _latest_null_codes("none", Rule.NONE)
     for rule in Rule:

@@ -6,7 +6,8 @@ execution with the ``noop`` sink (every row produced, nothing collected), and
 prints one JSON line:
 
     {"metric": "headline_total", "value": <sum of per-query seconds>, "unit": "sec",
-     "queries": {name: sec}, "rows": {name: output rows}, "input_rows": {...}, "sf": ...}
+     "queries": {name: sec}, "median": {...}, "rows": {name: output rows},
+     "input_rows_per_sec": {name: rows of its input table / sec}, "input_rows": {...}, "sf": ...}
 
 All queries first run once untimed (JVM and code-generation warm-up), then
 each runs ``$BENCH_REPEAT`` times (default 5); the per-query time is the
@@ -26,19 +27,20 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from tierwise.plans import catalog  # noqa: E402
 from tierwise.session import local_session  # noqa: E402
 
-HEADLINE = [
-    "top_tier_unknown_not_stated_any_other",  # A1 keep, M2
-    "modal_small_groups",                     # A2 per entity, M2
-    "modal_attached",                         # A2 row-preserving, M1
-    "modal_no_realloc_diag",                  # A4 with helper columns, M1
-    "latest_unknown_not_stated_any_other",    # A3 NONE, M2
-    "latest_source",                          # A3 SOURCE, M2
-    "latest_flag",                            # A3 FLAG (all records at the best key), M2
-    "latest_no_realloc_source",               # A5 SOURCE, M2
-    "latest_events_source",                   # A3 SOURCE, M3 (large groups, real dates)
-    "resolve_realloc",                        # A7 modal + latest joined per entity, M1
-    "dedupe_flag_supplier",                   # A10 after A3 FLAG, M1
-]
+# query -> the table it reads (for input rows per second)
+HEADLINE = {
+    "top_tier_unknown_not_stated_any_other": "lineitem",  # A1 keep, M2
+    "modal_small_groups": "lineitem",                     # A2 per entity, M2
+    "modal_attached": "orders",                           # A2 row-preserving, M1
+    "modal_no_realloc_diag": "orders",                    # A4 with helper columns, M1
+    "latest_unknown_not_stated_any_other": "lineitem",    # A3 NONE, M2
+    "latest_source": "lineitem",                          # A3 SOURCE, M2
+    "latest_flag": "lineitem",                            # A3 FLAG (all records at the best key), M2
+    "latest_no_realloc_source": "lineitem",               # A5 SOURCE, M2
+    "latest_events_source": "events",                     # A3 SOURCE, M3 (large groups, real dates)
+    "resolve_realloc": "orders",                          # A7 modal + latest joined per entity, M1
+    "dedupe_flag_supplier": "orders",                     # A10 after A3 FLAG, M1
+}
 
 
 def main() -> None:
@@ -66,6 +68,7 @@ def main() -> None:
     inputs = {
         t: spark.read.parquet(os.path.join(sf_dir, f"{t}.parquet")).count() for t in ("orders", "lineitem", "events")
     }
+    rate = {name: int(inputs[table] / times[name]) if times[name] else None for name, table in HEADLINE.items()}
     m = re.search(r"sf([0-9.]+)", sf_dir)
     print(
         json.dumps(
@@ -76,6 +79,7 @@ def main() -> None:
                 "queries": times,
                 "median": medians,
                 "rows": rows,
+                "input_rows_per_sec": rate,
                 "input_rows": inputs,
                 "sf": float(m.group(1)) if m else sf_dir,
                 "cpus": cpus,

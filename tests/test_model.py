@@ -13,6 +13,7 @@ from tierwise import (
     PRESETS,
     ColumnSpec,
     Rule,
+    TierPolicy,
     attach_modal,
     keep_top_tier,
     latest_by_entity,
@@ -199,3 +200,17 @@ def test_one_code_entities_agree(data, rule):
     assert both
     for e in both:
         assert a3[e] == a5[e] and len(a3[e]) == 1
+
+
+@pytest.mark.parametrize(
+    "policy",
+    [TierPolicy("only_other", (), ("S", "G")), TierPolicy("overlap", ("Z", "S"), ("S", "A"))],
+    ids=["only_other", "overlap"],
+)
+def test_custom_policies(data, policy):
+    df, groups = data
+    got = {r["entity"]: r["modal"] for r in modal_by_entity(df, SPEC, policy).collect()}
+    assert got == {e: model.modal(model.top_rows(rs, policy.not_valid, policy.other)) for e, rs in groups.items()}
+    pairs = {(r["entity"], r["latest"]) for r in latest_by_entity(df, SPEC, Rule.SOURCE, policy).collect()}
+    exp = {(e, v) for e, rs in groups.items() for _, v in model.latest_realloc(rs, "source", policy.not_valid, policy.other)}
+    assert pairs == exp

@@ -52,6 +52,12 @@ def main(argv: list[str] | None = None) -> dict[str, str]:
     return run_and_save(read_input(spark, args.input), RunConfig(args.dataset, policy, spec), args.out, mode=args.mode)
 
 
-if __name__ == "__main__":
+def cli() -> int:
+    """Console entry point: run, print the written locations, exit 0."""
     for name, path in main().items():
         print(f"{name}\t{path}")
+    return 0
+
+
+if __name__ == "__main__":
+    sys.exit(cli())

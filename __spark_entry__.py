@@ -8,6 +8,7 @@ tables. The two are compared on row count, schema and values.
 
 from __future__ import annotations
 
+import importlib.util
 import os
 import sys
 from collections.abc import Callable
@@ -22,13 +23,24 @@ from tierwise.plans.spec import DEFAULT_PRESET, PRESETS  # noqa: E402
 SMOKE_DIR = "/root/testdata/sf0.001"
 
 
+def _llm():
+    """The queries module of the llm subpackage; None where the subpackage is not installed."""
+    found = importlib.util.find_spec("tierwise.llm")
+    if found is None or found.origin is None:
+        return None
+    return importlib.import_module("tierwise.llm.queries")
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: modal and latest per customer (re-allocated, GP rule) at sf0.001."""
     return catalog.resolve_realloc(spark, SMOKE_DIR)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return catalog.catalogue()
+    found = dict(catalog.catalogue())
+    if (llm := _llm()) is not None:
+        found |= llm.QUERIES
+    return found
 
 
 # --------------------------------------------------------------------------
@@ -269,4 +281,6 @@ FROM ({_latest_plain_rows(M1, "source")}) r GROUP BY entity, latest"""
     for rule in ("none", "source", "flag"):
         q[f"resolve_small_groups_{rule}"] = _resolve_sql(_m2(), d, rule)
         q[f"resolve_small_groups_no_realloc_{rule}"] = _resolve_sql(_m2(), "none", rule)
+    if (llm := _llm()) is not None:
+        q |= llm.ORACLE_SQL
     return q

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .bpe import round_trips
 from .common import LOWER, UPPER, documents, shared_path
 from .line_dedup import dedup_lines
+from .minhash import near_duplicates
 from .packing import pack_documents
 from .token_cache import TokenCache, count_tokens
 
@@ -19,6 +20,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir), percent=75)
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trips(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
@@ -34,6 +39,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_token_counts": op2_token_counts,
+    "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op10_line_dedup": op10_line_dedup,

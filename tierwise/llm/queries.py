@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 
 from .bpe import round_trips
 from .common import LOWER, UPPER, documents, remainder, shared_path
+from .fingerprint import compare_with_next
 from .language import identify_languages, learn_languages
 from .line_dedup import dedup_lines
 from .minhash import near_duplicates
 from .packing import pack_documents
+from .repetition import repetition_rules
 from .token_cache import TokenCache, count_tokens
 from .toxicity import learn_toxicity, score_toxicity
 
@@ -31,6 +33,12 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+def op3_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repetition_rules(documents(spark, sf_dir))
+    base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return found.select(*base, "covered_words", "longest_repeat", "n_maximal_repeats")
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     found = identify_languages(docs, learn_languages(docs))
@@ -49,6 +57,10 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), capacity=2048)
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_with_next(documents(spark, sf_dir))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = dedup_lines(documents(spark, sf_dir), min_docs=10, keep="none")
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -57,10 +69,12 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_token_counts": op2_token_counts,
+    "op3_repetition_rules": op3_repetition_rules,
     "op4_language_id": op4_language_id,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_fingerprints": op9_fingerprints,
     "op10_line_dedup": op10_line_dedup,
 }
 

@@ -13,6 +13,7 @@ from .language import identify_languages, learn_languages
 from .line_dedup import dedup_lines
 from .minhash import near_duplicates
 from .packing import pack_documents
+from .pitman_yor import score_texts, training_rows
 from .repetition import repetition_rules
 from .token_cache import TokenCache, count_tokens
 from .toxicity import learn_toxicity, score_toxicity
@@ -45,6 +46,12 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", "score", "rejected", "cross_entropy")
 
 
+def op5_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_texts(documents(spark, sf_dir), training_rows())
+    columns = ["n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"]
+    return scored.select("doc_id", (~training_rows()).alias("held_out"), *columns)
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), percent=75)
 
@@ -71,6 +78,7 @@ QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op3_repetition_rules": op3_repetition_rules,
     "op4_language_id": op4_language_id,
+    "op5_pitman_yor": op5_pitman_yor,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_best_fit_packing": op8_best_fit_packing,

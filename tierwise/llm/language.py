@@ -334,3 +334,13 @@ def identify_languages(docs: DataFrame, model: Model, *, id_col: str = "doc_id",
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
     schema = f"doc {kind}, lang_pred string, score double, rejected boolean, cross_entropy double"
     return rows.mapInArrow(over_texts(run), schema).withColumnRenamed("doc", id_col)
+
+
+def drop_unidentified(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns as they are, that a learned language accounts for."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(pa.array(~predict(held.value, batch.column(text_col))[2]))
+
+    return docs.mapInArrow(over_texts(run, text_col), docs.schema)

@@ -80,21 +80,14 @@ def drop_bitmaps(lines: DataFrame, *, min_docs: int, keep: str = "none") -> Data
     return word.groupBy(*DOC).agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("words"))
 
 
-def dedup_lines(
-    docs: DataFrame,
-    *,
-    min_docs: int = 10,
-    keep: str = "none",
-    min_key_chars: int = 1,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-) -> DataFrame:
-    """One row per input row: ``id_col``, n_lines, n_dropped, drop_words
-    (the compressed bitmap, null if nothing is dropped) and kept_text."""
+def _marked(docs: DataFrame, carry: list[str], min_docs: int, keep: str, min_key_chars: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc, carried, body, drop_words, kept_text) of every row; ``carried`` holds the columns ``carry``."""
     lines = stored(line_table(docs, id_col=id_col, text_col=text_col, min_key_chars=min_key_chars), "lines")
     maps = drop_bitmaps(lines, min_docs=min_docs, keep=keep)
     maps = maps.select(F.col("doc").alias("m_doc"), F.col("doc_hash").alias("m_hash"), F.col("words").alias("drop_words"))
-    rows = docs.select(F.col(id_col).alias("doc"), _text(text_col).alias("body")).withColumn("doc_hash", F.xxhash64("body"))
+    carried = F.struct(*(F.col(c) for c in carry)) if carry else F.lit(None)
+    rows = docs.select(F.col(id_col).alias("doc"), carried.alias("carried"), _text(text_col).alias("body"))
+    rows = rows.withColumn("doc_hash", F.xxhash64("body"))
     rows = rows.join(maps, F.col("doc").eqNullSafe(F.col("m_doc")) & (F.col("doc_hash") == F.col("m_hash")), "left")
     rows = rows.withColumn(
         "dense", F.expr("transform(sequence(0, array_max(map_keys(drop_words))), w -> coalesce(drop_words[w], 0L))")
@@ -103,10 +96,29 @@ def dedup_lines(
         r"""array_join(filter(split(body, '\n', -1),
             (x, i) -> i div 64 >= size(dense) or (shiftright(dense[cast(i div 64 as int)], i % 64) & 1L) = 0), '\n')"""
     )
+    kept = F.when(F.col("drop_words").isNull(), F.col("body")).otherwise(kept)
+    return rows.select("doc", "carried", "body", "drop_words", kept.alias("kept_text"))
+
+
+def dedup_lines(
+    docs: DataFrame, *, min_docs: int = 10, keep: str = "none", min_key_chars: int = 1, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """One row per input row: ``id_col``, n_lines, n_dropped, drop_words
+    (the compressed bitmap, null if nothing is dropped) and kept_text."""
+    rows = _marked(docs, [], min_docs, keep, min_key_chars, id_col, text_col)
     return rows.select(
         F.col("doc").alias(id_col),
         F.size(_lines(F.col("body"))).cast("long").alias("n_lines"),
         F.coalesce(F.expr("aggregate(map_values(drop_words), 0L, (a, x) -> a + bit_count(x))"), F.lit(0)).cast("long").alias("n_dropped"),
         "drop_words",
-        F.when(F.col("drop_words").isNull(), F.col("body")).otherwise(kept).alias("kept_text"),
+        "kept_text",
     )
+
+
+def drop_repeated_lines(
+    docs: DataFrame, *, min_docs: int = 10, keep: str = "none", min_key_chars: int = 1, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """``docs`` with the text of every row without its dropped lines; other columns as they are."""
+    others = [c for c in docs.columns if c != text_col]
+    rows = _marked(docs, others, min_docs, keep, min_key_chars, id_col, text_col)
+    return rows.select(*(F.col("kept_text" if c == text_col else f"carried.`{c}`").alias(c) for c in docs.columns))

@@ -299,6 +299,14 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 # ------------------------------------------------------------------- Spark
 
 
+def probabilities(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list]:
+    """(score, evidence, (tokens, significant segments)) of each text."""
+    found = [(n, surprise(model, n, segments)) for n, segments in segments_of(model, texts)]
+    evidence = np.array([f[1][0] for f in found])
+    score = 1 / (1 + np.exp(-np.clip(model.curve[0] + model.curve[1] * evidence, -60, 60)))
+    return score, evidence, [(n, segments) for n, (_, segments) in found]
+
+
 def score_toxicity(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(``id_col``, score, evidence, n_tokens, segments): segments are the
     significant ones as (first token, end, score, surprise)."""
@@ -306,11 +314,8 @@ def score_toxicity(docs: DataFrame, model: Model, *, id_col: str = "doc_id", tex
     held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the classifier's sample
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        model = held.value
-        found = [(n, *surprise(model, n, segments)) for n, segments in segments_of(model, batch.column("text"))]
-        evidence = np.array([f[1] for f in found])
-        score = 1 / (1 + np.exp(-np.clip(model.curve[0] + model.curve[1] * evidence, -60, 60)))
-        segments = [[{"first": a, "end": b, "score": float(s), "surprise": e} for a, b, s, e in f[2]] for f in found]
+        score, evidence, found = probabilities(held.value, batch.column("text"))
+        segments = [[{"first": a, "end": b, "score": float(s), "surprise": e} for a, b, s, e in f] for _, f in found]
         item = pa.struct([("first", pa.int64()), ("end", pa.int64()), ("score", pa.float64()), ("surprise", pa.float64())])
         return pa.RecordBatch.from_arrays(
             [batch.column("doc"), pa.array(score), pa.array(evidence), pa.array([f[0] for f in found], pa.int64()), pa.array(segments, pa.list_(item))],
@@ -322,5 +327,15 @@ def score_toxicity(docs: DataFrame, model: Model, *, id_col: str = "doc_id", tex
     return rows.mapInArrow(over_texts(run), schema).withColumnRenamed("doc", id_col)
 
 
+def drop_toxic(docs: DataFrame, model: Model, *, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns as they are, that score below ``threshold``."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(pa.array(probabilities(held.value, batch.column(text_col))[0] < threshold))
+
+    return docs.mapInArrow(over_texts(run, text_col), docs.schema)
+
+
 def learn_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED) -> Model:
     return fit(labelled(docs, labels, id_col, text_col, max_labelled))

@@ -39,7 +39,7 @@ def entry(spark: SparkSession) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = dict(catalog.catalogue())
     if (llm := _llm()) is not None:
-        found |= llm.QUERIES
+        found |= llm.QUERIES | {"pipeline": importlib.import_module("corpus_pipeline").run}
     return found
 
 

@@ -170,9 +170,10 @@ def learn_languages(
         code = F.array_position(F.array(*map(F.lit, languages)), F.col("lang")).cast("int") - 1 if languages else F.lit(0)
         coded = train.select(code.alias("lang"), "text")
         counts = coded.mapInArrow(over_texts(_count), "lang int, gram string, n long")
+        if not languages:
+            return Model([], np.zeros(0), [], [])
         table = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
-        model = kneser_ney(languages, table)
-        return _calibrate(model, coded) if languages else model
+        return _calibrate(kneser_ney(languages, table), coded)
     finally:
         train.unpersist()
 

@@ -302,7 +302,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def probabilities(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list]:
     """(score, evidence, (tokens, significant segments)) of each text."""
     found = [(n, surprise(model, n, segments)) for n, segments in segments_of(model, texts)]
-    evidence = np.array([f[1][0] for f in found])
+    evidence = np.array([f[1][0] for f in found], float)
     score = 1 / (1 + np.exp(-np.clip(model.curve[0] + model.curve[1] * evidence, -60, 60)))
     return score, evidence, [(n, segments) for n, (_, segments) in found]
 

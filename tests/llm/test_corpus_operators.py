@@ -1,0 +1,282 @@
+"""Operators over the whole corpus, against brute force, SQL or held-out accuracy."""
+
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+import __spark_entry__ as E
+import corpus_pipeline
+from oracle import compare, duck
+from tierwise.llm import language, minhash, pitman_yor, queries
+from tierwise.llm.common import documents, stored
+from tierwise.llm.graph import components
+from tierwise.llm.line_dedup import dedup_lines, drop_repeated_lines
+
+SF, SF_MORE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
+FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def texts_of(spark, sf):
+    return {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+
+
+def words_of(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text.translate(FOLD))
+
+
+# ------------------------------------------------------------- line dedup
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_sql_oracles(spark, name):
+    assert compare(spark, duck(SF_MORE), SF_MORE, E.queries()[name], E.oracle_sql()[name])[1] == []
+
+
+def test_first_occurrences_stay(spark, make):
+    docs = make([(3, "a\nB \nc"), (1, "b\n\nd\nb"), (2, "x\n b"), (4, "")])
+    found = {r.doc_id: (r.n_lines, r.n_dropped, r.kept_text) for r in dedup_lines(docs, min_docs=2, keep="first").collect()}
+    assert found == {1: (4, 1, "b\n\nd"), 2: (2, 1, "x"), 3: (3, 1, "a\nc"), 4: (1, 0, "")}
+
+
+def test_bitmaps_of_many_lines(spark, make):
+    long = "\n".join(f"line {k % 150}" if k % 3 else "shared" for k in range(1000))
+    docs = make([(k, long if k == 5 else f"own {k}\nshared") for k in range(12)])
+    kept = {r.doc_id: r.text for r in drop_repeated_lines(docs, min_docs=10).collect()}
+    assert kept[5] == "\n".join(x for x in long.split("\n") if x != "shared") and kept[0] == "own 0"
+
+
+def test_no_python_on_the_line_dedup_path(spark, make):
+    plan = dedup_lines(make([(1, "a")]))._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan.replace("ArrowEvalNothing", ""))
+
+
+# ---------------------------------------------------------------- MinHash
+
+
+def brute_components(texts, percent=75):
+    sets = {}
+    for i, t in texts.items():
+        w = words_of(t)
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()}
+    held, shared = defaultdict(list), Counter()
+    for i, s in sets.items():
+        for g in s:
+            held[g].append(i)
+    for ids in held.values():
+        shared.update((a, b) for k, a in enumerate(ids) for b in ids[:k])
+    label = {i: i for i in texts}
+
+    def top(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for (a, b), n in shared.items():
+        if 100 * n >= percent * (len(sets[a]) + len(sets[b]) - n):
+            x, y = sorted((top(a), top(b)))
+            label[y] = x
+    return {i: (len(sets[i]), top(i)) for i in texts}
+
+
+def check_near(rows, texts):
+    expected = brute_components(texts)
+    assert len(rows) == len(expected)
+    for r in rows:
+        assert (r.n_shingles, r.component_id) == expected[r.doc_id] and r.kept == (r.doc_id == r.component_id)
+
+
+def test_op6_by_brute_force(spark):
+    check_near(queries.op6_minhash_near_dedup(spark, SF_MORE).collect(), texts_of(spark, SF_MORE))
+
+
+def test_chains_and_large_groups(spark, make):
+    """Copies, near copies and chains whose ends are far apart: more than one round of stars."""
+    draw = random.Random(7)
+    word = lambda: "".join(draw.choice("abcdefghijklmnop") for _ in range(4))
+    base, rows = [word() for _ in range(120)], []
+    for k in range(60):  # near copies of one text
+        t = list(base)
+        for _ in range(draw.randint(0, 3)):
+            t[draw.randrange(len(t))] = word()
+        rows.append((1000 - k, " ".join(t)))
+    chain = [word() for _ in range(150)]
+    for k in range(25):  # each is near the one before only
+        chain = chain[6:] + [word() for _ in range(6)]
+        rows.append((100 + (k * 7) % 25, " ".join(chain)))
+    rows += [(2000 + k, "Same few words") for k in range(30)] + [(3000, "same FEW words"), (3001, ""), (3002, "a b")]
+    check_near(minhash.near_duplicates(make(rows)).collect(), dict(rows))
+
+
+def test_estimate_is_corrected_for_chance(spark):
+    draw = np.random.default_rng(1)
+    a = draw.integers(0, 16, (400, minhash.MINIMA))
+    b = np.where(draw.random(a.shape) < 0.6, a, draw.integers(0, 16, a.shape))
+    pack = lambda x: np.bitwise_or.reduce(x.astype(np.uint64).reshape(len(x), -1, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4)), axis=2).view(np.int64).tolist()
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame(list(zip(pack(a), pack(b))), "a array<long>, b array<long>").select(minhash.estimate(F.col("a"), F.col("b")).alias("e")).collect()
+    exact = (((a == b).mean(axis=1)) - 1 / 16) / (1 - 1 / 16)
+    assert np.allclose([r.e for r in rows], exact) and abs(np.mean([r.e for r in rows]) - 0.6) < 0.01
+
+
+def test_components_of_random_graphs(spark):
+    draw = random.Random(2)
+    edges = [(draw.randrange(300), draw.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(400, 460)] + [(500, k) for k in range(501, 560)]
+    label = {x: x for e in edges for x in e}
+    for _ in range(len(label)):
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    found = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert found == {x: c for x, c in label.items() if any(x in e and e[0] != e[1] for e in edges)}
+
+
+# ------------------------------------------------------------- classifiers
+
+
+def test_op1_finds_held_out_toxic_documents(spark):
+    sf = "/root/testdata/sf0.1"
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    rows = [r for r in queries.op1_toxicity(spark, sf).collect() if r.held_out and r.doc_id in labels]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == (r.score >= 0.5) for r in rows)
+    toxic = [r.predicted for r in rows if labels[r.doc_id]]
+    clean = [r.predicted for r in rows if not labels[r.doc_id]]
+    assert sum(toxic) >= 0.9 * len(toxic) and sum(clean) <= 0.01 * len(clean)
+
+
+def test_op4_names_held_out_languages(spark):
+    langs = {r.doc_id: r.lang for r in spark.read.parquet(f"{SF_MORE}/documents.parquet").collect()}
+    rows = [r for r in queries.op4_language_id(spark, SF_MORE).collect() if r.held_out]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1 for r in rows)
+    assert np.mean([r.lang_pred == langs[r.doc_id] for r in rows]) >= 0.98
+    assert np.mean([r.rejected for r in rows]) <= 0.01
+
+
+def test_kneser_ney_is_a_distribution():
+    """After any context the next characters' probabilities add up to 1, with
+    one share left for an unseen one."""
+    draw = random.Random(5)
+    words = ["".join(draw.choice("abc") for _ in range(draw.randint(1, 6))) for _ in range(200)]
+    rows = language._count(pa.RecordBatch.from_arrays([pa.array([0, 1] * 100, pa.int32()), pa.array(words)], ["lang", "text"]))
+    model = language.kneser_ney(["x", "y"], pa.Table.from_batches([rows]).group_by(["lang", "gram"]).aggregate([("n", "sum")]).rename_columns(["lang", "gram", "n"]))
+
+    def score(text):
+        points = np.array([ord(c) for c in text], np.uint64)
+        first = np.array([0])
+        return np.exp(language.word_scores(model, points, first)[0])
+
+    for context in (" ", " a", " ab", " abca"):
+        whole = sum(score(context + c) for c in "abc z") / (score(context) if len(context) > 1 else 1)
+        assert np.allclose(whole, 1, atol=1e-5), context  # z is never seen
+
+
+def test_foreign_text_is_rejected(spark, make):
+    docs = spark.read.parquet(f"{SF_MORE}/documents.parquet")
+    model = language.learn_languages(docs)
+    odd = make([(1, "Съешь же ещё этих мягких французских булок да выпей чаю " * 8), (2, "zxqj kvwq xzzq qqjx " * 60)])
+    assert all(r.rejected for r in language.identify_languages(odd, model).collect())
+
+
+# --------------------------------------------------------------------- LM
+
+
+def test_op5_counts_and_scores(spark):
+    texts = texts_of(spark, SF_MORE)
+    tokens = {i: [*words_of(t), None] for i, t in texts.items()}
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in texts}
+    counts = Counter(w for i, ws in tokens.items() if not held[i] for w in ws)
+    n, v = sum(counts.values()), len(counts)
+    total, ours, base = 0, 0.0, 0.0
+    rows = queries.op5_pitman_yor(spark, SF_MORE).collect()
+    assert {r.doc_id for r in rows} == set(texts)
+    for r in rows:
+        ws = tokens[r.doc_id]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[r.doc_id], len(ws), sum(w in counts for w in ws), n)
+        assert r.base_score == pytest.approx(sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws), rel=1e-9)
+        if r.held_out:
+            total, ours, base = total + r.n_tokens, ours + r.score, base + r.base_score
+    assert ours / total > base / total + 0.1  # log10 per token on texts the model has not seen
+
+
+def test_tables_follow_the_chinese_restaurant(spark):
+    """Draws of tables agree with the exact conditional distribution, computed by enumeration."""
+    totals = pitman_yor.Totals([np.array([50]), None, None], [np.array([20]), None, None], [0.6, 0.6, 0.6], 10, 50)
+    n, p, d, others = 6, 0.3, 0.6, 20 - 2
+
+    def ways(customers, tables):  # seatings of a dish, by their number of tables
+        if customers == 0:
+            return 1.0 if tables == 0 else 0.0
+        stay = (customers - 1 - d * tables) * ways(customers - 1, tables) if tables else 0.0
+        return stay + (ways(customers - 1, tables - 1) if tables else 0.0)
+
+    exact = np.array([ways(n, t) * np.prod([(1 + d * (others + k)) * p for k in range(t)]) for t in range(1, n + 1)])
+    exact /= exact.sum()
+    size = 40_000
+    draws = pitman_yor.draw_tables(np.full(size, n), np.full(size, 2), np.full(size, p), totals, 0, np.zeros(size, np.int64), np.random.default_rng(0))
+    assert np.allclose(np.bincount(draws, minlength=n + 1)[1:] / size, exact, atol=0.01)
+
+
+def test_predictions_add_up(spark):
+    """With the totals of its own seating, a context's predictions over all words add up to 1."""
+    words = np.sort(np.random.default_rng(3).integers(1, 2**63, 40, dtype=np.uint64))
+    w, c = np.repeat(words, 3), np.tile(np.array([0x6101, 0x6201, 0x6102], np.uint16), 40)
+    n = np.random.default_rng(4).integers(0, 30, 120).astype(np.uint64)
+    block = pitman_yor.Block(pitman_yor.planes(w), pitman_yor.planes(c), pitman_yor.planes(n))
+    levels = block.levels()
+    customers, tables = [], []
+    for size, (context, x, t) in zip((1, 256, 65536), levels):
+        customers.append(np.bincount(context, weights=x, minlength=size).astype(np.int64))
+        tables.append(np.bincount(context, weights=t, minlength=size).astype(np.int64))
+    totals = pitman_yor.Totals(customers, tables, [0.5, 0.6, 0.7], 40, int(n.sum()))
+    p = block.predictive(totals).reshape(40, 3)
+    unseen = totals.base  # the base's share of the one unknown word, passed down
+    for level in (0, 1, 2):
+        context = [0, 0x01, 0x6101][level]
+        x, t = customers[level][context], tables[level][context]
+        unseen *= (1 + totals.discount[level] * t) / (1 + x)
+    assert p[:, 0].sum() + unseen == pytest.approx(1, abs=1e-9)
+
+
+# --------------------------------------------------------------- pipeline
+
+
+def test_pipeline_stage_by_stage(spark):
+    """Each stage on its own input, against a direct computation of what it decides."""
+    now = documents(spark, SF_MORE)
+    columns, seen = now.columns, {}
+    for name, stage in corpus_pipeline.STAGES:
+        before = {r.doc_id: r.text for r in now.collect()}
+        now = stored(stage(spark, now, SF_MORE), "test-stage")
+        rows = now.collect()
+        seen[name] = (len(before), len(rows))
+        if name == "packing":
+            assert {r.doc_id for r in rows} == set(before) and max(r.offset + r.length for r in rows) <= 2048
+            continue
+        assert now.columns == columns
+        after = {r.doc_id: r.text for r in rows}
+        assert len(after) == len(rows) and all(r.n_chars == len(r.text) for r in rows)
+        if name == "line_dedup":
+            key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate(FOLD)
+            found = Counter(k for t in before.values() for k in {key(x) for x in t.split("\n")} if k)
+            assert after == {i: "\n".join(x for x in t.split("\n") if found[key(x)] < 10) for i, t in before.items()}
+        else:
+            assert all(before[i] == t for i, t in after.items())
+        if name == "near_dedup":
+            assert set(after) == {i for i, (_, c) in brute_components(before).items() if i == c}
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF_MORE}/labels.parquet").collect()}
+    assert sum(labels.values()) * 0.5 < seen["toxicity"][0] - seen["toxicity"][1] < 0.3 * seen["toxicity"][0]
+    assert seen["language_id"][1] >= 0.98 * seen["language_id"][0]
+
+
+def test_classifying_stages_keep_clean_documents(spark):
+    sf = SF_MORE
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    kept = {r.doc_id for r in corpus_pipeline.toxicity(spark, documents(spark, sf), sf).collect()}
+    clean = [i for i, t in labels.items() if not t]
+    assert sum(i in kept for i in clean) >= 0.99 * len(clean)
+    assert sum(i in kept for i, t in labels.items() if t) <= 0.15 * sum(labels.values())

@@ -113,7 +113,7 @@ def gram_hashes(points: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]
     gram = context = np.zeros(n, np.uint64)
     for back in range(order - 1, -1, -1):
         past = np.zeros(n, np.uint64)
-        past[back:] = points[: n - back]
+        past[back:] = points[: max(n - back, 0)]
         context = gram
         gram = gram * np.uint64(0x9FB21C651E98DF25) + past + np.uint64(1)
     return mix(gram + np.uint64(order)), mix(context + np.uint64(order << 8))

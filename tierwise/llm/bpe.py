@@ -138,7 +138,7 @@ def piece_starts(points: np.ndarray, text_starts: np.ndarray) -> np.ndarray:
 
 WIDTHS = (8, 16, 32)  # bytes of the slices merged in one matrix; longer ones are merged by a heap
 ROWS = 4096
-CACHE_SLICES = 400_000
+CACHE_SLICES = 150_000
 NONE = np.int32(2**31 - 1)
 
 

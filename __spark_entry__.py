@@ -12,13 +12,13 @@ import importlib.util
 import os
 import sys
 from collections.abc import Callable
+from typing import NamedTuple
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 
 from tierwise.plans import catalog  # noqa: E402
-from tierwise.plans.spec import DEFAULT_PRESET, PRESETS  # noqa: E402
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 
@@ -44,9 +44,30 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 # --------------------------------------------------------------------------
-# Oracle SQL (DuckDB). Mappings M1-M3 are the same CASE expressions as
+# Oracle SQL (DuckDB). The lists of the presets are written out here, not taken
+# from the library. Mappings M1-M4 are the same CASE expressions as
 # tierwise.sources.mappings.
 
+class Policy(NamedTuple):
+    name: str
+    not_valid: tuple = ()
+    other: tuple = ()
+    reallocate: bool = True
+
+
+# The six published presets.
+PRESETS = {
+    "none": Policy("Not_reallocated", reallocate=False),
+    "unknown_only": Policy("Unknown_only", ("99", "X", "-1", "-3")),
+    "unknown_any_other": Policy("Unknown_and_any_other_reallocated", ("99", "X", "-1", "-3"), ("S",)),
+    "unknown_not_stated": Policy("Unknown_not_stated_only", ("99", "X", "-1", "-3", "Z")),
+    "unknown_not_stated_any_other": Policy("Unknown_not_stated_and_any_other_reallocated", ("99", "X", "-1", "-3", "Z"), ("S",)),
+    "all": Policy("All_reallocation", ("99", "X", "-1", "-3", "Z"), ("S", "G", "L", "P", "C")),
+    "both_lists": Policy("Both_lists", ("99", "Z"), ("Z", "S")),
+}
+DEFAULT_PRESET = "unknown_not_stated_any_other"
+SIX = [p for p in PRESETS if p != "both_lists"]
+
 M1 = """SELECT o_orderkey, o_custkey AS entity,
        CASE o_orderpriority WHEN '1-URGENT' THEN 'A' WHEN '2-HIGH' THEN 'G' WHEN '3-MEDIUM' THEN 'S'
             WHEN '4-NOT SPECIFIED' THEN 'Z' ELSE '99' END AS category,
@@ -86,6 +107,15 @@ M1_HOT = f"""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN CAST(-1 AS BIG
 M3_MONTHLY = f"""SELECT event_id, entity, category, CAST(date_trunc('month', observed_at) AS DATE) AS observed_at,
        source, flag FROM ({M3}) m3"""
 
+M4 = """SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 40 <> 0 THEN l_orderkey END AS entity,
+       CASE l_partkey % 17 WHEN 0 THEN '99' WHEN 1 THEN 'X' WHEN 2 THEN '-1' WHEN 3 THEN '-3' WHEN 4 THEN 'Z'
+            WHEN 5 THEN 'S' WHEN 6 THEN 'G' WHEN 7 THEN 'L' WHEN 8 THEN 'P' WHEN 9 THEN 'C' WHEN 10 THEN 'J'
+            WHEN 11 THEN 'U' WHEN 12 THEN 'A' WHEN 13 THEN 'B' WHEN 14 THEN 'historic' WHEN 15 THEN NULL ELSE 'A' END AS category,
+       CASE WHEN l_linenumber <> 3 THEN CAST(year(l_shipdate) AS INT) END AS observed_at,
+       CASE l_suppkey % 5 WHEN 0 THEN 'apc' WHEN 1 THEN 'ae' WHEN 2 THEN 'op' WHEN 3 THEN 'oth' END AS source,
+       CASE WHEN l_quantity >= 10 THEN CAST(l_discount > 0.05 AS INT) END AS flag
+FROM lineitem"""
+
 SOURCE_RANK = "CASE source WHEN 'apc' THEN 1 WHEN 'ae' THEN 2 WHEN 'op' THEN 3 END"
 
 
@@ -168,6 +198,39 @@ e AS (SELECT *, CASE WHEN count(DISTINCT lt) OVER (PARTITION BY entity) > 1 THEN
 SELECT * EXCLUDE (ov, lt) FROM e"""
 
 
+def _modal_any(src: str, preset: str) -> str:
+    """As :func:`_modal_sql`; records without an entity form one group."""
+    rows = _top_rows(src, preset) if PRESETS[preset].reallocate else f"SELECT * FROM ({src}) s0"
+    return f"""WITH k AS ({rows}),
+c AS (SELECT entity, category, count(category) AS cnt FROM k GROUP BY entity, category),
+mx AS (SELECT entity, max(cnt) AS mc FROM c GROUP BY entity)
+SELECT c.entity AS entity,
+       CASE WHEN count(DISTINCT c.category) > 1 THEN 'unresolved' ELSE max(c.category) END AS modal
+FROM c JOIN mx ON c.entity IS NOT DISTINCT FROM mx.entity AND c.cnt = mx.mc
+GROUP BY c.entity"""
+
+
+def _latest_plain_any(src: str, rule: str) -> str:
+    """As :func:`_latest_plain_rows`, but a real code 'historic' is a code like any other."""
+    hes = " QUALIFY ov = min(ov) OVER (PARTITION BY entity, observed_at)" if rule == "source" else ""
+    gp = " QUALIFY flag = max(flag) OVER (PARTITION BY entity, observed_at)" if rule == "flag" else ""
+    return f"""WITH a AS (SELECT *, {SOURCE_RANK} AS ov, observed_at = max(observed_at) OVER (PARTITION BY entity) AS newest FROM ({src}) s0),
+b AS (SELECT * FROM a{hes}),
+c AS (SELECT * FROM b WHERE newest AND category IS NOT NULL),
+d AS (SELECT * FROM c{gp}),
+e AS (SELECT *, CASE WHEN count(DISTINCT category) OVER (PARTITION BY entity) > 1 THEN 'unresolved' ELSE category END AS latest FROM d)
+SELECT * EXCLUDE (ov, newest) FROM e"""
+
+
+def _run_sql(dataset: str, preset: str) -> str:
+    rule = {"GP": "flag", "HES": "source", "IAPT": "none"}[dataset]
+    src = _clean(M4)
+    latest = _latest_realloc_rows(src, preset, rule) if PRESETS[preset].reallocate else _latest_plain_any(src, rule)
+    record = "r.l_orderkey AS l_orderkey, r.l_linenumber AS l_linenumber, " if dataset == "GP" else ""
+    return f"""SELECT {"" if record else "DISTINCT "}{record}r.entity AS entity, m.modal AS modal, r.latest AS latest
+FROM ({latest}) r LEFT JOIN ({_modal_any(src, preset)}) m ON r.entity = m.entity"""
+
+
 def _latest_pairs(rows_sql: str, count_rows: bool) -> str:
     if count_rows:
         return f"SELECT entity, latest, count(*) AS n_rows FROM ({rows_sql}) r GROUP BY entity, latest"
@@ -184,8 +247,8 @@ def _top_tier_sql(preset: str) -> str:
 GROUP BY entity, category, tier"""
 
 
-def _modal_diag_sql() -> str:
-    return f"""WITH a AS (SELECT *, count(category) OVER (PARTITION BY entity, category) AS count_of_category FROM ({M1}) m),
+def _modal_diag_sql(src: str = M1) -> str:
+    return f"""WITH a AS (SELECT *, count(category) OVER (PARTITION BY entity, category) AS count_of_category FROM ({src}) m),
 b AS (SELECT *, max(count_of_category) OVER (PARTITION BY entity) AS max_count_of_category FROM a),
 c AS (SELECT *, CASE WHEN count_of_category = max_count_of_category THEN category END AS cand FROM b),
 d AS (SELECT *, count(DISTINCT cand) OVER (PARTITION BY entity) AS n_tied,
@@ -211,11 +274,11 @@ def _clean(src: str) -> str:
 
 def oracle_sql() -> dict[str, str]:
     d = DEFAULT_PRESET
-    realloc = [p for p in PRESETS if PRESETS[p].reallocate]
+    realloc = [p for p in SIX if PRESETS[p].reallocate]
     q: dict[str, str] = {}
-    for p in PRESETS:
+    for p in SIX:
         q[f"tier_rows_{p}"] = _tier_rows_sql(p)
-    for p in PRESETS:
+    for p in SIX:
         q[f"top_tier_{p}"] = _top_tier_sql(p)
     for p in realloc:
         q[f"modal_{p}"] = _modal_sql(M1, p)
@@ -281,6 +344,28 @@ FROM ({_latest_plain_rows(M1, "source")}) r GROUP BY entity, latest"""
     for rule in ("none", "source", "flag"):
         q[f"resolve_small_groups_{rule}"] = _resolve_sql(_m2(), d, rule)
         q[f"resolve_small_groups_no_realloc_{rule}"] = _resolve_sql(_m2(), "none", rule)
+    q["top_tier_hot"] = f"SELECT o_orderkey, entity, category, tier FROM ({_top_rows(M1_HOT, d)}) t"
+    q["modal_no_realloc_diag_hot"] = _modal_diag_sql(M1_HOT)
+    for p in PRESETS:
+        other = f"CAST(category IN ({_lit_list(PRESETS[p].other)}) AS INT)" if PRESETS[p].other else "0"
+        q["tiers_both_lists" if p == "both_lists" else f"tiers_all_codes_{p}"] = f"""SELECT category, {_tier(p)} AS tier,
+       coalesce({other}, 0) AS is_other, count(*) AS n FROM ({M4}) m GROUP BY ALL"""
+    q["top_tier_all_codes"] = f"""SELECT l_orderkey, l_linenumber, entity, category, tier,
+       coalesce(CAST(category IN ({_lit_list(PRESETS["all"].other)}) AS INT), 0) AS is_other FROM ({_top_rows(M4, "all")}) t"""
+    for p in realloc:
+        q[f"modal_all_codes_{p}"] = _modal_any(M4, p)
+        q[f"latest_all_codes_{p}"] = _latest_pairs(_latest_realloc_rows(M4, p, "none"), False)
+    q["modal_all_codes_none"] = _modal_any(M4, "none")
+    for name, p, same in (("modal_attached_all_codes", d, "="), ("modal_attached_no_realloc_all_codes", "none", "IS NOT DISTINCT FROM")):
+        q[name] = f"""SELECT m.l_orderkey AS l_orderkey, m.l_linenumber AS l_linenumber, m.entity AS entity, x.modal AS modal
+FROM ({M4}) m LEFT JOIN ({_modal_any(M4, p)}) x ON m.entity {same} x.entity"""
+    for rule in ("none", "source", "flag"):
+        q[f"latest_no_realloc_all_codes_{rule}"] = _latest_pairs(_latest_plain_any(M4, rule), False)
+        if rule != "none":
+            q[f"latest_all_codes_rule_{rule}"] = _latest_pairs(_latest_realloc_rows(M4, d, rule), False)
+    for dataset in ("GP", "HES", "IAPT"):
+        q[f"run_{dataset.lower()}"] = _run_sql(dataset, d)
+        q[f"run_{dataset.lower()}_no_realloc"] = _run_sql(dataset, "none")
     if (llm := _llm()) is not None:
         q |= llm.ORACLE_SQL
     return q

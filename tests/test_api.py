@@ -240,3 +240,70 @@ def test_entity_column_named_like_internal_keys(spark, gdf):
     b = sorted((r["n"], r["latest"]) for r in latest_rows(renamed, spec, Rule.FLAG, POLICY, min_rows=1).collect()
                if r["n"] is not None)
     assert a == b
+
+
+def _sorted(df):
+    return sorted(map(str, df.collect()))
+
+
+@pytest.mark.parametrize("dataset", ["GP", "HES", "IAPT"])
+def test_appending_runs_adds_each_run_once(spark, gdf, dataset):
+    from tierwise import run_and_save
+
+    base = tempfile.mkdtemp(prefix="tierwise-append-")
+    cfg = RunConfig(dataset, POLICY, SPEC)
+    once = run(gdf, cfg)
+    written = run_and_save(gdf, cfg, base, mode="append")
+    assert run_and_save(gdf, cfg, base, mode="append") == written
+    for name in ("resolved", "latest", "manifest"):
+        columns = once[name].columns
+        twice = _sorted(spark.read.parquet(written[name]).select(*columns))
+        assert twice == sorted(2 * _sorted(once[name])), name
+
+
+def test_modes_that_could_mix_runs(spark, gdf):
+    from tierwise import run_and_save
+    from tierwise.__main__ import main
+
+    base = tempfile.mkdtemp(prefix="tierwise-modes-")
+    cfg = RunConfig("GP", POLICY, SPEC)
+    with pytest.raises(ValueError, match="ignore"):
+        run_and_save(gdf, cfg, base, mode="ignore")
+    with pytest.raises(SystemExit):
+        main(["--input", "x", "--dataset", "GP", "--out", base, "--mode", "ignore"])
+    written = run_and_save(gdf, cfg, base, mode="errorifexists")
+    before = _sorted(spark.read.parquet(written["latest"]))
+    with pytest.raises(Exception, match="already exists"):
+        run_and_save(gdf.limit(3), cfg, base, mode="errorifexists")
+    assert _sorted(spark.read.parquet(written["latest"])) == before
+    again = run_and_save(gdf, cfg, base, mode="overwrite")
+    assert _sorted(spark.read.parquet(again["latest"])) == before
+
+
+def test_run_to_tables_with_edited_lists_and_dedupe(spark, gdf):
+    from tierwise.__main__ import main
+
+    base = tempfile.mkdtemp(prefix="tierwise-cli-")
+    src = os.path.join(base, "in.parquet")
+    gdf.write.parquet(src)
+    prefix = "twtest_" + os.path.basename(base).replace("-", "_")
+    with pytest.raises(SystemExit):
+        main(["--input", src, "--dataset", "GP", "--out", prefix, "--not-valid", "99"])
+    written = main(["--input", src, "--dataset", "GP", "--out", prefix, "--not-valid", "99, X", "--other", "", "--run-name", "My run", "--dedupe"])
+    assert written["latest"] == f"{prefix}_My_run_latest"
+    latest = spark.read.table(written["latest"])
+    assert latest.count() == latest.select("entity").distinct().count()
+    manifest_rows = {r["Name"]: r["Counts"] for r in spark.read.table(written["manifest"]).collect()}
+    assert manifest_rows["Not valid list"] == "['99', 'X']" and manifest_rows["Other list"] == "[]"
+    for name in written.values():
+        spark.sql(f"DROP TABLE {name}")
+
+
+def test_other_codes_can_be_marked(spark, gdf):
+    from tierwise import assign_tier
+    from tierwise.plans import compat
+
+    rows = assign_tier(gdf, SPEC, POLICY, is_other="is_other").collect()
+    assert all(r["is_other"] == (r["category"] in POLICY.other) for r in rows)
+    marked = compat.initial_clean(gdf, "category", "entity", ["S"], ["99"], is_other=True)
+    assert {"ethnicity_hierarchy", "is_other"} <= set(marked.columns)

@@ -5,7 +5,8 @@ import re
 import pytest
 
 from conftest import SF_SMALL
-from tierwise import PRESETS, ColumnSpec, Rule, latest_by_entity, latest_rows, modal_by_entity, resolve
+from tierwise import (PRESETS, ColumnSpec, Rule, attach_modal, keep_top_tier, latest_by_entity, latest_rows,
+                      modal_by_entity, prepare, resolve)
 from tierwise.sources.mappings import m1_orders, m2_lineitem
 
 SPEC = ColumnSpec()
@@ -59,7 +60,63 @@ def test_entity_filter_reaches_scan(spark):
     assert re.search(r"PushedFilters: \[[^\]]*o_custkey", p)
 
 
-def test_flag_rows_hot_key_table_is_broadcast(spark):
-    p = plan(latest_rows(m2_lineitem(spark, SF_SMALL), SPEC, Rule.FLAG, POL))
-    assert "BroadcastHashJoin" in p or "BroadcastExchange" in p
+def test_hot_key_table_is_broadcast_by_hint(spark):
+    """The broadcast doesn't hang on Spark's own size estimate: the bounded table carries the hint."""
+    df = latest_rows(m2_lineitem(spark, SF_SMALL), SPEC, Rule.FLAG, POL)
+    assert "strategy=broadcast" in df._jdf.queryExecution().analyzed().toString()
+    p = plan(df)
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
+
+
+ROW_FORMS = {
+    "top_tier": lambda df: keep_top_tier(df, SPEC, POL),
+    "modal": lambda df: attach_modal(df, SPEC, POL),
+    "modal_none": lambda df: attach_modal(df, SPEC, PRESETS["none"]),
+    "flag": lambda df: latest_rows(df, SPEC, Rule.FLAG, POL),
+}
+
+
+@pytest.fixture
+def static_plans(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    yield
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+
+
+@pytest.mark.parametrize("form", ROW_FORMS)
+def test_row_forms_read_the_input_twice(spark, static_plans, form):
+    """Once for the per-entity summary, whose shuffle also counts the keys, and once for the rows."""
+    p = plan(ROW_FORMS[form](m1_orders(spark, SF_SMALL)))
+    assert count(r"FileScan parquet", p) == 2, p
+
+
+@pytest.mark.parametrize("form", ROW_FORMS)
+def test_entity_filter_on_the_input_reaches_every_scan(spark, static_plans, form):
+    """Filtering the input by entity is filtering the result, and reaches the scans."""
+    m = m1_orders(spark, SF_SMALL)
+    filtered = ROW_FORMS[form](m.where("entity = 7"))
+    scans = re.findall(r"FileScan parquet[^\n]*", plan(filtered))
+    assert scans and all(re.search(r"PushedFilters: \[[^\]]*o_custkey", s) for s in scans)
+    key = lambda d: sorted(map(str, d.collect()))
+    assert key(filtered) == key(ROW_FORMS[form](m).where("entity = 7"))
+
+
+@pytest.mark.parametrize("form, used", [
+    ("top_tier", {"o_custkey", "o_orderpriority", "o_orderkey"}),
+    ("modal", {"o_custkey", "o_orderpriority", "o_orderkey"}),
+    ("flag", {"o_custkey", "o_orderpriority", "o_orderkey", "o_orderdate", "o_totalprice"}),
+])
+def test_row_forms_read_only_used_columns(spark, static_plans, form, used):
+    p = plan(ROW_FORMS[form](m1_orders(spark, SF_SMALL)).select("o_orderkey", "entity"))
+    for schema in re.findall(r"ReadSchema: struct<([^>]*)>", p):
+        assert {x.split(":")[0] for x in schema.split(",")} <= used
+
+
+@pytest.mark.parametrize("clean", [True, False])
+def test_resolve_in_a_run_adds_no_shuffle(spark, static_plans, clean):
+    m = m1_orders(spark, SF_SMALL)
+    df = prepare(m, SPEC) if not clean else m
+    p = plan(resolve(df, SPEC, POL, Rule.FLAG, clean=clean, no_null_entity=True))
+    assert count(r"Exchange hashpartitioning", p) == 3

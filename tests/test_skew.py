@@ -94,3 +94,66 @@ def test_hot_null_entity(spark, skewed):
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_keys_above_the_task_limit_are_split_whatever_the_partitions(spark):
+    """200 of 1,000 rows on one key, 4 partitions: below N / P, above the rows of a task."""
+    rows = spark.range(1000).select(F.when(F.col("id") < 200, F.lit(-1)).otherwise(F.col("id")).alias("k"), "id")
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for p in ("4", "200"):
+            spark.conf.set("spark.sql.shuffle.partitions", p)
+            hot = hot_keys(rows, ["k"], null_safe=True, piece_rows=10).collect()
+            assert [(r["k"], r["__tw_pieces"]) for r in hot] == [(-1, 20)]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert hot_keys(rows, ["k"], null_safe=True, piece_rows=201).collect() == []
+
+
+def test_hot_key_table_never_passes_its_bound(spark, monkeypatch):
+    import tierwise.plans.skew as skew
+
+    rows = spark.range(5000).select((F.col("id") % 500).alias("k"))
+    monkeypatch.setattr(skew, "MAX_HOT", 50)  # 500 keys of 10 rows: all below a 50th of the rows
+    assert skew.hot_keys(rows, ["k"], null_safe=True, piece_rows=1).collect() == []
+    monkeypatch.setattr(skew, "MAX_HOT", 600)
+    assert len(skew.hot_keys(rows, ["k"], null_safe=True, piece_rows=1).collect()) == 500
+
+
+def test_wide_rows_make_smaller_pieces(spark):
+    from tierwise.plans.skew import row_width
+
+    narrow = spark.range(1).select("id")
+    wide = narrow.select("id", *[F.lit("x").alias(f"c{k}") for k in range(100)])
+    assert row_width(narrow) == 8 and row_width(wide) == 8 + 100 * 64
+
+
+def test_catalogue_hot_queries_split(spark):
+    """The registered hot queries do exercise the split: their hot table is not empty."""
+    from tierwise.plans import catalog
+
+    hot = hot_keys(catalog._m1_hot(spark, SF_ORACLE), ["entity"], null_safe=True, piece_rows=catalog.HOT_PIECE).collect()
+    assert [r["entity"] for r in hot] == [-1] and hot[0]["__tw_pieces"] >= 2
+
+
+def test_result_names_must_be_new(spark, skewed):
+    from tierwise import assign_tier
+
+    for name, f in {
+        "latest": lambda d: latest_rows(d, SPEC, Rule.FLAG, POL),
+        "Latest": lambda d: latest_rows(d, SPEC, Rule.SOURCE, POL),
+        "tier": lambda d: keep_top_tier(d, SPEC, POL),
+        "TIER": lambda d: assign_tier(d, SPEC, POL),
+        "modal": lambda d: attach_modal(d, SPEC, POL),
+        "n_tied": lambda d: attach_modal(d, SPEC, PRESETS["none"], diagnostics=True),
+    }.items():
+        with pytest.raises(ValueError, match="already exist"):
+            f(skewed.withColumn(name, F.lit(1)))
+
+
+def test_column_names_ignore_case_as_spark_does(spark, skewed):
+    upper = skewed.select([F.col(c).alias(c.upper()) for c in skewed.columns])
+    a = keep_top_tier(upper, SPEC, POL)
+    assert a.columns == [c.upper() for c in skewed.columns] + ["tier"]
+    assert sorted(r["O_ORDERKEY"] for r in a.collect()) == sorted(r["o_orderkey"] for r in keep_top_tier(skewed, SPEC, POL).collect())
+    assert latest_rows(upper, SPEC, Rule.FLAG, POL).count() == latest_rows(skewed, SPEC, Rule.FLAG, POL).count()

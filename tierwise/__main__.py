@@ -13,11 +13,12 @@ from __future__ import annotations
 
 import argparse
 import sys
+from dataclasses import replace
 
 from pyspark.sql import SparkSession
 
 from .plans.runs import run_and_save
-from .plans.spec import DEFAULT_PRESET, PRESETS, ColumnSpec, RunConfig
+from .plans.spec import DEFAULT_PRESET, PRESETS, ColumnSpec, RunConfig, TierPolicy
 from .sources.io import read_input
 
 
@@ -33,10 +34,30 @@ def parse(argv: list[str]) -> argparse.Namespace:
     p.add_argument("--source-col", default="source")
     p.add_argument("--flag-col", default="flag")
     p.add_argument("--date-grain", choices=["day", "month", "year"], default=None)
-    p.add_argument("--mode", default="overwrite", choices=["overwrite", "errorifexists", "append", "ignore"])
+    p.add_argument("--mode", default="overwrite", choices=["overwrite", "errorifexists", "append"])
+    p.add_argument("--not-valid", help="comma-separated codes that replace the preset's not-valid list")
+    p.add_argument("--other", help="comma-separated codes that replace the preset's other list")
+    p.add_argument("--run-name", help="name of the run (default: the preset's); needed with edited lists")
+    p.add_argument("--source-order", help="comma-separated source values, best first")
+    p.add_argument("--dedupe", action="store_true", help="keep one latest record per entity")
     return p.parse_args(argv)
 
 
+def _codes(text: str) -> tuple[str, ...]:
+    return tuple(c.strip() for c in text.split(",") if c.strip())
+
+
+def policy_of(args: argparse.Namespace) -> TierPolicy:
+    """The preset, with the lists that the command line replaces."""
+    policy = PRESETS[args.preset]
+    edited = {k: _codes(v) for k, v in (("not_valid", args.not_valid), ("other", args.other)) if v is not None}
+    if edited and not args.run_name:
+        raise SystemExit("--not-valid and --other need a --run-name: the preset's name would say otherwise")
+    if edited:
+        edited["reallocate"] = True
+    return replace(policy, name=args.run_name or policy.name, **edited)
+
+
 def main(argv: list[str] | None = None) -> dict[str, str]:
     args = parse(sys.argv[1:] if argv is None else argv)
     spark = SparkSession.builder.getOrCreate()
@@ -47,9 +68,10 @@ def main(argv: list[str] | None = None) -> dict[str, str]:
         source=args.source_col,
         flag=args.flag_col,
         date_grain=args.date_grain,
+        **({"source_order": _codes(args.source_order)} if args.source_order else {}),
     )
-    policy = PRESETS[args.preset]
-    return run_and_save(read_input(spark, args.input), RunConfig(args.dataset, policy, spec), args.out, mode=args.mode)
+    config = RunConfig(args.dataset, policy_of(args), spec)
+    return run_and_save(read_input(spark, args.input), config, args.out, mode=args.mode, dedupe=args.dedupe)
 
 
 def cli() -> int:

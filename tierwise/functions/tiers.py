@@ -28,3 +28,9 @@ def tier_of(category: str | Column, policy: TierPolicy) -> Column:
     if policy.other:
         expr = expr.when(c.isin(list(policy.other)), F.lit(OTHER))
     return expr.otherwise(F.lit(top_tier(policy)))
+
+
+def other_of(category: str | Column, policy: TierPolicy) -> Column:
+    """1 where the code is in the policy's "other" list, else 0."""
+    c = F.col(category) if isinstance(category, str) else category
+    return F.coalesce(c.isin(list(policy.other)), F.lit(False)).cast("int") if policy.other else F.lit(0)

@@ -46,7 +46,7 @@ from pyspark.sql import types as T
 
 from ..functions.keys import key, source_rank, time_number
 from ..functions.tiers import tier_of
-from ..plans.skew import split_join
+from ..plans.skew import check_new, split_join
 from ..plans.spec import RESERVED_PREFIX, UNRESOLVED, ColumnSpec, Rule, TierPolicy
 
 P = RESERVED_PREFIX
@@ -83,7 +83,7 @@ class LatestPlan:
         reallocate: bool,
         tie_break: list[str] | None = None,
     ):
-        spec.validate(df, rule)
+        spec = spec.resolved(df, rule)
         if reallocate and policy is None:
             raise ValueError("re-allocation needs a TierPolicy")
         self.spec, self.rule, self.policy, self.reallocate = spec, rule, policy, reallocate
@@ -304,6 +304,7 @@ def latest_by_entity(
     if reallocate is None:
         reallocate = policy is not None and policy.reallocate
     plan = LatestPlan(df, spec, rule, policy, reallocate)
+    spec = plan.spec
     agg = plan.with_keys(df).groupBy(spec.entity).agg(*plan.aggs(rows=False))
     vals = agg.select(spec.entity, F.explode(plan.value_structs(plan.decide(), rows=False)).alias(P + "o"))
     return vals.select(spec.entity, F.col(P + "o")["v"].alias(out))
@@ -327,6 +328,7 @@ def latest_value_by_entity(
     if reallocate is None:
         reallocate = policy is not None and policy.reallocate
     plan = LatestPlan(df, spec, rule, policy, reallocate)
+    spec = plan.spec
     agg = plan.with_keys(df).groupBy(spec.entity).agg(*plan.aggs(rows=False))
     first = F.try_element_at(plan.value_structs(plan.decide(), rows=False), F.lit(1))
     return agg.where(first.isNotNull()).select(spec.entity, first["v"].alias(out))
@@ -342,6 +344,7 @@ def latest_rows(
     out: str = "latest",
     tie_break: list[str] | None = None,
     diagnostics: bool = False,
+    entity_cols: DataFrame | None = None,
     **split_opts,
 ) -> DataFrame:
     """Input records carrying their entity's latest code (column ``out``).
@@ -357,11 +360,17 @@ def latest_rows(
     ``source_rank`` (``Rule.SOURCE``: the record's source priority), and with
     re-allocation ``tier`` (the record's tier) and ``n_codes`` (distinct
     non-NULL codes at the entity's top tier; 1 means the one-code path).
+
+    ``entity_cols`` (at most one row per entity: the entity column and others)
+    adds its columns to the records, on the way that the entity's result takes
+    anyway; a NULL entity matches a NULL one only without re-allocation.
     """
     rule = _resolve_rule(rule)
+    spec = spec.resolved(df, rule)
+    check_new(df, [out, *(c for c in (entity_cols.columns if entity_cols is not None else []) if c != spec.entity)])
     if reallocate is None:
         reallocate = policy is not None and policy.reallocate
-    result = _latest_rows(df, spec, rule, policy, reallocate, out, tie_break, split_opts)
+    result = _latest_rows(df, spec, rule, policy, reallocate, out, tie_break, split_opts, entity_cols)
     if not diagnostics:
         return result
     return _with_diagnostics(result, df, spec, rule, policy, reallocate, split_opts)
@@ -371,9 +380,7 @@ def _with_diagnostics(result, df, spec, rule, policy, reallocate, split_opts) ->
     names = ["max_date"] + (["tier", "n_codes"] if reallocate else []) + (
         ["source_rank"] if rule is Rule.SOURCE else []
     )
-    clash = [n for n in names if n in df.columns]
-    if clash:
-        raise ValueError(f"diagnostic columns {clash} already exist in the input")
+    check_new(df, names)
     c, d = F.col(spec.category), F.col(spec.observed_at)
     # Per (entity, code) first: an entity's records fold map-side.
     per_code = df.groupBy(spec.entity, spec.category).agg(
@@ -403,7 +410,7 @@ def _with_diagnostics(result, df, spec, rule, policy, reallocate, split_opts) ->
     key_counts = per_code.groupBy(spec.entity).agg(F.sum(N_ROWS).alias(N_ROWS))
     joined = split_join(
         result, per_entity, [spec.entity], how="left", null_safe=True,
-        count_col=N_ROWS, key_counts=key_counts, **split_opts,
+        count_col=N_ROWS, key_counts=key_counts, spread_by=spec.required(rule), **split_opts,
     )
     extra = []
     if reallocate:
@@ -413,19 +420,21 @@ def _with_diagnostics(result, df, spec, rule, policy, reallocate, split_opts) ->
     return joined.select(*result.columns, *extra, *[n for n in ("n_codes", "max_date") if n in joined.columns])
 
 
-def _latest_rows(df, spec, rule, policy, reallocate, out, tie_break, split_opts) -> DataFrame:
+def _latest_rows(df, spec, rule, policy, reallocate, out, tie_break, split_opts, entity_cols=None) -> DataFrame:
     plan = LatestPlan(df, spec, rule, policy, reallocate, tie_break)
     keyed = plan.with_keys(df)
     if rule is not Rule.FLAG:
         agg = keyed.groupBy(spec.entity).agg(*plan.aggs(rows=True))
         vals = agg.select(F.explode(plan.value_structs(plan.decide(), rows=True)).alias(P + "o"))
-        return vals.select(
+        found = vals.select(
             *[
                 F.col(P + "o")["row_x" if c in plan.unordered_cols else "row"][c].alias(c)
                 for c in df.columns
             ],
             F.col(P + "o")["v"].alias(out),
         )
+        # two rows per entity at most: a plain join has no hot key here
+        return found if entity_cols is None else _with_entity_cols(found, entity_cols, spec.entity, not reallocate)
 
     # Flag rule: keep every record at the best key. The summary keeps every
     # entity (with a validity flag) so that its row counts describe all rows.
@@ -442,19 +451,21 @@ def _latest_rows(df, spec, rule, policy, reallocate, out, tie_break, split_opts)
             *[plan.best_key(f).alias(P + "best_" + f) for f in plan.families],
         )
     )
+    added = []
+    if entity_cols is not None:
+        added = [c for c in entity_cols.columns if c != spec.entity]
+        summary = _with_entity_cols(summary, entity_cols, spec.entity, not reallocate)
     # Records that can never sit at a best key need not cross the shuffle:
     # every family's key needs a date, and without re-allocation a NULL code
     # is never returned.
     candidates = keyed.where(F.col(P + "k_n").isNotNull())
     if not reallocate:
         candidates = candidates.where(F.col(spec.category).isNotNull())
-    # hot keys from a plain count of the input's entity column (an upper bound
-    # on the candidates per entity, reading one column): the summary is a
-    # struct aggregation, too costly to compute a second time for counting
-    key_counts = df.groupBy(spec.entity).agg(F.count(F.lit(1)).alias(N_ROWS))
+    # the summary's own counts (of all the entity's records, an upper bound on
+    # the candidates) find the hot keys: its shuffle serves both
     joined = split_join(
-        candidates, summary.drop(N_ROWS), [spec.entity], how="inner", null_safe=True,
-        count_col=N_ROWS, key_counts=key_counts, **split_opts,
+        candidates, summary, [spec.entity], how="inner", null_safe=True,
+        count_col=N_ROWS, spread_by=spec.required(rule), **split_opts,
     )
     at_best = F.col(P + "k_n") == F.col(P + "best_n")
     if "x" in plan.families:
@@ -463,4 +474,12 @@ def _latest_rows(df, spec, rule, policy, reallocate, out, tie_break, split_opts)
     if not reallocate:
         cond = cond & F.col(spec.category).isNotNull()
     value = F.when(F.col(P + "conflict"), F.lit(UNRESOLVED)).otherwise(F.col(spec.category))
-    return joined.where(cond).select(*[F.col(c) for c in df.columns], value.alias(out))
+    return joined.where(cond).select(*[F.col(c) for c in df.columns], value.alias(out), *added)
+
+
+def _with_entity_cols(rows: DataFrame, entity_cols: DataFrame, entity: str, null_safe: bool) -> DataFrame:
+    """``rows`` (few per entity) with the columns of ``entity_cols``."""
+    if not null_safe:  # keeps the partitioning that both sides share
+        return rows.join(entity_cols, on=entity, how="left").select(*rows.columns, *[c for c in entity_cols.columns if c != entity])
+    other = entity_cols.withColumnRenamed(entity, P + "le")
+    return rows.join(other, F.col(entity).eqNullSafe(F.col(P + "le")), how="left").drop(P + "le")

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tiers import tier_of
-from ..plans.skew import split_join
+from ..plans.skew import check_new, split_join
 from ..plans.spec import RESERVED_PREFIX, UNRESOLVED, ColumnSpec, TierPolicy
 
 P = RESERVED_PREFIX
@@ -68,7 +68,7 @@ def modal_by_entity(
     ``policy=None`` or ``reallocate=False`` counts every record (no tiers).
     ``with_counts`` adds the entity's record count (column ``n_records``).
     """
-    spec.validate(df)
+    spec = spec.resolved(df)
     if reallocate is None:
         reallocate = policy is not None and policy.reallocate
     counts = category_counts(df, spec, policy if reallocate else None)
@@ -97,16 +97,21 @@ def attach_modal(
     helper columns ``count_of_category`` (records of this code for this
     entity), ``max_count_of_category`` and ``n_tied`` (codes at that count).
     """
-    spec.validate(df)
+    spec = spec.resolved(df)
     if reallocate is None:
         reallocate = policy is not None and policy.reallocate
     if diagnostics:
         if reallocate:
             raise ValueError("diagnostics are defined for the no-re-allocation form only")
         return _attach_with_diagnostics(df, spec, out, **split_opts)
-    summary = modal_by_entity(df, spec, policy, out=out, reallocate=reallocate)
-    # hot keys from a plain count of the entity column (cheap hash aggregate)
-    return split_join(df, summary, [spec.entity], how="left", null_safe=not reallocate, **split_opts)
+    check_new(df, [out])
+    # the summary's own counts find the hot keys: its shuffle serves both
+    summary = modal_by_entity(df, spec, policy, out=out, reallocate=reallocate, with_counts=True)
+    summary = summary.withColumnRenamed("n_records", N_ROWS)
+    return split_join(
+        df, summary, [spec.entity], how="left", null_safe=not reallocate, count_col=N_ROWS,
+        spread_by=[spec.entity, spec.category], **split_opts,
+    )
 
 
 def _attach_with_diagnostics(df: DataFrame, spec: ColumnSpec, out: str, **split_opts) -> DataFrame:
@@ -122,6 +127,7 @@ def _attach_with_diagnostics(df: DataFrame, spec: ColumnSpec, out: str, **split_
     reach the per-code rows, and those the records, through ``split_join``.
     """
     e, c = spec.entity, spec.category
+    check_new(df, [out, "count_of_category", "max_count_of_category", "n_tied"])
     counts = category_counts(df, spec, None)  # e, c, cnt, n, tier (0)
     per_entity = (
         counts.groupBy(e, P + "cnt")
@@ -170,5 +176,6 @@ def _attach_with_diagnostics(df: DataFrame, spec: ColumnSpec, out: str, **split_
         null_safe=True,
         count_col=N_ROWS,
         key_counts=counts.select(e, c, N_ROWS),
+        spread_by=[e, c],
         **split_opts,
     )

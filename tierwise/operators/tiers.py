@@ -5,21 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.tiers import tier_of
-from ..plans.skew import split_join
+from ..functions.tiers import other_of, tier_of
+from ..plans.skew import check_new, split_join
 from ..plans.spec import RESERVED_PREFIX, ColumnSpec, TierPolicy
 
 
-def assign_tier(df: DataFrame, spec: ColumnSpec, policy: TierPolicy, out: str = "tier") -> DataFrame:
-    """Add the record's tier (0 not valid, 1 other, 2 valid; 0/1 without an other list)."""
-    spec.validate(df)
-    return df.withColumn(out, tier_of(spec.category, policy))
+def assign_tier(
+    df: DataFrame, spec: ColumnSpec, policy: TierPolicy, out: str = "tier", *, is_other: str | None = None
+) -> DataFrame:
+    """Add the record's tier (0 not valid, 1 other, 2 valid; 0/1 without an other
+    list); ``is_other`` names a column for "the code is in the other list" (0/1)."""
+    spec = spec.resolved(df)
+    check_new(df, [out, *([is_other] if is_other else [])])
+    df = df.withColumn(out, tier_of(spec.category, policy))
+    return df.withColumn(is_other, other_of(spec.category, policy)) if is_other else df
 
 
 def top_tier_by_entity(df: DataFrame, spec: ColumnSpec, policy: TierPolicy) -> DataFrame:
     """One row per entity (NULL entities form one group): ``entity,
     top_tier, n_records``."""
-    spec.validate(df)
+    spec = spec.resolved(df)
     return df.groupBy(spec.entity).agg(
         F.max(tier_of(spec.category, policy)).alias("top_tier"),
         F.count(F.lit(1)).alias("n_records"),
@@ -32,6 +37,7 @@ def keep_top_tier(
     policy: TierPolicy,
     *,
     tier_col: str | None = "tier",
+    is_other: str | None = None,
     **split_opts,
 ) -> DataFrame:
     """Keep only the records at their entity's highest tier.
@@ -42,15 +48,21 @@ def keep_top_tier(
     so an entity holding a large share of the rows is split over many tasks.
     NULL entities are one group, as in a window partitioned by the entity.
     """
-    spec.validate(df)
-    top = top_tier_by_entity(df, spec, policy).select(
-        spec.entity, F.col("top_tier").alias(RESERVED_PREFIX + "top")
-    )
+    spec = spec.resolved(df)
+    check_new(df, [c for c in (tier_col, is_other) if c])
+    # the counts of the same aggregate find the hot keys: one shuffle, one read
+    best, n = RESERVED_PREFIX + "top", RESERVED_PREFIX + "n"
+    top = top_tier_by_entity(df, spec, policy).select(spec.entity, F.col("top_tier").alias(best), F.col("n_records").alias(n))
     tier = RESERVED_PREFIX + "tier"
     rows = df.withColumn(tier, tier_of(spec.category, policy))
-    joined = split_join(rows, top, [spec.entity], how="inner", null_safe=True, **split_opts)
-    kept = joined.where(F.col(tier) == F.col(RESERVED_PREFIX + "top"))
+    joined = split_join(
+        rows, top, [spec.entity], how="inner", null_safe=True, count_col=n,
+        spread_by=[spec.entity, spec.category], **split_opts,
+    )
+    kept = joined.where(F.col(tier) == F.col(best))
     cols = [F.col(c) for c in df.columns]
     if tier_col:
         cols.append(F.col(tier).alias(tier_col))
+    if is_other:
+        cols.append(other_of(spec.category, policy).alias(is_other))
     return kept.select(*cols)

@@ -16,9 +16,9 @@ from ..operators.dedupe import dedupe
 from ..operators.latest import latest_by_entity, latest_rows
 from ..operators.modal import attach_modal, modal_by_entity
 from ..operators.tiers import assign_tier, keep_top_tier
-from ..sources.mappings import m1_orders, m2_lineitem, m3_events
-from .runs import manifest, prepare, resolve
-from .spec import DEFAULT_PRESET, PRESETS, ColumnSpec, Rule
+from ..sources.mappings import m1_orders, m2_lineitem, m3_events, m4_all_codes
+from .runs import manifest, prepare, resolve, run
+from .spec import DEFAULT_PRESET, PRESETS, ColumnSpec, Rule, RunConfig, TierPolicy
 
 SPEC = ColumnSpec()
 DEFAULT = PRESETS[DEFAULT_PRESET]
@@ -38,9 +38,7 @@ def _tier_rows(preset: str) -> Query:
 
 def _top_tier(preset: str) -> Query:
     def q(spark, sf):
-        # project first: the row-level join carries every column it is given
-        rows = m2_lineitem(spark, sf).select("entity", "category")
-        kept = keep_top_tier(rows, SPEC, PRESETS[preset])
+        kept = keep_top_tier(m2_lineitem(spark, sf), SPEC, PRESETS[preset])
         return kept.groupBy("entity", "category", "tier").agg(F.count(F.lit(1)).alias("n_rows"))
 
     return q
@@ -57,9 +55,7 @@ def _latest(preset: str, rule: Rule, mapping, *, count_rows=False, **mapping_opt
     def q(spark, sf):
         df = mapping(spark, sf, **mapping_opts)
         if count_rows:
-            # project first: the row-level join carries every column it is given
-            needed = ["entity", "category", "observed_at", "flag" if rule is Rule.FLAG else "source"]
-            rows = latest_rows(df.select(*needed), SPEC, rule, PRESETS[preset])
+            rows = latest_rows(df, SPEC, rule, PRESETS[preset])
             return rows.groupBy("entity", "latest").agg(F.count(F.lit(1)).alias("n_rows"))
         return latest_by_entity(df, SPEC, rule, PRESETS[preset])
 
@@ -150,8 +146,64 @@ def _latest_records(mapping, preset: str, rule: Rule, spec: ColumnSpec = SPEC) -
     return q
 
 
+#: Rows of a task in the hot-key queries: small, so that the planted entity is split at any scale.
+HOT_PIECE = 500
+
+
 def modal_attached_hot(spark, sf):
-    return attach_modal(_m1_hot(spark, sf), SPEC, DEFAULT).select("o_orderkey", "entity", "modal")
+    return attach_modal(_m1_hot(spark, sf), SPEC, DEFAULT, piece_rows=HOT_PIECE).select("o_orderkey", "entity", "modal")
+
+
+def latest_flag_records_hot(spark, sf):
+    rows = latest_rows(_m1_hot(spark, sf), SPEC, Rule.FLAG, DEFAULT, piece_rows=HOT_PIECE)
+    return rows.select("o_orderkey", "entity", "latest")
+
+
+def top_tier_hot(spark, sf):
+    kept = keep_top_tier(_m1_hot(spark, sf), SPEC, DEFAULT, piece_rows=HOT_PIECE)
+    return kept.select("o_orderkey", "entity", "category", "tier")
+
+
+def modal_no_realloc_diag_hot(spark, sf):
+    a = attach_modal(_m1_hot(spark, sf), SPEC, NONE, diagnostics=True, piece_rows=HOT_PIECE)
+    return a.select("o_orderkey", "entity", "modal", "count_of_category", "max_count_of_category", "n_tied")
+
+
+# ---- every code, NULL entities, codes, dates, sources and flags (M4)
+
+#: A code in both lists is not valid.
+BOTH_LISTS = TierPolicy("Both_lists", ("99", "Z"), ("Z", "S"))
+
+
+def _tiers_all_codes(policy: TierPolicy) -> Query:
+    def q(spark, sf):
+        t = assign_tier(m4_all_codes(spark, sf), SPEC, policy, is_other="is_other")
+        return t.groupBy("category", "tier", "is_other").agg(F.count(F.lit(1)).alias("n"))
+
+    return q
+
+
+def _attached_all_codes(preset: str) -> Query:
+    def q(spark, sf):
+        return attach_modal(m4_all_codes(spark, sf), SPEC, PRESETS[preset]).select("l_orderkey", "l_linenumber", "entity", "modal")
+
+    return q
+
+
+def top_tier_all_codes(spark, sf):
+    kept = keep_top_tier(m4_all_codes(spark, sf), SPEC, PRESETS["all"], is_other="is_other")
+    return kept.select("l_orderkey", "l_linenumber", "entity", "category", "tier", "is_other")
+
+
+def _run(dataset: str, preset: str) -> Query:
+    """The documented run: the latest records, each with its entity's modal value."""
+
+    def q(spark, sf):
+        latest = run(m4_all_codes(spark, sf), RunConfig(dataset, PRESETS[preset], SPEC))["latest"]
+        record = ["l_orderkey", "l_linenumber"] if dataset == "GP" else []
+        return latest.select(*record, "entity", "modal", "latest")
+
+    return q
 
 
 def latest_events_monthly(spark, sf):
@@ -224,7 +276,9 @@ def catalogue() -> dict[str, Query]:
     q["latest_events_no_realloc"] = _latest("none", Rule.NONE, m3_events)
     q["latest_events_monthly"] = latest_events_monthly
     q["modal_attached_hot"] = modal_attached_hot
-    q["latest_flag_records_hot"] = _latest_records(_m1_hot, DEFAULT_PRESET, Rule.FLAG)
+    q["latest_flag_records_hot"] = latest_flag_records_hot
+    q["top_tier_hot"] = top_tier_hot
+    q["modal_no_realloc_diag_hot"] = modal_no_realloc_diag_hot
     q["latest_source_diag"] = latest_source_diag
     q["modal_null_codes"] = modal_null_codes
     q["latest_record_no_realloc_source"] = latest_record_no_realloc_source
@@ -234,4 +288,21 @@ def catalogue() -> dict[str, Query]:
     for rule in Rule:
         q[f"resolve_small_groups_{rule.value}"] = _resolve(m2_lineitem, DEFAULT_PRESET, rule)
         q[f"resolve_small_groups_no_realloc_{rule.value}"] = _resolve(m2_lineitem, "none", rule)
+    for p in PRESETS:
+        q[f"tiers_all_codes_{p}"] = _tiers_all_codes(PRESETS[p])
+    q["tiers_both_lists"] = _tiers_all_codes(BOTH_LISTS)
+    q["top_tier_all_codes"] = top_tier_all_codes
+    for p in REALLOC_PRESETS:
+        q[f"modal_all_codes_{p}"] = _modal(p, m4_all_codes)
+        q[f"latest_all_codes_{p}"] = _latest(p, Rule.NONE, m4_all_codes)
+    q["modal_all_codes_none"] = _modal("none", m4_all_codes)
+    q["modal_attached_all_codes"] = _attached_all_codes(DEFAULT_PRESET)
+    q["modal_attached_no_realloc_all_codes"] = _attached_all_codes("none")
+    for rule in Rule:
+        q[f"latest_no_realloc_all_codes_{rule.value}"] = _latest("none", rule, m4_all_codes)
+        if rule is not Rule.NONE:
+            q[f"latest_all_codes_rule_{rule.value}"] = _latest(DEFAULT_PRESET, rule, m4_all_codes)
+    for dataset in ("GP", "HES", "IAPT"):
+        q[f"run_{dataset.lower()}"] = _run(dataset, DEFAULT_PRESET)
+        q[f"run_{dataset.lower()}_no_realloc"] = _run(dataset, "none")
     return q

@@ -22,7 +22,8 @@ from ..operators.modal import attach_modal
 from ..operators.tiers import keep_top_tier
 from .spec import ColumnSpec, Rule, TierPolicy
 
-# The original's hard-coded column names for the two rules.
+# Fixed signatures: names and argument order of the functions below must match
+# what existing scripts call. The original's hard-coded column names for the two rules.
 SOURCE_COLUMN = "table"
 FLAG_COLUMN = "ethnicity_code_present"
 
@@ -41,10 +42,14 @@ def _policy(not_valid, other) -> TierPolicy:
     return TierPolicy("custom", tuple(not_valid or ()), tuple(other or ()))
 
 
-def initial_clean(dataframe: DataFrame, ethnicity_col: str, nhs_col: str, other_list, not_valid_list) -> DataFrame:
-    """Keep each person's highest-tier records; adds ``ethnicity_hierarchy``."""
+def initial_clean(
+    dataframe: DataFrame, ethnicity_col: str, nhs_col: str, other_list, not_valid_list, *, is_other: bool = False
+) -> DataFrame:
+    """Keep each person's highest-tier records; adds ``ethnicity_hierarchy``
+    (and, with ``is_other``, the column of that name)."""
     return keep_top_tier(
-        dataframe, _spec(nhs_col, ethnicity_col), _policy(not_valid_list, other_list), tier_col="ethnicity_hierarchy"
+        dataframe, _spec(nhs_col, ethnicity_col), _policy(not_valid_list, other_list), tier_col="ethnicity_hierarchy",
+        is_other="is_other" if is_other else None,
     )
 
 

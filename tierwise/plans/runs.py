@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.dedupe import dedupe as dedupe_rows
 from ..operators.latest import _resolve_rule, latest_rows, latest_value_by_entity
 from ..operators.modal import modal_by_entity
-from .skew import split_join
 from .spec import RESERVED_PREFIX, UNRESOLVED, ColumnSpec, Rule, RunConfig, TierPolicy
 
 P = RESERVED_PREFIX
@@ -20,7 +22,7 @@ def prepare(df: DataFrame, spec: ColumnSpec) -> DataFrame:
     NULL codes would otherwise sit in the top tier and beat real low-tier
     codes; NULL entities would form one pseudo-entity.
     """
-    spec.validate(df)
+    spec = spec.resolved(df)
     return df.na.drop(subset=[spec.entity, spec.category])
 
 
@@ -45,6 +47,7 @@ def resolve(
     clean: bool = True,
     modal_col: str = "modal",
     latest_col: str = "latest",
+    no_null_entity: bool | None = None,
 ) -> DataFrame:
     """One row per entity: ``entity, modal, latest``.
 
@@ -54,48 +57,58 @@ def resolve(
     adds no shuffle. ``latest`` is NULL for an entity with no eligible
     record; where a NULL code shares the latest date with a real code (only
     possible without ``clean``), the real code is reported. With ``clean``
-    (default) the input first goes through :func:`prepare`.
+    (default) the input first goes through :func:`prepare`. ``no_null_entity``
+    says that the input has no NULL entity, however it came to that (default:
+    as ``clean`` says); a plain join then keeps the shared partitioning.
 
     (A single scan feeding both summaries through one ``groupBy(entity,
     code)`` was measured too: it shuffled 2.4-2.7 times more bytes, because
     every per-code row then carries all the modal and latest buffers.)
     """
     rule = _resolve_rule(rule)
+    spec = spec.resolved(df, rule)
     if clean:
         df = prepare(df, spec)
     modal = modal_by_entity(df, spec, policy, out=modal_col)
     latest = latest_value_by_entity(df, spec, rule, policy, out=latest_col)
-    if clean:  # no NULL entities: a plain equi-join keeps the shared partitioning
+    if clean if no_null_entity is None else no_null_entity:
         return modal.join(latest, on=spec.entity, how="left")
     latest = latest.withColumnRenamed(spec.entity, P + "le")
     joined = modal.join(latest, F.col(spec.entity).eqNullSafe(F.col(P + "le")), how="left")
     return joined.select(spec.entity, modal_col, latest_col)
 
 
-def run(df: DataFrame, config: RunConfig, *, clean: bool = True, **opts) -> dict[str, DataFrame]:
+def _dedupe_options(dedupe) -> dict | None:
+    if dedupe is None or dedupe is False:
+        return None
+    return {} if dedupe is True else dict(dedupe)
+
+
+def _latest_with_modal(df: DataFrame, config: RunConfig, modal: DataFrame, dedupe, opts: dict) -> DataFrame:
+    """The latest records, each with its entity's modal value, which rides along
+    on the way that the entity's latest result takes anyway."""
+    latest = latest_rows(df, config.spec, config.rule, config.policy, entity_cols=modal, **opts)
+    options = _dedupe_options(dedupe)
+    return latest if options is None else dedupe_rows(latest, config.spec, **options)
+
+
+def run(df: DataFrame, config: RunConfig, *, clean: bool = True, dedupe: dict | bool | None = None, **opts) -> dict[str, DataFrame]:
     """The documented run: both methods for one data source and policy.
 
     Returns ``latest`` (the latest-category records, each carrying its
     entity's ``modal`` value, which is what the original two-step script
     produces), ``resolved`` (one row per entity) and ``manifest``.
+    ``dedupe`` (True, or the options of :func:`tierwise.operators.dedupe.dedupe`)
+    keeps one latest record per entity, as GP runs need.
     """
-    spec, policy, rule = config.spec, config.policy, config.rule
+    config = replace(config, spec=config.spec.resolved(df, config.rule))
+    spec, policy = config.spec, config.policy
     raw = df
     if clean:
         df = prepare(df, spec)
-    # Hot keys for attaching modal to the latest records: the input's
-    # per-entity counts (an upper bound on its latest records), so the
-    # derived latest records are not computed a second time just to count.
-    modal = modal_by_entity(df, spec, policy)
-    latest = latest_rows(df, spec, rule, policy, **opts)
-    counts = df.groupBy(spec.entity).agg(F.count(F.lit(1)).alias(P + "n"))
-    latest = split_join(
-        latest, modal, [spec.entity], how="left", null_safe=not policy.reallocate,
-        count_col=P + "n", key_counts=counts,
-    )
     return {
-        "latest": latest,
-        "resolved": resolve(df, spec, policy, rule, clean=False),
+        "latest": _latest_with_modal(df, config, modal_by_entity(df, spec, policy), dedupe, opts),
+        "resolved": resolve(df, spec, policy, config.rule, clean=False, no_null_entity=clean),
         "manifest": manifest(df.sparkSession, config.dataset, policy, raw=raw if clean else None, spec=spec),
     }
 
@@ -107,42 +120,39 @@ def run_and_save(
     *,
     mode: str = "overwrite",
     clean: bool = True,
+    dedupe: dict | bool | None = None,
     **opts,
 ) -> dict[str, str]:
-    """The documented run, written under ``<base>/<run name>/`` so that each
-    piece is computed once.
-
-    ``resolved`` (one row per entity) is written first; the latest records
-    then take their modal values from that written table instead of
-    computing the modal summary again (the written table also cuts the
-    lineage: a lost executor later costs a re-read, not a recomputation);
-    the manifest comes last. Returns the written locations.
+    """The documented run, written so that each piece is computed once: below
+    ``<base>/<run name>/`` where ``base`` is a path, else to catalog tables
+    ``<base>_<run name>_<output>``.
+
+    ``resolved`` (one row per entity) is written first. The latest records
+    take their modal values from that written table instead of computing the
+    modal summary again (the written table also cuts the lineage: a lost
+    executor later costs a re-read, not a recomputation), except where
+    ``mode="append"``: the table then holds earlier runs too, so the values
+    are computed from this run's input. ``"ignore"`` is refused: it would
+    join one run's values to another's records wherever an earlier run wrote
+    only some of the outputs. Returns the written locations.
     """
-    from ..sources.io import read_saved, save
+    from ..sources.io import output_name, read_saved, save
 
-    spec, policy, rule = config.spec, config.policy, config.rule
-    spark = df.sparkSession
+    if mode == "ignore":
+        raise ValueError("mode 'ignore' could mix two runs; use 'errorifexists', 'overwrite' or 'append'")
+    config = replace(config, spec=config.spec.resolved(df, config.rule))
+    spec, policy = config.spec, config.policy
     raw = df
     if clean:
         df = prepare(df, spec)
-    root = f"{base.rstrip('/')}/{policy.name}"
-    written = {}
-
-    written["resolved"] = f"{root}/resolved"
-    save(resolve(df, spec, policy, rule, clean=False), written["resolved"], mode=mode)
-
-    modal = read_saved(spark, written["resolved"]).select(spec.entity, "modal")
-    latest = latest_rows(df, spec, rule, policy, **opts)
-    counts = df.groupBy(spec.entity).agg(F.count(F.lit(1)).alias(P + "n"))
-    latest = split_join(
-        latest, modal, [spec.entity], how="left", null_safe=not policy.reallocate,
-        count_col=P + "n", key_counts=counts,
-    )
-    written["latest"] = f"{root}/latest"
-    save(latest, written["latest"], mode=mode)
-
-    written["manifest"] = f"{root}/manifest"
-    info = manifest(spark, config.dataset, policy, raw=raw if clean else None, spec=spec)
+    written = {name: output_name(base, policy.name, name) for name in ("resolved", "latest", "manifest")}
+    save(resolve(df, spec, policy, config.rule, clean=False, no_null_entity=clean), written["resolved"], mode=mode)
+    if mode == "append":
+        modal = modal_by_entity(df, spec, policy)
+    else:
+        modal = read_saved(df.sparkSession, written["resolved"]).select(spec.entity, "modal")
+    save(_latest_with_modal(df, config, modal, dedupe, opts), written["latest"], mode=mode)
+    info = manifest(df.sparkSession, config.dataset, policy, raw=raw if clean else None, spec=spec)
     save(info.coalesce(1), written["manifest"], mode=mode)
     return written
 

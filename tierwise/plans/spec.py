@@ -14,7 +14,7 @@ three small immutable values:
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from enum import Enum
 
 from pyspark.sql import DataFrame
@@ -86,6 +86,17 @@ class ColumnSpec:
             cols.append(self.flag)
         return cols
 
+    def resolved(self, df: DataFrame, rule: Rule | None = None) -> ColumnSpec:
+        """This spec with the input's own spelling of each name: as Spark does by
+        default, case does not matter (unless ``spark.sql.caseSensitive``)."""
+        out = self
+        if df.sparkSession.conf.get("spark.sql.caseSensitive", "false") != "true":
+            by_lower = {c.lower(): c for c in reversed(df.columns)}
+            roles = ("entity", "category", "observed_at", "source", "flag")
+            out = replace(self, **{r: by_lower.get(getattr(self, r).lower(), getattr(self, r)) for r in roles if getattr(self, r) not in df.columns})
+        out.validate(df, rule)
+        return out
+
     def validate(self, df: DataFrame, rule: Rule | None = None, *, dated: bool = False) -> None:
         """Check the input's schema (no data is read)."""
         names = df.columns

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,9 +20,12 @@ def read_input(spark: SparkSession, source: str, fmt: str | None = None) -> Data
     return spark.read.format(fmt).load(source)
 
 
-def load_tables(spark: SparkSession, sf_dir: str, names: list[str]) -> dict[str, DataFrame]:
-    """The driver's parquet tables (``<sf_dir>/<name>.parquet``)."""
-    return {n: spark.read.parquet(os.path.join(sf_dir, f"{n}.parquet")) for n in names}
+def output_name(base: str, run_name: str, output: str) -> str:
+    """Where an output of a run goes: a path below ``base``, or, where ``base`` is
+    a catalog prefix (no slash or scheme), a table named after all three."""
+    if "/" in base or ":" in base:
+        return f"{base.rstrip('/')}/{run_name}/{output}"
+    return f"{base}_{re.sub('[^0-9A-Za-z_]', '_', run_name)}_{output}"
 
 
 def save(df: DataFrame, path: str, *, mode: str = "overwrite", fmt: str = "parquet", partition_by=None) -> None:
@@ -44,14 +47,14 @@ def read_saved(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
 
 
 def save_run(outputs: dict[str, DataFrame], base: str, run_name: str, *, mode: str = "overwrite") -> dict[str, str]:
-    """Save every output of a run under ``<base>/<run_name>/<output>``.
+    """Save every output of a run where :func:`output_name` says.
 
     The manifest is written as one file (it has three rows); results are
     written in parallel by their own partitions.
     """
     written = {}
     for name, df in outputs.items():
-        target = f"{base.rstrip('/')}/{run_name}/{name}"
+        target = output_name(base, run_name, name)
         if name == "manifest":
             df = df.coalesce(1)
         save(df, target, mode=mode)

@@ -8,6 +8,8 @@ key where the table has one.
 * ``m1_orders``    - orders: entity = customer, about 10 records each, years as dates
 * ``m2_lineitem``  - lineitem: entity = order, about 4 records each, an unrecognised source
 * ``m3_events``    - events: entity = user, about 67 records each, real dates
+* ``m4_all_codes`` - lineitem: every code that a preset names, ``J`` and ``U``, a real code
+  ``historic``, NULL codes, NULL entities, NULL dates, unrecognised and NULL sources
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ M2_CODES = [("AF", "A"), ("AO", "G"), ("NF", "S"), ("NO", "Z"), ("RF", "99")]
 M2_SOURCES = [(0, "apc"), (1, "ae"), (2, "op")]
 M3_CODES = [("click", "A"), ("error", "99"), ("purchase", "G"), ("signup", "S")]
 M3_SOURCES = [(0, "apc"), (1, "ae")]
+M4_CODES = ["99", "X", "-1", "-3", "Z", "S", "G", "L", "P", "C", "J", "U", "A", "B", "historic"]
+M4_SOURCES = [(0, "apc"), (1, "ae"), (2, "op"), (3, "oth")]
 
 
 def m1_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,3 +79,19 @@ def m3_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         _case(F.col("event_id") % 3, M3_SOURCES, "op").alias("source"),
         (F.col("value") > 10).cast("int").alias("flag"),
     )
+
+
+def m4_all_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part 0 to 16 modulo 17 choose the code: the listed ones, NULL, then A again."""
+    li = _read(spark, sf_dir, "lineitem")
+    part = F.col("l_partkey") % 17
+    category = _case(part, list(enumerate(M4_CODES)), "A")
+    return li.select(
+        "l_orderkey",
+        "l_linenumber",
+        F.when(F.col("l_orderkey") % 40 != 0, F.col("l_orderkey")).alias("entity"),
+        F.when(part != len(M4_CODES), category).alias("category"),
+        F.when(F.col("l_linenumber") != 3, F.year("l_shipdate").cast("int")).alias("observed_at"),
+        F.when(F.col("l_suppkey") % 5 != 4, _case(F.col("l_suppkey") % 5, M4_SOURCES, "")).alias("source"),
+        F.when(F.col("l_quantity") >= 10, (F.col("l_discount") > 0.05).cast("int")).alias("flag"),
+    )

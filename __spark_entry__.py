@@ -31,6 +31,19 @@ def _llm():
     return importlib.import_module("tierwise.llm.queries")
 
 
+def _importable(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """``query``, with this folder on the Python path of the workers that it starts
+    (where the package is installed, they find it anyway)."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        here, env = os.path.dirname(os.path.abspath(__file__)), spark.sparkContext.environment
+        if here not in env.get("PYTHONPATH", "").split(os.pathsep):
+            env["PYTHONPATH"] = os.pathsep.join(filter(None, (here, env.get("PYTHONPATH"))))
+        return query(spark, sf_dir)
+
+    return run
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: modal and latest per customer (re-allocated, GP rule) at sf0.001."""
     return catalog.resolve_realloc(spark, SMOKE_DIR)
@@ -39,7 +52,8 @@ def entry(spark: SparkSession) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = dict(catalog.catalogue())
     if (llm := _llm()) is not None:
-        found |= llm.QUERIES | {"pipeline": importlib.import_module("corpus_pipeline").run}
+        found |= {k: _importable(q) for k, q in llm.QUERIES.items()}
+        found["pipeline"] = _importable(importlib.import_module("corpus_pipeline").run)
     return found
 
 

@@ -15,7 +15,8 @@ Scoring: one linear scan finds all maximal scoring segments (each token that
 the model does not know is part of a run, which counts as one step). Segments
 whose expected number by chance is below ``MAX_EXPECTED`` are significant;
 their surprise, -log of that number, adds up to a document's evidence, and a
-logistic curve fitted on training documents makes it a probability.
+logistic curve over its logarithm, fitted on training documents, makes it a
+probability.
 
 The classifier is fitted on labelled rows whose id hash is below a threshold,
 ``MAX_LABELLED`` of them in expectation (all, when there are fewer). Scoring
@@ -59,7 +60,7 @@ class Model:
     drift: float = DRIFT
     lam: float = 1.0
     k: float = 1.0
-    curve: tuple[float, float] = field(default=(0.0, 0.0))  # log-odds = curve[0] + curve[1] * evidence
+    curve: tuple[float, float] = field(default=(0.0, 0.0))  # log-odds = curve[0] + curve[1] * log(1 + evidence)
 
 
 # ------------------------------------------------------------------- tokens
@@ -279,7 +280,7 @@ def _calibrate(model: Model, train: DataFrame) -> Model:
         return pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(found, pa.float64())], ["toxic", "evidence"])
 
     rows = train.mapInArrow(over_texts(evidence), "toxic long, evidence double").toArrow()  # max_labelled rows
-    model.curve = _logistic(rows.column("evidence").to_numpy(), rows.column("toxic").to_numpy())
+    model.curve = _logistic(np.log1p(rows.column("evidence").to_numpy()), rows.column("toxic").to_numpy())
     return model
 
 
@@ -303,7 +304,7 @@ def probabilities(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray
     """(score, evidence, (tokens, significant segments)) of each text."""
     found = [(n, surprise(model, n, segments)) for n, segments in segments_of(model, texts)]
     evidence = np.array([f[1][0] for f in found], float)
-    score = 1 / (1 + np.exp(-np.clip(model.curve[0] + model.curve[1] * evidence, -60, 60)))
+    score = 1 / (1 + np.exp(-np.clip(model.curve[0] + model.curve[1] * np.log1p(evidence), -60, 60)))
     return score, evidence, [(n, segments) for n, (_, segments) in found]
 
 

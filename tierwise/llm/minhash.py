@@ -9,9 +9,11 @@
    are compared with its smallest id only, never all with all. Candidates whose
    similarity estimated from bit counts (corrected for chance agreement) is
    clearly too low go; the rest are confirmed on their full sets.
-4. Buckets whose members still belong to several components go through more
-   rounds with other centres, then through a join of what is left, where the
-   estimate is part of the join condition. So no link is lost to the stars.
+4. Where a bucket's members still belong to several components, they are
+   compared across components, in blocks of bounded size: by the estimate
+   first, then by their full sets. Only links that join components come out.
+   So no link is lost to the stars, and a bucket whose members have met costs
+   nothing.
 5. Components of the links, each named by its smallest id.
 
 At similarity 0.75 a pair shares none of 32 bands of 4 rows with a chance of
@@ -38,7 +40,8 @@ MINIMA = BANDS * ROWS
 SIMILARITY = 0.75
 #: How far below the threshold an estimate may lie: 5.5 standard errors of it.
 MARGIN = 5.5 * float(np.sqrt((p := SIMILARITY + (1 - SIMILARITY) / 2**BITS) * (1 - p) / MINIMA)) / (1 - 2.0**-BITS)
-STAR_ROUNDS = 3
+#: Members of a block when a bucket is compared across components.
+BLOCK = 1_000
 _FACTORS = np.random.default_rng(6).integers(1, 2**63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -113,21 +116,117 @@ def estimate(a: Column, b: Column) -> Column:
     return ((F.lit(MINIMA) - differs) / MINIMA - 2.0**-BITS) / (1 - 2.0**-BITS)
 
 
-def _confirm(pairs: DataFrame, signatures: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) that the estimate lets through and the full sets confirm."""
+def _likely(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) whose estimate doesn't rule them out."""
     sig = lambda c, s: signatures.select(F.col("doc").alias(c), F.col("signature").alias(s))
     pairs = pairs.join(sig("u", "su"), "u").join(sig("v", "sv"), "v")
-    pairs = stored(pairs.where(estimate(F.col("su"), F.col("sv")) >= percent / 100 - MARGIN).select("u", "v"), "candidates")
+    return pairs.where(estimate(F.col("su"), F.col("sv")) >= percent / 100 - MARGIN).select("u", "v")
+
+
+def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) that the full sets confirm."""
+    pairs = stored(pairs, "candidates")
     held = lambda c, s: sets.select(F.col("doc").alias(c), F.col("shingles").alias(s))
     both = pairs.join(held("u", "a"), "u").join(held("v", "b"), "v")
     common = F.size(F.array_intersect("a", "b"))
-    return both.where(100 * common >= percent * (F.size("a") + F.size("b") - common)).select("u", "v")
+    return stored(both.where(100 * common >= percent * (F.size("a") + F.size("b") - common)).select("u", "v"), "confirmed")
 
 
 def _star_pairs(buckets: DataFrame) -> DataFrame:
-    """(u, v, key): every member of a bucket with the bucket's smallest id."""
+    """(key, band, u, v): every member of a bucket of at least two with the bucket's smallest id."""
     centre = stored(buckets.groupBy("key").agg(F.min("doc").alias("u"), F.max("doc").alias("top")).where("u < top").drop("top"), "centres")
-    return buckets.join(centre, "key").select("key", "u", F.col("doc").alias("v"))
+    return buckets.join(centre, "key").select("key", "band", "u", F.col("doc").alias("v"))
+
+
+def _compare(doc, label, side, band: int, bands, signature, shingles: pa.ListArray, percent: int) -> list[tuple[int, int]]:
+    """Links (u, v) that join components, among the members of one block pair of
+    one bucket. ``side`` is the block of a member: 0 or 1, all 0 within a block."""
+    sizes = shingles.value_lengths().to_numpy()
+    _, ids = np.unique(shingles.flatten().to_numpy(), return_inverse=True)
+    starts = np.cumsum(sizes) - sizes
+    whole = side.max() == 0
+    links = []
+    for i in np.flatnonzero(side == 0).tolist():
+        rest = np.arange(i + 1, len(doc)) if whole else np.flatnonzero(side == 1)
+        rest = rest[label[rest] != label[i]]
+        x = signature[rest] ^ signature[i]
+        x |= x >> np.uint64(1)
+        x |= x >> np.uint64(2)
+        differs = np.bitwise_count(x & np.uint64(0x1111111111111111)).sum(axis=1)
+        likely = ((MINIMA - differs) / MINIMA - 2.0**-BITS) / (1 - 2.0**-BITS) >= percent / 100 - MARGIN
+        rest = rest[likely & ~(bands[rest, :band] == bands[i, :band]).any(axis=1)]  # else met in an earlier bucket
+        if not len(rest):
+            continue
+        held = np.zeros(len(ids), bool)
+        held[ids[starts[i] : starts[i] + sizes[i]]] = True
+        common = np.add.reduceat(held[ids], starts, dtype=np.int64)[rest]
+        for j in rest[100 * common >= percent * (sizes[i] + sizes[rest] - common)].tolist():
+            if label[i] != label[j]:
+                links.append((doc[i], doc[j]))
+                label[label == label[j]] = label[i]
+    return links
+
+
+def _compare_blocks(percent: int):
+    """Reads rows sorted by block pair and compares each block pair's members."""
+
+    def links_of(table: pa.Table) -> list[tuple[int, int]]:
+        col = lambda c: table.column(c).combine_chunks()
+        matrix = lambda c: col(c).flatten().to_numpy().view(np.uint64).reshape(table.num_rows, -1)
+        _, label = np.unique(col("label").to_numpy(), return_inverse=True)
+        side = (col("block").to_numpy() != col("low").to_numpy()).astype(np.int8)
+        doc = col("doc").to_numpy().tolist()
+        return _compare(doc, label, side, int(col("band")[0].as_py()), matrix("bands"), matrix("signature"), col("shingles"), percent)
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []  # of the block pair that the last batch ended in
+        now = None
+
+        def settle(out):
+            if held:
+                out += links_of(pa.Table.from_batches(held))
+                held.clear()
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            out: list[tuple[int, int]] = []
+            key = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("key", "low", "high")])
+            cuts = [0, *(1 + np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0))).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:]):
+                if now != (here := tuple(key[:, a].tolist())):
+                    settle(out)
+                    now = here
+                held.append(batch.slice(a, b - a))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, batch.schema.field("doc").type) for x in zip(*out)], ["u", "v"])
+        out = []
+        kind = held[0].schema.field("doc").type if held else None
+        settle(out)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x in zip(*out)], ["u", "v"])
+
+    return run
+
+
+def _across(rest: DataFrame, joined: DataFrame, heads: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) between members of a bucket (its centre left out) that are in
+    different components. A bucket is cut into blocks of about BLOCK members
+    and every two blocks are compared in a task of their own, so a task's rows
+    are bounded whatever the bucket's size; only links come out."""
+    labelled = rest.join(joined.withColumnRenamed("node", "doc"), "doc", "left")
+    labelled = labelled.withColumn("label", F.coalesce("component", "doc")).drop("component")
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count(F.lit(1)).alias("n"))
+    mixed = stored(mixed.where("a < b").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "mixed")
+    rows = labelled.join(mixed, "key").join(heads.select("doc", "bands", "signature"), "doc").join(sets, "doc")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
+    pair = ["key", "low", "high"]
+    rows = rows.select(*pair, "block", "band", "doc", "label", "bands", "signature", "shingles")
+    rows = rows.repartition(*pair).sortWithinPartitions(*pair)
+    kind = rest.schema["doc"].dataType.simpleString()
+    return stored(rows.mapInArrow(_compare_blocks(percent), f"u {kind}, v {kind}"), "confirmed-across")
 
 
 def near_duplicates(docs: DataFrame, *, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -143,35 +242,17 @@ def near_duplicates(docs: DataFrame, *, percent: int = 75, id_col: str = "doc_id
     heads = searched.join(classes.select(F.col("head").alias("doc"), "s1", "s2"), ["doc", "s1", "s2"], "left_semi")
     signatures = heads.select("doc", "signature")
 
-    buckets = heads.select("doc", F.explode("bands").alias("key"))
+    buckets = heads.select("doc", F.posexplode("bands").alias("band", "key"))
     stars = stored(_star_pairs(buckets), "buckets")  # members of buckets with at least two
     members = stars.select(F.col("v").alias("doc")).distinct()
     sets = stored(texts.join(members, "doc", "left_semi").mapInArrow(over_texts(_sets), f"doc {kind}, shingles array<long>"), "sets")
 
-    links = stored(_confirm(stars.where("u <> v").select("u", "v").distinct(), signatures, sets, percent), "confirmed")
-    joined, rest = components(links), stars.where("u <> v").select("key", F.col("v").alias("doc"))
-    for round_ in range(STAR_ROUNDS):
-        # without its centre, a bucket matters while its members are in several components
-        labelled = rest.join(joined.withColumnRenamed("node", "doc"), "doc", "left")
-        labelled = labelled.withColumn("label", F.coalesce("component", "doc")).drop("component")
-        mixed = labelled.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("key")
-        labelled = stored(labelled.join(stored(mixed, "mixed"), "key", "left_semi"), "unsettled")
-        if labelled.isEmpty():
-            break
-        if round_ < STAR_ROUNDS - 1:
-            more = stored(_star_pairs(labelled), "buckets")
-            pairs = more.where("u <> v").select("u", "v").distinct()
-            rest = more.where("u <> v").select("key", F.col("v").alias("doc"))
-        else:
-            side = lambda d, s, c: labelled.join(signatures, "doc").select("key", F.col("doc").alias(d), F.col("signature").alias(s), F.col("label").alias(c))
-            left, right = side("u", "su", "lu"), side("v", "sv", "lv")
-            likely = estimate(F.col("su"), F.col("sv")) >= percent / 100 - MARGIN
-            pairs = left.join(right, (left.key == right.key) & (F.col("u") < F.col("v")) & (F.col("lu") != F.col("lv")) & likely)
-            pairs = pairs.select("u", "v").distinct()
-        found = stored(_confirm(pairs, signatures, sets, percent), "confirmed")
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            joined = components(links)
+    apart = stars.where("u <> v")
+    links = _confirm(_likely(apart.select("u", "v").distinct(), signatures, percent), sets, percent)
+    joined = components(links)
+    more = _across(apart.select("key", "band", F.col("v").alias("doc")), joined, heads, sets, percent)
+    if not more.isEmpty():
+        joined = components(links.unionByName(more))
 
     heads_of = classes.join(joined, F.col("head") == F.col("node"), "left")
     heads_of = stored(heads_of.select("s1", "s2", "n_shingles", F.coalesce("component", "head").alias("component_id")), "class-components")

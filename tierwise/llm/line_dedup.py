@@ -70,7 +70,8 @@ def drop_bitmaps(lines: DataFrame, *, min_docs: int, keep: str = "none") -> Data
     every line of a frequent key; ``"first"`` keeps its first occurrence."""
     if keep not in ("none", "first"):
         raise ValueError("keep must be 'none' or 'first'")
-    hit = lines.join(frequent_lines(lines, min_docs), KEY)
+    # stored, so that both sides of the join are shuffled and adaptive execution can split a hot line
+    hit = lines.join(stored(frequent_lines(lines, min_docs), "frequent-lines"), KEY)
     if keep == "first":
         hit = hit.where(~F.struct(*DOC, "pos").eqNullSafe(F.col("first")))
     word = hit.groupBy(*DOC, F.expr("pos div 64").cast("int").alias("word")).agg(

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, stored
 
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens long"
 
@@ -90,6 +90,7 @@ def count_tokens(docs: DataFrame, cache: TokenCache, file: str, *, id_col: str =
     texts = rows.select("digest", "row", "body").join(missing, ["digest", "row"], "left_semi").select("digest", "body")
     cache.append(texts.mapInArrow(_encode(file), "digest binary, n_tokens long"), version)
 
-    # copies of one text share a digest: adaptive execution splits such a group in this join
+    # copies of one text share a digest: with the counts stored, both sides of
+    # this join are shuffled, and adaptive execution splits such a group
     lean = rows.select("doc", "digest", F.octet_length("body").cast("long").alias("n_bytes"))
-    return lean.join(cache.counts(version), "digest").select(F.col("doc").alias(id_col), "n_bytes", "n_tokens")
+    return lean.join(stored(cache.counts(version), "counts"), "digest").select(F.col("doc").alias(id_col), "n_bytes", "n_tokens")

@@ -18,7 +18,7 @@ from tokenizers import Tokenizer
 
 from tierwise.llm import queries
 from tierwise.llm.bpe import ByteBPE
-from tierwise.llm.fingerprint import Walk, likeness, similar_documents
+from tierwise.llm.fingerprint import Walk, likeness, sampled_steps, similar_documents
 from tierwise.llm.packing import best_fit_decreasing
 from tierwise.llm.repetition import COLUMNS, MIN_REPEAT, rules
 from tierwise.llm.token_cache import TokenCache, count_tokens, tokenizer_version
@@ -247,6 +247,25 @@ def test_likeness_falls_with_edits():
     assert like[0] == 1 and min(like[1:3]) > 0.8 and like[3] < min(like[:3])  # a single edit may fall between samples
 
 
+def test_changes_at_the_end_of_long_texts_are_seen():
+    draw, seen, texts = random.Random(6), 0, 150
+    for _ in range(texts):
+        n = int(20_000 * 10 ** draw.random())
+        text = "".join(draw.choices("abcdefghij ", k=n))
+        changed = text[: n - n // 100] + "".join(draw.choices("klmnopqrst", k=n // 100))
+        seen += (Walk(text).fingerprint() != Walk(changed).fingerprint()).any()
+    # a slot samples the last hundredth of the steps with a chance of 1%, any of 128 with 72%
+    assert 0.6 * texts < seen < 0.84 * texts
+
+
+def test_every_step_is_as_likely_to_be_sampled():
+    steps, share = sampled_steps(), np.zeros(20)
+    lengths = np.unique(np.geomspace(1e3, 1e9, 4000).astype(np.int64))
+    for n in lengths:
+        share += np.bincount(np.where(steps < n, steps, 0).max(axis=0) * 20 // n, minlength=20) / 128 / len(lengths)
+    assert share == pytest.approx(np.full(20, 0.05), abs=0.012)
+
+
 def test_similar_documents(spark, make):
     draw = random.Random(8)
     base = ["".join(draw.choice("abcdefghij ") for _ in range(1500)) for _ in range(4)]

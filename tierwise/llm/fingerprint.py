@@ -6,8 +6,9 @@ walk writes it down and moves on if the shared random bit of (j, character) is
 same steps again, so their edit distance shows as a Hamming distance.
 
 A fingerprint samples the written string. Slot k reads the step whose shared
-priority is least among those the walk took, so texts of nearly the same
-length sample the same steps, whatever that length is; the slot holds eight
+priority is least among those the walk took, from its first to its last, so
+texts of nearly the same length sample the same steps, whatever that length
+is, and every step is as likely as any other; the slot holds eight
 bits of the character there and the one after it. Likeness is the share of
 equal slots, less what chance adds. For search, bands of sampled slots give
 candidates, which the likeness of whole fingerprints verifies.
@@ -36,7 +37,8 @@ from pyspark.sql import functions as F
 from .common import mix, partitions_for, slices, stored, text_bytes
 from .graph import components
 
-SLOTS, CLASSES, PERIOD, GROWTH = 128, 64, 1024, 1.05
+SLOTS, CLASSES, PERIOD = 128, 64, 1024
+LONGEST = 1 << 36  # steps; no text's walk is as long
 BANDS, BAND_SLOTS = 24, 4
 SEED = np.uint64(0xE7037ED1A0B428DB)
 
@@ -57,25 +59,19 @@ def walk_table() -> list[list[int]]:
 
 
 @cache
-def sampled_steps() -> tuple[np.ndarray, np.ndarray]:
-    """(ends, steps): with at least ``ends[m]`` steps, slot k samples ``steps[m, k]``.
-
-    Steps are cut into blocks that grow by GROWTH. The least of a block's
-    priorities is drawn from the law of the least of so many uniform numbers,
-    its place evenly, so that the table is as short for long walks."""
-    edges = [0]
-    while edges[-1] < 1 << 36:
-        edges.append(max(edges[-1] + 1, int(edges[-1] * GROWTH)))
-    first, size = np.array(edges[:-1], np.int64), np.diff(edges)
+def sampled_steps() -> np.ndarray:
+    """``steps[:, k]``: the steps, in rising order, whose priority in slot k is less
+    than that of every step before. In a walk of n steps, slot k samples the last
+    of them below n, which is any of the n steps with the same chance.
+
+    Priorities are not kept: after the j-th step held the least, no step up to
+    the n-th is less with chance j / n, so the next one is drawn from that law."""
     draw = np.random.default_rng(9)
-    least = -np.expm1(np.log1p(-draw.random((len(size), SLOTS))) / size[:, None])
-    at = first[:, None] + (draw.random((len(size), SLOTS)) * size[:, None]).astype(np.int64)
-    best = np.minimum.accumulate(least, axis=0)
-    steps = np.empty_like(at)
-    steps[0] = at[0]
-    for m in range(1, len(size)):
-        steps[m] = np.where(least[m] <= best[m], at[m], steps[m - 1])
-    return np.array(edges[1:], np.int64), steps
+    steps = [np.zeros(SLOTS, np.int64)]
+    while steps[-1].min() < LONGEST:
+        after = np.minimum((steps[-1] + 1) / (1 - draw.random(SLOTS)), 2 * LONGEST)
+        steps.append(after.astype(np.int64))
+    return np.array(steps)
 
 
 class Walk:
@@ -109,9 +105,9 @@ class Walk:
         """SLOTS bytes."""
         if not len(self.points):
             return np.zeros(SLOTS, np.uint8)
-        ends, steps = sampled_steps()
+        steps = sampled_steps()
         leaves = np.array(self.leaves, np.int64)
-        taken = steps[np.searchsorted(ends, leaves[-1], side="right") - 1]
+        taken = np.where(steps < leaves[-1], steps, 0).max(axis=0)
         at = np.searchsorted(leaves, taken, side="right")
         after = np.append(self.points, 0)[at + 1].astype(np.uint64)
         value = mix(self.points[at].astype(np.uint64) << np.uint64(32) | after) ^ SEED

@@ -216,6 +216,18 @@ def test_repeated_half_is_rejected_and_prose_kept(spark, make):
     assert {r.doc_id: r.kept for r in repetition_rules(docs).collect()} == {1: True, 2: False, 3: False, 4: False}
 
 
+def test_long_passage_that_stands_twice_is_rejected(spark, make):
+    draw = random.Random(2)
+    prose = lambda n: " ".join("".join(draw.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    long, short = prose(2_500), prose(45)
+    docs = make([(1, f"{long} {prose(15_000)} {long}"), (2, f"{short} {prose(900)} {short}"), (3, prose(20_000))])
+    from tierwise.llm.repetition import MAX_COVERED, repetition_rules
+
+    found = {r.doc_id: r for r in repetition_rules(docs).collect()}
+    assert found[1].longest_repeat == 2_500 and found[1].covered_words < MAX_COVERED * found[1].n_words and not found[1].base_failed
+    assert {i: r.kept for i, r in found.items()} == {1: False, 2: True, 3: True}
+
+
 # ------------------------------------------------------------ fingerprints
 
 

@@ -16,9 +16,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tierwise.llm import queries
+from tierwise.llm import fingerprint, queries
 from tierwise.llm.bpe import ByteBPE
-from tierwise.llm.fingerprint import Walk, likeness, sampled_steps, similar_documents
+from tierwise.llm.fingerprint import Walk, band_keys, likeness, sampled_steps, similar_documents
 from tierwise.llm.packing import best_fit_decreasing
 from tierwise.llm.repetition import COLUMNS, MIN_REPEAT, rules
 from tierwise.llm.token_cache import TokenCache, count_tokens, tokenizer_version
@@ -286,6 +286,31 @@ def test_similar_documents(spark, make):
     assert found == {0: 0, 1: 1, 2: 2, 3: 3, 10: 0, 11: 1, 12: 2, 13: 3, 20: 0, None: None, 30: 30}
 
 
+@pytest.mark.parametrize("block", [1_000, 2])
+def test_alike_members_meet_where_a_centre_is_unlike_both(spark, make, monkeypatch, block):
+    monkeypatch.setattr(fingerprint, "BLOCK", block)
+    draw = random.Random(12)
+    text = "".join(draw.choice("abcdefghij ") for _ in range(3000))
+
+    def edited(edits):
+        changed = list(text)
+        for at in draw.sample(range(3000), edits):
+            changed[at] = "X"
+        return "".join(changed)
+
+    a, b = Walk(text).fingerprint(), Walk(twin := text[:2800] + "Y" + text[2801:]).fingerprint()
+    assert likeness(a, b) >= 0.75
+    shared, centres = set(band_keys(a)) & set(band_keys(b)), []
+    while shared:  # every band that the two share has a smaller id that is unlike both
+        other = Walk(t := edited(draw.randint(20, 80))).fingerprint()
+        if max(likeness(other, a), likeness(other, b), *(likeness(other, Walk(c).fingerprint()) for c in centres)) < 0.75 and shared & set(band_keys(other)):
+            centres.append(t)
+            shared -= set(band_keys(other))
+    docs = make([*enumerate(centres), (1000, text), (1001, twin)])
+    found = {r.doc_id: r.group for r in fingerprint.similar_documents(docs).collect()}
+    assert found == {**{k: k for k in range(len(centres))}, 1000: 1000, 1001: 1000}
+
+
 # --------------------------------------------------------------- segments
 
 

@@ -40,6 +40,8 @@ from .graph import components
 SLOTS, CLASSES, PERIOD = 128, 64, 1024
 LONGEST = 1 << 36  # steps; no text's walk is as long
 BANDS, BAND_SLOTS = 24, 4
+#: Members of a block when a bucket is compared across components.
+BLOCK = 1_000
 SEED = np.uint64(0xE7037ED1A0B428DB)
 
 
@@ -151,11 +153,45 @@ def band_keys(print_: np.ndarray) -> np.ndarray:
     return h
 
 
+def _across(rest: DataFrame, joined: DataFrame, heads: DataFrame, least: float) -> DataFrame:
+    """Links (u, v) between members of a bucket (its centre left out) that are in
+    different components. A bucket is cut into blocks of about BLOCK members and
+    every two blocks are a group of their own, so a group is bounded."""
+    kind = rest.schema["doc"].dataType.simpleString()
+
+    def compare(table: pa.Table) -> pa.Table:
+        doc, side = table.column("doc").to_pylist(), np.array(table.column("block")) != np.array(table.column("low"))
+        _, label = np.unique(table.column("label").to_numpy(), return_inverse=True)
+        prints = np.frombuffer(bytes.fromhex("".join(table.column("fingerprint").to_pylist())), np.uint8).reshape(len(doc), SLOTS)
+        whole, links = not side.any(), []
+        for i in np.flatnonzero(~side).tolist():
+            others = np.arange(i + 1, len(doc)) if whole else np.flatnonzero(side)
+            others = others[label[others] != label[i]]
+            same = (prints[others] == prints[i]).mean(axis=1)
+            for j in others[(same - 1 / 255) / (1 - 1 / 255) >= least].tolist():
+                if label[i] != label[j]:
+                    links.append((doc[i], doc[j]))
+                    label[label == label[j]] = label[i]
+        type_ = table.schema.field("doc").type
+        return pa.table({"u": pa.array([x for x, _ in links], type_), "v": pa.array([x for _, x in links], type_)})
+
+    labelled = rest.join(joined.withColumnRenamed("node", "doc"), "doc", "left")
+    labelled = labelled.withColumn("label", F.coalesce("component", "doc")).drop("component")
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count(F.lit(1)).alias("n"))
+    mixed = stored(mixed.where("a < b").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "mixed")
+    rows = labelled.join(mixed, "key").join(heads.select("doc", "fingerprint"), "doc")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
+    rows = rows.select("key", "low", "high", "block", "doc", "label", "fingerprint")
+    return stored(rows.groupBy("key", "low", "high").applyInArrow(compare, f"u {kind}, v {kind}"), "links-across")
+
+
 def similar_documents(docs: DataFrame, *, least: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(``id_col``, fingerprint, group): rows whose fingerprints share a band with
-    their bucket's smallest id and are at least ``least`` like it are joined;
-    ``group`` is the smallest id of the group. Buckets are stars, so a bucket of
-    very many members gives one candidate for each."""
+    """(``id_col``, fingerprint, group): rows whose fingerprints share a band and are
+    at least ``least`` alike are joined; ``group`` is the smallest id of the group.
+    A bucket's members meet its smallest id first; those that stay in different
+    components are then compared with each other, in blocks."""
     rows = stored(fingerprints(docs, id_col=id_col, text_col=text_col).withColumnRenamed(id_col, "doc"), "fingerprints")
     classes = stored(rows.where("doc IS NOT NULL").groupBy("fingerprint").agg(F.min("doc").alias("head")), "classes")
     heads = rows.join(classes.select(F.col("head").alias("doc"), "fingerprint"), ["doc", "fingerprint"], "left_semi")
@@ -165,7 +201,12 @@ def similar_documents(docs: DataFrame, *, least: float = 0.75, id_col: str = "do
     side = lambda c, p: heads.select(F.col("doc").alias(c), F.col("fingerprint").alias(p))
     same = F.expr(f"size(filter(sequence(0, {SLOTS - 1}), k -> substr(pu, 2 * k + 1, 2) = substr(pv, 2 * k + 1, 2))) / {SLOTS}")
     links = pairs.join(side("u", "pu"), "u").join(side("v", "pv"), "v").where((same - 1 / 255) / (1 - 1 / 255) >= least).select("u", "v")
+    links = stored(links, "links")
     joined = components(links)
+    rest = buckets.join(centres, "key").where("u < doc").select("key", "doc")
+    more = _across(rest, joined, heads, least)
+    if not more.isEmpty():
+        joined = components(links.unionByName(more))
     groups = classes.join(joined, F.col("head") == F.col("node"), "left").select("fingerprint", F.coalesce("component", "head").alias("group"))
     out = rows.join(stored(groups, "groups"), "fingerprint", "left")
     return out.select(F.col("doc").alias(id_col), "fingerprint", F.when(F.col("doc").isNotNull(), F.col("group")).alias("group"))

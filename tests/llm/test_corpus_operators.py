@@ -125,6 +125,19 @@ def test_estimate_is_corrected_for_chance(spark):
     assert np.allclose([r.e for r in rows], exact) and abs(np.mean([r.e for r in rows]) - 0.6) < 0.01
 
 
+def test_low_thresholds_lose_no_pair(spark, make):
+    draw = np.random.default_rng(50)
+    rows = []
+    for k in range(80):  # similarity just above a half: 4 rows in a band would miss one pair in eight
+        words = [f"w{x:x}" for x in draw.integers(0, 1 << 60, 500)]
+        rows += [(2 * k, " ".join(words[:300])), (2 * k + 1, " ".join(words[:204] + words[300:396]))]
+    found = {r.doc_id: r.component_id for r in minhash.near_duplicates(make(rows), percent=50).collect()}
+    assert found == {i: i - i % 2 for i in range(160)}
+    assert [minhash.band_rows(p) for p in (90, 75, 50, 9)] == [4, 4, 2, 1]
+    with pytest.raises(ValueError):
+        minhash.near_duplicates(make(rows[:2]), percent=5)
+
+
 def test_components_of_random_graphs(spark):
     draw = random.Random(2)
     edges = [(draw.randrange(300), draw.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(400, 460)] + [(500, k) for k in range(501, 560)]

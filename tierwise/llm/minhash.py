@@ -1,7 +1,7 @@
 """MinHash near-dedup (6): b-bit signatures, band candidates, exact confirmation.
 
 1. One pass sketches every text: the size and a 128-bit hash of its shingle
-   set, ``ROWS * BANDS`` minima folded into one key per band, and the low
+   set, ``MINIMA`` minima folded into one key per band, and the low
    ``BITS`` bits of each minimum packed into words.
 2. Equal sets form a class, and its smallest id stands for it: thousands of
    copies enter the search once.
@@ -17,7 +17,8 @@
 5. Components of the links, each named by its smallest id.
 
 At similarity 0.75 a pair shares none of 32 bands of 4 rows with a chance of
-5e-6, and is dropped by the estimate with one of 2e-8.
+5e-6, and is dropped by the estimate with one of 2e-8. Lower thresholds have
+more bands of fewer rows; those below 9 percent are refused.
 
 Defined cases: a text without words (or null) has an empty set and no links;
 one with fewer words than a shingle has its whole sequence as its only one;
@@ -35,11 +36,27 @@ from pyspark.sql import functions as F
 from .common import ASCII_LOWER, SpanHash, mix, over_texts, stored, string_bytes, window_hashes, word_spans
 from .graph import components
 
-WORDS, BANDS, ROWS, BITS = 5, 32, 4, 4
-MINIMA = BANDS * ROWS
-SIMILARITY = 0.75
-#: How far below the threshold an estimate may lie: 5.5 standard errors of it.
-MARGIN = 5.5 * float(np.sqrt((p := SIMILARITY + (1 - SIMILARITY) / 2**BITS) * (1 - p) / MINIMA)) / (1 - 2.0**-BITS)
+WORDS, MINIMA, BITS = 5, 128, 4
+#: Chance with which a pair at the threshold may share no band.
+MISS = 1e-5
+
+
+def band_rows(percent: int) -> int:
+    """Minima of a band: the most, of 4, 2 and 1, with which a pair at the threshold
+    is missed by all bands with a chance of MISS or less."""
+    for rows in (4, 2, 1):
+        if (1 - (percent / 100) ** rows) ** (MINIMA // rows) <= MISS:
+            return rows
+    raise ValueError(f"{MINIMA} minima do not find pairs of a similarity of {percent} percent")
+
+
+def least_estimate(percent: int) -> float:
+    """The least estimate that does not rule a pair out: 5.5 standard errors below the threshold."""
+    similarity = percent / 100
+    p = similarity + (1 - similarity) / 2**BITS
+    return similarity - 5.5 * float(np.sqrt(p * (1 - p) / MINIMA)) / (1 - 2.0**-BITS)
+
+
 #: Members of a block when a bucket is compared across components.
 BLOCK = 1_000
 _FACTORS = np.random.default_rng(6).integers(1, 2**63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -72,7 +89,7 @@ def shingle_sets(texts: pa.Array, size: int = WORDS) -> tuple[np.ndarray, np.nda
     return found[new], np.concatenate([[0], np.cumsum(np.bincount(owner[new], minlength=n))])
 
 
-def _sketch(batch: pa.RecordBatch) -> pa.RecordBatch:
+def _sketch(batch: pa.RecordBatch, rows: int) -> pa.RecordBatch:
     found, first = shingle_sets(batch.column("text"))
     n = np.diff(first)
     some = np.flatnonzero(n)
@@ -84,9 +101,10 @@ def _sketch(batch: pa.RecordBatch) -> pa.RecordBatch:
             minima[some, k] = np.minimum.reduceat(found * factor, at)
         sums[some, 0] = np.add.reduceat(mix(found), at)
         sums[some, 1] = np.add.reduceat(mix(found ^ np.uint64(0xA5A5A5A55A5A5A5A)), at)
-    keys = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (batch.num_rows, BANDS)).copy()
-    for k in range(ROWS):
-        keys = mix(keys * np.uint64(0x9FB21C651E98DF25) + minima[:, k::ROWS])
+    bands = MINIMA // rows
+    keys = np.broadcast_to(np.arange(bands, dtype=np.uint64), (batch.num_rows, bands)).copy()
+    for k in range(rows):
+        keys = mix(keys * np.uint64(0x9FB21C651E98DF25) + minima[:, k::rows])
     low = (mix(minima) & np.uint64(2**BITS - 1)).reshape(batch.num_rows, -1, 64 // BITS)
     packed = np.bitwise_or.reduce(low << (np.arange(64 // BITS, dtype=np.uint64) * np.uint64(BITS)), axis=2)
     lists = lambda x: pa.ListArray.from_arrays(
@@ -120,7 +138,7 @@ def _likely(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) whose estimate doesn't rule them out."""
     sig = lambda c, s: signatures.select(F.col("doc").alias(c), F.col("signature").alias(s))
     pairs = pairs.join(sig("u", "su"), "u").join(sig("v", "sv"), "v")
-    return pairs.where(estimate(F.col("su"), F.col("sv")) >= percent / 100 - MARGIN).select("u", "v")
+    return pairs.where(estimate(F.col("su"), F.col("sv")) >= least_estimate(percent)).select("u", "v")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -153,7 +171,7 @@ def _compare(doc, label, side, band: int, bands, signature, shingles: pa.ListArr
         x |= x >> np.uint64(1)
         x |= x >> np.uint64(2)
         differs = np.bitwise_count(x & np.uint64(0x1111111111111111)).sum(axis=1)
-        likely = ((MINIMA - differs) / MINIMA - 2.0**-BITS) / (1 - 2.0**-BITS) >= percent / 100 - MARGIN
+        likely = ((MINIMA - differs) / MINIMA - 2.0**-BITS) / (1 - 2.0**-BITS) >= least_estimate(percent)
         rest = rest[likely & ~(bands[rest, :band] == bands[i, :band]).any(axis=1)]  # else met in an earlier bucket
         if not len(rest):
             continue
@@ -235,7 +253,8 @@ def near_duplicates(docs: DataFrame, *, percent: int = 75, id_col: str = "doc_id
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
     layout = f"doc {kind}, n_shingles long, s1 long, s2 long, bands array<long>, signature array<long>"
-    rows = stored(texts.mapInArrow(over_texts(_sketch), layout), "sketches")
+    in_band = band_rows(percent)
+    rows = stored(texts.mapInArrow(over_texts(lambda batch: _sketch(batch, in_band)), layout), "sketches")
 
     searched = rows.where(F.col("doc").isNotNull() & (F.col("n_shingles") > 0))
     classes = stored(searched.groupBy("s1", "s2", "n_shingles").agg(F.min("doc").alias("head")), "classes")

@@ -5,7 +5,7 @@ import re
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF_SMALL
+from scales import SF_SMALL
 from oracle import compare, duck
 
 # queries of the llm subpackage are tested in tests/llm

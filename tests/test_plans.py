@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from conftest import SF_SMALL
+from scales import SF_SMALL
 from tierwise import (PRESETS, ColumnSpec, Rule, attach_modal, keep_top_tier, latest_by_entity, latest_rows,
                       modal_by_entity, prepare, resolve)
 from tierwise.sources.mappings import m1_orders, m2_lineitem

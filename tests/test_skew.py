@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_ORACLE
+from scales import SF_ORACLE
 from tierwise import PRESETS, ColumnSpec, Rule, attach_modal, keep_top_tier, latest_rows
 from tierwise.plans.skew import hot_keys, split_join
 from tierwise.sources.mappings import m1_orders

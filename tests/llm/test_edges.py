@@ -106,13 +106,56 @@ def test_empty_table(spark, make):
 
 
 def test_pipeline_stages_on_edges(spark, make):
-    docs = make(ROWS)
+    plain = make(ROWS)
+    clashing = plain.withColumns({c: F.lit("clash") for c in [*CLASHES, "gone_id", "node", "carried", "a.b"]})
     folder = shared_path(spark, "test-edges")
     labels_of(spark, [(1, 1, 0), (4, 0, 1)]).write.parquet(f"{folder}/labels.parquet")
-    for rows in (docs, make([])):
-        now = rows
-        for name, stage in corpus_pipeline.STAGES:
-            now = stage(spark, now, folder)
+    by_stage = {}
+    for docs in (plain, clashing, make([])):
+        for name, stage in corpus_pipeline.STAGES:  # each on the whole table
+            now = stage(spark, docs, folder)
             if name != "packing":
                 assert now.columns == docs.columns, name
-            now.collect()
+            rows = now.collect()
+            by_stage.setdefault(name, []).append(sorted((str(r.doc_id), r.text) if name != "packing" else (str(r.doc_id), r.length) for r in rows))
+    for name, (of_plain, of_clashing, of_none) in by_stage.items():
+        assert of_plain == of_clashing and not of_none, name
+    assert all(found[0] for name, found in by_stage.items() if name not in ("toxicity", "language_id"))
+
+
+A = "one two three four five six seven eight nine ten eleven twelve"
+B = "completely other words stand here and are like nothing else at all"
+
+
+@pytest.mark.parametrize(
+    "rows, kept",
+    [
+        ([(3, A), (6, A), (6, B)], [(3, A), (6, B)]),  # an id's other text is like nothing else
+        ([(1, A)] * 3, [(1, A)]),  # copies of one id
+        ([(2, B), (1, A), (1, A), (5, A), (1, B)], [(1, A), (1, B)]),
+        ([(9, None), (9, ""), (10, ""), (10, "")], [(9, None), (10, "")]),
+        ([(None, A), (4, A), (None, B)], [(None, A), (None, B)]),
+        ([(7, A + " thirteen"), (8, A), (8, B)], [(7, A + " thirteen"), (8, B)]),
+    ],
+)
+def test_near_dedup_drops_rows_not_ids(spark, make, rows, kept):
+    found = corpus_pipeline.near_dedup(spark, make(rows), "").collect()
+    assert sorted((str(r.doc_id), r.text or "") for r in found) == sorted((str(i), t or "") for i, t in kept)
+
+
+def test_no_local_folder_on_a_cluster(spark):
+    class Conf:
+        def __init__(self, master):
+            self.of = {"spark.master": master}
+
+        def get(self, key, default=None):
+            return self.of.get(key, default)
+
+    class Session:
+        def __init__(self, master):
+            self.conf = Conf(master)
+
+    assert shared_path(Session("local[8]"), "x").startswith("file://")
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]", "k8s://https://host"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared_path(Session(master), "x")

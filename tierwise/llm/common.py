@@ -31,6 +31,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def column(name: str) -> Column:
+    """The column of exactly this name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def remainder(modulus: int, id_col: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo ``modulus``; a null id counts as remainder 0."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % modulus, F.lit(0))
@@ -38,10 +43,12 @@ def remainder(modulus: int, id_col: str = "doc_id") -> Column:
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path below the folder that driver and executors share
-    (``spark.checkpoint.dir``; a scratch folder only where it is unset, as in
-    local tests)."""
+    (``spark.checkpoint.dir``; a scratch folder only where it is unset and all
+    runs in one process, as in local tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "").startswith("local") or spark.conf.get("spark.master").startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if not _own_folder:
             _own_folder.append("file://" + tempfile.mkdtemp(prefix="tierwise-"))
         base = _own_folder[0]
@@ -192,3 +199,12 @@ def over_texts(f: Callable[[pa.RecordBatch], pa.RecordBatch | None], text_col: s
                     yield out
 
     return run
+
+
+def keep_texts(docs: DataFrame, keep: Callable[[pa.Array], np.ndarray], text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text ``keep`` marks; all columns as they are, whatever their names."""
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    text = names[docs.columns.index(text_col)]
+    rows = docs.toDF(*names)
+    kept = rows.mapInArrow(over_texts(lambda batch: batch.filter(pa.array(keep(batch.column(text)))), text), rows.schema)
+    return kept.toDF(*docs.columns)

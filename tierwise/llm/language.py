@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_NO_LETTER, SpanHash, mix, over_texts, remainder, string_bytes, word_spans
+from .common import IS_NO_LETTER, SpanHash, keep_texts, mix, over_texts, remainder, string_bytes, word_spans
 
 ORDER = 5
 #: Training texts of each language, in expectation.
@@ -340,8 +340,4 @@ def identify_languages(docs: DataFrame, model: Model, *, id_col: str = "doc_id",
 def drop_unidentified(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns as they are, that a learned language accounts for."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return batch.filter(pa.array(~predict(held.value, batch.column(text_col))[2]))
-
-    return docs.mapInArrow(over_texts(run, text_col), docs.schema)
+    return keep_texts(docs, lambda texts: ~predict(held.value, texts)[2], text_col)

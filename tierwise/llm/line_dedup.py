@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, WHITESPACE, stored
+from .common import LOWER, UPPER, WHITESPACE, column, stored
 
 DOC = ["doc", "doc_hash"]
 KEY = ["h1", "h2"]
@@ -86,7 +86,7 @@ def _marked(docs: DataFrame, carry: list[str], min_docs: int, keep: str, min_key
     lines = stored(line_table(docs, id_col=id_col, text_col=text_col, min_key_chars=min_key_chars), "lines")
     maps = drop_bitmaps(lines, min_docs=min_docs, keep=keep)
     maps = maps.select(F.col("doc").alias("m_doc"), F.col("doc_hash").alias("m_hash"), F.col("words").alias("drop_words"))
-    carried = F.struct(*(F.col(c) for c in carry)) if carry else F.lit(None)
+    carried = F.struct(*(column(c) for c in carry)) if carry else F.lit(None)
     rows = docs.select(F.col(id_col).alias("doc"), carried.alias("carried"), _text(text_col).alias("body"))
     rows = rows.withColumn("doc_hash", F.xxhash64("body"))
     rows = rows.join(maps, F.col("doc").eqNullSafe(F.col("m_doc")) & (F.col("doc_hash") == F.col("m_hash")), "left")
@@ -122,4 +122,4 @@ def drop_repeated_lines(
     """``docs`` with the text of every row without its dropped lines; other columns as they are."""
     others = [c for c in docs.columns if c != text_col]
     rows = _marked(docs, others, min_docs, keep, min_key_chars, id_col, text_col)
-    return rows.select(*(F.col("kept_text" if c == text_col else f"carried.`{c}`").alias(c) for c in docs.columns))
+    return rows.select(*((F.col("kept_text") if c == text_col else F.col("carried")[c]).alias(c) for c in docs.columns))

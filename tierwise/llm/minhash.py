@@ -23,7 +23,9 @@ more bands of fewer rows; those below 9 percent are refused.
 Defined cases: a text without words (or null) has an empty set and no links;
 one with fewer words than a shingle has its whole sequence as its only one;
 rows with a null id are kept and not linked; repeated rows share their
-component; an empty table gives an empty result.
+component; where one id stands on different texts, the links of any of them are
+that id's, so give such rows ids of their own, as ``drop_near_duplicates`` does;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, SpanHash, mix, over_texts, stored, string_bytes, window_hashes, word_spans
+from .common import ASCII_LOWER, SpanHash, column, mix, over_texts, stored, string_bytes, window_hashes, word_spans
 from .graph import components
 
 WORDS, MINIMA, BITS = 5, 128, 4
@@ -193,7 +195,7 @@ def _compare_blocks(percent: int):
         matrix = lambda c: col(c).flatten().to_numpy().view(np.uint64).reshape(table.num_rows, -1)
         _, label = np.unique(col("label").to_numpy(), return_inverse=True)
         side = (col("block").to_numpy() != col("low").to_numpy()).astype(np.int8)
-        doc = col("doc").to_numpy().tolist()
+        doc = col("doc").to_pylist()
         return _compare(doc, label, side, int(col("band")[0].as_py()), matrix("bands"), matrix("signature"), col("shingles"), percent)
 
     def run(batches):
@@ -280,3 +282,27 @@ def near_duplicates(docs: DataFrame, *, percent: int = 75, id_col: str = "doc_id
     return out.select(
         F.col("doc").alias(id_col), "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc") == own, F.lit(True)).alias("kept")
     )
+
+
+def drop_near_duplicates(docs: DataFrame, *, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs``, all columns as they are, with one row of each group of near
+    duplicates: the one with the smallest id (null first), then text hash.
+
+    A row's identity is its id and its text, so an id that stands on different
+    texts loses only those that are like another row, and of rows that agree in
+    both one stays (the one whose other columns hash lowest). Rows without words
+    are like nothing else, but equal ones with one id are one row."""
+    body = F.coalesce(column(text_col), F.lit(""))
+    node = F.struct(column(id_col).alias("id"), F.xxhash64(body).alias("h1"), F.xxhash64(F.lit(7), body).alias("h2"))
+    carried = F.struct(*(column(c).alias(c) for c in docs.columns))
+    rows = docs.select(node.alias("node"), carried.alias("carried"))
+
+    found = near_duplicates(docs.select(node.alias("node"), column(text_col).alias("text")), percent=percent, id_col="node")
+    marked = found.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("kept").alias("stays")).where("n > 1 OR NOT stays")
+    marked = stored(marked, "marked")  # both sides of the joins are shuffled then, so that a hot row can be split
+    single = rows.join(marked, "node", "left_anti")
+    repeated = rows.join(marked.where("stays"), "node", "left_semi")  # reduced before it is shuffled by its key
+    plain = [c for c in docs.columns if "map<" not in (kind := docs.schema[c].dataType.simpleString()) and "variant" not in kind]
+    order = F.xxhash64(*(F.col("carried")[c] for c in plain))
+    repeated = repeated.groupBy("node").agg(F.min_by("carried", order).alias("carried"))
+    return single.unionByName(repeated).select(*(F.col("carried")[c].alias(c) for c in docs.columns))

@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_NO_LETTER, SpanHash, over_texts, remainder, string_bytes, word_spans
+from .common import IS_NO_LETTER, SpanHash, keep_texts, over_texts, remainder, string_bytes, word_spans
 
 #: Labelled rows that the classifier is fitted on, in expectation.
 MAX_LABELLED = 20_000
@@ -331,11 +331,7 @@ def score_toxicity(docs: DataFrame, model: Model, *, id_col: str = "doc_id", tex
 def drop_toxic(docs: DataFrame, model: Model, *, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns as they are, that score below ``threshold``."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return batch.filter(pa.array(probabilities(held.value, batch.column(text_col))[0] < threshold))
-
-    return docs.mapInArrow(over_texts(run, text_col), docs.schema)
+    return keep_texts(docs, lambda texts: probabilities(held.value, texts)[0] < threshold, text_col)
 
 
 def learn_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED) -> Model:

@@ -3,6 +3,13 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
 each stage's rows as Parquet in the shared folder and reads them back as the
 next one's documents. All but the last return the columns of ``documents``.
+
+Defined cases, for every stage: extra columns pass through under any name, dots
+and the operators' own names included; a null text is an empty one; a row with a
+null id is a row like any other; an empty table gives an empty result.
+Documents without a letter have no language and go in the second stage. Rows
+that repeat an id are judged one by one; near_dedup alone keeps one of those that
+agree in id and text.
 """
 
 from __future__ import annotations
@@ -16,7 +23,7 @@ from pyspark.sql import functions as F
 from tierwise.llm.common import documents, stored
 from tierwise.llm.language import drop_unidentified, learn_languages
 from tierwise.llm.line_dedup import drop_repeated_lines
-from tierwise.llm.minhash import near_duplicates
+from tierwise.llm.minhash import drop_near_duplicates
 from tierwise.llm.packing import pack_documents
 from tierwise.llm.toxicity import drop_toxic, learn_toxicity
 
@@ -38,9 +45,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the one with the smallest id."""
-    gone = near_duplicates(docs, percent=75).where("NOT kept").select(F.col("doc_id").alias("gone_id"))
-    return docs.join(gone, docs["doc_id"] == F.col("gone_id"), "left_anti")
+    """One document of each group of near duplicates stays, the one with the smallest id.
+    Rows are told apart by id and text: of equal rows one stays, and an id's other texts are judged on their own."""
+    return drop_near_duplicates(docs, percent=75)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

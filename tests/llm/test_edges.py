@@ -117,7 +117,7 @@ def test_pipeline_stages_on_edges(spark, make):
             if name != "packing":
                 assert now.columns == docs.columns, name
             rows = now.collect()
-            by_stage.setdefault(name, []).append(sorted((str(r.doc_id), r.text) if name != "packing" else (str(r.doc_id), r.length) for r in rows))
+            by_stage.setdefault(name, []).append(sorted((str(r.doc_id), r.text or "") if name != "packing" else (str(r.doc_id), r.length) for r in rows))
     for name, (of_plain, of_clashing, of_none) in by_stage.items():
         assert of_plain == of_clashing and not of_none, name
     assert all(found[0] for name, found in by_stage.items() if name not in ("toxicity", "language_id"))

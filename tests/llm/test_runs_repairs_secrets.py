@@ -1,0 +1,454 @@
+"""Periodic runs, conversation repair and secret scans, against direct computations."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from tierwise.llm import queries, repair, runs, secrets
+
+SF = "/root/testdata/sf0.01"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
+
+
+# ---------------------------------------------------------------- periodic runs
+
+
+def brute_runs(words, min_length=24):
+    """Lag by lag, word by word; a stretch counts at its smallest period only."""
+    out = []
+    for q in range(1, len(words) // 3 + 1):
+        i = 0
+        while i < len(words) - q:
+            j = i
+            while j < len(words) - q and words[j] == words[j + q]:
+                j += 1
+            stretch = words[i : j + q]
+            if j > i and len(stretch) >= max(min_length, 3 * q):
+                if not any(stretch[p:] == stretch[:-p] for p in range(1, q)):
+                    out.append((i, j + q - i, q))
+            i = max(j, i + 1)
+    return sorted(out, key=lambda r: (r[0], r[2]))
+
+
+def collapsed(words, found):
+    gone = {i for a, n, q in found for i in range(a + q, a + n)}
+    return " ".join(w for i, w in enumerate(words) if i not in gone)
+
+
+PARTS = st.one_of(
+    st.lists(st.integers(0, 40), max_size=25),
+    st.tuples(st.lists(st.integers(0, 3), min_size=1, max_size=9), st.integers(1, 40)).map(lambda x: x[0] * x[1]),
+    st.tuples(st.lists(st.integers(0, 3), min_size=33, max_size=50), st.integers(1, 4), st.integers(0, 30)).map(lambda x: x[0] * x[1] + x[0][: x[2]]),
+)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(PARTS, max_size=4).map(lambda x: sum(x, [])), min_size=1, max_size=4), st.sampled_from([24, 5]), st.sampled_from([1, 3, 32]))
+def test_runs_by_brute_force(texts, least, short):
+    before, runs.SHORT = runs.SHORT, short
+    try:
+        doc = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+        word = np.unique(np.array(sum(texts, []), np.int64), return_inverse=True)[1]
+        got = defaultdict(list)
+        first = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+        for a, b, q in runs.runs_of(word, doc, least).tolist():
+            got[doc[a]].append((a - first[doc[a]], b - a, q))
+        assert [got[k] for k in range(len(texts))] == [brute_runs(t, least) for t in texts]
+    finally:
+        runs.SHORT = before
+
+
+def test_splitting_goes_on_until_nothing_is_rare():
+    # x stands three times in all, but the rare word parts it from two of them
+    word = np.array([0, 1] * 12 + [9] + [5, 6, 7] * 8 + [1, 1] + [0] * 30)
+    start, end = runs.surviving_segments(word, np.zeros(len(word), int))
+    assert all((word[a:b] != 9).all() for a, b in zip(start, end)) and len(start) == 3
+    for a, b in zip(start, end):
+        assert np.unique(word[a:b], return_counts=True)[1].min() >= 3
+
+
+def test_long_periodic_texts_take_little_time_and_memory():
+    import resource
+    import time
+
+    n = 1_000_000
+    for word, expected in ((np.zeros(n, int), [[0, n, 1]]), (np.arange(n) % 70_000, [[0, n, 70_000]]), (np.random.default_rng(0).integers(0, 50, n), [])):
+        began = time.time()
+        assert runs.runs_of(word, np.zeros(n, int)).tolist() == expected
+        assert time.time() - began < 60
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss < 4 << 20  # KB
+
+
+def test_op11_by_brute_force(spark):
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = {r.doc_id: r for r in queries.op11_periodic_runs(spark, SF).collect()}
+    assert set(rows) == set(texts)
+    n_found = 0
+    for i, text in texts.items():
+        words, h = WORD.findall(text), zlib.crc32(str(i).encode())
+        n, g = len(words), h // 10
+        if h % 10 == 0 and n:
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            words = [w if k < a else words[a + (k - a) % p] for k, w in enumerate(words)]
+        elif h % 10 and n > 3000:
+            continue  # brute force takes too long, and seldom finds anything
+        found = brute_runs(words)
+        n_found += len(found)
+        r = rows[i]
+        top = max(found, key=lambda x: (x[1] / x[2], -x[0], -x[2]), default=(None, None, None))
+        assert (r.n_runs, r.start, r.length, r.period) == (len(found), *top)
+        assert r.exponent_milli == (1000 * top[1] // top[2] if found else None)
+        assert r.runs_sha256 == sha("".join(f"{a},{b},{q}\n" for a, b, q in found)) and r.collapsed_sha256 == sha(collapsed(words, found))
+    assert n_found > 50
+
+
+def test_runs_on_edges(spark, make):
+    docs = make([(1, None), (2, ""), (3, " \n\t"), (4, "ab " * 24), (4, "ab " * 24), (None, "x y " * 30), (7, "日本 é " * 9), (8, "one\ttwo\n three"), (9, "w" * 300_000)])
+    found = runs.find_runs(docs.withColumns({c: F.lit("clash") for c in ("doc", "runs", "n_words", "a.b")})).collect()
+    of = defaultdict(list)
+    for r in found:
+        of[r.doc_id].append((r.n_words, [tuple(x) for x in r.runs], r.collapsed))
+    assert of[1] == of[2] == of[3] == [(0, [], "")] and of[9] == [(1, [], "w" * 300_000)]
+    assert of[4] == [(24, [(0, 24, 1)], "ab")] * 2 and of[None] == [(60, [(0, 60, 2)], "x y")]
+    assert of[7] == [(18, [], " ".join("日本 é".split() * 9))] and of[8] == [(3, [], "one two three")]
+    assert runs.find_runs(make([])).collect() == []
+
+
+# ---------------------------------------------------------- conversation repair
+
+
+def best_edits(rows):
+    """(cost, audit) by costs to go, then every cheapest audit written out: rows are (initial, fault)."""
+    after = {"": "su", "s": "u", "u": "a", "a": "u"}
+    to_go = [dict.fromkeys(after, 10**9) for _ in range(len(rows) + 1)]
+
+    def edits(i, state):
+        """(initial, cost, next row, next state)"""
+        if i < len(rows):
+            role, fault = rows[i]
+            stay = fault == "truncated"
+            yield "D", 3, i + 1, state
+            if fault not in ("blank", "duplicate"):
+                if role and role in after[state]:
+                    yield "K", stay, i + 1, role
+                for to in set(after[state]) & set("ua"):
+                    yield "R", 2 + stay, i + 1, to
+        for to in set(after[state]) & set("ua"):
+            yield "I", 2, i, to
+
+    for i in range(len(rows), -1, -1):
+        if i == len(rows):
+            to_go[i][""] = to_go[i]["a"] = 0
+        for _ in range(4):
+            for state in after:
+                for _, cost, j, to in edits(i, state):
+                    to_go[i][state] = min(to_go[i][state], cost + to_go[j][to])
+
+    def audits(i, state, left):
+        if left == 0 and i == len(rows) and state in ("", "a"):
+            yield ""
+        for edit, cost, j, to in edits(i, state):
+            if to_go[j][to] == left - cost:
+                for rest in audits(j, to, left - cost):
+                    yield edit + rest
+
+    return to_go[0][""], min(audits(0, "", to_go[0][""]))
+
+
+ROW = st.tuples(st.sampled_from("suuaat "), st.sampled_from([None, None, None, "blank", "duplicate", "truncated"]))
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(ROW, max_size=9))
+def test_edits_are_the_cheapest_and_ascii_least(rows):
+    now, audit = repair.Repair(), ""
+    for k, (role, fault) in enumerate(rows):
+        audit += "".join(edit for edit, _ in now.add(role, fault, k))
+    cost, left = now.end()
+    assert (cost, audit + "".join(edit for edit, _ in left)) == best_edits(rows)
+
+
+def nodes(root):
+    todo, n = [root], 0
+    while todo:
+        node = todo.pop()
+        assert all(kid.parent is node for kid in node.kids)
+        assert node is root or node.kids or node.held
+        todo += node.kids
+        n += 1
+    return n
+
+
+def test_settled_edits_are_let_go():
+    draw, now, given, most = random.Random(5), repair.Repair(), 0, 0
+    for k in range(20_000):
+        given += sum(1 for _ in now.add(draw.choice("uauaua" if k % 50 else "s"), None, k))
+        if k % 500 == 0:
+            most = max(most, nodes(now.root))
+    assert most < 400 and given > 19_000
+
+
+def test_unsettled_ties_cost_no_more_than_in_proportion():
+    import time
+
+    took = []
+    for n in (20_000, 80_000):  # a conversation of one role: two survivors that never meet
+        began, now = time.time(), repair.Repair()
+        for k in range(n):
+            now.add("u", None, k)
+        took.append(time.time() - began)
+        assert now.end()[0] == n
+    assert took[1] < 10 * took[0] + 1
+
+
+def damage(rows):
+    out = []
+    for conv, turn, role, text in rows:
+        name = lambda x: " " if x is None else str(x)
+        h = zlib.crc32(f"{name(conv)}:{name(turn)}".encode()) % 20
+        role, text = name(role), name(text)
+        if h == 0:
+            continue
+        if h == 1:
+            text = ""
+        if h == 2:
+            text = re.sub("[.!?]", "", text)
+        if h == 4:
+            role = "user"
+        out += [(turn, role, text)] * (2 if h == 3 else 1)
+    return sorted(out, key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2]))
+
+
+def brute_report(rows):
+    seen, faults = set(), []
+    for _, role, text in rows:
+        bare = re.sub(r"[\x20\x09-\x0D]+$", "", text)
+        faults.append("blank" if not WORD.search(text) else "duplicate" if (role, text) in seen else "truncated" if bare[-1] not in ".!?" else None)
+        seen.add((role, text))
+    turns = [t for t, _, _ in rows if t is not None]
+    cost, audit = best_edits([(role[:1], fault) for (_, role, _), fault in zip(rows, faults)])
+    at, told, last = 0, [], ""
+    for edit in audit:
+        if edit != "I":
+            _, role, text = rows[at]
+            at += 1
+        if edit == "D":
+            continue
+        if edit in "RI":
+            role, text = "assistant" if last == "u" else "user", text if edit == "R" else ""
+        told.append(f"{role}:{text}")
+        last = role[0]
+    illegal = sum(a[1][:1] + b[1][:1] not in ("su", "ua", "au") for a, b in zip(rows, rows[1:]))
+    gaps = max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0
+    return (gaps, *(faults.count(f) for f in ("blank", "duplicate", "truncated")), illegal, cost, audit, sha("\n".join(told)))
+
+
+def check_reports(rows, found):
+    of = defaultdict(list)
+    for r in rows:
+        of[r[0]].append(r)
+    got = {r[0]: tuple(r)[1:] for r in found}
+    assert set(got) == set(of) and len(found) == len(of)
+    for conv, some in of.items():
+        assert got[conv] == brute_report(damage(some)), conv
+
+
+REPORT = ["conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"]
+
+
+def test_op12_by_brute_force(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    check_reports(rows, queries.op12_conversation_repair(spark, SF).select(*REPORT).collect())
+
+
+def test_op12_on_edges(spark, tmp_path):
+    draw = random.Random(12)
+    texts = ["Yes.", "No", "", " \n", None, "Why? ", "So!\n", "日本。", "a.b"]
+    roles = ["user", "assistant", "system", "tool", "", None, "User", "unknown"]
+    rows = [(draw.choice([None, *range(60)]), draw.choice([None, *range(9)]), draw.choice(roles), draw.choice(texts)) for _ in range(330)]
+    rows += [(1000, None, "user", "x."), (1001, None, None, None), (None, None, None, None)]
+    rows += [(2000 + k, k % 3, "user", "gone") for k in range(40)]
+    schema = "conv_id long, turn long, role string, text string"
+    clashing = {c: F.lit("clash") for c in ("conv", "first", "fault", "h", "edit", "cost", "n", "found_id", "time")}
+    spark.createDataFrame(rows, schema).withColumns(clashing).write.parquet(f"{tmp_path}/conversations.parquet")
+    check_reports(rows, queries.op12_conversation_repair(spark, str(tmp_path)).select(*REPORT).collect())
+    assert any(zlib.crc32(f"{2000 + k}:{k % 3}".encode()) % 20 == 0 for k in range(40))  # one has no rows left
+
+
+def test_repairs_are_rows_in_order(spark):
+    rows = [(1, 0, "user", "Hi."), (1, 1, "user", "There?"), (1, 2, "assistant", "Yes."), (1, 3, "assistant", "Yes."), (2, 0, "user", "")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    found = repair.repair_conversations(df).collect()
+    assert [(r.edit, r.turn, r.old_role, r.role, r.text, r.fault) for r in found if r.conv_id == 1] == [
+        ("K", 0, "user", "user", "Hi.", None), ("I", None, None, "assistant", "", None), ("K", 1, "user", "user", "There?", None),
+        ("K", 2, "assistant", "assistant", "Yes.", None), ("D", 3, "assistant", None, "Yes.", "duplicate"),
+    ]
+    assert [(r.edit, r.fault) for r in found if r.conv_id == 2] == [("D", "blank")]
+    none = spark.createDataFrame([], df.schema)
+    assert repair.report_repairs(repair.repair_conversations(none)).collect() == []
+
+
+def test_a_long_conversation_streams_through(spark):
+    n = 40_000
+    df = spark.range(n).selectExpr("7L AS conv_id", "id AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "concat('t', id, '.') AS text")
+    r = repair.report_repairs(repair.repair_conversations(df)).collect()
+    assert len(r) == 1 and r[0].cost == 0 and r[0].audit == "K" * n and r[0].gaps == 0
+    assert r[0].repaired_sha256 == sha("\n".join(f"{'assistant' if k % 2 else 'user'}:t{k}." for k in range(n)))
+
+
+# ----------------------------------------------------------------- secret scans
+
+RULES = {
+    "assign": (re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 6, 2),
+    "access": (re.compile("AKIA[A-Z0-9]+"), 20, 0),
+    "hex": (re.compile("[0-9a-f]+"), 24, 0),
+}
+
+
+def brute_findings(text):
+    out = []
+    for k, (rule, least, group) in enumerate(RULES.values()):
+        out += [(m.start(), k, m.end()) for m in rule.finditer(text) if len(m.group(group)) >= least]
+    return [(list(RULES)[k], a, b) for a, k, b in sorted(out)]
+
+
+PIECE = st.sampled_from(
+    ["token", "Token", "API_KEY", "apikey", "passwd", "password", '"', "'", " ", "  ", "=", ":", "\n", "abc12", "abcdef123", "AKIA", "AKIA" + "Q7" * 8,
+     "0f" * 12, "deadbeef" * 4, "é", "日", "ſecret", "toKen", "x.", "-", "+/="]
+)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(PIECE, max_size=14).map("".join), min_size=1, max_size=5))
+def test_rules_by_brute_force(some):
+    found = secrets.findings(secrets.Model(), pa.array(some))
+    assert [[(f["kind"], f["start"], f["end"]) for f in of] for of in found] == [brute_findings(t) for t in some]
+
+
+def brute_candidates(text):
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9+/_.=-]+", text):
+        bare = m.group().strip(".-")
+        if len(bare) < 6:
+            continue
+        a = m.start() + len(m.group()) - len(m.group().lstrip(".-"))
+        assigned = re.search(r"""[:=][ "']{0,4}$""", text[:a])
+        if re.search("[0-9]", bare) or len(bare) >= 16 or assigned:
+            out.append((a, a + len(bare)))
+    return out
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(PIECE | st.sampled_from(["...", "--", "a1b2c3", "longerthansixteenletters", "..a1.b2.c3.."]), max_size=14).map("".join).filter(str.isascii))
+def test_candidates_by_brute_force(text):
+    start, end = secrets.candidates(secrets.Texts(pa.array([text])))
+    assert list(zip(start.tolist(), end.tolist())) == brute_candidates(text)
+
+
+def test_windows_cover_long_candidates_and_stay_in_their_text():
+    long = "".join(random.Random(1).choices("abcdef0123456789", k=500))
+    texts = secrets.Texts(pa.array(["before " + long + " after", "other1", ""]))
+    start, end = secrets.candidates(texts)
+    seen = [(owner, row) for rows, owners in secrets.windows(texts, start, end) for owner, row in zip(owners.tolist(), rows)]
+    inside = [bytes(r[secrets.AROUND : -secrets.AROUND]).rstrip(b"\0").decode() for o, r in seen if o == 0]
+    assert inside[0] == long[:48] and all(x in long for x in inside) and long.endswith(inside[-1]) and len("".join(x[:24] for x in inside)) >= 476
+    assert all(bytes(r[: secrets.AROUND]).strip(b"\0") == b"before " and bytes(r[-secrets.AROUND :]).rstrip(b"\0") == b" after" for o, r in seen if o == 0)
+    assert [bytes(r).replace(b"\0", b"") for o, r in seen if o == 1] == [b"other1"]
+
+
+def test_gradient_is_the_slope():
+    draw = np.random.default_rng(2)
+    rows = draw.integers(1, 256, (4, secrets.WINDOW)).astype(np.uint8)
+    w = {k: v.astype(float) for k, v in secrets._first_weights().items()}
+    error = draw.normal(size=4)
+    grads = secrets.gradient(w, secrets.forward(w, rows)[1], error)
+    for name, value in w.items():
+        for _ in range(4):
+            at = (rows[0, draw.integers(secrets.WINDOW)], draw.integers(8)) if name == "table" else tuple(int(draw.integers(n)) for n in value.shape)
+            was, eps, outs = value[at], 1e-6, []
+            for step in (-eps, eps):
+                value[at] = was + step
+                outs.append((secrets.forward(w, rows)[0] * error).sum())
+            value[at] = was
+            assert abs((outs[1] - outs[0]) / (2 * eps) - grads[name][at]) < 1e-4 * max(1, abs(grads[name][at])), name
+
+
+@pytest.fixture(scope="module")
+def planted(spark, make):
+    """Prose with secrets that the rules find, numbers and addresses that are none, and secrets beyond the rules."""
+    draw = random.Random(13)
+    pick = lambda chars, n: "".join(draw.choices(chars, k=n))
+    prose = lambda: " ".join(pick("etaoinshr", draw.randint(2, 9)) for _ in range(30))
+    rows, new = [], {}
+    for k in range(1200):
+        middle = [
+            f'token = "{pick("0123456789abcdef", 40)}"', f"api_key: {pick('0123456789abcdef', 32)}", f"card {pick('0123456789', 16)}",
+            f"+1 (555) 555-{pick('0123456789', 4)}", f"{pick('etaoin', 7)}.{pick('0123456789', 2)}@mail{k % 9}.example.com",
+            f"http://www.{pick('etaoin', 8)}.example/{pick('etaoin', 9)}/{pick('0123456789', 3)}", f"note: {pick('etaoinshr', 8)}",
+        ][k % 7]
+        if k % 40 == 3:
+            secret = pick("0123456789ABCDEF", 40) if k % 80 == 3 else pick("0123456789abcdef", 12) + pick("ABCDEFGHJKLMNPQ0123456789", 28)
+            middle = f"left {secret} here"
+            new[k] = secret
+        rows.append((k, f"{prose()} {middle} {prose()}"))
+    docs = make(rows)
+    model = secrets.learn_secrets(docs)
+    return rows, new, model, {r.doc_id: r.findings for r in secrets.find_secrets(docs, model).collect()}
+
+
+def test_network_finds_secrets_that_no_rule_finds(planted):
+    rows, new, model, found = planted
+    assert model.recall >= secrets.RECALL and model.reported <= secrets.MOST_SHARE
+    texts, hit, wrong = dict(rows), 0, 0
+    for k, of in found.items():
+        assert [(f["kind"], f["start"], f["end"]) for f in of if f["kind"] != "model"] == brute_findings(texts[k])
+        for f in of:
+            if f["kind"] == "model":
+                right = k in new and texts[k][f["start"] : f["end"]] in new[k]
+                hit, wrong = hit + right, wrong + (not right)
+                assert model.thresholds and f["score"] >= min(model.thresholds)
+    assert hit >= 0.9 * len(new) and wrong <= 2
+
+
+def test_learning_is_repeatable(spark, make, planted):
+    rows, _, model, _ = planted
+    again = secrets.learn_secrets(make(rows[::-1]).repartition(3))
+    assert all(np.allclose(model.weights[k], again.weights[k], atol=1e-4) for k in model.weights) and model.thresholds == again.thresholds
+
+
+def test_op13_by_brute_force(spark):
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = queries.op13_secret_scan(spark, SF).collect()
+    assert {r.doc_id for r in rows} == set(texts) and len(rows) == len(texts)
+    for r in rows:
+        base = brute_findings(texts[r.doc_id])
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(f[0] == k for f in base) for k in RULES)
+        assert r.base_sha256 == sha(",".join(f"{k}:{a}:{b}" for k, a, b in base))
+        spans = r.spans.split(",") if r.spans else []
+        assert [s for s in spans if not s.startswith("model:")] == [f"{k}:{a}:{b}" for k, a, b in base]
+        assert len(spans) == len(base) + r.n_model and [int(s.split(":")[1]) for s in spans] == sorted(int(s.split(":")[1]) for s in spans)
+
+
+def test_secrets_on_edges(spark, make, planted):
+    long = "f0" * 150_000
+    docs = make([(1, None), (2, ""), (3, "token=abc123"), (3, "token=abc123"), (None, "日 secret: xyz.789 é"), (5, long), (6, ".-.-"), (7, "=" * 9)])
+    docs = docs.withColumns({c: F.lit("clash") for c in ("doc", "findings", "key", "label", "a.b")})
+    for model in (secrets.Model(), planted[2]):
+        of = defaultdict(list)
+        for r in secrets.find_secrets(docs, model).collect():
+            of[r.doc_id].append([(f["kind"], f["start"], f["end"]) for f in r.findings if f["kind"] != "model"])
+        assert of[1] == of[2] == of[6] == of[7] == [[]] and of[3] == [[("assign", 0, 12)]] * 2
+        assert of[None] == [[("assign", 2, 17)]] and of[5] == [[("hex", 0, 300_000)]]
+    assert secrets.learn_secrets(docs).weights is None and secrets.learn_secrets(make([])).weights is None
+    assert secrets.find_secrets(make([]), planted[2]).collect() == []

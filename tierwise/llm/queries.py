@@ -14,7 +14,10 @@ from .line_dedup import dedup_lines
 from .minhash import near_duplicates
 from .packing import pack_documents
 from .pitman_yor import score_texts, training_rows
+from .repair import COUNTS, repair_conversations, report_repairs
 from .repetition import repetition_rules
+from .runs import find_runs, longest_power
+from .secrets import find_secrets, learn_secrets
 from .token_cache import TokenCache, count_tokens
 from .toxicity import learn_toxicity, score_toxicity
 
@@ -73,6 +76,65 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def repeated_tails(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): one document in ten, by the crc32 of its id, with its words from
+    one on replaced by repeats of the first of them."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    rows = docs.select("doc_id", "text", F.when(h % 10 == 0, F.expr(r"regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+', 0)")).alias("words"))
+    rows = rows.withColumn("g", F.floor(h / 10)).withColumn("n", F.size("words").cast("long"))
+    rows = rows.withColumn("a", F.when(F.col("n") > 0, F.expr("g % n"))).withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    again = F.expr("array_join(transform(words, (w, i) -> if(i < a, w, words[cast(a + (i - a) % p as int)])), ' ')")
+    return rows.select("doc_id", F.when(F.col("n") > 0, again).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_runs(repeated_tails(documents(spark, sf_dir))).withColumn("top", longest_power(F.col("runs")))
+    listed = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "top.start",
+        "top.length",
+        "top.period",
+        F.expr("1000 * top.length div top.period").alias("exponent_milli"),
+        F.sha2(F.array_join(listed, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with rows dropped, emptied, cut, repeated and given to the user, by a crc32."""
+    spaced = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    rows = rows.withColumn("h", F.crc32(F.concat(spaced("conv_id"), F.lit(":"), spaced("turn"))) % 20).where("h <> 0")
+    text = F.when(F.col("h") == 1, "").when(F.col("h") == 2, F.translate(spaced("text"), ".!?", "")).otherwise(spaced("text"))
+    role = F.when(F.col("h") == 4, "user").otherwise(spaced("role"))
+    times = F.explode(F.when(F.col("h") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), times.alias("time")).drop("time")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    found = report_repairs(repair_conversations(damaged(rows))).withColumnRenamed("conv_id", "found_id")
+    every = rows.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("found_id")), "left")
+    return every.select(
+        "conv_id",
+        *(F.coalesce(c, F.lit(0)).alias(c) for c in COUNTS),
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = find_secrets(docs, learn_secrets(docs))
+    of = lambda kind: F.size(F.filter("findings", lambda f: f["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    told = lambda rows: F.array_join(F.transform(rows, lambda f: F.concat_ws(":", f["kind"], f["start"], f["end"])), ",")
+    base = F.filter("findings", lambda f: f["kind"] != "model")
+    return found.select(
+        "doc_id", of("assign"), of("access"), of("hex"), F.sha2(told(base), 256).alias("base_sha256"), told(F.col("findings")).alias("spans"), of("model")
+    )
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_token_counts": op2_token_counts,
@@ -84,6 +146,9 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_fingerprints": op9_fingerprints,
     "op10_line_dedup": op10_line_dedup,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_secret_scan": op13_secret_scan,
 }
 
 ORACLE_SQL = {

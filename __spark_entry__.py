@@ -282,6 +282,20 @@ def _resolve_sql(src: str, preset: str, rule: str) -> str:
 FROM ({modal}) mo LEFT JOIN ({latest}) la ON mo.entity = la.entity"""
 
 
+def _resolve_any(src: str, preset: str, rule: str) -> str:
+    """(entity, modal, latest) of records with an entity and a category."""
+    if PRESETS[preset].reallocate:
+        latest = _latest_realloc_rows(src, preset, rule)
+    else:
+        latest = _latest_plain_any(src, rule)
+    return f"""SELECT mo.entity AS entity, mo.modal AS modal, la.latest AS latest
+FROM ({_modal_any(src, preset)}) mo LEFT JOIN ({_latest_pairs(latest, False)}) la ON mo.entity = la.entity"""
+
+
+def _policies_sql(src: str, rule: str) -> str:
+    return " UNION ALL ".join(f"SELECT entity, '{PRESETS[p].name}' AS policy, modal, latest FROM ({_resolve_any(src, p, rule)}) {p}_" for p in SIX)
+
+
 def _clean(src: str) -> str:
     return f"SELECT * FROM ({src}) s WHERE entity IS NOT NULL AND category IS NOT NULL"
 
@@ -380,6 +394,22 @@ FROM ({M4}) m LEFT JOIN ({_modal_any(M4, p)}) x ON m.entity {same} x.entity"""
     for dataset in ("GP", "HES", "IAPT"):
         q[f"run_{dataset.lower()}"] = _run_sql(dataset, d)
         q[f"run_{dataset.lower()}_no_realloc"] = _run_sql(dataset, "none")
+    text_dates = f"SELECT * REPLACE (strftime(observed_at, '%Y-%m-%d') AS observed_at) FROM ({M3}) m3"
+    nan_dates = f"""SELECT * REPLACE (CASE WHEN l_linenumber = 5 THEN 'NaN'::DOUBLE ELSE CAST(observed_at AS DOUBLE) END AS observed_at)
+FROM ({M4}) m4"""
+    for rule in ("none", "source", "flag"):
+        q[f"policies_compared_{rule}"] = _policies_sql(_clean(M4), rule)
+        q[f"resolve_summary_{rule}"] = _resolve_any(_clean(M4), d, rule)
+        q[f"resolve_summary_no_realloc_{rule}"] = _resolve_any(_clean(M4), "none", rule)
+        q[f"latest_text_dates_{rule}"] = _latest_pairs(_latest_realloc_rows(text_dates, d, rule), False)
+        q[f"latest_nan_dates_{rule}"] = _latest_pairs(_latest_realloc_rows(nan_dates, d, rule), False)
+    q["policies_compared_orders"] = _policies_sql(M1, "flag")
+    q["latest_text_dates_no_realloc"] = _latest_pairs(_latest_plain_any(text_dates, "source"), False)
+    q["latest_nan_dates_no_realloc"] = _latest_pairs(_latest_plain_any(nan_dates, "flag"), False)
+    q["resolve_merged_batches"] = _resolve_any(_clean(M4), d, "flag")
+    q["merged_batch_counts"] = f"""SELECT count(*) AS n_records, count(*) FILTER (WHERE entity IS NULL OR category IS NULL) AS n_removed,
+       count(*) FILTER (WHERE category = 'unresolved') AS n_sentinel FROM ({M4}) m4"""
+    q["read_by_name"] = _modal_sql(M1, d)
     if (llm := _llm()) is not None:
         q |= llm.ORACLE_SQL
     return q

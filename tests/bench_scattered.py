@@ -19,8 +19,10 @@ import time
 HERE = os.path.dirname(os.path.abspath(__file__))
 sys.path.insert(0, os.path.dirname(HERE))
 
+from functools import reduce  # noqa: E402
+
 import zstandard  # noqa: E402
-from pyspark.sql import SparkSession, Window as W  # noqa: E402
+from pyspark.sql import DataFrame, SparkSession, Window as W  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 
@@ -36,12 +38,13 @@ def main():
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.files.maxPartitionBytes", "200k")
         .config("spark.sql.files.openCostInBytes", "1")
+        .config("spark.sql.autoBroadcastJoinThreshold", "-1")  # summaries of large tables are not broadcast
         .config("spark.eventLog.enabled", "true")
         .config("spark.eventLog.dir", events)
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    from tierwise import PRESETS, ColumnSpec, Rule, latest_by_entity, modal_by_entity
+    from tierwise import PRESETS, ColumnSpec, Rule, compare_policies, keep_top_tier, latest_by_entity, modal_by_entity, resolve, summarise
     from tierwise.sources.mappings import m2_lineitem
 
     path = os.path.join(scratch, "m2_scattered.parquet")
@@ -56,6 +59,13 @@ def main():
         "latest_none": latest_by_entity(m, spec, Rule.NONE, pol),
         "latest_source": latest_by_entity(m, spec, Rule.SOURCE, pol),
         "latest_flag": latest_by_entity(m, spec, Rule.FLAG, pol),
+        # fixed-width buffers first: a hash aggregate of (entity, category[, source, flag]), then the same method over its rows
+        "latest_none_units": latest_by_entity(summarise(m.select("entity", "category", "observed_at"), spec), spec, Rule.NONE, pol),
+        "latest_source_units": latest_by_entity(summarise(m.drop("flag"), spec), spec, Rule.SOURCE, pol),
+        "latest_flag_units": latest_by_entity(summarise(m.drop("source"), spec), spec, Rule.FLAG, pol),
+        "six_policies_one_by_one": reduce(DataFrame.unionByName, [resolve(m, spec, p, Rule.FLAG, clean=False) for p in PRESETS.values()]),
+        "six_policies_compared": compare_policies(m, spec, list(PRESETS.values()), Rule.FLAG),
+        "top_tier_records": keep_top_tier(m, spec, pol),
         "latest_none_rank_window": m.withColumn(
             "r", F.rank().over(by_e.orderBy(tier.desc(), F.col("observed_at").desc()))
         ).where("r = 1"),
@@ -76,16 +86,17 @@ def main():
     spark.stop()
     f = sorted(glob.glob(os.path.join(events, "*", "*")))[-1]
     stream = io.TextIOWrapper(zstandard.ZstdDecompressor().stream_reader(open(f, "rb")), encoding="utf-8")
-    stage_of, shuffle = {}, {k: 0 for k in cases}
+    stage_of, shuffle, spilled = {}, {k: 0 for k in cases}, 0
     for line in stream:
         e = json.loads(line)
         if e["Event"] == "SparkListenerJobStart":
             for s in e["Stage IDs"]:
                 stage_of[s] = (e.get("Properties") or {}).get("spark.job.description")
         elif e["Event"] == "SparkListenerTaskEnd" and stage_of.get(e["Stage ID"]) in shuffle:
-            w = (e.get("Task Metrics") or {}).get("Shuffle Write Metrics", {})
-            shuffle[stage_of[e["Stage ID"]]] += w.get("Shuffle Bytes Written", 0)
-    print(json.dumps({"scan_tasks": n_tasks, "sec": secs, "shuffle_mb": {k: round(v / 1e6, 2) for k, v in shuffle.items()}}))
+            metrics = e.get("Task Metrics") or {}
+            shuffle[stage_of[e["Stage ID"]]] += metrics.get("Shuffle Write Metrics", {}).get("Shuffle Bytes Written", 0)
+            spilled += metrics.get("Disk Bytes Spilled", 0)
+    print(json.dumps({"scan_tasks": n_tasks, "sec": secs, "shuffle_mb": {k: round(v / 1e6, 2) for k, v in shuffle.items()}, "spilled": spilled}))
 
 
 if __name__ == "__main__":

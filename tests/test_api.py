@@ -52,7 +52,7 @@ def test_validation(spark, gdf):
     with pytest.raises(ValueError):
         modal_by_entity(gdf.withColumn("__tw_x", F.lit(1)), SPEC, POLICY)
     with pytest.raises(TypeError):
-        latest_by_entity(gdf.withColumn("observed_at", F.col("observed_at").cast("string")), SPEC, Rule.NONE, POLICY)
+        latest_by_entity(gdf.withColumn("observed_at", F.create_map(F.lit(1), F.col("observed_at"))), SPEC, Rule.NONE, POLICY)
     with pytest.raises(TypeError):
         latest_by_entity(gdf.withColumn("category", F.lit(1)), SPEC, Rule.NONE, POLICY)
     with pytest.raises(TypeError):
@@ -123,13 +123,14 @@ def test_run_and_save(spark, gdf):
         assert back.count() == out[name].count()
 
 
-def test_nan_dates_are_missing(spark):
+def test_nan_dates_are_latest(spark):
+    """As for Spark's max: NaN is larger than every number."""
     df = spark.createDataFrame(
         [("Q", "A", 2020.0), ("Q", "B", float("nan")), ("R", "A", float("nan"))],
         "entity string, category string, observed_at double",
     )
     got = {(r["entity"], r["latest"]) for r in latest_by_entity(df, SPEC, Rule.NONE, POLICY).collect()}
-    assert got == {("Q", "A")}
+    assert got == {("Q", "B"), ("R", "A")}
 
 
 def test_boolean_flag_and_custom_source_order(spark, gdf):
@@ -174,7 +175,7 @@ def test_command_line_run(spark, gdf):
     src = os.path.join(base, "in.parquet")
     gdf.write.parquet(src)
     written = main(["--input", src, "--dataset", "HES", "--out", os.path.join(base, "out")])
-    assert set(written) == {"latest", "resolved", "manifest"}
+    assert set(written) == {"latest", "resolved", "manifest", "summary"}
     res = {r["entity"]: (r["modal"], r["latest"]) for r in spark.read.parquet(written["resolved"]).collect()}
     assert res["P05"] == ("unresolved", "A")  # source rule settles the same-day conflict
 

@@ -5,8 +5,8 @@ import re
 import pytest
 
 from scales import SF_SMALL
-from tierwise import (PRESETS, ColumnSpec, Rule, attach_modal, keep_top_tier, latest_by_entity, latest_rows,
-                      modal_by_entity, prepare, resolve)
+from tierwise import (PRESETS, ColumnSpec, Rule, attach_modal, compare_policies, keep_top_tier, latest_by_entity, latest_rows,
+                      modal_by_entity, prepare, resolve, summarise)
 from tierwise.sources.mappings import m1_orders, m2_lineitem
 
 SPEC = ColumnSpec()
@@ -87,9 +87,32 @@ def static_plans(spark):
 
 @pytest.mark.parametrize("form", ROW_FORMS)
 def test_row_forms_read_the_input_twice(spark, static_plans, form):
-    """Once for the per-entity summary, whose shuffle also counts the keys, and once for the rows."""
+    """Once for the per-entity summary, whose shuffle also counts the keys, and once for the rows;
+    the top tier reads its settled rows, which no join moves, apart from the others."""
     p = plan(ROW_FORMS[form](m1_orders(spark, SF_SMALL)))
-    assert count(r"FileScan parquet", p) == 2, p
+    assert count(r"FileScan parquet", p) == (3 if form == "top_tier" else 2), p
+
+
+def test_settled_rows_are_not_shuffled(spark, static_plans):
+    """Rows at the highest tier go from the scan to the result."""
+    p = plan(keep_top_tier(m2_lineitem(spark, SF_SMALL), SPEC, POL))
+    union = p[p.index("Union"):]
+    branches = re.split(r"\n(?=\s*[:+]- )", union)
+    settled = union.split("\n   :- ")[1].split("\n   +- ")[0] if "\n   :- " in union else branches[1]
+    assert "Exchange" not in settled.split("+- *(")[0] and count("FileScan", union) == 3
+
+
+def test_all_presets_from_one_scan(spark, static_plans):
+    for rule in Rule:
+        p = plan(compare_policies(m2_lineitem(spark, SF_SMALL), SPEC, list(PRESETS.values()), rule))
+        # to the summary, to entity and category, to the entity: nothing moves once rows are repeated by policy
+        assert count(r"FileScan parquet", p) == 1 and count(r"Exchange hashpartitioning", p) == 3
+        assert "Join" not in p and "Window" not in p and "partial_count" in p
+
+
+def test_summaries_have_fixed_width_buffers(spark, static_plans):
+    p = plan(summarise(m2_lineitem(spark, SF_SMALL), SPEC))
+    assert "SortAggregate" not in p and count("HashAggregate", p) == 2 and count(r"Exchange hashpartitioning", p) == 1
 
 
 @pytest.mark.parametrize("form", ROW_FORMS)

@@ -9,9 +9,14 @@ whose key equals the entity's best key.
 
 Plan shape: one ``groupBy(entity)`` with partial aggregation.
 
-* ``max(struct(key..., c))``           the best key B and the largest code at B
-* ``min(struct(-key..., c))``, coded   the smallest code at B
-* ``max(key)`` over NULL codes         whether a NULL code sits at B
+* ``max(struct(key..., c))``               the best key B and the largest code at B
+* ``min(struct(-key..., c))``, or          the smallest code at B
+  ``max(struct(key..., complement(c)))``
+* ``max(key)`` over NULL codes             whether a NULL code sits at B
+
+The second form stands where the date is no number that can be negated: a code's
+complement orders codes the other way round, so a date may be of any type that
+Spark orders (texts, intervals, structs, NaN).
 
 Largest <> smallest is the exact "several codes on the latest date" test.
 Because all of these are plain aggregates, an entity with a huge share of
@@ -44,7 +49,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.keys import key, source_rank, time_number
+from ..functions.keys import canonical, complement, key, orderable, source_rank, time_key
 from ..functions.tiers import tier_of
 from ..plans.skew import check_new, split_join
 from ..plans.spec import RESERVED_PREFIX, UNRESOLVED, ColumnSpec, Rule, TierPolicy
@@ -61,16 +66,6 @@ class _Family:
     key: Column  # struct of the parts, NULL when the row is not eligible
 
 
-def _orderable(dt: T.DataType) -> bool:
-    if isinstance(dt, T.MapType) or type(dt).__name__ == "VariantType":
-        return False
-    if isinstance(dt, T.StructType):
-        return all(_orderable(f.dataType) for f in dt.fields)
-    if isinstance(dt, T.ArrayType):
-        return _orderable(dt.elementType)
-    return True
-
-
 class LatestPlan:
     """Columns and aggregates for one form of the latest-category operator."""
 
@@ -82,8 +77,11 @@ class LatestPlan:
         policy: TierPolicy | None,
         reallocate: bool,
         tie_break: list[str] | None = None,
+        tag: str = "",
     ):
+        """``tag`` keeps the helper columns of several plans over one table apart."""
         spec = spec.resolved(df, rule)
+        self.P = P + tag
         if reallocate and policy is None:
             raise ValueError("re-allocation needs a TierPolicy")
         self.spec, self.rule, self.policy, self.reallocate = spec, rule, policy, reallocate
@@ -92,11 +90,11 @@ class LatestPlan:
         for c in self.tie_break:
             if c not in df.columns:
                 raise ValueError(f"tie-break column {c!r} not in input")
-        self.unordered_cols = [f.name for f in df.schema.fields if not _orderable(f.dataType)]
-        self.order_cols = self.tie_break + [
-            f.name for f in df.schema.fields if f.name not in self.tie_break and _orderable(f.dataType)
+        self.unordered = {f.name: f.dataType for f in df.schema.fields if not orderable(f.dataType)}
+        self.order_cols = [c for c in self.tie_break if c not in self.unordered] + [
+            f.name for f in df.schema.fields if f.name not in self.tie_break and f.name not in self.unordered
         ]
-        d = time_number(spec.observed_at, df.schema[spec.observed_at].dataType, spec.date_grain)
+        d, self.negatable = time_key(spec.observed_at, df.schema[spec.observed_at].dataType, spec.date_grain)
         c = F.col(spec.category)
         dated = d.isNotNull()
         self.families: dict[str, _Family] = {}
@@ -134,12 +132,12 @@ class LatestPlan:
                 )
 
     # -- row level ---------------------------------------------------------
-    def with_keys(self, df: DataFrame) -> DataFrame:
-        """Add the tier (re-allocation only) and one key column per family."""
+    def with_keys(self, df: DataFrame, tier: Column | None = None) -> DataFrame:
+        """Add the tier (re-allocation only; by default the policy's) and one key column per family."""
         if self.reallocate:
-            df = df.withColumn(TIER, tier_of(self.spec.category, self.policy))
+            df = df.withColumn(TIER, tier_of(self.spec.category, self.policy) if tier is None else tier)
         for f in self.families.values():
-            df = df.withColumn(P + "k_" + f.name, f.key)
+            df = df.withColumn(self.P + "k_" + f.name, f.key)
         return df
 
     # -- per entity ----------------------------------------------------------
@@ -151,45 +149,50 @@ class LatestPlan:
         out = []
         if self.reallocate:
             t = F.col(TIER)
-            out.append(F.max(t).alias(P + "top"))
+            out.append(F.max(t).alias(self.P + "top"))
             if len(self.families) > 1:
-                out.append(F.max(F.when(c.isNotNull(), F.struct(t.alias("t"), c.alias("c")))).alias(P + "hit"))
-                out.append(F.min(F.when(c.isNotNull(), F.struct((-t).alias("t"), c.alias("c")))).alias(P + "lot"))
+                out.append(F.max(F.when(c.isNotNull(), F.struct(t.alias("t"), c.alias("c")))).alias(self.P + "hit"))
+                out.append(F.min(F.when(c.isNotNull(), F.struct((-t).alias("t"), c.alias("c")))).alias(self.P + "lot"))
         for f in self.families.values():
-            k = F.col(P + "k_" + f.name)
+            k = F.col(self.P + "k_" + f.name)
             has_code = k.isNotNull() & c.isNotNull()
             # Flat structs (no nested key struct) keep the shuffled buffers small.
             # hi: best key, then the largest code (NULL sorts lowest, so a code
             # wins over NULL at the same key); lo: over records with a code,
-            # best key then the smallest code.
+            # best key then the smallest code (or its complement).
             out.append(
                 F.max(F.when(k.isNotNull(), F.struct(*[k[p].alias(p) for p in f.parts], c.alias("c")))).alias(
-                    P + "hi_" + f.name
+                    self.P + "hi_" + f.name
                 )
             )
             if self._needs_lo(f.name):
-                out.append(
-                    F.min(F.when(has_code, F.struct(*[(-k[p]).alias(p) for p in f.parts], c.alias("c")))).alias(
-                        P + "lo_" + f.name
-                    )
-                )
+                if self.negatable:
+                    lo = F.min(F.when(has_code, F.struct(*[(-k[p]).alias(p) for p in f.parts], c.alias("c"))))
+                else:
+                    lo = F.max(F.when(has_code, F.struct(*[k[p].alias(p) for p in f.parts], complement(c).alias("c"))))
+                out.append(lo.alias(self.P + "lo_" + f.name))
             if self.reallocate:
-                out.append(F.max(F.when(c.isNull(), k)).alias(P + "nul_" + f.name))
+                out.append(F.max(F.when(c.isNull(), k)).alias(self.P + "nul_" + f.name))
             if rows:
-                out += self._record_aggs(f, k, has_code, P + "rv_" + f.name)
+                out += self._record_aggs(f, k, has_code, self.P + "rv_" + f.name)
                 if self.reallocate:
-                    out += self._record_aggs(f, k, k.isNotNull() & c.isNull(), P + "rn_" + f.name)
+                    out += self._record_aggs(f, k, k.isNotNull() & c.isNull(), self.P + "rn_" + f.name)
         return out
 
     def _record_aggs(self, f: _Family, k: Column, cond: Column, name: str) -> list[Column]:
         """The representative record among rows meeting ``cond``: the maximum
-        of (key, tie-break columns, other orderable columns). One struct both
-        orders and carries the record, so no column is buffered twice; columns
-        that cannot be ordered (maps) ride along in a ``max_by``."""
-        ordered = F.struct(*[k[p].alias(P + "key_" + p) for p in f.parts], *[F.col(x) for x in self.order_cols])
+        of (key, tie-break columns, other orderable columns, canonical forms of
+        the others). One struct both orders and carries the record, so no column
+        is buffered twice; only columns that Spark has no order for (maps) ride
+        along in a ``max_by``, decided by their canonical forms at last."""
+        ordered = F.struct(
+            *[k[p].alias(self.P + "key_" + p) for p in f.parts],
+            *[F.col(x) for x in self.order_cols],
+            *[canonical(F.col(x), dt).alias(self.P + "form_" + x) for x, dt in self.unordered.items()],
+        )
         aggs = [F.max(F.when(cond, ordered)).alias(name)]
-        if self.unordered_cols:
-            rest = F.struct(*[F.col(x) for x in self.unordered_cols])
+        if self.unordered:
+            rest = F.struct(*[F.col(x) for x in self.unordered])
             aggs.append(F.max_by(rest, F.when(cond, ordered)).alias(name + "_x"))
         return aggs
 
@@ -200,22 +203,22 @@ class LatestPlan:
 
     def best_key(self, name: str) -> Column:
         """The entity's best key for family ``name``, as the row key struct."""
-        hi = F.col(P + "hi_" + name)
+        hi = F.col(self.P + "hi_" + name)
         return F.when(hi.isNotNull(), F.struct(*[hi[p].alias(p) for p in self.families[name].parts]))
 
     def _decide_family(self, name: str) -> dict[str, Column]:
-        hi = F.col(P + "hi_" + name)
+        hi = F.col(self.P + "hi_" + name)
         b = self.best_key(name)
         # the largest code at the best key (NULL if only NULL codes are there);
         # when there is one, lo's best key among coded records is the same key
         cmax = hi["c"]
-        cmin = F.col(P + "lo_" + name)["c"] if self._needs_lo(name) else cmax
+        lowest = F.col(self.P + "lo_" + name)["c"] if self._needs_lo(name) else None
         valid = b.isNotNull()
         if self.reallocate:
-            valid = valid & (b["t"] == F.col(P + "top"))
+            valid = valid & (b["t"] == F.col(self.P + "top"))
             if name == "x" and self.rule is Rule.FLAG:
                 valid = valid & (b["fn"] == 1)
-            has_null = F.coalesce(F.col(P + "nul_" + name) == b, F.lit(False))
+            has_null = F.coalesce(F.col(self.P + "nul_" + name) == b, F.lit(False))
         else:
             if self.rule is Rule.SOURCE:
                 valid = valid & (b["rn"] == 1)
@@ -223,7 +226,8 @@ class LatestPlan:
                 valid = valid & (b["cn"] == 1) & (b["fn"] == 1)
             valid = valid & cmax.isNotNull()
             has_null = F.lit(False)
-        conflict = F.coalesce(cmax != cmin, F.lit(False))
+        highest = cmax if self.negatable else complement(cmax)
+        conflict = F.lit(False) if lowest is None else F.coalesce(highest != lowest, F.lit(False))
         return {"valid": F.coalesce(valid, F.lit(False)), "cmax": cmax, "conflict": conflict, "has_null": has_null}
 
     def decide(self) -> dict[str, Column]:
@@ -233,8 +237,8 @@ class LatestPlan:
             n["nd1"] = F.lit(True)
             return n
         x = self._decide_family("x")
-        hit, lot = F.col(P + "hit"), F.col(P + "lot")
-        nd1 = F.coalesce((hit["t"] == F.col(P + "top")) & (hit["c"] == lot["c"]), F.lit(False))
+        hit, lot = F.col(self.P + "hit"), F.col(self.P + "lot")
+        nd1 = F.coalesce((hit["t"] == F.col(self.P + "top")) & (hit["c"] == lot["c"]), F.lit(False))
         out = {k: F.when(nd1, n[k]).otherwise(x[k]) for k in n}
         out["nd1"] = nd1
         return out
@@ -254,7 +258,7 @@ class LatestPlan:
             fields = [value.alias("v")]
             if rows:
                 fields.append(pick(row_prefix).alias("row"))
-                if self.unordered_cols:
+                if self.unordered:
                     fields.append(pick_x(row_prefix).alias("row_x"))
             return F.struct(*fields)
 
@@ -263,9 +267,9 @@ class LatestPlan:
                 return F.col(prefix + "n_x")
             return F.when(d["nd1"], F.col(prefix + "n_x")).otherwise(F.col(prefix + "x_x"))
 
-        unresolved = item(F.lit(UNRESOLVED), P + "rv_")
-        code = item(d["cmax"], P + "rv_")
-        null_item = item(F.lit(None).cast("string"), P + "rn_") if self.reallocate else None
+        unresolved = item(F.lit(UNRESOLVED), self.P + "rv_")
+        code = item(d["cmax"], self.P + "rv_")
+        null_item = item(F.lit(None).cast("string"), self.P + "rn_") if self.reallocate else None
         cands = [
             F.when(d["valid"] & d["conflict"], unresolved),
             F.when(d["valid"] & ~d["conflict"] & d["cmax"].isNotNull(), code),
@@ -345,6 +349,7 @@ def latest_rows(
     tie_break: list[str] | None = None,
     diagnostics: bool = False,
     entity_cols: DataFrame | None = None,
+    summary: DataFrame | None = None,
     **split_opts,
 ) -> DataFrame:
     """Input records carrying their entity's latest code (column ``out``).
@@ -364,13 +369,16 @@ def latest_rows(
     ``entity_cols`` (at most one row per entity: the entity column and others)
     adds its columns to the records, on the way that the entity's result takes
     anyway; a NULL entity matches a NULL one only without re-allocation.
+
+    ``summary`` (:func:`tierwise.operators.summary.summarise` of the same records,
+    stored) spares ``Rule.FLAG`` the first of its two reads of the records.
     """
     rule = _resolve_rule(rule)
     spec = spec.resolved(df, rule)
     check_new(df, [out, *(c for c in (entity_cols.columns if entity_cols is not None else []) if c != spec.entity)])
     if reallocate is None:
         reallocate = policy is not None and policy.reallocate
-    result = _latest_rows(df, spec, rule, policy, reallocate, out, tie_break, split_opts, entity_cols)
+    result = _latest_rows(df, spec, rule, policy, reallocate, out, tie_break, split_opts, entity_cols, summary)
     if not diagnostics:
         return result
     return _with_diagnostics(result, df, spec, rule, policy, reallocate, split_opts)
@@ -420,7 +428,7 @@ def _with_diagnostics(result, df, spec, rule, policy, reallocate, split_opts) ->
     return joined.select(*result.columns, *extra, *[n for n in ("n_codes", "max_date") if n in joined.columns])
 
 
-def _latest_rows(df, spec, rule, policy, reallocate, out, tie_break, split_opts, entity_cols=None) -> DataFrame:
+def _latest_rows(df, spec, rule, policy, reallocate, out, tie_break, split_opts, entity_cols=None, stored=None) -> DataFrame:
     plan = LatestPlan(df, spec, rule, policy, reallocate, tie_break)
     keyed = plan.with_keys(df)
     if rule is not Rule.FLAG:
@@ -428,7 +436,7 @@ def _latest_rows(df, spec, rule, policy, reallocate, out, tie_break, split_opts,
         vals = agg.select(F.explode(plan.value_structs(plan.decide(), rows=True)).alias(P + "o"))
         found = vals.select(
             *[
-                F.col(P + "o")["row_x" if c in plan.unordered_cols else "row"][c].alias(c)
+                F.col(P + "o")["row_x" if c in plan.unordered else "row"][c].alias(c)
                 for c in df.columns
             ],
             F.col(P + "o")["v"].alias(out),
@@ -439,9 +447,10 @@ def _latest_rows(df, spec, rule, policy, reallocate, out, tie_break, split_opts,
     # Flag rule: keep every record at the best key. The summary keeps every
     # entity (with a validity flag) so that its row counts describe all rows.
     d = plan.decide()
+    units, n_rows = (keyed, F.count(F.lit(1))) if stored is None else (plan.with_keys(stored), F.sum("n_records"))
     summary = (
-        keyed.groupBy(spec.entity)
-        .agg(*plan.aggs(rows=False), F.count(F.lit(1)).alias(N_ROWS))
+        units.groupBy(spec.entity)
+        .agg(*plan.aggs(rows=False), n_rows.alias(N_ROWS))
         .select(
             spec.entity,
             N_ROWS,

@@ -30,12 +30,17 @@ P = RESERVED_PREFIX
 N_ROWS = P + "n"
 
 
-def category_counts(df: DataFrame, spec: ColumnSpec, policy: TierPolicy | None) -> DataFrame:
+def count_aggs(spec: ColumnSpec, weight: str | None = None) -> list[Column]:
+    """n = records with a code, rows = all records; a row counts ``weight`` records (default: one)."""
+    if weight is None:
+        return [F.count(spec.category).alias(P + "cnt"), F.count(F.lit(1)).alias(N_ROWS)]
+    coded = F.when(F.col(spec.category).isNotNull(), F.col(weight)).otherwise(F.lit(0))
+    return [F.sum(coded).alias(P + "cnt"), F.sum(weight).alias(N_ROWS)]
+
+
+def category_counts(df: DataFrame, spec: ColumnSpec, policy: TierPolicy | None, weight: str | None = None) -> DataFrame:
     """(entity, category, tier, n = non-NULL records, rows = all records)."""
-    counts = df.groupBy(spec.entity, spec.category).agg(
-        F.count(spec.category).alias(P + "cnt"),
-        F.count(F.lit(1)).alias(N_ROWS),
-    )
+    counts = df.groupBy(spec.entity, spec.category).agg(*count_aggs(spec, weight))
     tier = tier_of(spec.category, policy) if policy is not None and policy.reallocate else F.lit(0)
     return counts.withColumn(P + "tier", tier)
 
@@ -62,16 +67,20 @@ def modal_by_entity(
     out: str = "modal",
     reallocate: bool | None = None,
     with_counts: bool = False,
+    weight: str | None = None,
 ) -> DataFrame:
     """One row per entity (NULL entities form one group): ``entity, <out>``.
 
+    ``weight`` names a column that says how many records a row stands for, as
+    ``n_records`` does in a summary (:mod:`tierwise.operators.summary`).
+
     ``policy=None`` or ``reallocate=False`` counts every record (no tiers).
     ``with_counts`` adds the entity's record count (column ``n_records``).
     """
     spec = spec.resolved(df)
     if reallocate is None:
         reallocate = policy is not None and policy.reallocate
-    counts = category_counts(df, spec, policy if reallocate else None)
+    counts = category_counts(df, spec, policy if reallocate else None, weight)
     best = counts.groupBy(spec.entity).agg(*modal_aggs(spec), F.sum(N_ROWS).alias(N_ROWS))
     cols = [F.col(spec.entity), modal_value().alias(out)]
     if with_counts:

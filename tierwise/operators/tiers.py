@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.tiers import other_of, tier_of
+from ..functions.tiers import other_of, tier_of, top_tier
 from ..plans.skew import check_new, split_join
 from ..plans.spec import RESERVED_PREFIX, ColumnSpec, TierPolicy
 
@@ -43,23 +43,29 @@ def keep_top_tier(
     """Keep only the records at their entity's highest tier.
 
     An entity whose records are all "not valid" keeps them all (its best tier
-    is 0); no entity is ever removed. The per-entity best tier comes from a
-    partially aggregated ``groupBy`` and is attached with a hot-key aware join,
-    so an entity holding a large share of the rows is split over many tasks.
-    NULL entities are one group, as in a window partitioned by the entity.
+    is 0); no entity is ever removed. NULL entities are one group, as in a window
+    partitioned by the entity.
+
+    Records at the policy's highest tier are kept whatever else their entity holds,
+    so they go straight from the scan to the result. Only the others meet a
+    per-entity summary (a partially aggregated ``groupBy``), cut down to the
+    entities without a record at the highest tier, in a hot-key aware join: an
+    entity that holds a large share of the rows is split over many tasks. So the
+    records that cross the network are those below the highest tier.
     """
     spec = spec.resolved(df)
     check_new(df, [c for c in (tier_col, is_other) if c])
-    # the counts of the same aggregate find the hot keys: one shuffle, one read
-    best, n = RESERVED_PREFIX + "top", RESERVED_PREFIX + "n"
-    top = top_tier_by_entity(df, spec, policy).select(spec.entity, F.col("top_tier").alias(best), F.col("n_records").alias(n))
-    tier = RESERVED_PREFIX + "tier"
+    best, n, tier = (RESERVED_PREFIX + x for x in ("top", "n", "tier"))
+    settled = top_tier(policy)
     rows = df.withColumn(tier, tier_of(spec.category, policy))
+    lower = F.col(tier) < settled
+    # the counts of the same aggregate find the hot keys among the lower records: one shuffle, one read
+    top = rows.groupBy(spec.entity).agg(F.max(tier).alias(best), F.count(F.when(lower, F.lit(1))).alias(n)).where(F.col(best) < settled)
     joined = split_join(
-        rows, top, [spec.entity], how="inner", null_safe=True, count_col=n,
+        rows.where(lower), top, [spec.entity], how="inner", null_safe=True, count_col=n,
         spread_by=[spec.entity, spec.category], **split_opts,
     )
-    kept = joined.where(F.col(tier) == F.col(best))
+    kept = rows.where(~lower).unionByName(joined.where(F.col(tier) == F.col(best)).drop(best))
     cols = [F.col(c) for c in df.columns]
     if tier_col:
         cols.append(F.col(tier).alias(tier_col))

@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from ..operators.dedupe import dedupe
 from ..operators.latest import latest_by_entity, latest_rows
 from ..operators.modal import attach_modal, modal_by_entity
+from ..operators.summary import N_RECORDS, compare_policies, merge_summaries, prepare_counts, summarise
 from ..operators.tiers import assign_tier, keep_top_tier
+from ..sources.io import read_input
 from ..sources.mappings import m1_orders, m2_lineitem, m3_events, m4_all_codes
 from .runs import manifest, prepare, resolve, run
 from .spec import DEFAULT_PRESET, PRESETS, ColumnSpec, Rule, RunConfig, TierPolicy
@@ -238,6 +240,68 @@ def top_tier_records_null_codes(spark, sf):
     return kept.select("o_orderkey", "entity", "category", "tier")
 
 
+# ---- policy-free summaries (A6, A7, A8), order keys of other types (A3, A5)
+
+
+def _policies_compared(mapping, rule: Rule) -> Query:
+    """All six presets, both methods, from one scan."""
+
+    def q(spark, sf):
+        return compare_policies(prepare(mapping(spark, sf), SPEC), SPEC, list(PRESETS.values()), rule)
+
+    return q
+
+
+def _resolve_summary(preset: str, rule: Rule) -> Query:
+    def q(spark, sf):
+        summary = prepare(summarise(m4_all_codes(spark, sf), SPEC), SPEC)
+        return resolve(summary, SPEC, PRESETS[preset], rule, weight=N_RECORDS)
+
+    return q
+
+
+def _batches(spark, sf) -> DataFrame:
+    """M4 in three batches of orders, summarised one by one and merged."""
+    rows = m4_all_codes(spark, sf)
+    first, *others = [summarise(rows.where(F.col("l_orderkey") % 3 == k), SPEC) for k in range(3)]
+    return merge_summaries(first, *others, spec=SPEC)
+
+
+def resolve_merged_batches(spark, sf):
+    return resolve(prepare(_batches(spark, sf), SPEC), SPEC, DEFAULT, Rule.FLAG, weight=N_RECORDS)
+
+
+def merged_batch_counts(spark, sf):
+    return prepare_counts(_batches(spark, sf), SPEC)
+
+
+def _latest_text_dates(preset: str, rule: Rule) -> Query:
+    def q(spark, sf):
+        rows = m3_events(spark, sf).withColumn("observed_at", F.date_format("observed_at", "yyyy-MM-dd"))
+        return latest_by_entity(rows, SPEC, rule, PRESETS[preset])
+
+    return q
+
+
+def _m4_nan_dates(spark, sf) -> DataFrame:
+    """M4 with years as doubles, NaN on every fifth line."""
+    date = F.when(F.col("l_linenumber") == 5, F.lit(float("nan"))).otherwise(F.col("observed_at").cast("double"))
+    return m4_all_codes(spark, sf).withColumn("observed_at", date)
+
+
+def _latest_nan_dates(preset: str, rule: Rule) -> Query:
+    def q(spark, sf):
+        return latest_by_entity(_m4_nan_dates(spark, sf), SPEC, rule, PRESETS[preset])
+
+    return q
+
+
+def read_by_name(spark, sf):
+    """Modal over a table that is read by its name in the catalog."""
+    m1_orders(spark, sf).createOrReplaceTempView("tierwise_orders_by_name")
+    return modal_by_entity(read_input(spark, "tierwise_orders_by_name"), SPEC, DEFAULT)
+
+
 def catalogue() -> dict[str, Query]:
     q: dict[str, Query] = {}
     for p in PRESETS:
@@ -305,4 +369,16 @@ def catalogue() -> dict[str, Query]:
     for dataset in ("GP", "HES", "IAPT"):
         q[f"run_{dataset.lower()}"] = _run(dataset, DEFAULT_PRESET)
         q[f"run_{dataset.lower()}_no_realloc"] = _run(dataset, "none")
+    for rule in Rule:
+        q[f"policies_compared_{rule.value}"] = _policies_compared(m4_all_codes, rule)
+        q[f"resolve_summary_{rule.value}"] = _resolve_summary(DEFAULT_PRESET, rule)
+        q[f"resolve_summary_no_realloc_{rule.value}"] = _resolve_summary("none", rule)
+        q[f"latest_text_dates_{rule.value}"] = _latest_text_dates(DEFAULT_PRESET, rule)
+        q[f"latest_nan_dates_{rule.value}"] = _latest_nan_dates(DEFAULT_PRESET, rule)
+    q["policies_compared_orders"] = _policies_compared(m1_orders, Rule.FLAG)
+    q["latest_text_dates_no_realloc"] = _latest_text_dates("none", Rule.SOURCE)
+    q["latest_nan_dates_no_realloc"] = _latest_nan_dates("none", Rule.FLAG)
+    q["resolve_merged_batches"] = resolve_merged_batches
+    q["merged_batch_counts"] = merged_batch_counts
+    q["read_by_name"] = read_by_name
     return q

@@ -62,8 +62,9 @@ def get_modal_ethnicity(dataframe, nhs_col, ethnicity_col, dataset, list_of_coun
     return out, list_of_counts
 
 
-def get_latest_ethnicity(dataframe, date_col, nhs_col, ethnicity_col, dataset, list_of_counts, not_valid, other):
-    """Latest records with ``latest_ethnicity`` (re-allocated); GP keeps same-day repeats."""
+def get_latest_ethnicity(dataframe, date_col, nhs_col, ethnicity_col, dataset, list_of_counts, not_valid, other, *, helper_columns=False):
+    """Latest records with ``latest_ethnicity`` (re-allocated); GP keeps same-day repeats.
+    ``helper_columns`` adds the exact ``max_date``, ``tier``, ``n_codes`` and, for HES, ``source_rank``."""
     out = latest_rows(
         dataframe,
         _spec(nhs_col, ethnicity_col, date_col),
@@ -71,6 +72,7 @@ def get_latest_ethnicity(dataframe, date_col, nhs_col, ethnicity_col, dataset, l
         _policy(not_valid, other),
         reallocate=True,
         out="latest_ethnicity",
+        diagnostics=helper_columns,
     )
     return out, list_of_counts
 
@@ -89,8 +91,9 @@ def get_modal_ethnicity_no_reallocation(dataframe, nhs_col, ethnicity_col, datas
     )
 
 
-def get_latest_ethnicity_no_reallocation(dataframe, date_col, nhs_col, ethnicity_col, dataset):
-    """Latest records with ``latest_ethnicity`` (no re-allocation)."""
+def get_latest_ethnicity_no_reallocation(dataframe, date_col, nhs_col, ethnicity_col, dataset, *, helper_columns=False):
+    """Latest records with ``latest_ethnicity`` (no re-allocation). ``helper_columns`` adds
+    the exact ``max_date`` and, for HES, ``source_rank``."""
     return latest_rows(
         dataframe,
         _spec(nhs_col, ethnicity_col, date_col),
@@ -98,4 +101,5 @@ def get_latest_ethnicity_no_reallocation(dataframe, date_col, nhs_col, ethnicity
         None,
         reallocate=False,
         out="latest_ethnicity",
+        diagnostics=helper_columns,
     )

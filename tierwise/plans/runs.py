@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from ..operators.dedupe import dedupe as dedupe_rows
 from ..operators.latest import _resolve_rule, latest_rows, latest_value_by_entity
 from ..operators.modal import modal_by_entity
+from ..operators.summary import N_RECORDS, summarise
 from .spec import RESERVED_PREFIX, UNRESOLVED, ColumnSpec, Rule, RunConfig, TierPolicy
 
 P = RESERVED_PREFIX
@@ -48,9 +49,13 @@ def resolve(
     modal_col: str = "modal",
     latest_col: str = "latest",
     no_null_entity: bool | None = None,
+    weight: str | None = None,
 ) -> DataFrame:
     """One row per entity: ``entity, modal, latest``.
 
+    ``df`` holds records, or a summary of them (:mod:`tierwise.operators.summary`)
+    whose ``weight`` column says how many records a row stands for.
+
     ``policy.reallocate`` chooses the re-allocated forms or the plain ones.
     The modal summary (two partially aggregated shuffles) and the latest
     summary (one) are both hash-partitioned by the entity, so joining them
@@ -69,7 +74,7 @@ def resolve(
     spec = spec.resolved(df, rule)
     if clean:
         df = prepare(df, spec)
-    modal = modal_by_entity(df, spec, policy, out=modal_col)
+    modal = modal_by_entity(df, spec, policy, out=modal_col, weight=weight)
     latest = latest_value_by_entity(df, spec, rule, policy, out=latest_col)
     if clean if no_null_entity is None else no_null_entity:
         return modal.join(latest, on=spec.entity, how="left")
@@ -84,10 +89,10 @@ def _dedupe_options(dedupe) -> dict | None:
     return {} if dedupe is True else dict(dedupe)
 
 
-def _latest_with_modal(df: DataFrame, config: RunConfig, modal: DataFrame, dedupe, opts: dict) -> DataFrame:
+def _latest_with_modal(df: DataFrame, config: RunConfig, modal: DataFrame, dedupe, opts: dict, summary: DataFrame | None = None) -> DataFrame:
     """The latest records, each with its entity's modal value, which rides along
     on the way that the entity's latest result takes anyway."""
-    latest = latest_rows(df, config.spec, config.rule, config.policy, entity_cols=modal, **opts)
+    latest = latest_rows(df, config.spec, config.rule, config.policy, entity_cols=modal, summary=summary, **opts)
     options = _dedupe_options(dedupe)
     return latest if options is None else dedupe_rows(latest, config.spec, **options)
 
@@ -127,13 +132,16 @@ def run_and_save(
     ``<base>/<run name>/`` where ``base`` is a path, else to catalog tables
     ``<base>_<run name>_<output>``.
 
-    ``resolved`` (one row per entity) is written first. The latest records
-    take their modal values from that written table instead of computing the
-    modal summary again (the written table also cuts the lineage: a lost
-    executor later costs a re-read, not a recomputation), except where
-    ``mode="append"``: the table then holds earlier runs too, so the values
-    are computed from this run's input. ``"ignore"`` is refused: it would
-    join one run's values to another's records wherever an earlier run wrote
+    A policy-free summary of the records (:mod:`tierwise.operators.summary`) is
+    written first. The results per entity, the manifest's counts and the best keys
+    of the flag rule come from that table, and the latest records take their modal
+    values from the written results, so the records are read twice in all: for the
+    summary and for the latest records. Written tables also cut the lineage: a
+    lost executor later costs a re-read, not a recomputation. With
+    ``mode="append"`` the tables then hold earlier runs too (the summary stays one:
+    ``merge_summaries`` of the table stands for all runs' records), so this run's
+    values are computed from its own input instead. ``"ignore"`` is refused: it
+    would join one run's values to another's records wherever an earlier run wrote
     only some of the outputs. Returns the written locations.
     """
     from ..sources.io import output_name, read_saved, save
@@ -141,18 +149,19 @@ def run_and_save(
     if mode == "ignore":
         raise ValueError("mode 'ignore' could mix two runs; use 'errorifexists', 'overwrite' or 'append'")
     config = replace(config, spec=config.spec.resolved(df, config.rule))
-    spec, policy = config.spec, config.policy
-    raw = df
-    if clean:
-        df = prepare(df, spec)
-    written = {name: output_name(base, policy.name, name) for name in ("resolved", "latest", "manifest")}
-    save(resolve(df, spec, policy, config.rule, clean=False, no_null_entity=clean), written["resolved"], mode=mode)
-    if mode == "append":
-        modal = modal_by_entity(df, spec, policy)
-    else:
-        modal = read_saved(df.sparkSession, written["resolved"]).select(spec.entity, "modal")
-    save(_latest_with_modal(df, config, modal, dedupe, opts), written["latest"], mode=mode)
-    info = manifest(df.sparkSession, config.dataset, policy, raw=raw if clean else None, spec=spec)
+    spec, policy, spark = config.spec, config.policy, df.sparkSession
+    written = {name: output_name(base, policy.name, name) for name in ("summary", "resolved", "latest", "manifest")}
+    whole = summarise(df, spec)
+    save(whole, written["summary"], mode=mode)
+    if mode != "append":
+        whole = read_saved(spark, written["summary"])
+    records, summary = (prepare(df, spec), prepare(whole, spec)) if clean else (df, whole)
+    resolved = resolve(summary, spec, policy, config.rule, clean=False, no_null_entity=clean, weight=N_RECORDS)
+    save(resolved, written["resolved"], mode=mode)
+    modal = resolved if mode == "append" else read_saved(spark, written["resolved"])
+    latest = _latest_with_modal(records, config, modal.select(spec.entity, "modal"), dedupe, opts, summary)
+    save(latest, written["latest"], mode=mode)
+    info = manifest(spark, config.dataset, policy, raw=whole if clean else None, spec=spec, weight=N_RECORDS)
     save(info.coalesce(1), written["manifest"], mode=mode)
     return written
 
@@ -170,6 +179,7 @@ def manifest(
     *,
     raw: DataFrame | None = None,
     spec: ColumnSpec | None = None,
+    weight: str | None = None,
 ) -> DataFrame:
     """The run manifest: which lists and which run name were used.
 
@@ -177,7 +187,8 @@ def manifest(
     (name, counts, comment) rows the caller records. With ``raw`` (the input
     before :func:`prepare`) and ``spec``, a row "Rows removed by prepare" is
     added whose count Spark computes from the input when the manifest is
-    written (lazily, one aggregation).
+    written (lazily, one aggregation); ``raw`` may be a summary of the input,
+    whose ``weight`` column says how many records a row stands for.
     """
     rows = [
         (dataset, policy.name, "Not valid list", str(list(policy.not_valid)), ""),
@@ -194,7 +205,7 @@ def manifest(
             F.lit(dataset).alias("Datasource"),
             F.lit(policy.name).alias("Reallocation"),
             F.lit("Rows removed by prepare").alias("Name"),
-            F.count(F.lit(1)).cast("string").alias("Counts"),
+            (F.count(F.lit(1)) if weight is None else F.coalesce(F.sum(weight), F.lit(0))).cast("string").alias("Counts"),
             F.lit("").alias("Comments"),
         )
         out = out.unionByName(removed)

@@ -57,6 +57,17 @@ def row_width(df: DataFrame) -> int:
     return sum(WIDE if isinstance(f.dataType, wide) else fixed.get(type(f.dataType), 8) for f in df.schema.fields)
 
 
+#: Bytes of a row in memory for a byte in the files that it is read from.
+EXPANSION = 3
+
+
+def source_bytes(df: DataFrame) -> int | None:
+    """What Spark's plan knows of the size of the columns of ``df`` that are read, from
+    the files' sizes (no job runs); None where it knows nothing."""
+    known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return known * EXPANSION if known < 1 << 60 else None
+
+
 def _conf_int(df: DataFrame, key: str, default: int) -> int:
     try:
         value = df.sparkSession.conf.get(key, None)
@@ -99,6 +110,9 @@ def hot_keys(
     # the total is summed from the per-key counts, so one shuffle serves both
     total = counts.select(F.sum(n)).scalar()
     size = F.lit(float(piece_rows if piece_rows is not None else max(1, PIECE_BYTES // row_width(rows))))
+    if piece_rows is None and (known := source_bytes(rows)):
+        # rows wider than the schema suggests (long texts): their mean width, total bytes by total rows
+        size = F.greatest(F.lit(1.0), F.least(size, F.lit(float(PIECE_BYTES)) * total / F.lit(float(known))))
     if pieces:
         size = F.least(size, total / F.lit(pieces))
     size = F.greatest(size, total / F.lit(MAX_HOT))

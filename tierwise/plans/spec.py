@@ -20,6 +20,8 @@ from enum import Enum
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from ..functions.keys import orderable
+
 # Helper columns added inside operators all start with this prefix, so they can
 # never collide with (or silently replace) a caller's column.
 RESERVED_PREFIX = "__tw_"
@@ -57,8 +59,8 @@ DEFAULT_SOURCE_ORDER = ("apc", "ae", "op")
 class ColumnSpec:
     """Which input column plays which role.
 
-    ``observed_at`` may be any orderable date-like column: date, timestamp,
-    timestamp without time zone, or a number (for example a year).
+    ``observed_at`` may be of any type that Spark orders: a date, a timestamp, a
+    number (for example a year), a text that sorts by time, an interval, a struct.
     """
 
     entity: str = "entity"
@@ -111,11 +113,8 @@ class ColumnSpec:
             raise TypeError(f"category column {self.category!r} must be string, is {types[self.category]}")
         if dated or rule is not None:
             dt = df.schema[self.observed_at].dataType
-            if not isinstance(dt, ORDERABLE_TIME_TYPES):
-                raise TypeError(
-                    f"observed_at column {self.observed_at!r} must be a date, timestamp or number, is "
-                    f"{dt.simpleString()}; cast text dates first, e.g. F.to_date(col, 'yyyy-MM-dd')"
-                )
+            if not orderable(dt):
+                raise TypeError(f"observed_at column {self.observed_at!r} is {dt.simpleString()}, which has no order")
             if self.date_grain and not isinstance(dt, (T.DateType, T.TimestampType, T.TimestampNTZType)):
                 raise TypeError(f"date_grain needs a date or timestamp column, {self.observed_at!r} is {dt.simpleString()}")
         if rule is Rule.SOURCE and types[self.source] != "string":
@@ -126,17 +125,6 @@ class ColumnSpec:
             raise TypeError(f"flag column {self.flag!r} must be integer or boolean")
 
 
-ORDERABLE_TIME_TYPES = (
-    T.DateType,
-    T.TimestampType,
-    T.TimestampNTZType,
-    T.IntegralType,
-    T.DecimalType,
-    T.FloatType,
-    T.DoubleType,
-)
-
-
 @dataclass(frozen=True)
 class TierPolicy:
     """A re-allocation policy.

@@ -16,6 +16,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from pyspark.sql import functions as F
+
 from tierwise.llm import fingerprint, queries
 from tierwise.llm.bpe import ByteBPE
 from tierwise.llm.fingerprint import Walk, band_keys, likeness, sampled_steps, similar_documents
@@ -111,6 +113,51 @@ def test_cache_encodes_each_text_once(spark, make):
     assert tokenizer_version(file) != tokenizer_version(P.path("byte_bpe_50k.json"))
 
 
+def test_span_hashes_do_not_depend_on_blocks(monkeypatch):
+    import numpy as np
+
+    import tierwise.llm.common as module
+
+    buf = np.frombuffer(bytes(range(33, 120)) * 20, np.uint8)
+    start, end = np.arange(0, 1500, 50), np.arange(0, 1500, 50) + np.arange(30) * 7
+    end = np.maximum.accumulate(end)
+    whole = module.SpanHash(buf)(start, end)
+    for block in (1, 7, 64, 10_000):
+        monkeypatch.setattr(module, "HASH_BYTES", block)
+        assert (module.span_hashes(buf, start, end) == whole).all()
+
+
+def test_repeated_rows_are_encoded_once(spark, make):
+    """Equal rows, equal texts of other ids and of null ids: one row of the cache for a text."""
+    file = P.path("piece_bpe_32k.model")
+    cache = TokenCache(spark, shared_path(spark, "test-counts"))
+    rows = [(1, "the same text")] * 1000 + [(2, "another")] + [(None, "the same text")] * 500 + [(k, "the same text") for k in range(500)]
+    found = count_tokens(make(rows).repartition(7), cache, file).collect()
+    assert len(found) == len(rows) and len({r.n_tokens for r in found if r.n_bytes == 13}) == 1
+    held = lambda: spark.read.parquet(cache.path).count()
+    assert held() == 2
+    more = [*rows, *[(9, "and a new one")] * 1000]
+    assert len(count_tokens(make(more), cache, file).collect()) == len(more) and held() == 3
+
+
+def test_a_full_cache_spares_every_text_the_shuffle(spark, make, monkeypatch):
+    import tierwise.llm.token_cache as module
+
+    file = P.path("piece_bpe_32k.model")
+    cache = TokenCache(spark, shared_path(spark, "test-counts"))
+    docs = make([(k, f"text {k}") for k in range(300)])
+    count_tokens(docs, cache, file).collect()
+    rows = docs.select(F.unhex(F.sha2("text", 256)).alias("digest"), F.col("text").alias("body"))
+    none = module._texts_of(rows, rows.select("digest").limit(0))
+    few = module._texts_of(rows, rows.where("body IN ('text 7', 'text 8')").select("digest"))
+    assert none.collect() == [] and sorted(r.body for r in few.collect()) == ["text 7", "text 8"]
+    monkeypatch.setattr(module, "MARKS", 64)  # bits that many digests share: the exact join decides
+    few = module._texts_of(rows, rows.where("body IN ('text 7', 'text 8')").select("digest"))
+    assert sorted(r.body for r in few.collect()) == ["text 7", "text 8"]
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Exchange hashpartitioning") < plan.index("getbit")  # from the top down
+
+
 # ----------------------------------------------------------------- packing
 
 

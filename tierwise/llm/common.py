@@ -176,6 +176,28 @@ class SpanHash:
         return mix(h + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+#: Bytes that ``span_hashes`` takes at a time.
+HASH_BYTES = 1 << 22
+
+
+def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """``SpanHash(buf)(start, end)`` of spans in order, block by block: a long text or
+    span costs memory for its spans and one block, not for every byte."""
+    out = np.empty(len(start), np.uint64)
+    at = 0
+    while at < len(start):
+        low = int(start[at])
+        to = int(np.searchsorted(end, low + HASH_BYTES, side="right"))
+        if to > at:
+            out[at:to] = SpanHash(buf[low : int(end[to - 1])])(start[at:to] - low, end[at:to] - low)
+        else:
+            to, whole = at + 1, buf[low : int(end[at])]
+            parts = [int(SpanHash(whole[o : o + HASH_BYTES]).sums[-1]) * pow(_R, o, 1 << 64) for o in range(0, len(whole), HASH_BYTES)]
+            out[at] = mix(np.array([(sum(parts) + len(whole) * 0xD6E8FEB86659FD93) % (1 << 64)], np.uint64))[0]
+        at = to
+    return out
+
+
 def window_hashes(words: np.ndarray, doc: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash, doc) of every window of ``size`` words that lies in one document."""
     n = len(words) - size + 1

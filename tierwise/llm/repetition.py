@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, SpanHash, _byte_set, over_texts, string_bytes, word_spans
+from .common import IS_SPACE, _byte_set, over_texts, span_hashes, string_bytes, word_spans
 
 #: Words of the shortest repeat that counts as covered.
 MIN_REPEAT = 8
@@ -45,43 +45,79 @@ def suffix_array(words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.nda
     n = len(words)
     if n == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    order = np.lexsort((words, doc))
+    kind = np.int32 if n < 1 << 30 else np.int64
+    order = np.lexsort((words, doc)).astype(kind)
     new = np.ones(n, bool)
     new[1:] = (words[order][1:] != words[order][:-1]) | (doc[order][1:] != doc[order][:-1])
-    place = np.arange(n)
-    rank = np.empty(n, np.int64)
+    place = np.arange(n, dtype=kind)
+    rank = np.empty(n, kind)
     rank[order] = np.maximum.accumulate(np.where(new, place, 0))
     group_end = np.append(new[1:], True)
     tied = order[~(new & group_end)]
-    levels, k = [rank.copy()], 1
-    ends = np.searchsorted(doc, doc, side="right")  # each suffix's end of text
+    k = 1
+    ends = np.searchsorted(doc, doc, side="right").astype(kind)  # each suffix's end of text
+    del new, group_end, order
     while len(tied):
         after = tied + k
         second = np.where(after < ends[tied], rank[np.minimum(after, n - 1)], -1)
         sort = np.lexsort((second, rank[tied]))
         tied, first, second = tied[sort], rank[tied][sort], second[sort]
-        at = np.arange(len(tied))
+        at = np.arange(len(tied), dtype=kind)
         old = np.ones(len(tied), bool)
         old[1:] = first[1:] != first[:-1]
         new = old.copy()
         new[1:] |= second[1:] != second[:-1]
         rank[tied] = first + np.maximum.accumulate(np.where(new, at, 0)) - np.maximum.accumulate(np.where(old, at, 0))
         tied = tied[~(new & np.append(new[1:], True))]
-        levels.append(rank.copy())
         k *= 2
-    suffixes = np.empty(n, np.int64)
+    suffixes = np.empty(n, kind)
     suffixes[rank] = place
-    lcp = np.zeros(n, np.int64)
-    same = 1 + np.flatnonzero(levels[0][suffixes[1:]] == levels[0][suffixes[:-1]])
-    a, b, length = suffixes[same - 1], suffixes[same], np.zeros(len(same), np.int64)
-    for level in range(len(levels) - 1, -1, -1):
-        inside = np.flatnonzero((a < n) & (b < n))
-        equal = inside[levels[level][a[inside]] == levels[level][b[inside]]]
-        length[equal] += 1 << level
-        a[equal] += 1 << level
-        b[equal] += 1 << level
-    lcp[same] = length
-    return suffixes, lcp
+    del place, ends
+    return suffixes, _common_prefixes(words, doc, suffixes, rank)
+
+
+def _common_prefixes(words: np.ndarray, doc: np.ndarray, suffixes: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Words that each suffix shares with the one before it in the array.
+
+    In order of position (Kasai's order) the shared length falls by one word at
+    most from a suffix to the next, so position plus length never falls. Where
+    neither the suffix nor its neighbour before it can be told from the last
+    position's pair by the word in front of both, the length is that pair's less
+    one; only the other positions (the heads of such chains) compare words, all of
+    them at once, by jumps that double and then halve over running hashes."""
+    n = len(suffixes)
+    before = np.empty(n, suffixes.dtype)  # the suffix before each one in the array
+    before[suffixes[1:]], before[suffixes[0]] = suffixes[:-1], -1
+    ok = before >= 0
+    ok &= doc[np.maximum(before, 0)] == doc
+    # position p continues the chain of p - 1 if its neighbour is the next one of that neighbour, and the words match
+    chained = np.zeros(n, bool)
+    chained[1:] = ok[1:] & ok[:-1] & (before[1:] == before[:-1] + 1) & (words[:-1] == words[before[:-1]]) & (doc[1:] == doc[:-1])
+    heads = np.flatnonzero(ok & ~chained)
+    length = np.zeros(n, np.int64)
+    if len(heads):
+        factor = np.uint64(0x9FB21C651E98DF25)
+        powers = np.full(n + 1, factor)
+        powers[0] = 1
+        np.cumprod(powers, out=powers)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(words * powers[:n], out=sums[1:])
+        ends = np.searchsorted(doc, doc[heads], side="right")
+        a, b = np.minimum(heads, before[heads]), np.maximum(heads, before[heads])
+        room = ends - b
+        got, step = np.zeros(len(heads), np.int64), 1 << max(0, int(room.max()).bit_length() - 1)
+        while step:
+            live = np.flatnonzero(got + step <= room)
+            x, y = a[live] + got[live], b[live] + got[live]
+            same = (sums[x + step] - sums[x]) * powers[y - x] == sums[y + step] - sums[y]
+            got[live[same]] += step
+            step >>= 1
+        length[heads] = got
+    # along a chain each length is the one before less one
+    place = np.arange(n)
+    head_of = np.maximum.accumulate(np.where(chained, 0, place))
+    length[chained] = (length[head_of] - (place - head_of))[chained]
+    return np.where(ok, length, 0)[suffixes]
 
 
 def maximal_repeats(words: np.ndarray, suffixes: np.ndarray, lcp: np.ndarray, doc: np.ndarray, least: int) -> list[tuple[int, int, int, int]]:
@@ -118,19 +154,17 @@ def rules(texts: pa.Array) -> dict[str, np.ndarray]:
     n = len(texts)
     buf, offsets = string_bytes(texts)
     start, end, doc = word_spans(buf, offsets)
-    hashes = SpanHash(buf)
-    words = hashes(start, end)
+    words = span_hashes(buf, start, end)
     n_words = np.bincount(doc, minlength=n)
     first = np.cumsum(n_words) - n_words
 
     def per_text(flags: np.ndarray) -> np.ndarray:
-        total = np.concatenate([[0], np.cumsum(flags)])
-        return total[offsets[1:]] - total[offsets[:-1]]
+        return np.array([np.count_nonzero(flags[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())], np.int64)
 
     word_chars = per_text(~IS_SPACE[buf] & ((buf & 0xC0) != 0x80))
     line_start, line_end, line_doc = word_spans(buf, offsets, IS_NEWLINE)
     full = np.searchsorted(start, line_end) > np.searchsorted(start, line_start)  # lines with a word
-    line, line_doc = hashes(line_start[full], line_end[full]), line_doc[full]
+    line, line_doc = span_hashes(buf, line_start[full], line_end[full]), line_doc[full]
     order = np.lexsort((line, line_doc))
     again = np.zeros(len(line), bool)
     again[1:] = (line[order][1:] == line[order][:-1]) & (line_doc[order][1:] == line_doc[order][:-1])

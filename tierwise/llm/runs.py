@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, SpanHash, column, over_texts, string_bytes, word_spans
+from .common import IS_SPACE, column, over_texts, span_hashes, string_bytes, word_spans
 
 #: Least words of a run, and least periods.
 MIN_LENGTH, MIN_PERIODS = 24, 3
@@ -242,7 +242,7 @@ def _find(min_length: int):
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         buf, offsets = string_bytes(batch.column("text"))
         start, end, doc = word_spans(buf, offsets)
-        _, word = np.unique(SpanHash(buf)(start, end), return_inverse=True)
+        _, word = np.unique(span_hashes(buf, start, end), return_inverse=True)
         found = runs_of(word, doc, min_length)
         held = doc[found[:, 0]] if len(found) else np.zeros(0, np.int64)
         per_doc = np.bincount(doc, minlength=batch.num_rows)

@@ -5,11 +5,13 @@ of the normalised content (null becomes empty; the bytes are otherwise left
 alone, since any other change could change the count) and ``tokenizer`` the
 SHA-256 of the tokenizer's file, so a new version never meets old counts.
 
-A run joins the digests of all rows to the cache, picks one row for each
-digest that is missing, encodes just those texts and appends their counts.
-Then every row reads its count from the cache. Only digests and ids are
-shuffled but for the missing texts, each of which moves once, spread by a row
-hash so that thousands of copies of one text do not meet in a task.
+A run joins the digests of all rows to the cache; those that miss are stored and
+marked in a bitmap of ``MARKS`` bits, whose words are broadcast. Rows whose bit is
+not set are known and go no further, so with a full cache no text is shuffled. Of
+the others one text for each digest is kept, before the shuffle and after it
+(thousands of copies of one text, with whatever ids, leave one in each task), rows
+that hit a bit by chance go by an exact join, and just those texts are encoded and
+their counts appended. Then every row reads its count from the cache, by digest.
 
 Defined cases: a null or empty text has 0 bytes and 0 tokens; repeated rows
 and ids give a row each; other columns are never read; an empty table gives
@@ -25,8 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, stored
+from .common import column, slices, stored
 
+#: Bits of the map of missing digests: at most MARKS / 64 rows are broadcast.
+MARKS = 1 << 25
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens long"
 
 
@@ -78,16 +82,26 @@ def _encode(file: str):
     return run
 
 
+def _texts_of(rows: DataFrame, missing: DataFrame) -> DataFrame:
+    """(digest, body), once for each digest of ``missing``."""
+    place = F.pmod(F.xxhash64("digest"), F.lit(MARKS))
+    word, bit = (place / 64).cast("long"), F.pmod(place, F.lit(64)).cast("int")
+    marks = missing.select(word.alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("mark"))
+    marks = marks.groupBy("word").agg(F.bit_or("mark").alias("marks"))
+    likely = rows.withColumns({"word": word, "bit": bit}).join(F.broadcast(marks), "word")
+    likely = likely.where(F.expr("getbit(marks, bit) = 1")).select("digest", "body")
+    return likely.dropDuplicates(["digest"]).join(missing, "digest", "left_semi")
+
+
 def count_tokens(docs: DataFrame, cache: TokenCache, file: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(``id_col``, n_bytes, n_tokens) of every row; missing counts are added to ``cache``."""
     version = tokenizer_version(file)
-    body = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc"), body.alias("body"), F.unhex(F.sha2(body, 256)).alias("digest"))
-    rows = rows.withColumn("row", F.xxhash64("doc", "digest"))
+    body = F.coalesce(column(text_col), F.lit(""))
+    rows = docs.select(column(id_col).alias("doc"), body.alias("body"), F.unhex(F.sha2(body, 256)).alias("digest"))
 
     known = cache.counts(version).select("digest")
-    missing = rows.groupBy("digest").agg(F.min("row").alias("row")).join(known, "digest", "left_anti")
-    texts = rows.select("digest", "row", "body").join(missing, ["digest", "row"], "left_semi").select("digest", "body")
+    missing = stored(rows.select("digest").distinct().join(known, "digest", "left_anti"), "missing")
+    texts = _texts_of(rows.select("digest", "body"), missing)
     cache.append(texts.mapInArrow(_encode(file), "digest binary, n_tokens long"), version)
 
     # copies of one text share a digest: with the counts stored, both sides of

@@ -2,9 +2,11 @@
 
 import base64
 import hashlib
+import itertools
 import random
 import re
 import zlib
+from collections import defaultdict
 
 import numpy as np
 import public_tokenizers as P
@@ -24,7 +26,7 @@ from tierwise.llm.fingerprint import Walk, band_keys, likeness, sampled_steps, s
 from tierwise.llm.packing import best_fit_decreasing
 from tierwise.llm.repetition import COLUMNS, MIN_REPEAT, rules
 from tierwise.llm.token_cache import TokenCache, count_tokens, tokenizer_version
-from tierwise.llm.common import shared_path
+from tierwise.llm.common import mix, shared_path
 from tierwise.llm.toxicity import maximal_segments
 
 SF = "/root/testdata/sf0.001"
@@ -278,6 +280,80 @@ def test_long_passage_that_stands_twice_is_rejected(spark, make):
 # ------------------------------------------------------------ fingerprints
 
 
+def slow_fingerprint(text):
+    """Step by step: write the character down, move on where the shared bit is 1, then read the sampled steps."""
+    word = lambda x: int(mix(np.array([x], np.uint64))[0])
+    seed, written, at, step, points = int(fingerprint.SEED), [], 0, 0, [ord(c) for c in text]
+    classes = {c: word(c) & (fingerprint.CLASSES - 1) for c in set(points)}
+    while at < len(points):
+        written.append(at)
+        at += word((classes[points[at]] * fingerprint.PERIOD + step % fingerprint.PERIOD) ^ seed) >> 63
+        step += 1
+    out = []
+    for slot in range(fingerprint.SLOTS):
+        if not points:
+            out.append(0)
+            continue
+        at = written[max(s for s in sampled_steps()[:, slot].tolist() if s < len(written))]
+        after = points[at + 1] if at + 1 < len(points) else 0
+        out.append(word(((word(points[at] << 32 | after) ^ seed) + slot) % (1 << 64)) % 255 + 1)
+    return bytes(out).hex()
+
+
+def test_walks_by_brute_force():
+    draw = random.Random(3)
+    for n in (0, 1, 2, 3, 10, 50, 400, 3000):
+        text = "".join(draw.choices("abcdefghij \n日é😀", k=n))
+        assert Walk(text).fingerprint().tobytes().hex() == slow_fingerprint(text)
+        other = "".join(draw.choices("xyz", k=n))
+        assert Walk(text).edited(other).fingerprint().tobytes().hex() == slow_fingerprint(text[: n - n // 4] + other[: n // 4])
+
+
+def brute_groups(prints, least=0.75):
+    """Links of pairs that share a band and are alike, followed by hand."""
+    arrays = {i: np.frombuffer(bytes.fromhex(f), np.uint8) for i, f in prints.items()}
+    buckets = defaultdict(list)
+    for i, a in arrays.items():
+        for key in band_keys(a).tolist() or ["empty"]:
+            buckets[key].append(i)
+    label = {i: i for i in prints}
+
+    def top(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for members in buckets.values():
+        for a, b in itertools.combinations(members, 2):
+            if top(a) != top(b) and likeness(arrays[a], arrays[b]) >= least:
+                x, y = sorted((top(a), top(b)))
+                label[y] = x
+    return {i: top(i) for i in prints}
+
+
+def test_op9_groups_by_brute_force(spark):
+    rows = queries.op9_fingerprints(spark, SF).collect()
+    assert {r.doc_id: r.group for r in rows} == brute_groups({r.doc_id: r.fingerprint for r in rows})
+    assert sum(r.group != r.doc_id for r in rows) > 5
+
+
+def test_a_hot_id_is_cut(spark, make):
+    """A third of the rows on one id: dealt to several partitions, and neighbours in order of (id, hash) all the same."""
+    rows = [(7, f"text {k} of the hot id") for k in range(600)] + [(k, f"cold text {k}") for k in range(20, 1220)] + [(None, "before all")] * 3
+    docs = make(rows).repartition(6)
+    found = fingerprint.compare_with_next(docs).collect()
+    assert len(found) == len(rows)
+    hashes = {r.text: r.h for r in docs.select("text", F.xxhash64("text").alias("h")).distinct().collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashes[r[1]]))
+    expected = []
+    for (i, t), (_, u) in zip(order, [*order[1:], order[0]]):
+        expected.append((str(i), len(t), hashlib.sha256((t[: len(t) - len(t) // 4] + u[: len(t) // 4]).encode()).hexdigest()))
+    assert sorted((str(r.doc_id), r.n_chars, r.edited_sha256) for r in found) == sorted(expected)
+    spread = docs.select("doc_id", F.xxhash64("text").alias("hash"), F.spark_partition_id().alias("task")).repartitionByRange(8, "doc_id", "hash", "task")
+    sizes = [r["count"] for r in spark.createDataFrame(spread.rdd.mapPartitions(lambda x: [(sum(1 for _ in x),)]), "count long").collect()]
+    assert max(sizes) < 400
+
+
 def test_op9_edits_and_likeness(spark, texts):
     ids = sorted(texts)
     rows = {r.doc_id: r for r in queries.op9_fingerprints(spark, SF).collect()}

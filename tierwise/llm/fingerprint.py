@@ -13,9 +13,10 @@ bits of the character there and the one after it. Likeness is the share of
 equal slots, less what chance adds. For search, bands of sampled slots give
 candidates, which the likeness of whole fingerprints verifies.
 
-Neighbours in id order are found without a global sort in one task: ids are
-cut into buckets by quantiles, each bucket also receives the first row of the
-next one, and every bucket is read in order.
+Neighbours in id order: rows are dealt by range of (id, text hash, map task), so
+that an id with a third of all rows is cut, and copies of one row are too; each
+partition is read in order, and gives out its first and last row besides its
+results. These edges, two rows a partition, meet in a join of their own.
 
 Defined cases: a null text is empty; empty texts share the fingerprint of
 zeros, like each other (1) and unlike any text with characters (0); ids are
@@ -27,14 +28,16 @@ document; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix, partitions_for, slices, stored, text_bytes
+from .common import column, mix, partitions_for, slices, stored, text_bytes
 from .graph import components
 
 SLOTS, CLASSES, PERIOD = 128, 64, 1024
@@ -82,7 +85,7 @@ class Walk:
     def __init__(self, text: str):
         self.text = text
         self.points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-        self.leaves: list[int] = []
+        self.leaves = array("q")
         self._go(self.points, 0)
 
     def _go(self, points: np.ndarray, step: int) -> None:
@@ -108,7 +111,7 @@ class Walk:
         if not len(self.points):
             return np.zeros(SLOTS, np.uint8)
         steps = sampled_steps()
-        leaves = np.array(self.leaves, np.int64)
+        leaves = np.frombuffer(self.leaves, np.int64)
         taken = np.where(steps < leaves[-1], steps, 0).max(axis=0)
         at = np.searchsorted(leaves, taken, side="right")
         after = np.append(self.points, 0)[at + 1].astype(np.uint64)
@@ -125,21 +128,30 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(``id_col``, fingerprint as hex digits, bands) of every row."""
+    """(``id_col``, fingerprint as hex digits) of every row."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
             for part in slices(batch):
-                prints = [Walk(t or "").fingerprint() for t in part.column("text").to_pylist()]
-                bands = [band_keys(f).view(np.int64) for f in prints]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc"), pa.array([f.tobytes().hex() for f in prints]), pa.array(bands, pa.list_(pa.int64()))],
-                    ["doc", "fingerprint", "bands"],
-                )
+                prints = [Walk(t or "").fingerprint().tobytes().hex() for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(prints, pa.string())], ["doc", "fingerprint"])
 
-    rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc {kind}, fingerprint string, bands array<long>").withColumnRenamed("doc", id_col)
+    rows = docs.select(column(id_col).alias("doc"), column(text_col).alias("text"))
+    return rows.mapInArrow(run, f"doc {kind}, fingerprint string").withColumnRenamed("doc", id_col)
+
+
+def _banded(classes: DataFrame) -> DataFrame:
+    """(fingerprint, doc, bands) of classes (fingerprint, head)."""
+    kind = classes.schema["head"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            prints = [np.frombuffer(bytes.fromhex(f), np.uint8) for f in batch.column("fingerprint").to_pylist()]
+            bands = pa.array([band_keys(p).view(np.int64) for p in prints], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("fingerprint"), batch.column("head"), bands], ["fingerprint", "doc", "bands"])
+
+    return classes.select("fingerprint", "head").mapInArrow(run, f"fingerprint string, doc {kind}, bands array<long>")
 
 
 def band_keys(print_: np.ndarray) -> np.ndarray:
@@ -188,13 +200,19 @@ def _across(rest: DataFrame, joined: DataFrame, heads: DataFrame, least: float)
 
 
 def similar_documents(docs: DataFrame, *, least: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(``id_col``, fingerprint, group): rows whose fingerprints share a band and are
-    at least ``least`` alike are joined; ``group`` is the smallest id of the group.
+    """(``id_col``, fingerprint, group) of every row; see ``group_similar``."""
+    return group_similar(stored(fingerprints(docs, id_col=id_col, text_col=text_col), "fingerprints"), least=least, id_col=id_col)
+
+
+def group_similar(prints: DataFrame, *, least: float = 0.75, id_col: str = "doc_id") -> DataFrame:
+    """``prints`` (a stored table with ``id_col`` and fingerprint) and the column ``group``: rows
+    whose fingerprints share a band and are at least ``least`` alike are joined; ``group`` is
+    the smallest id of the group, null for a null id. Equal fingerprints are one class.
     A bucket's members meet its smallest id first; those that stay in different
     components are then compared with each other, in blocks."""
-    rows = stored(fingerprints(docs, id_col=id_col, text_col=text_col).withColumnRenamed(id_col, "doc"), "fingerprints")
+    rows = prints.select(F.col(id_col).alias("doc"), "fingerprint")
     classes = stored(rows.where("doc IS NOT NULL").groupBy("fingerprint").agg(F.min("doc").alias("head")), "classes")
-    heads = rows.join(classes.select(F.col("head").alias("doc"), "fingerprint"), ["doc", "fingerprint"], "left_semi")
+    heads = stored(_banded(classes), "heads")
     buckets = heads.select("doc", F.explode("bands").alias("key"))
     centres = stored(buckets.groupBy("key").agg(F.min("doc").alias("u"), F.max("doc").alias("top")).where("u < top").drop("top"), "centres")
     pairs = buckets.join(centres, "key").where("u < doc").select("u", F.col("doc").alias("v")).distinct()
@@ -208,31 +226,60 @@ def similar_documents(docs: DataFrame, *, least: float = 0.75, id_col: str = "do
     if not more.isEmpty():
         joined = components(links.unionByName(more))
     groups = classes.join(joined, F.col("head") == F.col("node"), "left").select("fingerprint", F.coalesce("component", "head").alias("group"))
-    out = rows.join(stored(groups, "groups"), "fingerprint", "left")
-    return out.select(F.col("doc").alias(id_col), "fingerprint", F.when(F.col("doc").isNotNull(), F.col("group")).alias("group"))
-
-
-def with_next(docs: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
-    """(bucket, ahead, doc, text), each bucket's rows in one partition and in
-    order; rows with ``ahead`` only say what follows the bucket's last row."""
-    spark = docs.sparkSession
-    order = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
-    parts = partitions_for(spark, text_bytes(docs, text_col), 8 << 20)
-    cuts = docs.agg(F.percentile_approx(order, [k / parts for k in range(1, parts)] or [0.5], 10_000)).first()[0]
-    cuts = F.array(*[F.lit(c).cast("long") for c in sorted(set(cuts or [0]))])
-    rows = docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), order.alias("place"))
-    bucket = F.size(F.filter(cuts, lambda c: c <= F.col("place")))
-    # a row per bucket, so at most as many as there are partitions
-    firsts = rows.groupBy(bucket.alias("bucket")).agg(F.min("place").alias("place")).orderBy("bucket").collect()
-    before = [(firsts[k].place, firsts[k - 1].bucket) for k in range(len(firsts))]
-    heads = F.broadcast(spark.createDataFrame(before, "place long, before int"))
-    rows = rows.withColumn("bucket", bucket).join(heads, "place", "left")
-    own = F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("ahead"))
-    ahead = F.struct(F.col("before").alias("bucket"), F.lit(True).alias("ahead"))
-    rows = rows.withColumn("to", F.explode(F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, ahead))))
-    rows = rows.select("to.bucket", "to.ahead", "place", "doc", "text")
-    rows = rows.repartition(parts, "bucket").sortWithinPartitions("bucket", "ahead", "place", F.xxhash64("text"))
-    return rows.select("bucket", "ahead", "doc", "text")
+    out = prints.join(stored(groups, "groups"), "fingerprint", "left")
+    return out.select(*prints.columns, F.when(F.col(id_col).isNotNull(), F.col("group")).alias("group"))
+
+
+#: Bytes of text of a partition that is read in order.
+RANGE_BYTES = 128 << 20
+RESULT = ["doc", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+#: What a partition gives out besides results: its first row and its last one.
+EDGE = ["place", "edge", "text"]
+
+
+def _result(doc, walk: Walk, print_: np.ndarray, text: str, next_print: np.ndarray) -> tuple:
+    """The result of a document before one with ``text``."""
+    changed = walk.edited(text)
+    new = changed.fingerprint()
+    digest = hashlib.sha256(changed.text.encode()).hexdigest()
+    return (doc, len(walk.text), digest, print_.tobytes().hex(), new.tobytes().hex(), likeness(print_, new), likeness(print_, next_print))
+
+
+def _kinds(kind: pa.DataType) -> list[pa.DataType]:
+    return [kind, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int32(), pa.string(), pa.string()]
+
+
+def _in_order(batches):
+    """Reads a partition in order: a result for every row but the last, and two edges."""
+    last = None  # (doc, walk, fingerprint) of the row before
+    place, kinds = TaskContext.get().partitionId(), []
+    for batch in batches:
+        for part in slices(batch):
+            kinds = _kinds(part.schema.field("doc").type)
+            out: list[tuple] = []
+            for doc, text in zip(part.column("doc").to_pylist(), part.column("text").to_pylist()):
+                walk = Walk(text)
+                print_ = walk.fingerprint()
+                if last is None:
+                    out.append((doc, *[None] * 6, place, "first", text))
+                else:
+                    out.append((*_result(*last, text, print_), None, None, None))
+                last = (doc, walk, print_)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], [*RESULT, *EDGE])
+    if last is not None:
+        row = (last[0], *[None] * 6, place, "last", last[1].text)
+        yield pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(row, kinds)], [*RESULT, *EDGE])
+
+
+def _at_edges(batches):
+    for batch in batches:
+        out = []
+        for doc, text, after in zip(*(batch.column(c).to_pylist() for c in ("doc", "text", "after"))):
+            walk = Walk(text)
+            out.append(_result(doc, walk, walk.fingerprint(), after, Walk(after).fingerprint()))
+        if out:
+            kinds = _kinds(batch.schema.field("doc").type)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], RESULT)
 
 
 def compare_with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -240,30 +287,20 @@ def compare_with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     near_edited, near_next): each text against itself with its last quarter
     replaced by the start of the next document, and against that document."""
     kind = docs.schema[id_col].dataType.simpleString()
-    names = ["doc", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-
-    def run(batches):
-        bucket = last = None  # (doc, walk, fingerprint) of the row before
-        for batch in batches:
-            for part in slices(batch):
-                out: list[tuple] = []
-                for b, ahead, doc, text in zip(*(part.column(c).to_pylist() for c in ("bucket", "ahead", "doc", "text"))):
-                    if b != bucket:
-                        bucket, last = b, None
-                    if ahead and last is None:
-                        continue  # the bucket's last row has met what follows it
-                    walk = Walk(text)
-                    print_ = walk.fingerprint()
-                    if last is not None:
-                        changed = last[1].edited(text)
-                        new = changed.fingerprint()
-                        digest = hashlib.sha256(changed.text.encode()).hexdigest()
-                        row = (last[0], len(last[1].text), digest, last[2].tobytes().hex(), new.tobytes().hex())
-                        out.append((*row, likeness(last[2], new), likeness(last[2], print_)))
-                    last = None if ahead else (doc, walk, print_)
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) if i else pa.array(c, part.schema.field("doc").type) for i, c in enumerate(zip(*out))], names)
-
-    rows = with_next(docs, id_col=id_col, text_col=text_col)
     layout = f"doc {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return rows.mapInArrow(run, layout).withColumnRenamed("doc", id_col)
+    parts = partitions_for(docs.sparkSession, text_bytes(docs, text_col), RANGE_BYTES)
+    body = F.coalesce(column(text_col), F.lit(""))
+    rows = docs.select(column(id_col).alias("doc"), body.alias("text"), F.xxhash64(body).alias("hash"), F.spark_partition_id().alias("task"))
+    order = [F.col("doc").asc_nulls_first(), "hash", "task"]
+    dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc", "text")
+    found = stored(dealt.mapInArrow(_in_order, f"{layout}, place int, edge string, text string"), "in-order")
+
+    # two rows a partition: which one comes after which is settled over their numbers alone
+    starts = found.where("edge = 'first'").select("place")
+    after = F.coalesce(F.lead("place").over(Window.orderBy("place")), F.min("place").over(Window.partitionBy()))
+    pointers = starts.select("place", after.alias("next_place"))
+    firsts = found.where("edge = 'first'").select(F.col("place").alias("next_place"), F.col("text").alias("after"))
+    lasts = found.where("edge = 'last'").select("place", "doc", "text")
+    met = lasts.join(pointers, "place").join(firsts, "next_place").select("doc", "text", "after")
+    results = found.where("edge IS NULL").select(*RESULT).unionByName(met.mapInArrow(_at_edges, layout))
+    return results.withColumnRenamed("doc", id_col)

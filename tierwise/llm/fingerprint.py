@@ -205,7 +205,7 @@ def similar_documents(docs: DataFrame, *, least: float = 0.75, id_col: str = "do
 
 
 def group_similar(prints: DataFrame, *, least: float = 0.75, id_col: str = "doc_id") -> DataFrame:
-    """``prints`` (a stored table with ``id_col`` and fingerprint) and the column ``group``: rows
+    """``prints`` (read twice: a stored table with ``id_col`` and fingerprint) and the column ``group``: rows
     whose fingerprints share a band and are at least ``least`` alike are joined; ``group`` is
     the smallest id of the group, null for a null id. Equal fingerprints are one class.
     A bucket's members meet its smallest id first; those that stay in different
@@ -215,14 +215,14 @@ def group_similar(prints: DataFrame, *, least: float = 0.75, id_col: str = "doc_
     heads = stored(_banded(classes), "heads")
     buckets = heads.select("doc", F.explode("bands").alias("key"))
     centres = stored(buckets.groupBy("key").agg(F.min("doc").alias("u"), F.max("doc").alias("top")).where("u < top").drop("top"), "centres")
-    pairs = buckets.join(centres, "key").where("u < doc").select("u", F.col("doc").alias("v")).distinct()
+    members = stored(buckets.join(centres, "key").where("u < doc").select("key", "u", "doc"), "members")
+    pairs = members.select("u", F.col("doc").alias("v")).distinct()
     side = lambda c, p: heads.select(F.col("doc").alias(c), F.col("fingerprint").alias(p))
     same = F.expr(f"size(filter(sequence(0, {SLOTS - 1}), k -> substr(pu, 2 * k + 1, 2) = substr(pv, 2 * k + 1, 2))) / {SLOTS}")
     links = pairs.join(side("u", "pu"), "u").join(side("v", "pv"), "v").where((same - 1 / 255) / (1 - 1 / 255) >= least).select("u", "v")
     links = stored(links, "links")
     joined = components(links)
-    rest = buckets.join(centres, "key").where("u < doc").select("key", "doc")
-    more = _across(rest, joined, heads, least)
+    more = _across(members.select("key", "doc"), joined, heads, least)
     if not more.isEmpty():
         joined = components(links.unionByName(more))
     groups = classes.join(joined, F.col("head") == F.col("node"), "left").select("fingerprint", F.coalesce("component", "head").alias("group"))

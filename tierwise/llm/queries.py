@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import round_trips
-from .common import LOWER, UPPER, documents, remainder, shared_path, stored
+from .common import LOWER, UPPER, documents, remainder, shared_path
 from .fingerprint import compare_with_next, group_similar
 from .language import identify_languages, learn_languages
 from .line_dedup import dedup_lines
@@ -68,7 +68,7 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return group_similar(stored(compare_with_next(documents(spark, sf_dir)), "compared"))
+    return group_similar(compare_with_next(documents(spark, sf_dir)))
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

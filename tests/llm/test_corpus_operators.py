@@ -216,22 +216,38 @@ def test_op5_counts_and_scores(spark):
     assert ours / total > base / total + 0.1  # log10 per token on texts the model has not seen
 
 
-def test_tables_follow_the_chinese_restaurant(spark):
-    """Draws of tables agree with the exact conditional distribution, computed by enumeration."""
-    totals = pitman_yor.Totals([np.array([50]), None, None], [np.array([20]), None, None], [0.6, 0.6, 0.6], 10, 50)
-    n, p, d, others = 6, 0.3, 0.6, 20 - 2
-
-    def ways(customers, tables):  # seatings of a dish, by their number of tables
-        if customers == 0:
-            return 1.0 if tables == 0 else 0.0
-        stay = (customers - 1 - d * tables) * ways(customers - 1, tables) if tables else 0.0
-        return stay + (ways(customers - 1, tables - 1) if tables else 0.0)
-
-    exact = np.array([ways(n, t) * np.prod([(1 + d * (others + k)) * p for k in range(t)]) for t in range(1, n + 1)])
-    exact /= exact.sum()
-    size = 40_000
-    draws = pitman_yor.draw_tables(np.full(size, n), np.full(size, 2), np.full(size, p), totals, 0, np.zeros(size, np.int64), np.random.default_rng(0))
-    assert np.allclose(np.bincount(draws, minlength=n + 1)[1:] / size, exact, atol=0.01)
+def ways_to_seat(customers, d):
+    """log of the ways to seat at 0, 1, 2, ... tables, customer by customer."""
+    ways = np.full(customers + 2, -np.inf)
+    ways[0] = 0
+    t = np.arange(customers + 2)
+    for n in range(customers):
+        room = n - t * d
+        stay = np.where(room > 0, np.log(np.maximum(room, 1e-300)) + ways, -np.inf)
+        ways = np.logaddexp(stay, np.concatenate([[-np.inf], ways[:-1]]))
+    return ways[: customers + 1]
+
+
+@pytest.mark.parametrize("d", [0.3, 0.6, 0.85])
+@pytest.mark.parametrize("n", [2, 6, 17, 100, 2_000, 10_000])
+def test_tables_follow_the_chinese_restaurant(n, d):
+    """Draws of tables agree with the conditional distribution, by enumeration, for dishes of all sizes."""
+    ways = ways_to_seat(n, d)[1:]
+    t, size = np.arange(1, n + 1), 20_000
+    for p, others in ((0.3, 18), (0.01, 200), (1e-4, 5_000), (0.2, 3_000), (0.9, 40), (0.02, 100_000)):
+        totals = pitman_yor.Totals([np.array([9 * others]), None, None], [np.array([others + 2]), None, None], [d, d, d], 10, 50)
+        exact = ways + np.cumsum(np.log(1 + d * (others + t - 1))) + t * np.log(p)
+        exact = np.exp(exact - exact.max())
+        exact /= exact.sum()
+        mean = (exact * t).sum()
+        deviation = np.sqrt((exact * (t - mean) ** 2).sum())
+        rng = np.random.default_rng(0)
+        draws = pitman_yor.draw_tables(np.full(size, n), np.full(size, 2), np.full(size, p), totals, 0, np.zeros(size, np.int64), rng)
+        assert draws.min() >= 1 and draws.max() <= n
+        assert draws.mean() == pytest.approx(mean, rel=0.005, abs=5 * deviation / np.sqrt(size) + 0.005)
+        assert draws.std() == pytest.approx(deviation, rel=0.04, abs=0.02)
+        drawn = np.cumsum(np.bincount(draws, minlength=n + 1)[1:] / size)
+        assert np.abs(drawn - np.cumsum(exact)).max() < (0.02 if mean < 300 else 0.05)
 
 
 def test_predictions_add_up(spark):

@@ -111,6 +111,22 @@ def test_chains_and_large_groups(spark, make):
         rows.append((100 + (k * 7) % 25, " ".join(chain)))
     rows += [(2000 + k, "Same few words") for k in range(30)] + [(3000, "same FEW words"), (3001, ""), (3002, "a b")]
     check_near(minhash.near_duplicates(make(rows)).collect(), dict(rows))
+    kept = {i for i, (_, component) in brute_components(dict(rows)).items() if i == component}
+    assert {r.doc_id for r in minhash.drop_near_duplicates(make(rows)).collect()} == kept
+
+
+def test_members_unlike_their_centre_meet(spark, make):
+    """Pairs that share an opening with a smaller id, in ids that are structs (id and text) too."""
+    draw = random.Random(8)
+    words = lambda n: [f"w{draw.randrange(10**6)}" for _ in range(n)]
+    opening, rows = words(60), []
+    for k in range(40):
+        own = words(40)
+        rows += [(2 * k, " ".join(opening + own)), (2 * k + 1, " ".join(opening + own[:-1]))]
+    expected = brute_components(dict(rows))
+    check_near(minhash.near_duplicates(make(rows)).collect(), dict(rows))
+    assert {r.doc_id for r in minhash.drop_near_duplicates(make(rows)).collect()} == {i for i, (_, c) in expected.items() if i == c}
+    assert len({c for _, c in expected.values()}) == 40
 
 
 def test_estimate_is_corrected_for_chance(spark):

@@ -193,7 +193,8 @@ def _compare_blocks(percent: int):
     def links_of(table: pa.Table) -> list[tuple[int, int]]:
         col = lambda c: table.column(c).combine_chunks()
         matrix = lambda c: col(c).flatten().to_numpy().view(np.uint64).reshape(table.num_rows, -1)
-        _, label = np.unique(col("label").to_numpy(), return_inverse=True)
+        codes: dict = {}  # labels are ids: numbers, texts or structs
+        label = np.array([codes.setdefault(str(x), len(codes)) for x in col("label").to_pylist()])
         side = (col("block").to_numpy() != col("low").to_numpy()).astype(np.int8)
         doc = col("doc").to_pylist()
         return _compare(doc, label, side, int(col("band")[0].as_py()), matrix("bands"), matrix("signature"), col("shingles"), percent)

@@ -177,6 +177,8 @@ class ByteBPE:
                 for k in range(1, len(token)):
                     if (a := ids.get(token[:k])) is not None and (b := ids.get(token[k:])) is not None:
                         pairs[a << 16 | b] = rank
+        if max(ids.values()) >= 1 << 16:
+            raise ValueError("pairs of ids are kept in 32 bits: vocabularies of more than 65,536 tokens are not supported")
         self.pairs = pairs
         self.byte_ids = np.array([ids[bytes([b])] for b in range(256)], np.int32)
         self._fill_slots(np.fromiter(pairs, np.uint32, len(pairs)), np.fromiter(pairs.values(), np.int32, len(pairs)))

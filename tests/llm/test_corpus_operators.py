@@ -129,6 +129,41 @@ def test_members_unlike_their_centre_meet(spark, make):
     assert len({c for _, c in expected.values()}) == 40
 
 
+@pytest.mark.parametrize("opening", [100, 150, 190])
+def test_hot_buckets(make, monkeypatch, opening):
+    """Hundreds of texts share an opening of half their words or more and aren't alike; pairs among them are."""
+    monkeypatch.setattr(minhash, "BLOCK", 40)
+    draw = random.Random(opening)
+    words = lambda n: [f"w{draw.randrange(10**7)}" for _ in range(n)]
+    shared, rows = words(opening), []
+    for k in range(300):
+        own = words(max(100, 225 - opening))
+        rows.append((10 * k, " ".join(shared + own)))
+        if k % 6 == 0:
+            rows.append((10 * k + 1, " ".join(shared + own[: int(len(own) * 0.8)])))
+        if k % 60 == 0:
+            rows.append((10 * k + 2, " ".join(shared[:-5] + words(1) + own)))
+    expected = brute_components(dict(rows))
+    assert len({c for _, c in expected.values()}) == 300
+    check_near(minhash.near_duplicates(make(rows)).collect(), dict(rows))
+
+
+def test_rarest_shingles_part_a_shared_passage(spark):
+    """A hot bucket's texts are dealt by shingles that few of them hold; sets as alike as the threshold meet."""
+    draw = np.random.default_rng(3)
+    passage = list(range(300))
+    sets = [passage + (1000 + 500 * k + np.arange(200)).tolist() for k in range(100)]
+    sets += [s[:-40] for s in sets[:20]] + [draw.permutation(s).tolist()[:400] for s in sets[20:40]]
+    rows = spark.createDataFrame(list(enumerate(sets)), "doc long, shingles array<long>")
+    found = minhash._prefixes(rows, 75).collect()
+    assert Counter(r.key for r in found).most_common(1)[0][1] <= 2
+    held = defaultdict(set)
+    for r in found:
+        held[r.doc].add(r.key)
+    for k in range(20):
+        assert held[k] & held[100 + k] and held[20 + k] & held[120 + k]
+
+
 def test_estimate_is_corrected_for_chance(spark):
     draw = np.random.default_rng(1)
     a = draw.integers(0, 16, (400, minhash.MINIMA))

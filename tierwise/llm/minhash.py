@@ -10,10 +10,15 @@
    similarity estimated from bit counts (corrected for chance agreement) is
    clearly too low go; the rest are confirmed on their full sets.
 4. Where a bucket's members still belong to several components, they are
-   compared across components, in blocks of bounded size: by the estimate
-   first, then by their full sets. Only links that join components come out.
-   So no link is lost to the stars, and a bucket whose members have met costs
-   nothing.
+   compared across components: by the estimate first, then by their full sets.
+   Only links that join components come out. So no link is lost to the stars,
+   and a bucket whose members have met costs nothing. A bucket of up to
+   ``BLOCK`` members is compared in one go, which keeps the work in proportion
+   to the members. Members of larger ones (a passage that many texts share, none
+   of them alike) are first dealt anew by their rarest shingles, so many that
+   two texts at the threshold share one; what a passage has in common comes last
+   and parts them no more. Buckets that stay large even so hold texts just
+   below the threshold; their blocks are compared two by two.
 5. Components of the links, each named by its smallest id.
 
 At similarity 0.75 a pair shares none of 32 bands of 4 rows with a chance of
@@ -59,7 +64,7 @@ def least_estimate(percent: int) -> float:
     return similarity - 5.5 * float(np.sqrt(p * (1 - p) / MINIMA)) / (1 - 2.0**-BITS)
 
 
-#: Members of a block when a bucket is compared across components.
+#: Members of a bucket that are compared in one go, and of a block of a larger one.
 BLOCK = 1_000
 _FACTORS = np.random.default_rng(6).integers(1, 2**63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -230,15 +235,21 @@ def _compare_blocks(percent: int):
     return run
 
 
-def _across(rest: DataFrame, joined: DataFrame, heads: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (u, v) between members of a bucket (its centre left out) that are in
-    different components. A bucket is cut into blocks of about BLOCK members
-    and every two blocks are compared in a task of their own, so a task's rows
-    are bounded whatever the bucket's size; only links come out."""
+def _unsettled(rest: DataFrame, joined: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(the members of buckets with their component as ``label``; key and n of the
+    buckets whose members, centre left out, are in several components)."""
     labelled = rest.join(joined.withColumnRenamed("node", "doc"), "doc", "left")
     labelled = labelled.withColumn("label", F.coalesce("component", "doc")).drop("component")
     mixed = labelled.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count(F.lit(1)).alias("n"))
-    mixed = stored(mixed.where("a < b").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "mixed")
+    return labelled, stored(mixed.where("a < b").select("key", "n"), "mixed")
+
+
+def _across(labelled: DataFrame, mixed: DataFrame, heads: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) between members of the buckets ``mixed`` that are in different
+    components. A bucket is cut into blocks of about BLOCK members and every two
+    blocks are compared in a task of their own, so a task's rows are bounded
+    whatever the bucket's size; only links come out."""
+    mixed = mixed.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     rows = labelled.join(mixed, "key").join(heads.select("doc", "bands", "signature"), "doc").join(sets, "doc")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -246,10 +257,37 @@ def _across(rest: DataFrame, joined: DataFrame, heads: DataFrame, sets: DataFram
     pair = ["key", "low", "high"]
     rows = rows.select(*pair, "block", "band", "doc", "label", "bands", "signature", "shingles")
     rows = rows.repartition(*pair).sortWithinPartitions(*pair)
-    kind = rest.schema["doc"].dataType.simpleString()
+    kind = labelled.schema["doc"].dataType.simpleString()
     return stored(rows.mapInArrow(_compare_blocks(percent), f"u {kind}, v {kind}"), "confirmed-across")
 
 
+def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(key, band, doc): the rarest shingles of each set, so many that two sets as alike
+    as ``percent`` share one of them at least. Rarity is counted over ``sets``, so a
+    passage that all of them hold comes last; shingles of one set alone meet nothing."""
+    each = sets.select("doc", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle"))
+    common = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = each.join(stored(common, "common-shingles"), "shingle")
+    # one entry for each of its shingles: bounded by the document's own length
+    of_doc = shared.groupBy("doc", "size").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("held"))
+    length = F.expr(f"size - ({percent} * size + 99) div 100 + 1 - (size - size(held))").cast("int")
+    keys = of_doc.select("doc", F.explode(F.slice("held", F.lit(1), F.greatest(length, F.lit(0)))).alias("at"))
+    return stored(keys.select(F.col("at.shingle").alias("key"), F.lit(0).alias("band"), "doc"), "prefixes")
+
+
+def _links_of_hot(
+    hot: DataFrame, labelled: DataFrame, links: DataFrame, heads: DataFrame, sets: DataFrame, percent: int
+) -> DataFrame:
+    """Links (u, v) that join components among all members of the buckets ``hot``: the
+    members are dealt anew by their rarest shingles, which loses no link. The buckets
+    made so go the way of all others: stars, then what is left across components."""
+    members = stored(labelled.join(hot, "key", "left_semi").select("doc").distinct(), "hot-members")
+    stars = stored(_star_pairs(_prefixes(sets.join(members, "doc", "left_semi"), percent)), "hot-buckets").where("u <> v")
+    found = _confirm(_likely(stars.select("u", "v").distinct(), heads.select("doc", "signature"), percent), sets, percent)
+    joined = components(links.unionByName(found))
+    return found.unionByName(_across(*_unsettled(stars.select("key", "band", F.col("v").alias("doc")), joined), heads, sets, percent))
+
+
 def near_duplicates(docs: DataFrame, *, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(``id_col``, n_shingles, component_id, kept) of every row; rows are linked
     where ``100 * |A & B| >= percent * |A | B|``."""
@@ -272,7 +310,11 @@ def near_duplicates(docs: DataFrame, *, percent: int = 75, id_col: str = "doc_id
     apart = stars.where("u <> v")
     links = _confirm(_likely(apart.select("u", "v").distinct(), signatures, percent), sets, percent)
     joined = components(links)
-    more = _across(apart.select("key", "band", F.col("v").alias("doc")), joined, heads, sets, percent)
+    labelled, mixed = _unsettled(apart.select("key", "band", F.col("v").alias("doc")), joined)
+    more = _across(labelled, mixed.where(F.col("n") <= BLOCK), heads, sets, percent)
+    hot = mixed.where(F.col("n") > BLOCK)
+    if not hot.isEmpty():
+        more = more.unionByName(_links_of_hot(hot, labelled, links.unionByName(more), heads, sets, percent))
     if not more.isEmpty():
         joined = components(links.unionByName(more))
 

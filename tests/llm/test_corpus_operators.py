@@ -246,6 +246,32 @@ def test_foreign_text_is_rejected(spark, make):
     assert all(r.rejected for r in language.identify_languages(odd, model).collect())
 
 
+def test_op4_rejects_short_strange_texts_and_keeps_clean_ones(spark):
+    """Random letters and a language never learned, 20 to 160 characters; and the stated share of false rejections."""
+    docs = documents(spark, SF_MORE)
+    model = language.learn_languages(docs)
+    draw = random.Random(5)
+    finnish = ("kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto "
+               "ja heidän on toimittava toisiaan kohtaan veljeyden hengessä")
+    for n in (20, 40, 60, 80, 120, 160):
+        noise = ["".join(draw.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(n)) for _ in range(200)]
+        assert language.predict(model, pa.array(noise))[2].mean() >= 0.98
+        assert language.predict(model, pa.array([finnish[:n], finnish[-n:]]))[2].all()
+    held = docs.where("lang IS NOT NULL AND text IS NOT NULL").where(~(language.remainder(4) != 2))
+    marks = [r.rejected for r in language.identify_languages(held, model).collect()]
+    assert len(marks) > 200 and sum(marks) <= 0.01 * len(marks)
+
+
+def test_op4_limits_by_length(spark):
+    """Classes of too few pieces take the next shorter limit; no longer class has a higher one."""
+    docs = documents(spark, SF_MORE)
+    limit = language.learn_languages(docs).limit
+    assert limit.shape[1] == language.CLASSES and np.isfinite(limit).all() and (np.diff(limit, axis=1) <= 0).all()
+    few = language.learn_languages(docs.limit(30))
+    assert few.languages and np.isinf(few.limit).all()
+    assert not language.predict(few, pa.array(["zxq vvkj qqqz"]))[2].any()
+
+
 # --------------------------------------------------------------------- LM
 
 

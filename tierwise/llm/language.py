@@ -12,9 +12,12 @@ for lower orders.
 
 Prediction. Words are scored once per batch, however often they occur. A
 text's language is the one with the lowest cross-entropy per character. Its
-score is a soft maximum over the languages whose sharpness is fitted on
-training texts, and a text is rejected when its cross-entropy lies far above
-what training texts of that language and length have.
+score is a soft maximum over the languages. A text is rejected when its
+cross-entropy lies above a limit of that language and of its class of length
+(powers of two of its characters). Sharpness and limits are fitted on training
+texts held back from the n-grams, whole and cut into pieces of ``PIECES``
+characters: of the pieces of each class, a share of REJECT_SHARE lies above its
+limit, and a longer class has no higher limit than a shorter one.
 
 The classifier is fitted on rows whose id hash is below a threshold per
 language, ``MAX_TEXTS`` of them in expectation; n-grams of the bounded sample
@@ -23,7 +26,8 @@ are the whole model. Prediction covers every document whole.
 Defined cases: a null text, or one without a letter, is ``und`` with score 0
 and is rejected; empty texts are the same; with no labelled text every text is
 ``und``; ties go to the language that sorts first; repeated rows agree; an
-empty table gives an empty result.
+empty table gives an empty result. A language of fewer than ``LEAST_HELD``
+labelled texts holds none back and rejects no text with a letter.
 """
 
 from __future__ import annotations
@@ -42,9 +46,15 @@ ORDER = 5
 #: Training texts of each language, in expectation.
 MAX_TEXTS = 1_500
 UNKNOWN = "und"
-#: A text is rejected when its cross-entropy lies more standard errors above its
-#: language's than this, or than REJECT_TIMES what REJECT_SHARE of training texts stay below.
-REJECT_Z, REJECT_SHARE, REJECT_TIMES = 8.0, 0.999, 2.0
+#: Share of training texts that is held back, in languages of at least LEAST_HELD texts.
+HELD_BACK, LEAST_HELD = 5, 50
+#: False rejections: the share of held-back pieces of a language and length above its limit.
+REJECT_SHARE = 0.001
+#: Pieces that show such a share; a class of fewer takes the next shorter one's limit, or, if there
+#: is none, the most that any piece of the language has.
+LEAST_PIECES = 5_000
+PIECES = (16, 32, 64, 128, 256, 512, 1024)
+CLASSES = 32
 _BORDER = 0x20
 
 
@@ -87,9 +97,7 @@ class Model:
     grams: list[Grams]  # by order, from 1: log-probabilities
     contexts: list[Grams]  # by order of the n-gram they begin, from 1: log weights of the lower order
     sharpness: float = 1.0
-    mean: np.ndarray | None = None
-    deviation: np.ndarray | None = None
-    limit: np.ndarray | None = None
+    limit: np.ndarray | None = None  # by language and class of length
 
 
 # ------------------------------------------------------------------ n-grams
@@ -150,12 +158,15 @@ def _count(batch: pa.RecordBatch) -> pa.RecordBatch | None:
 
 
 def training_texts(docs: DataFrame, *, id_col: str, text_col: str, lang_col: str, max_texts: int) -> DataFrame:
-    """(lang, text) of labelled rows, each language thinned by id hash to ``max_texts`` in expectation."""
+    """(lang, text, held) of labelled rows, each language thinned by id hash to ``max_texts`` in
+    expectation; ``held`` marks one in HELD_BACK."""
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (remainder(4, id_col) != 2))
     rows = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     draw = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
-    return rows.join(F.broadcast(sizes), "lang").where(draw * F.col("n") < F.lit(max_texts << 30)).select("lang", "text")
+    held = (F.col("n") >= LEAST_HELD) & (F.pmod(F.xxhash64(F.lit(4), "id"), F.lit(HELD_BACK)) == 0)
+    thin = rows.join(F.broadcast(sizes), "lang").where(draw * F.col("n") < F.lit(max_texts << 30))
+    return thin.select("lang", "text", F.coalesce(held, F.lit(False)).alias("held"))
 
 
 def learn_languages(
@@ -166,14 +177,14 @@ def learn_languages(
     train = training_texts(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, max_texts=max_texts)
     train = train.cache()
     try:
-        languages = sorted(r.lang for r in train.select("lang").distinct().collect())
+        languages = sorted(r.lang for r in train.where("NOT held").select("lang").distinct().collect())
         code = F.array_position(F.array(*map(F.lit, languages)), F.col("lang")).cast("int") - 1 if languages else F.lit(0)
-        coded = train.select(code.alias("lang"), "text")
-        counts = coded.mapInArrow(over_texts(_count), "lang int, gram string, n long")
+        coded = train.select(code.alias("lang"), "text", "held").where("lang >= 0")
+        counts = coded.where("NOT held").mapInArrow(over_texts(_count), "lang int, gram string, n long")
         if not languages:
             return Model([], np.zeros(0), [], [])
         table = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
-        return _calibrate(kneser_ney(languages, table), coded)
+        return _calibrate(kneser_ney(languages, table), coded.where("held"))
     finally:
         train.unpersist()
 
@@ -259,50 +270,85 @@ def word_scores(model: Model, points: np.ndarray, first: np.ndarray) -> np.ndarr
     return total[ends] - total[first]
 
 
-def cross_entropies(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(characters, cross-entropy per character in each language) of each text."""
+def _occurrences(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, word) of every occurrence of a word; (characters, log-probability in each language) of the words."""
     points, first, word, doc = words_of(texts)
-    n = np.zeros(len(texts))
-    bits = np.zeros((len(texts), len(model.languages)))
-    if len(first):
-        scores = word_scores(model, points, first)
-        size = np.diff(np.append(first, len(points) - 1))
-        n = np.bincount(doc, weights=size[word], minlength=len(texts))
-        for k in range(len(model.languages)):
-            bits[:, k] = -np.bincount(doc, weights=scores[word, k], minlength=len(texts))
+    if not len(first):
+        return doc, word, np.zeros(0, np.int64), np.zeros((0, len(model.languages)))
+    return doc, word, np.diff(np.append(first, len(points) - 1)), word_scores(model, points, first)
+
+
+def _per_character(group, word, size, scores, groups: int) -> tuple[np.ndarray, np.ndarray]:
+    """(characters, cross-entropy per character in each language) of each group of occurrences."""
+    n = np.bincount(group, weights=size[word], minlength=groups)
+    bits = np.zeros((groups, scores.shape[1]))
+    for k in range(scores.shape[1]):
+        bits[:, k] = -np.bincount(group, weights=scores[word, k], minlength=groups)
     return n, bits / np.maximum(n, 1)[:, None]
 
 
+def cross_entropies(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(characters, cross-entropy per character in each language) of each text."""
+    return _per_character(*_occurrences(model, texts), len(texts))
+
+
+def length_class(n: np.ndarray) -> np.ndarray:
+    return np.clip(np.log2(np.maximum(n, 1)).astype(np.int64), 0, CLASSES - 1)
+
+
 def has_letter(texts: pa.Array) -> np.ndarray:
     found = pc.match_substring_regex(texts.fill_null(""), r"\p{L}")
     return found.to_numpy(zero_copy_only=False)
 
 
-def _calibrate(model: Model, coded: DataFrame) -> Model:
-    """Sharpness of the soft maximum, and each language's usual cross-entropy."""
+def _pieces(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(characters, cross-entropies) of the texts and of their pieces of whole words."""
+    doc, word, size, scores = _occurrences(model, texts)
+    out = [_per_character(doc, word, size, scores, len(texts))]
+    before = np.cumsum(size[word]) - size[word]
+    place = before - before[np.searchsorted(doc, doc)]
+    for length in PIECES if len(doc) else ():
+        number = place // length
+        new = np.ones(len(doc), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (number[1:] != number[:-1])
+        out.append(_per_character(np.cumsum(new) - 1, word, size, scores, int(new.sum())))
+    return tuple(np.concatenate(x) for x in zip(*out))
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+
+def _calibrate(model: Model, held: DataFrame) -> Model:
+    """Sharpness of the soft maximum, and the limits; a few numbers a held-back text reach the driver."""
+
+    def gaps(batch: pa.RecordBatch) -> pa.RecordBatch:
         n, bits = cross_entropies(model, batch.column("text"))
-        own = bits[np.arange(len(n)), batch.column("lang").to_numpy()]
+        at = np.arange(len(n)), batch.column("lang").to_numpy()
+        own = bits[at]
         rest = bits.copy()
-        rest[np.arange(len(n)), batch.column("lang").to_numpy()] = np.inf
+        rest[at] = np.inf
         gap = (rest.min(axis=1) - own) if bits.shape[1] > 1 else np.ones(len(n))
-        return pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(n), pa.array(own), pa.array(gap)], ["lang", "n", "own", "gap"])
-
-    rows = coded.mapInArrow(over_texts(run), "lang int, n double, own double, gap double").where("n > 0").toArrow()
-    lang, n, own, gap = (rows.column(c).to_numpy() for c in ("lang", "n", "own", "gap"))
-    scale = np.sqrt(n)
-    grid = np.geomspace(0.05, 50, 40)
-    loss = [np.logaddexp(0, -t * scale * gap).mean() for t in grid]
-    model.sharpness = float(grid[int(np.argmin(loss))])
-    model.mean, model.deviation = np.zeros(len(model.languages)), np.ones(len(model.languages))
-    model.limit = np.full(len(model.languages), REJECT_Z)
+        return pa.RecordBatch.from_arrays([pa.array(n), pa.array(gap)], ["n", "gap"])
+
+    def lows(batch: pa.RecordBatch) -> pa.RecordBatch:
+        n, bits = _pieces(model, batch.column("text"))
+        n, bits = n[n > 0], bits[n > 0]
+        return pa.RecordBatch.from_arrays([pa.array(bits.argmin(axis=1)), pa.array(length_class(n)), pa.array(bits.min(axis=1))], ["lang", "class", "low"])
+
+    rows = held.mapInArrow(over_texts(gaps), "n double, gap double").where("n > 0").toArrow()
+    n, gap = (rows.column(c).to_numpy() for c in ("n", "gap"))
+    if len(n):
+        grid = np.geomspace(0.05, 50, 40)
+        model.sharpness = float(grid[int(np.argmin([np.logaddexp(0, -t * np.sqrt(n) * gap).mean() for t in grid]))])
+    seen = held.mapInArrow(over_texts(lows), "lang long, class long, low double").groupBy("lang", "class")
+    seen = seen.agg(F.percentile("low", F.lit(1 - REJECT_SHARE)).alias("limit"), F.count(F.lit(1)).alias("n"), F.max("low").alias("top"))
+    found = {(r["lang"], r["class"]): r for r in seen.collect()}  # CLASSES rows a language at most
+    model.limit = np.full((len(model.languages), CLASSES), np.inf)
     for k in range(len(model.languages)):
-        if (lang == k).any():
-            model.mean[k] = np.average(own[lang == k], weights=n[lang == k])
-            model.deviation[k] = max(0.1, float(np.sqrt(np.mean(n[lang == k] * (own[lang == k] - model.mean[k]) ** 2))))
-            z = (own[lang == k] - model.mean[k]) * scale[lang == k] / model.deviation[k]
-            model.limit[k] = max(REJECT_Z, REJECT_TIMES * float(np.quantile(z, REJECT_SHARE)))
+        limit = max((r["top"] for (lang, _), r in found.items() if lang == k), default=np.inf)
+        for c in range(CLASSES):
+            if (k, c) in found and found[k, c]["n"] >= LEAST_PIECES:
+                limit = found[k, c]["limit"]
+            model.limit[k, c] = limit
+    # no longer class above a shorter one
+    model.limit = np.maximum.accumulate(model.limit[:, ::-1], axis=1)[:, ::-1]
     return model
 
 
@@ -315,9 +361,8 @@ def predict(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.n
     best = bits.argmin(axis=1)
     low = bits[np.arange(len(n)), best]
     soft = np.exp(-model.sharpness * np.sqrt(n)[:, None] * (bits - low[:, None]))
-    z = (low - model.mean[best]) * np.sqrt(np.maximum(n, 1)) / model.deviation[best]
     names = np.where(some, np.array(model.languages, object)[best], UNKNOWN)
-    return names, np.where(some, 1 / soft.sum(axis=1), 0.0), ~some | (z > model.limit[best]), low
+    return names, np.where(some, 1 / soft.sum(axis=1), 0.0), ~some | (low > model.limit[best, length_class(n)]), low
 
 
 def identify_languages(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -197,3 +197,15 @@ def test_pieces_follow_the_width_of_rows(spark, tmp_path, monkeypatch):
     wide.select("k", F.lit("short").alias("text")).write.parquet(f"{tmp_path}/narrow")
     pieces = {n: [r[skew.PIECES] for r in skew.hot_keys(spark.read.parquet(f"{tmp_path}/{n}"), ["k"], null_safe=True).collect()] for n in ("wide", "narrow")}
     assert len(pieces["wide"]) == 2 and all(2 <= p <= 8 for p in pieces["wide"]) and pieces["narrow"] == []
+
+
+def test_tasks_of_summaries_take_bounded_rows(spark, monkeypatch):
+    """Tasks grow in number with the rows, where partitions by compressed bytes would be few."""
+    from tierwise.operators import summary
+
+    monkeypatch.setattr(summary, "TASK_ROWS", 50)
+    df = records(spark, 3000, seed=9).cache()
+    assert summarise(df, SPEC).rdd.getNumPartitions() >= 60
+    parts = [summarise(df.where(F.col("id") % 3 == k), SPEC, rows=3000) for k in range(3)]
+    merged = merge_summaries(*parts, spec=SPEC)
+    assert merged.rdd.getNumPartitions() >= 60 and rows_of(merged) == rows_of(summarise(df, SPEC))

@@ -38,6 +38,13 @@ from .modal import count_aggs, modal_aggs, modal_value
 
 P = RESERVED_PREFIX
 N_RECORDS = "n_records"
+#: Rows that a task aggregates: partitions that Spark sizes by compressed bytes hold millions.
+TASK_ROWS = 200_000
+
+
+def tasks_for(df: DataFrame, rows: int) -> int:
+    """Tasks for ``rows`` rows, at least the session's parallelism."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS))
 
 
 def _roles(df: DataFrame, spec: ColumnSpec) -> list[str]:
@@ -51,16 +58,21 @@ def _roles(df: DataFrame, spec: ColumnSpec) -> list[str]:
     return list(dict.fromkeys(keys))
 
 
-def summarise(df: DataFrame, spec: ColumnSpec) -> DataFrame:
+def summarise(df: DataFrame, spec: ColumnSpec, *, rows: int | None = None) -> DataFrame:
     """(entity, category, source, flag, observed_at = the latest, n_records), one row for
-    each combination that occurs. Source and flag are left out where ``df`` lacks them."""
+    each combination that occurs. Source and flag are left out where ``df`` lacks them.
+
+    ``rows`` says how many records there are at most (default: they are counted). Tasks
+    take ``TASK_ROWS`` of them on average, so their memory does not grow with the table.
+    Summaries with the same ``rows`` are merged where they are."""
     spec = spec.resolved(df, Rule.NONE)
     check_new(df, [N_RECORDS])
     keys = _roles(df, spec)
     if spec.source in keys:
         listed = F.when(F.col(spec.source).isin(list(spec.source_order)), F.col(spec.source))
         df = df.withColumn(spec.source, listed)
-    return df.groupBy(*keys).agg(F.max(spec.observed_at).alias(spec.observed_at), F.count(F.lit(1)).alias(N_RECORDS))
+    dealt = df.select(*dict.fromkeys([*keys, spec.observed_at])).repartition(tasks_for(df, df.count() if rows is None else rows), *keys)
+    return dealt.groupBy(*keys).agg(F.max(spec.observed_at).alias(spec.observed_at), F.count(F.lit(1)).alias(N_RECORDS))
 
 
 def merge_summaries(first: DataFrame, *others: DataFrame, spec: ColumnSpec) -> DataFrame:

@@ -263,7 +263,8 @@ def _resolve_summary(preset: str, rule: Rule) -> Query:
 def _batches(spark, sf) -> DataFrame:
     """M4 in three batches of orders, summarised one by one and merged."""
     rows = m4_all_codes(spark, sf)
-    first, *others = [summarise(rows.where(F.col("l_orderkey") % 3 == k), SPEC) for k in range(3)]
+    n_rows = rows.count()
+    first, *others = [summarise(rows.where(F.col("l_orderkey") % 3 == k), SPEC, rows=n_rows) for k in range(3)]
     return merge_summaries(first, *others, spec=SPEC)
 
 

@@ -116,19 +116,23 @@ def compare_policies(
     The summary's rows are folded to one per entity and category, with the count and
     the best key of every form of the rule, and dealt by entity; each is repeated once a
     policy, with the tier that the policy gives it, and one aggregation per entity and
-    policy settles both methods where the rows are. As in :func:`tierwise.plans.runs.resolve`, where a NULL category shares
+    policy settles both methods where the rows are. Tasks of every step take ``TASK_ROWS``
+    rows on average; the rows are counted first. As in :func:`tierwise.plans.runs.resolve`, where a NULL category shares
     the latest key with a real one, the real one is reported.
     """
     if len({p.name for p in policies}) != len(policies):
         raise ValueError("policies need names of their own")
+    n_rows = summary.count()
     if N_RECORDS not in summary.columns:
-        summary = summarise(summary, spec)
+        summary = summarise(summary, spec, rows=n_rows)
+    tasks = tasks_for(summary, n_rows)
     spec = spec.resolved(summary, rule)
     again = LatestPlan(summary, spec, rule, TierPolicy("any"), True, tag="a_")
     plain = LatestPlan(summary, spec, rule, None, False, tag="p_")
     plans = (again, plain)
 
-    keyed = plain.with_keys(again.with_keys(summary, F.lit(0)))
+    dealt = summary.repartition(tasks, spec.entity, spec.category)  # before the keys are made: narrower rows move
+    keyed = plain.with_keys(again.with_keys(dealt, F.lit(0)))
     keys = [plan.P + "k_" + f for plan in plans for f in plan.families]
     per_code = keyed.groupBy(spec.entity, spec.category).agg(*count_aggs(spec, N_RECORDS), *[F.max(k).alias(k) for k in keys])
 
@@ -137,7 +141,7 @@ def compare_policies(
         return F.struct(F.lit(p.name).alias("name"), F.lit(p.reallocate).alias("again"), tier.alias("tier"))
 
     # dealt by entity before a row is repeated: the last aggregation then needs no shuffle
-    rows = per_code.repartition(spec.entity).withColumn(P + "p", F.explode(F.array(*[described(p) for p in policies])))
+    rows = per_code.repartition(tasks, spec.entity).withColumn(P + "p", F.explode(F.array(*[described(p) for p in policies])))
     rows = rows.withColumns({policy_col: F.col(P + "p")["name"], P + "again": F.col(P + "p")["again"], TIER: F.col(P + "p")["tier"]})
     rows = rows.withColumn(P + "tier", F.col(TIER))
     for f in again.families:

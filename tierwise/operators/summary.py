@@ -11,8 +11,10 @@ source and flag but for the date, and of those only the latest date matters:
 
 So ``groupBy(entity, category, source, flag)`` with a count and the latest date
 loses nothing. Its buffers are of fixed width for dates and numbers (a hash
-aggregate, combined map-side), its rows are few per entity, and two summaries
-merge by adding counts and taking the later date. A summary has the columns of
+aggregate), its rows are few per entity, and two summaries
+merge by adding counts and taking the later date. Records are dealt by all four
+columns before they are counted, so that a task holds a bounded number of groups;
+records that agree in all four meet in one task, which streams them into one row. A summary has the columns of
 the records that it stands for, and ``n_records``: the operators for whole entities
 take it in place of the records (``modal_by_entity(..., weight=N_RECORDS)``,
 ``latest_by_entity``, ``resolve(..., weight=N_RECORDS)``).

@@ -10,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as E
 import corpus_pipeline
 from oracle import compare, duck
@@ -348,6 +350,40 @@ def test_predictions_add_up(spark):
     assert p[:, 0].sum() + unseen == pytest.approx(1, abs=1e-9)
 
 
+def test_contexts_are_whole_words(spark, make):
+    """Words that end alike are contexts of their own, and predictions of each add up to 1."""
+    draw = random.Random(5)
+    after = {"rabe": "lux", "sabe": "nox"}
+    rows = [(k, " ".join(f"{w} {after[w]}" for w in draw.choices(list(after), k=40))) for k in range(60)]
+    rows += [(1000, "rabe lux"), (1001, "sabe lux")]
+    found = {r.doc_id: r.score for r in pitman_yor.score_texts(make(rows), F.col("doc_id") < 1000).collect()}
+    assert found[1000] > found[1001] + 0.5
+
+    words = np.sort(np.random.default_rng(3).integers(1, 2**63, 40, dtype=np.uint64))
+    contexts = np.array([0x6101 << 32 | 5, 0x6101 << 32 | 9, 0x6201 << 32 | 7], np.uint64)
+    n = np.random.default_rng(4).integers(0, 30, 120).astype(np.uint64)
+    block = pitman_yor.WordBlock(*(pitman_yor.planes(x) for x in (np.repeat(words, 3), np.tile(contexts, 40), n)))
+    rng, totals = np.random.default_rng(6), None
+    for _ in range(3):  # with the totals of its own seating, also after sweeps
+        levels = [(c, x, t, size) for size, (c, x, t) in zip((1, 256, 65536), block.endings.levels())] + [(block.context, block.n, block.t, 3)]
+        sums = [[np.bincount(c, weights=v[k], minlength=size).astype(np.int64) for c, *v, size in levels] for k in (0, 1)]
+        totals = pitman_yor.Totals(*sums, [0.4, 0.5, 0.6, 0.7], 40, int(n.sum()))
+        p = block.predictive(totals).reshape(40, 3)
+        for k, path in enumerate([(0, 1, 0x6101), (0, 1, 0x6101), (0, 1, 0x6201)]):
+            unseen = totals.base
+            for level, context in enumerate((*path, block.context[k])):
+                unseen *= (1 + totals.discount[level] * sums[1][level][context]) / (1 + sums[0][level][context])
+            assert p[:, k].sum() + unseen == pytest.approx(1, abs=1e-9)
+        block.sweep(totals, rng)
+
+
+def test_rows_in_another_order_are_refused():
+    docs = pa.table({"ids": [[1]], "sizes": [[1]], "places": [pitman_yor.planes(np.zeros(1, np.uint32))], "mark": [1]})
+    answers = pa.table({"block": [0], "mark": [2], "score": [b""], "count": [b""]})
+    with pytest.raises(ValueError, match="another order"):
+        pitman_yor._add_up(None, pa.int64())(docs, answers)
+
+
 # --------------------------------------------------------------- pipeline
 
 

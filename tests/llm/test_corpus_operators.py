@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as E
 import corpus_pipeline
 from oracle import compare, duck
-from tierwise.llm import language, minhash, pitman_yor, queries
+from tierwise.llm import graph, language, minhash, pitman_yor, queries
 from tierwise.llm.common import documents, stored
 from tierwise.llm.graph import components
 from tierwise.llm.line_dedup import dedup_lines, drop_repeated_lines
@@ -350,6 +350,25 @@ def test_predictions_add_up(spark):
     assert p[:, 0].sum() + unseen == pytest.approx(1, abs=1e-9)
 
 
+def test_rounds_of_components_take_tasks_by_links(spark, monkeypatch):
+    """Few links go to few tasks, whatever the session's shuffle partitions; many go to more."""
+    seen, keep = [], graph.stored
+    monkeypatch.setattr(graph, "stored", lambda df, name: seen.append(df.rdd.getNumPartitions()) or keep(df, name))
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    edges = spark.createDataFrame([(1, k) for k in range(2, 41)], "u long, v long")
+    try:
+        for k, v in zip(held, (40, "false")):
+            spark.conf.set(k, v)
+        for links, most in ((20_000, 8), (3, 13)):
+            monkeypatch.setattr(graph, "TASK_LINKS", links)
+            seen.clear()
+            found = {r.node: r.component for r in components(edges).collect()}
+            assert found == dict.fromkeys(range(1, 41), 1) and max(seen) == most
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+
 def test_contexts_are_whole_words(spark, make):
     """Words that end alike are contexts of their own, and predictions of each add up to 1."""
     draw = random.Random(5)

@@ -211,3 +211,10 @@ def test_tasks_of_summaries_take_bounded_rows(spark, monkeypatch):
     assert merged.rdd.getNumPartitions() >= 60 and rows_of(merged) == rows_of(summarise(df, SPEC))
     for rule in Rule:
         assert compare_policies(df, SPEC, list(PRESETS.values()), rule).rdd.getNumPartitions() >= 60
+
+
+def test_tasks_take_few_of_the_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(summary, "TASK_ROWS", 50)
+    df = records(spark, 1000, seed=9).cache()
+    for rule in Rule:
+        assert compare_policies(df, SPEC, list(PRESETS.values()), rule).rdd.getNumPartitions() >= 1000 // 50 * len(PRESETS)

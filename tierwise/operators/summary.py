@@ -119,7 +119,7 @@ def compare_policies(
     the best key of every form of the rule, and dealt by entity; each is repeated once a
     policy, with the tier that the policy gives it, and one aggregation per entity and
     policy settles both methods where the rows are. Tasks of every step take ``TASK_ROWS``
-    rows on average; the rows are counted first. As in :func:`tierwise.plans.runs.resolve`, where a NULL category shares
+    rows on average, in the last step of the repeated ones; the rows are counted first. As in :func:`tierwise.plans.runs.resolve`, where a NULL category shares
     the latest key with a real one, the real one is reported.
     """
     if len({p.name for p in policies}) != len(policies):
@@ -143,7 +143,8 @@ def compare_policies(
         return F.struct(F.lit(p.name).alias("name"), F.lit(p.reallocate).alias("again"), tier.alias("tier"))
 
     # dealt by entity before a row is repeated: the last aggregation then needs no shuffle
-    rows = per_code.repartition(tasks, spec.entity).withColumn(P + "p", F.explode(F.array(*[described(p) for p in policies])))
+    repeated = tasks_for(summary, n_rows * len(policies))
+    rows = per_code.repartition(repeated, spec.entity).withColumn(P + "p", F.explode(F.array(*[described(p) for p in policies])))
     rows = rows.withColumns({policy_col: F.col(P + "p")["name"], P + "again": F.col(P + "p")["again"], TIER: F.col(P + "p")["tier"]})
     rows = rows.withColumn(P + "tier", F.col(TIER))
     for f in again.families:

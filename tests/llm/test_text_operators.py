@@ -454,3 +454,26 @@ def test_segments_are_all_maximal_ones(scores):
     total = np.concatenate([[0.0], np.cumsum(scores)])
     assert [s for *_, s in found] == pytest.approx([total[b] - total[a] for a, b, _ in found])
     assert [round(s, 6) for *_, s in found] == [round(total[b] - total[a], 6) for a, b in brute_segments(scores)]
+
+
+def test_toxicity_takes_texts_in_small_pieces(make):
+    from tierwise.llm import toxicity
+    from tierwise.llm.common import SLICE_BYTES, over_texts
+
+    texts = ["ab " * 40_000] * 20 + ["c" * (toxicity.PIECE_BYTES + 1)] + ["d"] * 5
+    sizes = []
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    list(over_texts(lambda part: sizes.append([len(x) for x in part.column("text").to_pylist()]), limit=toxicity.PIECE_BYTES)([batch]))
+    assert [n for part in sizes for n in part] == [len(x) for x in texts]
+    assert toxicity.PIECE_BYTES <= SLICE_BYTES // 4 and all(sum(part) <= toxicity.PIECE_BYTES or len(part) == 1 for part in sizes)
+
+
+def test_learning_toxicity_caches_nothing(spark, make, monkeypatch):
+    from tierwise.llm import toxicity
+
+    cached = []
+    monkeypatch.setattr("pyspark.sql.classic.dataframe.DataFrame.cache", lambda self: cached.append(self) or self)
+    docs = make([(k, ("vile awful " if k % 3 == 0 else "kind gentle ") * 5 + str(k)) for k in range(60)])
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(60)], "doc_id long, toxic int")
+    model = toxicity.learn_toxicity(docs, labels)
+    assert not cached and model.curve[1] > 0

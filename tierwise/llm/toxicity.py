@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_NO_LETTER, SpanHash, keep_texts, over_texts, remainder, string_bytes, word_spans
+from .common import IS_NO_LETTER, SpanHash, keep_texts, over_texts, remainder, stored, string_bytes, word_spans
 
 #: Labelled rows that the classifier is fitted on, in expectation.
 MAX_LABELLED = 20_000
@@ -47,6 +47,8 @@ STEM_PRIOR, TOKEN_PRIOR = 2.0, 4.0  # pseudo-documents behind a stem's and a tok
 MIN_Z = 4.0  # words whose signed root of the likelihood ratio is smaller are left at the drift
 DRIFT = 0.5
 MAX_EXPECTED = 0.05
+#: Bytes of text that a task turns into arrays at a time: some 50 bytes of arrays for each.
+PIECE_BYTES = 1 << 18
 
 
 @dataclass
@@ -195,11 +197,8 @@ def fit(train: DataFrame) -> Model:
     tokens with clear log-odds, and two numbers per training row."""
     train = train.groupBy(F.xxhash64("text").alias("h"), F.length("text").alias("n")).agg(
         F.first("text").alias("text"), F.max("toxic").alias("toxic")
-    ).select("text", "toxic").cache()  # a text counts once, however many copies carry a label
-    try:
-        return _fit(train)
-    finally:
-        train.unpersist()
+    ).select("text", "toxic")  # a text counts once, however many copies carry a label
+    return _fit(stored(train, "labelled"))  # a cache would fill the executors' heaps, which don't shrink again
 
 
 def _fit(train: DataFrame) -> Model:
@@ -210,8 +209,8 @@ def _fit(train: DataFrame) -> Model:
         share = toxic / max(1, toxic + clean)
         return Model(*none, *none, curve=(float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))), 0.0))
 
-    counts = train.mapInArrow(over_texts(_count_tokens), "token long, stem long, toxic long, clean long")
-    counts = counts.groupBy("token", "stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counts = train.mapInArrow(over_texts(_count_tokens, limit=PIECE_BYTES), "token long, stem long, toxic long, clean long")
+    counts = stored(counts.groupBy("token", "stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "tokens")
     stems = counts.groupBy("stem").agg(F.sum("toxic").alias("s_toxic"), F.sum("clean").alias("s_clean"))
     share = toxic / (toxic + clean)
 
@@ -255,7 +254,7 @@ def _calibrate(model: Model, train: DataFrame) -> Model:
             [pa.array(np.append(value, 0.0)), pa.array(np.append(count, n - count.sum()).astype(np.int64))], ["score", "n"]
         )
 
-    spread = train.mapInArrow(over_texts(clean_scores), "score double, n long").groupBy("score").agg(F.sum("n").alias("n")).toArrow()
+    spread = train.mapInArrow(over_texts(clean_scores, limit=PIECE_BYTES), "score double, n long").groupBy("score").agg(F.sum("n").alias("n")).toArrow()
     score, n = spread.column("score").to_numpy() - model.drift, spread.column("n").to_numpy().astype(float)
     n /= max(1.0, n.sum())
     low, high = 1e-4, 50.0
@@ -269,7 +268,7 @@ def _calibrate(model: Model, train: DataFrame) -> Model:
         top = [max((s for *_, s in segments), default=0.0) for _, segments in found]
         return pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([n for n, _ in found], pa.int64()), pa.array(top, pa.float64())], ["toxic", "n", "best"])
 
-    seen = train.mapInArrow(over_texts(best), "toxic long, n long, best double")
+    seen = train.mapInArrow(over_texts(best, limit=PIECE_BYTES), "toxic long, n long, best double")
     row = seen.where("toxic = 0 AND n > 0").agg(
         F.count(F.lit(1)).alias("c"), F.sum(F.col("n") * F.exp(-F.lit(model.lam) * F.col("best"))).alias("e")
     ).first()
@@ -279,7 +278,7 @@ def _calibrate(model: Model, train: DataFrame) -> Model:
         found = [surprise(model, n, segments)[0] for n, segments in segments_of(model, batch.column("text"))]
         return pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(found, pa.float64())], ["toxic", "evidence"])
 
-    rows = train.mapInArrow(over_texts(evidence), "toxic long, evidence double").toArrow()  # max_labelled rows
+    rows = train.mapInArrow(over_texts(evidence, limit=PIECE_BYTES), "toxic long, evidence double").toArrow()  # max_labelled rows
     model.curve = _logistic(np.log1p(rows.column("evidence").to_numpy()), rows.column("toxic").to_numpy())
     return model
 
@@ -325,13 +324,13 @@ def score_toxicity(docs: DataFrame, model: Model, *, id_col: str = "doc_id", tex
 
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
     schema = f"doc {kind}, score double, evidence double, n_tokens long, segments array<struct<first:long,end:long,score:double,surprise:double>>"
-    return rows.mapInArrow(over_texts(run), schema).withColumnRenamed("doc", id_col)
+    return rows.mapInArrow(over_texts(run, limit=PIECE_BYTES), schema).withColumnRenamed("doc", id_col)
 
 
 def drop_toxic(docs: DataFrame, model: Model, *, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns as they are, that score below ``threshold``."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    return keep_texts(docs, lambda texts: probabilities(held.value, texts)[0] < threshold, text_col)
+    return keep_texts(docs, lambda texts: probabilities(held.value, texts)[0] < threshold, text_col, PIECE_BYTES)
 
 
 def learn_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED) -> Model:

@@ -477,3 +477,17 @@ def test_learning_toxicity_caches_nothing(spark, make, monkeypatch):
     labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(60)], "doc_id long, toxic int")
     model = toxicity.learn_toxicity(docs, labels)
     assert not cached and model.curve[1] > 0
+
+
+def test_pairs_sort_as_by_unique_and_lexsort():
+    from tierwise.llm import pitman_yor
+
+    draw = np.random.default_rng(3)
+    for n in (0, 1, 5_000):
+        w, c = draw.integers(0, 2**64, 40, dtype=np.uint64)[draw.integers(0, 40, n)], draw.integers(0, 2**48, 60, dtype=np.uint64)[draw.integers(0, 60, n)]
+        order = pitman_yor.pair_order(w, c)
+        want = np.lexsort((c, w))
+        assert np.array_equal(np.sort(order), np.arange(n)) and np.array_equal(w[order], w[want]) and np.array_equal(c[order], c[want])
+        kinds, first, which = pitman_yor.kinds_of(w)
+        keys, inverse = np.unique(w, return_inverse=True)
+        assert np.array_equal(kinds, keys) and np.array_equal(which, inverse) and np.array_equal(w[first], keys)
